@@ -92,7 +92,7 @@ def landing(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
 def balanced(units: DataFrame, seed: int = 7, flight_rows: int = FLIGHT) -> DataFrame:
     """Cube-method sample of units (source, u, size, p): the same columns with p 0 or 1.
 
-    u orders the units and seeds the draws, so reruns agree. A source's units are dealt by hash to flights of bounded
+    Size and u order the units, the largest first so that small ones are left to the landing, and seed the draws, so reruns agree. A source's units are dealt by hash to flights of bounded
     size; what these leave undecided (LEFT units of each at most) goes on to the next round, until one flight of each
     source decides with a landing. Rounds are logarithmic in a source's units; a hot source is many flights.
     """
@@ -100,7 +100,7 @@ def balanced(units: DataFrame, seed: int = 7, flight_rows: int = FLIGHT) -> Data
 
     def fly(last: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["u", "size"], kind="stable").reset_index(drop=True)
+            pdf = pdf.sort_values(["size", "u"], ascending=[False, True], kind="stable").reset_index(drop=True)
             rng = np.random.default_rng([seed, len(pdf), int(pdf.u.iloc[0]) & (2**63 - 1), int(pdf["size"].sum())])
             p = flight(pdf.p.to_numpy(), pdf["size"].to_numpy(), rng)
             pdf["p"] = landing(p, pdf["size"].to_numpy(), rng) if last else p
