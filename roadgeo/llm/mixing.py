@@ -15,6 +15,8 @@ from .common import as_long, as_text, materialize
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Documents of one flight; a round leaves LEFT of them or fewer undecided.
 FLIGHT, LEFT = 4096, 2
+#: Units that a source's last flight leaves to the landing besides.
+LAND = 10
 EPS = 1e-9
 
 
@@ -81,14 +83,31 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def landing(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Decide the undecided units of a last flight (LEFT at most): the corner whose word total is nearest, ties by draw."""
+    """Decide the undecided units of a last flight (LEFT + LAND at most).
+
+    Of the corners of their cube whose count is within 1 of what is due, that with the nearest word total, ties by draw.
+    """
     open_ = np.nonzero((p > EPS) & (p < 1 - EPS))[0]
-    want = float((p[open_] * size[open_]).sum())
-    corners = [(abs(float((np.array(c) * size[open_]).sum()) - want), rng.random(), c) for c in product((0.0, 1.0), repeat=len(open_))]
-    p[open_] = min(corners)[2]
+    corners = np.array(list(product((0.0, 1.0), repeat=len(open_)))).reshape(-1, len(open_))
+    off = np.abs(corners @ size[open_] - (p[open_] * size[open_]).sum())
+    many = np.abs(corners.sum(axis=1) - p[open_].sum())
+    off[many > max(1.0, many.min())] = np.inf
+    best = np.nonzero(off == off.min())[0]
+    p[open_] = corners[best[rng.integers(len(best))]]
     return p
 
 
+def last_flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A flight that leaves out LAND units of spread sizes, for the landing to choose among; units come by size, largest first."""
+    open_ = np.nonzero((p > EPS) & (p < 1 - EPS))[0]
+    kept = np.unique(open_[np.linspace(len(open_) // 4, len(open_) - 1, LAND).astype(int)]) if len(open_) else open_
+    own = p.copy()
+    own[kept] = 0.0
+    flown = flight(own, size, rng)
+    flown[kept] = p[kept]
+    return landing(flown, size, rng)
+
+
 def balanced(units: DataFrame, seed: int = 7, flight_rows: int = FLIGHT) -> DataFrame:
     """Cube-method sample of units (source, u, size, p): the same columns with p 0 or 1.
 
@@ -102,8 +121,7 @@ def balanced(units: DataFrame, seed: int = 7, flight_rows: int = FLIGHT) -> Data
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["size", "u"], ascending=[False, True], kind="stable").reset_index(drop=True)
             rng = np.random.default_rng([seed, len(pdf), int(pdf.u.iloc[0]) & (2**63 - 1), int(pdf["size"].sum())])
-            p = flight(pdf.p.to_numpy(), pdf["size"].to_numpy(), rng)
-            pdf["p"] = landing(p, pdf["size"].to_numpy(), rng) if last else p
+            pdf["p"] = (last_flight if last else flight)(pdf.p.to_numpy(copy=True), pdf["size"].to_numpy(), rng)
             return pdf[["source", "u", "size", "p"]]
 
         return run
