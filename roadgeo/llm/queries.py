@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash
+from . import mixing, quality, simhash, toxicity
 from .common import table
 
 
@@ -20,9 +20,23 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a net trained on labelled rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.digest(toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, by trees fitted on labelled rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.digest(quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels"))), quality.CUT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {}
