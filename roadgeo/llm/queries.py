@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, simhash, toxicity
+from . import media, mixing, quality, simhash, toxicity, warc
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.with_hex(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's payload, stored as an image in archives and read back."""
+    return media.columns(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, beside its source's target."""
     return mixing.mixture(table(spark, sf_dir, "documents"))
@@ -32,11 +37,25 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels"))), quality.CUT)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's WARC record, written to seekable bundles and read back."""
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_media": op3_media,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op9_quality": op9_quality,
+    "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
+                     CASE WHEN strlen(html) >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first < page_id THEN first END AS refers_to FROM d""",
+}
