@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, quality, simhash, toxicity, warc
+from . import bpe, media, mixing, quality, simhash, toxicity, warc
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 0.5)
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of every document, encoded and decoded."""
+    return bpe.encoded(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, by trees fitted on labelled rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media": op3_media,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
+    "op7_bpe": op7_bpe,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }
