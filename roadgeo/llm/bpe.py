@@ -22,20 +22,20 @@ MEMORY = "160MB"
 
 #: A step lays the places of each word's tokens out as rows, joins neighbours with the merge table, takes each word's pair
 #: of least rank, the leftmost of equals, and contracts it; words without a pair leave the recursion. A word's last step
-#: has its tokens. Pairs are one key, l << 32 | r; rank and place are one number, rank << 32 | place.
+#: has its tokens; the key keeps that step alone. Pairs are one key, l << 32 | r; rank and place are one number, rank << 32 | place.
 CONTRACT = """
     CREATE OR REPLACE TABLE coded AS
-    WITH RECURSIVE step(i, w, s) AS (
-        SELECT 0, w, s FROM word
-        UNION ALL
-        SELECT i + 1, w, s[:(best & 4294967295) - 1] || [(best >> 32)::INT] || s[(best & 4294967295) + 2:]
+    WITH RECURSIVE step(w, s) USING KEY (w) AS (
+        SELECT w, s FROM word
+        UNION
+        SELECT w, s[:(best & 4294967295) - 1] || [(best >> 32)::INT] || s[(best & 4294967295) + 2:]
         FROM (
             SELECT w AS w_best, min((m.t::BIGINT << 32) | p) AS best
             FROM (SELECT w, (unnest(s[:-2])::BIGINT << 32) | unnest(s[2:]) AS k, unnest(range(1, len(s))) AS p FROM step) place
             JOIN merge m ON m.k = place.k GROUP BY w
         ) JOIN step ON w = w_best
     )
-    SELECT w, arg_max(s, i) AS s FROM step GROUP BY w
+    SELECT w, s FROM step
 """
 #: Tokens with their places, joined with their bytes and aggregated in order.
 DECODE = """
