@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, quality, simhash, toxicity, warc
+from . import bpe, license, media, mixing, quality, simhash, toxicity, warc
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.columns(table(spark, sf_dir, "documents"))
 
 
+def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, beside its source's target."""
     return mixing.mixture(table(spark, sf_dir, "documents"))
@@ -50,6 +55,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_media": op3_media,
+    "op4_license": op4_license,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_license": license.oracle_sql(),
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
