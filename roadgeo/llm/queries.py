@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license, media, mixing, quality, simhash, toxicity, warc
+from . import ann, bpe, license, media, mixing, quality, simhash, toxicity, warc
 from .common import table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings, by inner product, of every twentieth."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.with_hex(simhash.near_duplicates(table(spark, sf_dir, "documents")))
@@ -53,6 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_simhash": op2_simhash,
     "op3_media": op3_media,
     "op4_license": op4_license,
