@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, license, media, mixing, quality, simhash, toxicity, warc
+from . import ann, bpe, license, media, mixing, quality, simhash, suffix, toxicity, warc
 from .common import table
 
 
@@ -46,6 +46,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that strings of 200 bytes found elsewhere too cover."""
+    return suffix.removed(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, by trees fitted on labelled rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_bpe": op7_bpe,
+    "op8_suffix": op8_suffix,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }
