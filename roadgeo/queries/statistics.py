@@ -1 +1,208 @@
-"""To be filled."""
+"""Aggregates over curves, vertices, sweeps and audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import views as V
+from ..functions.classify import degree_bin, degree_of_curve, grade_bin
+from ..operators import statistics as S
+from ..registry import query
+from .joins import _BIN, _binned
+
+_C = f"+c AS (SELECT *, {_BIN} AS bin FROM curves)"
+
+
+@query(V.sql("SELECT route_id, arg_min(f_system, (-n, f_system)) AS f_system FROM (SELECT route_id, f_system, count(*) AS n FROM sections GROUP BY ALL) GROUP BY 1", "sections"))
+def predominant_fsystem(spark, d):
+    return V.sections(spark, d).groupBy("route_id").agg(F.mode("f_system", True).alias("f_system"))
+
+
+@query(V.sql("SELECT route_id, min(least(start_mp, end_mp)) AS low_mp, max(greatest(start_mp, end_mp)) AS high_mp, round(sum(end_mp - start_mp), 4) AS miles FROM sections GROUP BY 1", "sections"))
+def route_extents(spark, d):
+    return V.sections(spark, d).groupBy("route_id").agg(F.min(F.least("start_mp", "end_mp")).alias("low_mp"), F.max(F.greatest("start_mp", "end_mp")).alias("high_mp"), F.round(F.sum(F.col("end_mp") - F.col("start_mp")), 4).alias("miles"))
+
+
+_RAW = "p AS (SELECT l_linenumber AS f_system, l_suppkey AS chunk, l_extendedprice / 1000 AS z, l_extendedprice / 1000 + l_discount AS zs, 45.0::DOUBLE + l_partkey / 1e5 AS lat, 45.0::DOUBLE + l_partkey / 1e5 + l_tax / 1e4 AS lat_s, -120.0::DOUBLE + l_partkey / 1e5 AS lon, -120.0::DOUBLE + l_partkey / 1e5 + l_discount / 1e4 AS lon_s FROM lineitem)"
+
+
+def _raw(spark, d):
+    p = V.table(spark, d, "lineitem")
+    lat, lon = F.lit(45.0) + F.col("l_partkey") / 1e5, F.lit(-120.0) + F.col("l_partkey") / 1e5
+    return p.select(F.col("l_linenumber").alias("f_system"), F.col("l_suppkey").alias("chunk"), (F.col("l_extendedprice") / 1000).alias("z"), (F.col("l_extendedprice") / 1000 + F.col("l_discount")).alias("zs"), lat.alias("lat"), (lat + F.col("l_tax") / 1e4).alias("lat_s"), lon.alias("lon"), (lon + F.col("l_discount") / 1e4).alias("lon_s"))
+
+
+@query(f"WITH {_RAW} SELECT f_system, chunk, round(sqrt(avg(pow(z - zs, 2))) * 3.28084, 6) AS v_rmse_ft, round(sqrt(avg(pow((lat - lat_s) * 364000, 2) + pow((lon - lon_s) * 364000 * cos(radians(lat_s)), 2))), 4) AS h_rmse_ft FROM p GROUP BY 1, 2")
+def health_rmse(spark, d):
+    h = F.pow((F.col("lat") - F.col("lat_s")) * 364000, 2) + F.pow((F.col("lon") - F.col("lon_s")) * 364000 * F.cos(F.radians("lat_s")), 2)
+    return _raw(spark, d).groupBy("f_system", "chunk").agg(F.round(F.sqrt(F.avg(F.pow(F.col("z") - F.col("zs"), 2))) * 3.28084, 6).alias("v_rmse_ft"), F.round(F.sqrt(F.avg(h)), 4).alias("h_rmse_ft"))
+
+
+@query(V.sql("SELECT f_system, round(quantile_cont(iri, 0.5), 6) AS p50, round(quantile_cont(iri, 0.8), 6) AS p80, round(quantile_cont(iri, 0.95), 6) AS p95 FROM sections GROUP BY 1", "sections"))
+def health_percentiles(spark, d):
+    return S.percentiles(V.sections(spark, d), ["f_system"], "iri", (0.5, 0.8, 0.95))
+
+
+@query(V.sql(f"{_C} SELECT bin, coalesce(n, 0) AS n FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E'), ('F')) v(bin) LEFT JOIN (SELECT bin, count(*) AS n FROM c WHERE f_system = 3 AND dir = 'Left' GROUP BY 1) USING (bin)", "curves"))
+def bin_counts_zero_fill(spark, d):
+    return S.bin_counts(_binned(spark, d).where("f_system = 3 and dir = 'Left'"), "bin")
+
+
+@query(V.sql(f"{_C} SELECT f_system, {', '.join(f"count(*) FILTER (bin = '{x}') AS n_{x.lower()}" for x in 'ABCDEF')} FROM c GROUP BY 1", "curves"))
+def bins_by_fsystem(spark, d):
+    return S.crosstab(_binned(spark, d), "f_system", "bin")
+
+
+@query(V.sql("""+m AS (SELECT f_system, sum(length_m) / 1609.34 AS miles FROM (SELECT f_system, length_m FROM curves WHERE dir = 'Left' UNION ALL SELECT f_system, length_m FROM curves WHERE kind = 'SAG') GROUP BY 1),
+    h AS (SELECT f_system, count(*) AS n FROM curves WHERE dir = 'Left' GROUP BY 1), v AS (SELECT f_system, count(*) AS n FROM curves WHERE kind = 'SAG' GROUP BY 1)
+    SELECT f_system, round(coalesce(h.n, 0) / miles * 100, 6) AS h_per_100, round(coalesce(v.n, 0) / miles * 100, 6) AS v_per_100 FROM m LEFT JOIN h USING (f_system) LEFT JOIN v USING (f_system)""", "curves"))
+def curve_density(spark, d):
+    c = V.curves(spark, d)
+    return S.curve_density(c.where("dir = 'Left'"), c.where("kind = 'SAG'"))
+
+
+@query(V.sql(f"{_C}, n AS (SELECT bin, coalesce(n, 0) AS n FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E'), ('F')) v(bin) LEFT JOIN (SELECT bin, count(*) AS n FROM c GROUP BY 1) USING (bin)) SELECT bin, round(sum(n) OVER (ORDER BY bin) * 100.0::DOUBLE / sum(n) OVER (), 6) AS cum_pct FROM n", "curves"))
+def severity_cdf(spark, d):
+    return S.severity_cdf(_binned(spark, d), "bin")
+
+
+@query(V.sql("SELECT f_system, count(*) FILTER (kind = 'CREST') AS crest, count(*) FILTER (kind = 'SAG') AS sag FROM curves GROUP BY 1", "curves"))
+def crest_sag(spark, d):
+    return V.curves(spark, d).groupBy("f_system").agg(F.count_if(F.col("kind") == "CREST").alias("crest"), F.count_if(F.col("kind") == "SAG").alias("sag"))
+
+
+@query(V.sql("SELECT f_system, round(avg((merge_status = 'Compound')::INT::DOUBLE), 6) AS compound, round(avg((transition = 'Spiral')::INT::DOUBLE), 6) AS spiral FROM curves GROUP BY 1", "curves"))
+def compound_share(spark, d):
+    return V.curves(spark, d).groupBy("f_system").agg(S.share(F.col("merge_status") == "Compound").alias("compound"), S.share(F.col("transition") == "Spiral").alias("spiral"))
+
+
+@query(V.sql("SELECT bin, count(*) AS n FROM (SELECT least(39, floor(least(length_m / abs(alg_diff), 500) / 12.5))::INT AS bin FROM curves WHERE abs(alg_diff) > 0.01) GROUP BY 1", "curves"))
+def k_histogram(spark, d):
+    k = F.least(F.col("length_m") / F.abs("alg_diff"), F.lit(500.0))
+    return V.curves(spark, d).where(F.abs("alg_diff") > 0.01).groupBy(F.least(F.lit(39), F.floor(k / 12.5)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(V.sql("SELECT f_system, round(avg((iri < 40)::INT::DOUBLE), 6) AS blind, round(avg((iri < 40 AND structure_type <> 2)::INT::DOUBLE), 6) AS blind_not_sag, count(*) FILTER (structure_type IN (1, 2)) AS tier_1 FROM sections GROUP BY 1", "sections"))
+def blind_share(spark, d):
+    s = V.sections(spark, d)
+    return s.groupBy("f_system").agg(S.share(F.col("iri") < 40).alias("blind"), S.share((F.col("iri") < 40) & (F.col("structure_type") != 2)).alias("blind_not_sag"), F.count_if(F.col("structure_type").isin(1, 2)).alias("tier_1"))
+
+
+@query(V.sql("SELECT round(avg(radius_m), 4) AS radius_m, round(avg(length_m), 4) AS length_m, round(avg(abs(alg_diff)), 6) AS alg_diff, round(min(radius_m), 4) AS tightest, count(*) AS n FROM curves", "curves"))
+def kpi_means(spark, d):
+    return V.curves(spark, d).agg(F.round(F.avg("radius_m"), 4).alias("radius_m"), F.round(F.avg("length_m"), 4).alias("length_m"), F.round(F.avg(F.abs("alg_diff")), 6).alias("alg_diff"), F.round(F.min("radius_m"), 4).alias("tightest"), F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey, least(ceil(384.16::DOUBLE / (1 + 383.16::DOUBLE / count(*)))::BIGINT, count(*)) AS n FROM orders GROUP BY 1")
+def cochran(spark, d):
+    g = V.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("m"))
+    return g.select("o_custkey", S.sample_size(F.col("m")).alias("n"))
+
+
+_M = "m AS (SELECT grp, factor, count(*) AS n, round(avg(rmse), 6) AS rmse, round(quantile_cont(max_dev, 0.8), 6) AS dev_p80, round(stddev_pop(rmse), 6) AS rmse_sd FROM sweep GROUP BY 1, 2 HAVING count(*) >= 3)"
+_G = f"{_M}, g AS (SELECT *, rmse <= [4.0, 4.5, 3.5, 3.5, 4.0, 4.0, 4.0][grp % 7 + 1] AND dev_p80 <= [35.0, 30.0, 15.0, 12.0, 15.0, 15.0, 15.0][grp % 7 + 1] + CASE WHEN grp % 2 = 0 THEN 8 ELSE 0 END AS passed FROM m)"
+
+
+def _gates(spark, d):
+    m = S.collated(V.sweep(spark, d), ["grp", "factor"])
+    return S.gated(m, "V", F.col("grp") % 7 + 1, F.col("grp") % 2 == 0)
+
+
+@query(V.sql(f"+{_M} SELECT * FROM m", "sweep"))
+def collate_metrics(spark, d):
+    return S.collated(V.sweep(spark, d), ["grp", "factor"])
+
+
+@query(V.sql(f"+{_G} SELECT grp, factor, rmse, dev_p80, passed FROM g", "sweep"))
+def gate_pass(spark, d):
+    return _gates(spark, d).select("grp", "factor", "rmse", "dev_p80", "passed")
+
+
+@query(V.sql(f"""+{_G}, a AS (SELECT *, coalesce(NOT passed AND rmse >= lag(rmse) OVER w, false) AS bad, bool_or(passed) OVER w AS any_pass FROM g WINDOW w AS (PARTITION BY grp ORDER BY factor)),
+    b AS (SELECT *, sum((NOT bad)::INT) OVER (PARTITION BY grp ORDER BY factor) AS run FROM a), c AS (SELECT *, any_pass AND sum(bad::INT) OVER (PARTITION BY grp, run ORDER BY factor) >= 3 AS stop FROM b),
+    e AS (SELECT *, coalesce(bool_or(stop) OVER (PARTITION BY grp ORDER BY factor ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS gone FROM c)
+    SELECT grp, factor, rmse, dev_p80, passed FROM e WHERE NOT gone""", "sweep"))
+def sweep_early_exit(spark, d):
+    return S.early_exit(_gates(spark, d), "grp")
+
+
+_E = """e AS (SELECT grp, factor, rmse, count(*) OVER (PARTITION BY grp) AS n, first_value(factor) OVER w AS f0, last_value(factor) OVER w AS f1, first_value(rmse) OVER w AS r0, last_value(rmse) OVER w AS r1 FROM {src} WINDOW w AS (PARTITION BY grp ORDER BY factor ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    k AS (SELECT *, round(CASE WHEN n < 3 THEN 0.0::DOUBLE ELSE coalesce(abs((rmse - r0) / nullif(r1 - r0, 0) - (factor - f0) / nullif(f1 - f0, 0)) / sqrt(2.0::DOUBLE), 0) END, 9) AS dist FROM e),
+    bend AS (SELECT grp, arg_min(factor, (-dist, factor)) AS factor, round(max(dist), 6) AS peak, any_value(n) AS n, round(any_value(r1 - r0), 6) AS rise FROM k GROUP BY 1)"""
+
+
+@query(V.sql(f"+{_M}, {_E.format(src='m')} SELECT * FROM bend", "sweep"))
+def elbow(spark, d):
+    return S.elbow(S.collated(V.sweep(spark, d), ["grp", "factor"]), "grp")
+
+
+@query(V.sql(f"+{_M}, {_E.format(src='m')} SELECT grp, greatest(least(50.0::DOUBLE, trunc(peak * 100)) + trunc(least(n, 10) / 10.0::DOUBLE * 30) + trunc(least(rise, 1.0::DOUBLE) * 20), 0)::INT AS confidence FROM bend", "sweep"))
+def confidence(spark, d):
+    e = S.elbow(S.collated(V.sweep(spark, d), ["grp", "factor"]), "grp")
+    return e.select("grp", S.confidence(F.col("peak"), F.col("n"), F.col("rise")).alias("confidence"))
+
+
+@query(V.sql(f"""+{_G}, pg AS (SELECT * FROM g WHERE passed), {_E.format(src='pg')}, t AS (SELECT grp, max(rmse) - min(rmse) AS range, count(*) FILTER (passed) AS passes, max(factor) FILTER (passed) AS highest FROM g GROUP BY 1)
+    SELECT grp, CASE WHEN range < 0.05 THEN 'flat_terrain_default' WHEN passes >= 3 THEN 'elbow' WHEN passes > 0 THEN 'highest_safe' ELSE 'composite_fallback' END AS method,
+    (CASE WHEN range < 0.05 THEN 1000 WHEN passes >= 3 THEN bend.factor WHEN passes > 0 THEN highest ELSE 100 END)::INT AS factor, passes FROM t LEFT JOIN bend USING (grp)""", "sweep"))
+def factor_select(spark, d):
+    return S.selected(_gates(spark, d), "grp")
+
+
+@query(V.sql("""SELECT *, round(composite_fallback / n, 6) AS fallback_rate, CASE WHEN composite_fallback / n >= 0.35 THEN 'ALERT' WHEN composite_fallback / n >= 0.2 THEN 'WARN' ELSE 'OK' END AS flag FROM (SELECT f_system, mode, count(*) AS n,
+    count(*) FILTER (method = 'elbow') AS elbow, count(*) FILTER (method = 'highest_safe') AS highest_safe, count(*) FILTER (method = 'flat_terrain_default') AS flat_terrain_default, count(*) FILTER (method = 'composite_fallback') AS composite_fallback FROM audit GROUP BY 1, 2)""", "audit"))
+def method_breakdown(spark, d):
+    return S.method_breakdown(V.audit(spark, d))
+
+
+@query(V.sql("""SELECT *, CASE WHEN near_pct >= 50 THEN 'ALERT' WHEN near_pct >= 25 THEN 'WARN' ELSE 'OK' END AS flag FROM (SELECT f_system, mode, round(avg(proximity), 6) AS mean, round(quantile_cont(proximity, 0.5), 6) AS median, round(avg((proximity >= 85)::INT::DOUBLE) * 100, 6) AS near_pct FROM audit GROUP BY 1, 2)""", "audit"))
+def ceiling_proximity(spark, d):
+    return S.ceiling_proximity(V.audit(spark, d))
+
+
+@query(V.sql("""SELECT *, CASE WHEN weak_pct >= 40 THEN 'ALERT' WHEN weak_pct >= 20 THEN 'WARN' ELSE 'OK' END AS flag FROM (SELECT f_system, mode, count(*) AS n, round(avg(confidence), 6) AS mean, min(confidence) AS least, round(avg((confidence < 40)::INT::DOUBLE) * 100, 6) AS weak_pct FROM audit WHERE method = 'elbow' GROUP BY 1, 2)""", "audit"))
+def confidence_distribution(spark, d):
+    return S.confidence_distribution(V.audit(spark, d))
+
+
+@query(V.sql("""+w AS (SELECT *, avg(factor) OVER p AS m, stddev_samp(factor) OVER p AS s FROM audit WINDOW p AS (PARTITION BY f_system, mode))
+    SELECT f_system, mode, count(*) AS n, round(avg(factor), 6) AS mean, round(stddev_samp(factor), 6) AS sd, round(stddev_samp(factor) / avg(factor) * 100, 6) AS cv_pct, min(factor) AS least, max(factor) AS most,
+    coalesce(string_agg(state || ':' || flag, ',' ORDER BY state || ':' || flag) FILTER (abs(factor - m) > 2 * s), '') AS outliers FROM w GROUP BY 1, 2 HAVING count(*) >= 2""", "audit"))
+def factor_stability(spark, d):
+    return S.factor_stability(V.audit(spark, d))
+
+
+@query(V.sql("""+g AS (SELECT f_system, avg((method = 'composite_fallback')::INT::DOUBLE) AS fb, avg((proximity >= 85)::INT::DOUBLE) * 100 AS near, avg(proximity) AS prox, coalesce(avg((confidence < 40)::INT::DOUBLE) FILTER (method = 'elbow') * 100, 0) AS weak FROM audit GROUP BY 1),
+    s AS (SELECT f_system, CASE WHEN fb >= 0.35 THEN 2 WHEN fb >= 0.2 THEN 1 ELSE 0 END + CASE WHEN near >= 50 THEN 2 WHEN near >= 25 THEN 1 ELSE 0 END AS tight, CASE WHEN prox < 40 THEN 1 ELSE 0 END + CASE WHEN weak >= 40 THEN 1 ELSE 0 END AS loose FROM g)
+    SELECT *, CASE WHEN tight >= 2 AND tight > loose THEN 'TOO TIGHT' WHEN loose >= 2 AND loose > tight THEN 'TOO LOOSE' WHEN tight + loose > 0 THEN 'REVIEW' ELSE 'OK' END AS verdict FROM s""", "audit"))
+def threshold_verdict(spark, d):
+    return S.verdict(V.audit(spark, d))
+
+
+@query(V.sql(f"SELECT state, {', '.join(f'round(avg(proximity) FILTER (f_system = {k}), 6) AS fs{k}' for k in range(1, 8))} FROM audit WHERE mode = 'V' GROUP BY 1", "audit"))
+def proximity_heatmap(spark, d):
+    return V.audit(spark, d).where("mode = 'V'").groupBy("state").agg(*[F.round(F.avg(F.when(F.col("f_system") == k, F.col("proximity"))), 6).alias(f"fs{k}") for k in range(1, 8)])
+
+
+@query("SELECT l_linenumber, min(try_cast(l_returnflag AS DOUBLE)) AS none_min, min(l_tax) AS least, max(l_tax) AS most, round(avg(l_tax), 6) AS mean FROM lineitem GROUP BY 1")
+def numeric_summaries(spark, d):
+    x = V.table(spark, d, "lineitem")
+    return x.groupBy("l_linenumber").agg(F.min(F.col("l_returnflag").try_cast("double")).alias("none_min"), F.min("l_tax").alias("least"), F.max("l_tax").alias("most"), F.round(F.avg("l_tax"), 6).alias("mean"))
+
+
+_K = "k AS (SELECT route_id, idx, degrees(atan2(lead(z) OVER w - z, 5)) AS h, z FROM profile WINDOW w AS (PARTITION BY route_id ORDER BY idx))"
+
+
+@query(V.sql(f"+{_K}, q AS (SELECT route_id, idx, z, h - lag(h) OVER (PARTITION BY route_id ORDER BY idx) AS dh FROM k) SELECT route_id, round(avg(abs(dh)), 6) AS curve_var, round(sqrt(avg(z * z)), 6) AS rmse, max(z) AS max_dev, round(var_pop(z), 4) AS var_z FROM q GROUP BY 1", "profile"))
+def chunk_metrics(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("route_id").orderBy("idx")
+    h = F.degrees(F.atan2(F.lead("z").over(w) - F.col("z"), F.lit(5.0)))
+    q = V.profile(spark, d).withColumn("h", h).withColumn("dh", F.col("h") - F.lag("h").over(w))
+    return q.groupBy("route_id").agg(F.round(F.avg(F.abs("dh")), 6).alias("curve_var"), F.round(F.sqrt(F.avg(F.col("z") * F.col("z"))), 6).alias("rmse"), F.max("z").alias("max_dev"), F.round(F.var_pop("z"), 4).alias("var_z"))
+
+
+@query(V.sql("SELECT curve_id, CASE WHEN 1746.38::DOUBLE / radius_m < 3.5 THEN 'A' WHEN 1746.38::DOUBLE / radius_m < 5.5 THEN 'B' WHEN 1746.38::DOUBLE / radius_m < 8.5 THEN 'C' WHEN 1746.38::DOUBLE / radius_m < 14 THEN 'D' WHEN 1746.38::DOUBLE / radius_m < 28 THEN 'E' ELSE 'F' END AS h_bin, CASE WHEN abs(alg_diff) < 0.5 THEN 'A' WHEN abs(alg_diff) < 2.5 THEN 'B' WHEN abs(alg_diff) < 4.5 THEN 'C' WHEN abs(alg_diff) < 6.5 THEN 'D' WHEN abs(alg_diff) < 8.5 THEN 'E' ELSE 'F' END AS v_bin FROM curves", "curves"))
+def curve_classes(spark, d):
+    return V.curves(spark, d).select("curve_id", degree_bin(degree_of_curve(F.col("radius_m"))).alias("h_bin"), grade_bin(F.col("alg_diff")).alias("v_bin"))
