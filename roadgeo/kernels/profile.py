@@ -1,0 +1,83 @@
+"""Sequential passes over one profile in numpy: dip repair, vertical curves, sight distance."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from ..config import FEET_PER_METER, Params
+
+
+def repair_dips(z: np.ndarray, trend: np.ndarray, tier: np.ndarray, spacing_m: float, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Dips and known structures bridged by straight lines; returns the profile and the tiers, 3 for a dip found here.
+
+    Samples with a tier, or below the trend by more than the dip threshold, form runs. From either end of a run an
+    anchor walks out while the profile, as repaired so far, is below the trend by more than the anchor tolerance; a
+    bridge longer than allowed is not built.
+    """
+    z, tier = np.array(z, float), np.array(tier, int)
+    n = len(z)
+    marked = (tier > 0) | (z - trend < -p.metres("dip_ft"))
+    starts = np.nonzero(marked & ~np.concatenate(([False], marked[:-1])))[0]
+    ends = np.nonzero(marked & ~np.concatenate((marked[1:], [False])))[0]
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        i, j = a - 1, b + 1
+        while i > 0 and z[i] < trend[i] - p.anchor_m:
+            i -= 1
+        while j < n - 1 and z[j] < trend[j] - p.anchor_m:
+            j += 1
+        if i < 0 or j >= n or (j - i) * spacing_m >= p.metres("bridge_ft"):
+            continue
+        z[i : j + 1] = np.linspace(z[i], z[j], j - i + 1)
+        tier[a : b + 1] = np.where(tier[a : b + 1] == 0, 3, tier[a : b + 1])
+    return z, tier
+
+
+def vertical_curves(dist_m: np.ndarray, z: np.ndarray, grade_pct: np.ndarray, p: Params) -> list[dict]:
+    """Crests and sags: runs of changing grade of one sign, each fitted with a parabola.
+
+    A run may hold up to v_gap samples in a row that change too little. At a change of sign the sample that changes is
+    the run's last, and the search goes on after it. Ends below 1.1 of the threshold are trimmed.
+    """
+    n = len(z)
+    if n < 5:
+        return []
+    rate = np.gradient(grade_pct, dist_m)
+    on, sign = np.abs(rate) > p.v_threshold, np.sign(rate)
+    out, i = [], 0
+    while i < n:
+        if not on[i]:
+            i += 1
+            continue
+        side, last, gap, k = sign[i], i, 0, i + 1
+        nxt = n
+        while k < n:
+            if on[k] and sign[k] != side:
+                last, nxt = k, k + 1
+                break
+            if on[k]:
+                last, gap = k, 0
+            else:
+                gap += 1
+                if gap > p.v_gap:
+                    nxt = k
+                    break
+            k += 1
+        a, b = i, last
+        i = nxt
+        while p.trim_curve_ends and a < b and abs(rate[a]) < 1.1 * p.v_threshold:
+            a += 1
+        while p.trim_curve_ends and b > a and abs(rate[b]) < 1.1 * p.v_threshold:
+            b -= 1
+        length = float(dist_m[b] - dist_m[a])
+        if b - a + 1 < 5 or length < p.metres("v_min_length_ft"):
+            continue
+        u = dist_m[a : b + 1] - dist_m[a]
+        c2, c1, c0 = np.polyfit(u, z[a : b + 1], 2)
+        g1, g2 = 100 * c1, 100 * (c1 + 2 * c2 * length)
+        diff = g2 - g1
+        offset = abs(diff) * length * FEET_PER_METER / 800
+        if abs(diff) < p.v_min_grade_change or offset < p.v_min_offset_ft:
+            continue
+        middle, chord = c0 + c1 * length / 2 + c2 * length**2 / 4, c0 + (c1 * length + c2 * length**2) / 2
+        out.append({"start_dist": float(dist_m[a]), "end_dist": float(dist_m[b]), "length_m": length, "length_ft": length * FEET_PER_METER, "grade_in": float(g1), "grade_out": float(g2), "alg_diff": float(diff), "k_value": length * FEET_PER_METER / abs(diff), "kind": "CREST" if middle > chord else "SAG", "offset_ft": float(offset)})
+    return out

@@ -67,7 +67,7 @@ def compound_groups(curves: DataFrame, gap_ft: float, key: str = "route_id") ->
     new = F.coalesce((F.lag("dir").over(w) != F.col("dir")) | ((F.col("c_start") - reach) * 5280 >= gap_ft), F.lit(True))
     g = curves.withColumn("_new", new).withColumn("grp", islands(F.col("_new"), w))
     weighted = F.sum(F.col("radius_m") * F.col("length_m")) / F.sum("length_m")
-    m = g.groupBy(key, "grp").agg(F.count("*").alias("n"), F.min("c_start").alias("c_start"), F.max("c_end").alias("c_end"), F.first("dir").alias("dir"), F.round(F.sum("delta"), 4).alias("delta"), F.round(F.min("radius_m"), 6).alias("min_radius_m"), F.round(weighted, 6).alias("radius_m"))
+    m = g.groupBy(key, "grp").agg(F.count("*").alias("n"), F.min("c_start").alias("c_start"), F.max("c_end").alias("c_end"), F.first("dir").alias("dir"), F.round(F.sum("delta"), 4).alias("delta"), F.round(F.min("radius_m"), 6).alias("min_radius_m"), F.round(weighted + 1e-9, 4).alias("radius_m"))
     return m.withColumn("merge_status", F.when(F.col("n") > 1, "Compound").otherwise("Single")).withColumn("bin", degree_bin(degree_of_curve(F.col("min_radius_m"))))
 
 
@@ -81,7 +81,7 @@ def quadratic_fit(points: DataFrame, keys: list[str], x: str, y: str) -> DataFra
     a0 = (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / det
     a1 = (n * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s2 * s3) + s2 * (s1 * t2 - t1 * s2)) / det
     a2 = (n * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)) / det
-    return s.where(F.abs(det) > 1e-9).select(*keys, F.round(a0, 4).alias("c0"), F.round(a1, 4).alias("c1"), F.round(a2, 4).alias("c2"), "m")
+    return s.where(F.abs(det) > 1e-9).select(*keys, F.round(a0 + 1e-9, 4).alias("c0"), F.round(a1 + 1e-9, 4).alias("c1"), F.round(a2 + 1e-9, 4).alias("c2"), "m")
 
 
 def dip_candidates(profile: DataFrame, trend: str, z: str, dip: float, anchor: float, key: str = "route_id", order: str = "idx") -> DataFrame:

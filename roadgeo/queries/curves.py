@@ -44,7 +44,7 @@ def superelevation_steps(spark, d):
 
 
 @query(V.sql(f"""+w AS (SELECT *, coalesce(lag(dir) OVER o <> dir OR (c_start - max(c_end) OVER (PARTITION BY route_id ORDER BY c_start, curve_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) * 5280 >= 600, true) AS new FROM curves WINDOW o AS (PARTITION BY route_id ORDER BY c_start, curve_id)),
-    g AS (SELECT *, sum(new::INT) OVER (PARTITION BY route_id ORDER BY c_start, curve_id)::BIGINT AS grp FROM w), m AS (SELECT route_id, grp, count(*) AS n, min(c_start) AS c_start, max(c_end) AS c_end, any_value(dir) AS dir, round(sum(delta), 4) AS delta, round(min(radius_m), 6) AS min_radius_m, round(sum(radius_m * length_m) / sum(length_m), 6) AS radius_m FROM g GROUP BY 1, 2)
+    g AS (SELECT *, sum(new::INT) OVER (PARTITION BY route_id ORDER BY c_start, curve_id)::BIGINT AS grp FROM w), m AS (SELECT route_id, grp, count(*) AS n, min(c_start) AS c_start, max(c_end) AS c_end, any_value(dir) AS dir, round(sum(delta), 4) AS delta, round(min(radius_m), 6) AS min_radius_m, round(sum(radius_m * length_m) / sum(length_m) + 1e-9, 4) AS radius_m FROM g GROUP BY 1, 2)
     SELECT *, CASE WHEN n > 1 THEN 'Compound' ELSE 'Single' END AS merge_status, {_BIN.replace('radius_m', 'min_radius_m')} AS bin FROM m""", "curves"))
 def compound_groups(spark, d):
     return C.compound_groups(V.curves(spark, d), 600.0)
@@ -53,7 +53,7 @@ def compound_groups(spark, d):
 @query(V.sql("""+p AS (SELECT route_id, idx // 20 AS part, idx::DOUBLE AS x, z FROM profile), c AS (SELECT route_id, part, avg(x) AS m FROM p GROUP BY 1, 2), u AS (SELECT p.*, x - m AS u, m FROM p JOIN c USING (route_id, part)),
     s AS (SELECT route_id, part, count(*) AS n, any_value(m) AS m, sum(u) AS s1, sum(u ** 2) AS s2, sum(u ** 3) AS s3, sum(u ** 4) AS s4, sum(z) AS t0, sum(z * u) AS t1, sum(z * u ** 2) AS t2 FROM u GROUP BY 1, 2),
     k AS (SELECT *, n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det FROM s)
-    SELECT route_id, part, m, round((t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / det, 4) AS c0, round((n * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s2 * s3) + s2 * (s1 * t2 - t1 * s2)) / det, 4) AS c1, round((n * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)) / det, 4) AS c2
+    SELECT route_id, part, m, round((t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / det + 1e-9, 4) AS c0, round((n * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s2 * s3) + s2 * (s1 * t2 - t1 * s2)) / det + 1e-9, 4) AS c1, round((n * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)) / det + 1e-9, 4) AS c2
     FROM k WHERE abs(det) > 1e-9""", "profile"))
 def quadratic_fit(spark, d):
     p = V.profile(spark, d).select("route_id", F.floor(F.col("idx") / 20).alias("part"), F.col("idx").cast("double").alias("x"), "z")

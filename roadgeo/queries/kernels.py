@@ -1 +1,108 @@
-"""To be filled."""
+"""Numeric kernels over groups of samples; they have no SQL twin, the tests hold them against numpy."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import views as V
+from ..config import Params
+from ..kernels import profile, smooth
+from ..operators.spatial import nearest
+from ..plans import alignment as A
+from ..registry import query
+
+
+def _per_route(p: DataFrame, f) -> DataFrame:
+    """A kernel over each route's samples in order."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        return pd.DataFrame({"route_id": pdf.route_id, "idx": pdf.idx, "value": np.round(f(pdf.z.to_numpy(float)), 6)})
+
+    return p.select("route_id", "idx", "z").groupBy("route_id").applyInPandas(run, "route_id long, idx long, value double")
+
+
+@query()
+def spline_smooth(spark, d):
+    return _per_route(V.profile(spark, d), lambda z: smooth.smoothing_spline(np.arange(len(z)) * 5.0, z, 100.0 * len(z)))
+
+
+@query()
+def savgol(spark, d):
+    return _per_route(V.profile(spark, d), smooth.savgol)
+
+
+@query()
+def roughness_proxy(spark, d):
+    return _per_route(V.profile(spark, d), lambda z: smooth.roughness(z - z.mean(), 5.0))
+
+
+@query()
+def dip_repair(spark, d):
+    p = Params(dip_ft=50.0)
+
+    def fix(z: np.ndarray) -> np.ndarray:
+        trend = pd.Series(z).rolling(21, center=True, min_periods=1).median().to_numpy()
+        return profile.repair_dips(z, trend, np.zeros(len(z), int), 5.0, p)[0]
+
+    return _per_route(V.profile(spark, d), fix)
+
+
+@query()
+def vertical_curves(spark, d):
+    p = Params(v_min_length_ft=50.0)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        x, z = pdf.idx.to_numpy(float) * 5, smooth.savgol(pdf.z.to_numpy(float), 15)
+        rows = [{"route_id": pdf.route_id.iloc[0], **r} for r in profile.vertical_curves(x, z, np.gradient(z, x) * 100 if len(x) > 1 else z * 0, p)]
+        return pd.DataFrame(rows, columns=["route_id", "start_dist", "end_dist", "alg_diff", "k_value", "kind"]).round(6)
+
+    return V.profile(spark, d).select("route_id", "idx", "z").groupBy("route_id").applyInPandas(run, "route_id long, start_dist double, end_dist double, alg_diff double, k_value double, kind string")
+
+
+def _sections(spark, d) -> DataFrame:
+    """Customers as short sections of 25 routes, end to end in the order of their ids."""
+    k = F.col("c_custkey")
+    i = F.floor(k / 25)
+    at = lambda j: F.concat_ws(" ", (i * 40.0 + j).cast("string"), (F.sin((i * 40.0 + j) / 200) * 50 + F.col("c_nationkey") % 1).cast("string"))
+    line = F.concat(F.lit("LINESTRING ("), F.array_join(F.array(*[at(j) for j in (0.0, 10.0, 20.0, 30.0, 40.0)]), ", "), F.lit(")"))
+    return V.table(spark, d, "customer").select((k % 25).cast("string").alias("RouteId"), (k % 7 + 1).cast("int").alias("FSystem"), (i * 0.025).alias("Start_MP"), ((i + 1) * 0.025).alias("End_MP"), line.alias("WKT"))
+
+
+@query()
+def stitch_greedy(spark, d):
+    s = A.stitch(A.pieces(_sections(spark, d)), Params())
+    return s.select("RouteId", "FSystem", "part_no", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.size("xs").alias("n"))
+
+
+@query()
+def alignment(spark, d):
+    p = Params(densify_ft=50.0)
+    v = A.aligned(A.stitch(A.pieces(_sections(spark, d)), p), p, lambda x, y: 100 + 10 * np.sin(x / 150))
+    return v.select("RouteId", "part_no", "idx", *[F.round(c, 4).alias(c) for c in ("Milepost", "x", "y", "z", "heading", "grade", "roughness")], "error")
+
+
+@query()
+def enrich_4d(spark, d):
+    p, s = Params(densify_ft=50.0), _sections(spark, d)
+    v = A.aligned(A.stitch(A.pieces(s), p), p, lambda x, y: 100 + 10 * np.sin(x / 150))
+    return A.enriched(s, v).select("RouteId", "Start_MP", "End_MP", "WKT_ZM", "Elevation_Source")
+
+
+@query()
+def calibration_sweep(spark, d):
+    s = A.swept(A.stitch(A.pieces(_sections(spark, d)), Params()), Params(), lambda x, y: 100 + 10 * np.sin(x / 150) + np.cos(x), (100, 400, 1600))
+    return s.select("RouteId", "FSystem", "part_no", "factor", F.round("rmse", 6).alias("rmse"), F.round("max_dev", 6).alias("max_dev"))
+
+
+@query()
+def raw_to_smooth_nearest(spark, d):
+    n = V.nodes(spark, d)
+    s = n.select(F.col("node_id").alias("smooth_id"), (F.col("lon") + 0.00001).alias("s_lon"), F.col("lat").alias("s_lat")).where("smooth_id % 3 = 0")
+    return nearest(n, s, "node_id", "smooth_id", "lon", "lat", "s_lon", "s_lat", 0.0001)
+
+
