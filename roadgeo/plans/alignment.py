@@ -50,11 +50,13 @@ def aligned(parts: DataFrame, p: Params, elevation=None) -> DataFrame:
     """Smoothed vertices of every chain whose coordinates are metres: position, elevation, heading, grade, roughness.
 
     elevation is a picklable function (x, y) -> metres, null where unknown; zeros without one. A chain whose kernels
-    fail gives one row with the error and no vertex, and doesn't stop the others.
+    fail gives one row with the error, index -1 and no vertex, and doesn't stop the others.
     """
     sample = elevation or (lambda x, y: np.zeros(len(x)))
 
     def chain(r) -> pd.DataFrame:
+        if not (np.isfinite(r.xs).all() and np.isfinite(r.ys).all()):
+            raise ValueError("a coordinate is not a number")
         x, y, d, step = densified(r.xs, r.ys, p.metres("densify_ft"))
         h, v = smoothing_factor(p, "H", int(r.FSystem)), smoothing_factor(p, "V", int(r.FSystem))
         xs, ys = smooth.smoothing_spline(d, x, h), smooth.smoothing_spline(d, y, h)
@@ -72,7 +74,8 @@ def aligned(parts: DataFrame, p: Params, elevation=None) -> DataFrame:
         try:
             return chain(r)
         except (ValueError, FloatingPointError, np.linalg.LinAlgError) as e:
-            return pd.DataFrame([{"RouteId": r.RouteId, "FSystem": r.FSystem, "part_no": r.part_no, "part": r.low, "idx": None, "dist_m": None, "Milepost": None, "x": None, "y": None, "z": None, "z_raw": None, "heading": None, "grade": None, "roughness": None, "error": str(e)}])
+            none = dict.fromkeys(("dist_m", "Milepost", "x", "y", "z", "z_raw", "heading", "grade", "roughness"), np.nan)
+            return pd.DataFrame([{"RouteId": r.RouteId, "FSystem": r.FSystem, "part_no": r.part_no, "part": r.low, "idx": -1, **none, "error": str(e)}])
 
     return parts.groupBy("RouteId", "part_no").applyInPandas(run, VERTEX)
 
@@ -84,9 +87,7 @@ def vertical(vertices: DataFrame, p: Params) -> DataFrame:
         pdf = pdf.sort_values("idx")
         rows = profile.vertical_curves(pdf.dist_m.to_numpy(), pdf.z.to_numpy(), pdf.grade.to_numpy(), p)
         names = [c.split()[0] for c in CURVE.split(", ")]
-        out = pd.DataFrame(rows)
-        out["RouteId"], out["part_no"] = pdf.RouteId.iloc[0], pdf.part_no.iloc[0]
-        return out.reindex(columns=names)
+        return pd.DataFrame([{"RouteId": pdf.RouteId.iloc[0], "part_no": pdf.part_no.iloc[0], **r} for r in rows], columns=names)
 
     return vertices.where("error is null").groupBy("RouteId", "part_no").applyInPandas(run, CURVE)
 

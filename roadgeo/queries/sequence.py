@@ -11,7 +11,12 @@ from ..functions import sequence as Q
 from ..operators import curves as C
 from ..registry import query
 
-_W = Window.partitionBy("route_id").orderBy("idx")
+
+def _order():
+    """Samples of a route in order."""
+    return Window.partitionBy("route_id").orderBy("idx")
+
+
 _w = "(PARTITION BY route_id ORDER BY idx)"
 
 
@@ -21,7 +26,7 @@ def _grad(e: str, h: str = "5") -> str:
 
 @query(V.sql(f"SELECT route_id, idx, round({_grad('z')}, 6) AS grade FROM profile WINDOW w AS {_w}", "profile"))
 def gradient(spark, d):
-    return V.profile(spark, d).select("route_id", "idx", F.round(Q.gradient(F.col("z"), _W, 5.0), 6).alias("grade"))
+    return V.profile(spark, d).select("route_id", "idx", F.round(Q.gradient(F.col("z"), _order(), 5.0), 6).alias("grade"))
 
 
 _XY = "xy AS (SELECT route_id, idx, idx * 5.0::DOUBLE AS x, z AS y FROM profile)"
@@ -55,14 +60,14 @@ def heading_unwrapped(spark, d):
 
 @query(V.sql("SELECT route_id, idx, CASE WHEN count(*) OVER w < 3 THEN 0 ELSE round(regr_slope(z, idx * 5.0::DOUBLE) OVER w * 100, 6) END AS grade FROM profile WINDOW w AS (PARTITION BY route_id ORDER BY idx ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)", "profile"))
 def tangent_grade(spark, d):
-    w = _W.rowsBetween(-6, 5)
+    w = _order().rowsBetween(-6, 5)
     slope = F.regr_slope(F.col("z"), F.col("idx") * 5.0).over(w) * 100
     return V.profile(spark, d).select("route_id", "idx", F.when(F.count("*").over(w) < 3, 0.0).otherwise(F.round(slope, 6)).alias("grade"))
 
 
 @query(V.sql("SELECT route_id, idx, round(quantile_cont(z, 0.5) OVER (PARTITION BY route_id ORDER BY idx ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), 6) AS trend FROM profile", "profile"))
 def trend_median(spark, d):
-    return V.profile(spark, d).select("route_id", "idx", F.round(F.percentile("z", F.lit(0.5)).over(_W.rowsBetween(-10, 10)), 6).alias("trend"))
+    return V.profile(spark, d).select("route_id", "idx", F.round(F.percentile("z", F.lit(0.5)).over(_order().rowsBetween(-10, 10)), 6).alias("trend"))
 
 
 @query(V.sql("""+h AS (SELECT route_id, idx, CASE WHEN NOT hole THEN z END AS z FROM profile), g AS (SELECT *, last_value(CASE WHEN z IS NOT NULL THEN idx END IGNORE NULLS) OVER b AS i0, first_value(CASE WHEN z IS NOT NULL THEN idx END IGNORE NULLS) OVER a AS i1, last_value(z IGNORE NULLS) OVER b AS z0, first_value(z IGNORE NULLS) OVER a AS z1
@@ -75,7 +80,7 @@ def nan_interpolate(spark, d):
 
 @query(V.sql("SELECT route_id, idx, round(sqrt(avg(z * z) OVER w), 6) AS rms, round(stddev_samp(z) OVER w, 6) AS sd FROM profile WINDOW w AS (PARTITION BY route_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING)", "profile"))
 def rolling_rms(spark, d):
-    w = _W.rowsBetween(-3, 2)
+    w = _order().rowsBetween(-3, 2)
     return V.profile(spark, d).select("route_id", "idx", F.round(F.sqrt(F.avg(F.col("z") * F.col("z")).over(w)), 6).alias("rms"), F.round(F.stddev_samp("z").over(w), 6).alias("sd"))
 
 
@@ -83,7 +88,7 @@ def rolling_rms(spark, d):
     s AS (SELECT *, max(ground) OVER (PARTITION BY route_id, i ORDER BY j) AS top FROM t) SELECT p.route_id, idx, coalesce(max(dist) FILTER (target >= top), 0.0::DOUBLE) AS asd_ft FROM profile p LEFT JOIN s ON s.route_id = p.route_id AND i = idx GROUP BY 1, 2""", "profile"))
 def sight_distance(spark, d):
     # The samples ahead come as a bounded window frame of 30, so a route is sorted once and never joined with itself.
-    ahead = F.collect_list("z").over(_W.rowsBetween(1, 30))
+    ahead = F.collect_list("z").over(_order().rowsBetween(1, 30))
     p = V.profile(spark, d).withColumn("ahead", ahead)
     eye = F.col("z") + SIGHT_EYE_FT
     step = F.transform("ahead", lambda z, k: F.struct(((k + 1) * 50.0).alias("dist"), ((z + SIGHT_OBJECT_FT - eye) / ((k + 1) * 50.0)).alias("target"), ((z - eye) / ((k + 1) * 50.0)).alias("ground")))
@@ -98,28 +103,28 @@ def sight_distance(spark, d):
 
 @query(V.sql("SELECT route_id, idx, round(coalesce(sum(z) OVER (PARTITION BY route_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS dist_before, round(sum(z) OVER w / sum(z) OVER (PARTITION BY route_id) * 10 + 2, 6) AS milepost FROM profile WINDOW w AS (PARTITION BY route_id ORDER BY idx)", "profile"))
 def cumulative_mileposts(spark, d):
-    before = F.coalesce(F.sum("z").over(_W.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    share = F.sum("z").over(_W.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("z").over(Window.partitionBy("route_id"))
+    before = F.coalesce(F.sum("z").over(_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    share = F.sum("z").over(_order().rowsBetween(Window.unboundedPreceding, 0)) / F.sum("z").over(Window.partitionBy("route_id"))
     return V.profile(spark, d).select("route_id", "idx", F.round(before, 4).alias("dist_before"), F.round(share * 10 + 2, 6).alias("milepost"))
 
 
 @query(V.sql("SELECT route_id, idx, round(coalesce(sum(sqrt(25 + pow(z - zp, 2))) OVER (PARTITION BY route_id ORDER BY idx), 0) / max(t) OVER (PARTITION BY route_id), 6) AS m FROM (SELECT *, sum(sqrt(25 + pow(z - zp, 2))) OVER (PARTITION BY route_id) AS t FROM (SELECT route_id, idx, coalesce(z, 0) AS z, lag(coalesce(z, 0)) OVER (PARTITION BY route_id ORDER BY idx) AS zp FROM profile))", "profile"))
 def fallback_m_values(spark, d):
     p = V.profile(spark, d).withColumn("z", F.coalesce("z", F.lit(0.0)))
-    step = p.withColumn("s", F.sqrt(F.lit(25.0) + F.pow(F.col("z") - F.lag("z").over(_W), 2)))
-    m = F.coalesce(F.sum("s").over(_W.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)) / F.sum("s").over(Window.partitionBy("route_id"))
+    step = p.withColumn("s", F.sqrt(F.lit(25.0) + F.pow(F.col("z") - F.lag("z").over(_order()), 2)))
+    m = F.coalesce(F.sum("s").over(_order().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)) / F.sum("s").over(Window.partitionBy("route_id"))
     return step.select("route_id", "idx", F.round(m, 6).alias("m"))
 
 
 @query(V.sql("+p AS (SELECT route_id, idx, z, lag(z) OVER (PARTITION BY route_id ORDER BY idx) AS before FROM profile) SELECT route_id, count(*) FILTER (z < before) AS backward, bool_and(coalesce(z >= before, true)) AS monotone FROM p GROUP BY 1", "profile"))
 def milepost_continuity(spark, d):
-    p = V.profile(spark, d).withColumn("before", F.lag("z").over(_W))
+    p = V.profile(spark, d).withColumn("before", F.lag("z").over(_order()))
     return p.groupBy("route_id").agg(F.count_if(F.col("z") < F.col("before")).alias("backward"), F.bool_and(F.coalesce(F.col("z") >= F.col("before"), F.lit(True))).alias("monotone"))
 
 
 @query(V.sql("SELECT route_id, idx, round(z - lag(z) OVER (PARTITION BY route_id ORDER BY idx), 6) AS dz FROM profile", "profile"))
 def heading_change(spark, d):
-    return V.profile(spark, d).select("route_id", "idx", F.round(F.col("z") - F.lag("z").over(_W), 6).alias("dz"))
+    return V.profile(spark, d).select("route_id", "idx", F.round(F.col("z") - F.lag("z").over(_order()), 6).alias("dz"))
 
 
 _TREND = "t AS (SELECT route_id, idx, z, quantile_cont(z, 0.5) OVER (PARTITION BY route_id ORDER BY idx ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS trend FROM profile)"
@@ -128,5 +133,5 @@ _TREND = "t AS (SELECT route_id, idx, z, quantile_cont(z, 0.5) OVER (PARTITION B
 @query(V.sql(f"""+{_TREND}, a AS (SELECT *, z - trend < -15 AS low, last_value(CASE WHEN z >= trend - 0.15 THEN idx END IGNORE NULLS) OVER (PARTITION BY route_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, first_value(CASE WHEN z >= trend - 0.15 THEN idx END IGNORE NULLS) OVER (PARTITION BY route_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS f FROM t),
     r AS (SELECT *, sum((NOT low)::INT) OVER (PARTITION BY route_id ORDER BY idx) AS run FROM a) SELECT route_id, min(idx) AS first, max(idx) AS last, min(b) AS anchor_before, max(f) AS anchor_after, round(min(z - trend), 6) AS depth FROM r WHERE low GROUP BY route_id, run""", "profile"))
 def dip_candidates(spark, d):
-    p = V.profile(spark, d).withColumn("trend", F.percentile("z", F.lit(0.5)).over(_W.rowsBetween(-10, 10)))
+    p = V.profile(spark, d).withColumn("trend", F.percentile("z", F.lit(0.5)).over(_order().rowsBetween(-10, 10)))
     return C.dip_candidates(p, "trend", "z", 15.0, 0.15)

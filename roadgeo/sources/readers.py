@@ -41,9 +41,10 @@ def sections_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 def sections_pages(spark: SparkSession, path: str) -> DataFrame:
     """Sections from JSON arrays of objects whose line is a GeoJSON object; the raw geometry is dropped."""
-    rows = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
-    shape = next(c for c in ("line", "geometry", "the_geom") if c in rows.columns)
-    return K.normalized(rows.withColumn("WKT", geojson_wkt(F.to_json(shape))).drop(shape))
+    names = spark.read.option("multiLine", True).json(path).columns
+    rows = spark.read.option("multiLine", True).schema(", ".join(f"`{c}` string" for c in names)).json(path)
+    shape = next(c for c in ("line", "geometry", "the_geom") if c in names)
+    return K.normalized(rows.withColumn("WKT", geojson_wkt(F.col(shape))).drop(shape))
 
 
 def structures(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
