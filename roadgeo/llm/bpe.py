@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import threading
 from collections.abc import Iterator
@@ -15,34 +16,39 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, as_long, as_text, batch, limit_batches
 
-#: Pieces and words whose tokens a worker keeps before it starts anew, and words that one recursive query contracts.
-KEPT, WORDS_A_QUERY = 400_000, 40_000
+#: Entries of a generation of kept pieces and of kept words, words that one recursive query contracts, characters encoded at once.
+KEPT, WORDS_A_QUERY, AT_ONCE = 200_000, 60_000, 8 << 20
 #: Memory of a worker's DuckDB, which runs on one thread.
-MEMORY = "160MB"
+MEMORY = "128MB"
 
 #: A step lays the places of each word's tokens out as rows, joins neighbours with the merge table, takes each word's pair
 #: of least rank, the leftmost of equals, and contracts it; words without a pair leave the recursion. A word's last step
-#: has its tokens; the key keeps that step alone. Pairs are one key, l << 32 | r; rank and place are one number, rank << 32 | place.
-CONTRACT = """
-    CREATE OR REPLACE TABLE coded AS
-    WITH RECURSIVE step(w, s) USING KEY (w) AS (
-        SELECT w, s FROM word
-        UNION
-        SELECT w, s[:(best & 4294967295) - 1] || [(best >> 32)::INT] || s[(best & 4294967295) + 2:]
+#: has its tokens. Pairs are one key, l << 32 | r; rank and place are one number, rank << 32 | place. Long words keep only
+#: their last step, by key, so that memory doesn't grow with their square; that costs short ones more than it spares.
+_STEP = """
+        SELECT {i} w, s[:(best & 4294967295) - 1] || [(best >> 32)::INT] || s[(best & 4294967295) + 2:]
         FROM (
             SELECT w AS w_best, min((m.t::BIGINT << 32) | p) AS best
             FROM (SELECT w, (unnest(s[:-2])::BIGINT << 32) | unnest(s[2:]) AS k, unnest(range(1, len(s))) AS p FROM step) place
             JOIN merge m ON m.k = place.k GROUP BY w
         ) JOIN step ON w = w_best
-    )
+"""
+CONTRACT = f"""
+    CREATE OR REPLACE TABLE coded AS
+    WITH RECURSIVE step(i, w, s) AS (SELECT 0, w, s FROM word UNION ALL {_STEP.format(i="i + 1,")})
+    SELECT w, arg_max(s, i) AS s FROM step GROUP BY w
+"""
+CONTRACT_LONG = f"""
+    CREATE OR REPLACE TABLE coded AS
+    WITH RECURSIVE step(w, s) USING KEY (w) AS (SELECT w, s FROM word UNION {_STEP.format(i="")})
     SELECT w, s FROM step
 """
+LONG = 64
 #: Tokens with their places, joined with their bytes and aggregated in order.
 DECODE = """
-    SELECT w, array_to_string(s, ' '), b FROM coded JOIN (
-        SELECT w AS w_b, string_agg(h, '' ORDER BY p) AS b
-        FROM (SELECT w, unnest(s) AS t, unnest(range(1, len(s) + 1)) AS p FROM coded) place JOIN token USING (t) GROUP BY w
-    ) ON w = w_b
+    SELECT w, any_value(ids), string_agg(h, '' ORDER BY p)
+    FROM (SELECT w, array_to_string(s, ' ') AS ids, unnest(s) AS t, unnest(range(1, len(s) + 1)) AS p FROM coded) place
+    JOIN token USING (t) GROUP BY w
 """
 
 
@@ -59,9 +65,12 @@ class Tokenizer:
         self._load("merge", k=pa.array(keys, pa.int64()), t=pa.array(made, pa.int32()))
         self._load("token", t=pa.array([k for _, k in ranks], pa.int32()), h=pa.array([t.hex() for t, _ in ranks], pa.string()))
         self.byte = [self.ranks.get(bytes([k]), -1) for k in range(256)]
-        self.words: dict[str, tuple[str, bytes]] = {}
-        self.heads: dict[str, tuple[str, bytes]] = {}
-        self.tails: dict[str, tuple[str, bytes]] = {}
+        self.words, self.heads, self.tails = Recent(KEPT), Recent(KEPT // 8), Recent(KEPT)
+
+    def forget(self) -> None:
+        """Let go of all but the rank file's tables: the worker may serve other stages next."""
+        self.words, self.heads, self.tails = Recent(KEPT), Recent(KEPT // 8), Recent(KEPT)
+        self.db.execute("DROP TABLE IF EXISTS word; DROP TABLE IF EXISTS coded")
 
     def _load(self, name: str, **columns: pa.Array) -> None:
         self.db.register("loaded", pa.table(columns))
@@ -72,7 +81,7 @@ class Tokenizer:
         """Ids, joined by spaces, and the bytes that they decode to, of words that aren't empty."""
         places = pa.array([[self.byte[c] for c in w] for w in words], pa.list_(pa.int32()))
         self._load("word", w=pa.array(range(len(words)), pa.int32()), s=places)
-        self.db.execute(CONTRACT)
+        self.db.execute(CONTRACT if max(map(len, words)) <= LONG else CONTRACT_LONG)
         out = [("", b"")] * len(words)
         for k, ids, h in self.db.execute(DECODE).fetchall():
             out[k] = ids, bytes.fromhex(h)
@@ -80,23 +89,21 @@ class Tokenizer:
 
     def learn(self, words: set[str]) -> None:
         """Encode the words not yet known: a whole token is itself, all others are contracted."""
-        if len(self.words) + len(words) > KEPT:
-            self.words.clear()
-        fresh = [(x, x.encode()) for x in words if x not in self.words]
+        fresh = [(x, x.encode()) for x in self.words.keep(words)]
         many = []
         for x, b in fresh:
             if (k := self.ranks.get(b)) is not None:
-                self.words[x] = str(k), b
+                self.words.young[x] = str(k), b
             else:
                 many.append((x, b))
         many.sort(key=lambda m: len(m[1]))  # words of a query leave the recursion at about the same step
         i = 0
         while i < len(many):
             j, size = i, 0
-            while j < len(many) and (j == i or (j - i < WORDS_A_QUERY and size < 20 * WORDS_A_QUERY)):
+            while j < len(many) and (j == i or (j - i < WORDS_A_QUERY and size < 20 * WORDS_A_QUERY and (len(many[i][1]) > LONG) == (len(many[j][1]) > LONG))):
                 size += len(many[j][1])
                 j += 1
-            self.words.update(zip([x for x, _ in many[i:j]], self.contract([b for _, b in many[i:j]]), strict=True))
+            self.words.young.update(zip([x for x, _ in many[i:j]], self.contract([b for _, b in many[i:j]]), strict=True))
             i = j
 
     def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
@@ -107,34 +114,69 @@ class Tokenizer:
         any other text is matched whole.
         """
         cut = [t.split(" ") for t in texts]
-        heads, tails = {c[0] for c in cut}, {x for c in cut for x in c[1:]}
-        odd = {x for x in heads | tails if not x or x[0].isspace() or x[-1].isspace()}
-        whole = {k: self.pattern.findall(texts[k]) for k, c in enumerate(cut) if not odd.isdisjoint(c)}
-        if len(self.heads) + len(self.tails) + len(heads) + len(tails) > KEPT:
-            self.heads.clear()
-            self.tails.clear()
-        new_heads = {x: self.pattern.findall(x) for x in heads - self.heads.keys() - odd}
-        new_tails = {x: self.pattern.findall(" " + x) for x in tails - self.tails.keys() - odd}
-        self.learn({w for new in (new_heads, new_tails, whole) for m in new.values() for w in m})
-        known = self.words
-        for kept, new in ((self.heads, new_heads), (self.tails, new_tails)):
+        heads, tails = {c[0] for c in cut}, set()
+        for c in cut:
+            tails.update(c[1:])
+        new_heads, new_tails = self.heads.keep(heads), self.tails.keep(tails)
+        odd = {x for x in new_heads | new_tails if not x or x[0].isspace() or x[-1].isspace()}
+        whole = {k: self.pattern.findall(texts[k]) for k, c in enumerate(cut) if not odd.isdisjoint(c)} if odd else {}
+        matched = [(self.heads.young, {x: self.pattern.findall(x) for x in new_heads - odd}), (self.tails.young, {x: self.pattern.findall(" " + x) for x in new_tails - odd})]
+        words = {w for _, new in matched for m in new.values() for w in m}
+        for m in whole.values():
+            words.update(m)
+        self.learn(words)
+        known = self.words.young
+        for kept, new in matched:
             for x, m in new.items():
-                kept[x] = " ".join([known[w][0] for w in m]), b"".join([known[w][1] for w in m])
-        out = []
+                if len(m) == 1:
+                    kept[x] = known[m[0]]
+                else:
+                    got = [known[w] for w in m]
+                    kept[x] = " ".join([g[0] for g in got]), b"".join([g[1] for g in got])
+        out, head, tail = [], self.heads.young, self.tails.young
         for k, c in enumerate(cut):
             if k in whole:
-                got = [known[w] for w in whole[k]]
+                ids, plain = zip(*[known[w] for w in whole[k]], strict=True) if whole[k] else ((), ())
+            elif len(c) == 1:
+                out.append(head[c[0]])
+                continue
             else:
-                got = [self.heads[c[0]], *map(self.tails.__getitem__, c[1:])]
-            out.append((" ".join([g[0] for g in got]), b"".join([g[1] for g in got])))
+                got = [head[c[0]], *map(tail.__getitem__, c[1:])]
+                ids, plain = [g[0] for g in got], [g[1] for g in got]
+            out.append((" ".join(ids), b"".join(plain)))
         return out
 
 
+class Recent(dict):
+    """Two generations of entries: those used of late, and those before them, which move up when used again.
+
+    Of two generations of `most` entries at most, so bounded; what is used again and again is never computed anew.
+    """
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.young = most, {}
+
+    def keep(self, keys: set[str]) -> set[str]:
+        """Have all known entries of the keys in the young generation, which begins anew if it would grow too large; returns the keys not known."""
+        missing = keys - self.young.keys()
+        if self.young and len(self.young) + len(missing) > self.most:
+            self.clear()
+            self.update(self.young)
+            self.young, missing = {}, keys
+        if self:
+            found = missing & self.keys()
+            for k in found:
+                self.young[k] = self[k]
+            missing = missing - found
+        return missing
+
+
 _LOCAL = threading.local()
 
 
 def worker_tokenizer(ranks: list[tuple[bytes, int]], pattern: str) -> Tokenizer:
-    """The tokenizer of this Python worker, made once for a rank file and kept over tasks."""
+    """The tokenizer of this Python worker, made once for a rank file; over tasks it keeps the merge table alone."""
     key = (len(ranks), hash(tuple(ranks[-3:])), pattern)
     if getattr(_LOCAL, "key", None) != key:
         _LOCAL.tokenizer, _LOCAL.key = Tokenizer(ranks, pattern), key
@@ -165,20 +207,26 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
     splits = pattern or own[1]
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
 
+    def coded(tokenizer: Tokenizer, b: pa.RecordBatch) -> pa.RecordBatch | None:
+        got, texts = [], [t.decode() for t in as_bytes(b.column(1))]
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size + len(texts[j]) < AT_ONCE):
+                size += len(texts[j])
+                j += 1
+            got += [(s.count(" ") + 1 if s else 0, hashlib.sha256(s.encode()).hexdigest(), hashlib.sha256(d).hexdigest(), *([[int(x) for x in s.split()]] if with_ids else [])) for s, d in tokenizer.encode(texts[i:j])]
+            i = j
+        return batch(schema, b.column(0), *zip(*got, strict=True)) if got else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(ranks.value, splits)
-        for b in batches:
-            got, texts = [], [t.decode() for t in as_bytes(b.column(1))]
-            i = 0
-            while i < len(texts):  # a few MB of text at a time
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) < 1 << 22):
-                    size += len(texts[j])
-                    j += 1
-                got += [(s.count(" ") + 1 if s else 0, hashlib.sha256(s.encode()).hexdigest(), hashlib.sha256(d).hexdigest(), *([[int(x) for x in s.split()]] if with_ids else [])) for s, d in tokenizer.encode(texts[i:j])]
-                i = j
-            if got:
-                yield batch(schema, b.column(0), *zip(*got, strict=True))
+        gc.disable()  # hundreds of thousands of kept tuples without cycles would be walked again and again
+        try:
+            yield from (made for b in batches if (made := coded(tokenizer, b)) is not None)
+        finally:
+            tokenizer.forget()
+            gc.enable()
 
     limit_batches(docs.sparkSession)
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
