@@ -88,6 +88,8 @@ def landing(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
     Of the corners of their cube whose count is within 1 of what is due, that with the nearest word total, ties by draw.
     """
     open_ = np.nonzero((p > EPS) & (p < 1 - EPS))[0]
+    if not len(open_):
+        return p
     corners = np.array(list(product((0.0, 1.0), repeat=len(open_)))).reshape(-1, len(open_))
     off = np.abs(corners @ size[open_] - (p[open_] * size[open_]).sum())
     many = np.abs(corners.sum(axis=1) - p[open_].sum())
