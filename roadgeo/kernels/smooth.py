@@ -41,6 +41,17 @@ def _jumps(t: np.ndarray) -> np.ndarray:
     return np.diff(d, axis=0)
 
 
+def _least_squares(a: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coefficients by the normal equations, which B-splines keep well conditioned; by SVD where they are singular or few."""
+    if a.shape[1] > 8:
+        gram = a.T @ a
+        try:
+            return np.linalg.solve(gram + 1e-13 * np.trace(gram) / len(gram) * np.eye(len(gram)), a.T @ y)
+        except np.linalg.LinAlgError:
+            pass
+    return np.linalg.lstsq(a, y, rcond=None)[0]
+
+
 def smoothing_spline(x: np.ndarray, y: np.ndarray, s: float, tol: float = 1e-3) -> np.ndarray:
     """Values at x of a cubic spline with a sum of squared residuals of s (within tol), with as few knots as do.
 
@@ -60,7 +71,7 @@ def smoothing_spline(x: np.ndarray, y: np.ndarray, s: float, tol: float = 1e-3)
     while True:
         t = knots()
         a = _design(x, t)
-        fit = a @ np.linalg.lstsq(a, y, rcond=None)[0]
+        fit = a @ _least_squares(a, y)
         r2 = (y - fit) ** 2
         if r2.sum() <= s or len(inner) >= n - 4:
             break

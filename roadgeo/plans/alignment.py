@@ -18,6 +18,11 @@ VERTEX = "RouteId string, FSystem int, part_no int, part double, idx int, dist_m
 CURVE = "RouteId string, part_no int, start_dist double, end_dist double, length_m double, grade_in double, grade_out double, alg_diff double, k_value double, kind string, offset_ft double"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many partitions as the session says: kernels cost far more than their rows' bytes, by which adaptive execution would put them into a few tasks. The grouping that follows needs no other exchange."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def pieces(sections: DataFrame) -> DataFrame:
     """One row a part of a section's line: RouteId, FSystem, low, high, xs, ys; bad geometry gives none."""
     p = sections.select("RouteId", "FSystem", F.least("Start_MP", "End_MP").alias("low"), F.greatest("Start_MP", "End_MP").alias("high"), F.explode(wkt_points(F.col("WKT"))).alias("pts"))
@@ -34,7 +39,7 @@ def stitch(parts: DataFrame, p: Params) -> DataFrame:
         fs = int(pdf.FSystem.mode().min())
         return pd.DataFrame([{"RouteId": pdf.RouteId.iloc[0], "FSystem": fs, "part_no": k + 1, "low": c["low"], "high": c["high"], "xs": [q[0] for q in c["points"]], "ys": [q[1] for q in c["points"]]} for k, c in enumerate(made)], columns=["RouteId", "FSystem", "part_no", "low", "high", "xs", "ys"])
 
-    return parts.groupBy("RouteId").applyInPandas(run, "RouteId string, FSystem int, part_no int, low double, high double, xs array<double>, ys array<double>")
+    return spread(parts, "RouteId").groupBy("RouteId").applyInPandas(run, "RouteId string, FSystem int, part_no int, low double, high double, xs array<double>, ys array<double>")
 
 
 def densified(xs, ys, spacing: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -77,7 +82,7 @@ def aligned(parts: DataFrame, p: Params, elevation=None) -> DataFrame:
             none = dict.fromkeys(("dist_m", "Milepost", "x", "y", "z", "z_raw", "heading", "grade", "roughness"), np.nan)
             return pd.DataFrame([{"RouteId": r.RouteId, "FSystem": r.FSystem, "part_no": r.part_no, "part": r.low, "idx": -1, **none, "error": str(e)}])
 
-    return parts.groupBy("RouteId", "part_no").applyInPandas(run, VERTEX)
+    return spread(parts, "RouteId", "part_no").groupBy("RouteId", "part_no").applyInPandas(run, VERTEX)
 
 
 def vertical(vertices: DataFrame, p: Params) -> DataFrame:
@@ -89,7 +94,7 @@ def vertical(vertices: DataFrame, p: Params) -> DataFrame:
         names = [c.split()[0] for c in CURVE.split(", ")]
         return pd.DataFrame([{"RouteId": pdf.RouteId.iloc[0], "part_no": pdf.part_no.iloc[0], **r} for r in rows], columns=names)
 
-    return vertices.where("error is null").groupBy("RouteId", "part_no").applyInPandas(run, CURVE)
+    return spread(vertices.where("error is null"), "RouteId", "part_no").groupBy("RouteId", "part_no").applyInPandas(run, CURVE)
 
 
 def enriched(sections: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -125,7 +130,7 @@ def swept(parts: DataFrame, p: Params, elevation, factors: tuple[int, ...] = SWE
             out.append((r.RouteId, r.FSystem, r.part_no, f, float(np.sqrt((dev**2).mean())), float(dev.max())))
         return pd.DataFrame(out, columns=["RouteId", "FSystem", "part_no", "factor", "rmse", "max_dev"])
 
-    return parts.groupBy("RouteId", "part_no").applyInPandas(run, schema)
+    return spread(parts, "RouteId", "part_no").groupBy("RouteId", "part_no").applyInPandas(run, schema)
 
 
 def length_miles(vertices: DataFrame) -> DataFrame:

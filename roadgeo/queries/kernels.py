@@ -22,7 +22,7 @@ def _per_route(p: DataFrame, f) -> DataFrame:
         pdf = pdf.sort_values("idx")
         return pd.DataFrame({"route_id": pdf.route_id, "idx": pdf.idx, "value": np.round(f(pdf.z.to_numpy(float)), 6)})
 
-    return p.select("route_id", "idx", "z").groupBy("route_id").applyInPandas(run, "route_id long, idx long, value double")
+    return A.spread(p.select("route_id", "idx", "z"), "route_id").groupBy("route_id").applyInPandas(run, "route_id long, idx long, value double")
 
 
 @query()
@@ -61,7 +61,7 @@ def vertical_curves(spark, d):
         rows = [{"route_id": pdf.route_id.iloc[0], **r} for r in profile.vertical_curves(x, z, np.gradient(z, x) * 100 if len(x) > 1 else z * 0, p)]
         return pd.DataFrame(rows, columns=["route_id", "start_dist", "end_dist", "alg_diff", "k_value", "kind"]).round(6)
 
-    return V.profile(spark, d).select("route_id", "idx", "z").groupBy("route_id").applyInPandas(run, "route_id long, start_dist double, end_dist double, alg_diff double, k_value double, kind string")
+    return A.spread(V.profile(spark, d).select("route_id", "idx", "z"), "route_id").groupBy("route_id").applyInPandas(run, "route_id long, start_dist double, end_dist double, alg_diff double, k_value double, kind string")
 
 
 def _sections(spark, d) -> DataFrame:
