@@ -64,6 +64,7 @@ class Tokenizer:
         keys, made = [a << 32 | b for a, b, _ in merges], [k for _, _, k in merges]
         self._load("merge", k=pa.array(keys, pa.int64()), t=pa.array(made, pa.int32()))
         self._load("token", t=pa.array([k for _, k in ranks], pa.int32()), h=pa.array([t.hex() for t, _ in ranks], pa.string()))
+        self.pairs = {t[i : i + 2] for t, _ in ranks for i in range(len(t) - 1)}
         self.byte = [self.ranks.get(bytes([k]), -1) for k in range(256)]
         self.words, self.heads, self.tails = Recent(KEPT), Recent(KEPT // 8), Recent(KEPT)
 
@@ -90,21 +91,29 @@ class Tokenizer:
     def learn(self, words: set[str]) -> None:
         """Encode the words not yet known: a whole token is itself, all others are contracted."""
         fresh = [(x, x.encode()) for x in self.words.keep(words)]
-        many = []
+        cut: dict[str, list[bytes]] = {}
         for x, b in fresh:
             if (k := self.ranks.get(b)) is not None:
                 self.words.young[x] = str(k), b
             else:
-                many.append((x, b))
-        many.sort(key=lambda m: len(m[1]))  # words of a query leave the recursion at about the same step
+                cut[x] = [b] if len(b) <= LONG else self.cut(b)
+        many = sorted({b for parts in cut.values() for b in parts}, key=len)  # words of a query leave the recursion at about the same step
+        done: dict[bytes, tuple[str, bytes]] = {}
         i = 0
         while i < len(many):
             j, size = i, 0
-            while j < len(many) and (j == i or (j - i < WORDS_A_QUERY and size < 20 * WORDS_A_QUERY and (len(many[i][1]) > LONG) == (len(many[j][1]) > LONG))):
-                size += len(many[j][1])
+            while j < len(many) and (j == i or (j - i < WORDS_A_QUERY and size < 20 * WORDS_A_QUERY and (len(many[i]) > LONG) == (len(many[j]) > LONG))):
+                size += len(many[j])
                 j += 1
-            self.words.young.update(zip([x for x, _ in many[i:j]], self.contract([b for _, b in many[i:j]]), strict=True))
+            done.update(zip(many[i:j], self.contract(many[i:j]), strict=True))
             i = j
+        for x, parts in cut.items():
+            self.words.young[x] = done[parts[0]] if len(parts) == 1 else (" ".join([done[b][0] for b in parts]), b"".join([done[b][1] for b in parts]))
+
+    def cut(self, word: bytes) -> list[bytes]:
+        """A long word in parts: where two bytes stand side by side in no token, no contraction ever spans them."""
+        at = [0, *[i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs], len(word)]
+        return [word[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """Ids, joined by spaces, and decoded bytes of each text.

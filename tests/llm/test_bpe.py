@@ -7,7 +7,7 @@ import tiktoken
 
 from roadgeo.llm import bpe
 
-TEXTS = ["", "a", "hello world  foo \n bar", "don't 's x", " lead", "trail ", "\n\n a\tb", "éàü 漢字 " + "a" * 300, "x\x1cy \x1c z", "x\x85y z   q", "123 456abc", "'s", "　　 a", "<|endoftext|> x", "b" * 700, None, "same same same", "same same same"]
+TEXTS = ["", "a", "hello world  foo \n bar", "don't 's x", " lead", "trail ", "\n\n a\tb", "éàü 漢字 " + "a" * 300, "x\x1cy \x1c z", "x\x85y z   q", "123 456abc", "'s", "　　 a", "<|endoftext|> x", "b" * 700, "".join(chr(33 + (k * k * 7 + k) % 94) for k in range(900)).replace("'", "x"), "Qz" * 90 + "xJ" * 50, None, "same same same", "same same same"]
 
 
 @pytest.fixture(scope="module")
