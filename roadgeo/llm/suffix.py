@@ -23,9 +23,11 @@ from .common import as_bytes, as_long, as_text, batch, limit_batches, materializ
 
 #: Bytes of a repeated string, of an anchor, K-byte strings in a window, suffixes with one leading string in one bucket.
 LENGTH, K, SPLIT = 200, 32, 50_000
+#: Leading strings that are told to every task, at most.
+HOT = 1000
 WIDTH = LENGTH - K + 1
 #: Bytes hashed at once, and suffixes that a bucket sorts at once.
-PIECE, AT_ONCE = 4 << 20, 20_000
+PIECE, AT_ONCE = 2 << 20, 20_000
 _B = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
 _PLACE = np.uint64((1 << 24) - 1)
@@ -227,8 +229,17 @@ def repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
                 yield batch(hashed, pa.array(h), b.column("c1").take(pa.array(k)), b.column("c2").take(pa.array(k)), pa.array(place))
 
     rows = texts.select("c1", "c2", "text").mapInArrow(find, "h long, c1 long, c2 long, place long")
-    many = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / split).cast("int"))
-    likely = rows.join(many.select("h", "parts"), "h").select("c1", "c2", F.struct("place", "h", F.pmod(F.xxhash64("c1", "c2", "place"), "parts").cast("int").alias("part"), "parts").alias("a"))
+    # A leading string may be in a third of all texts. Those with over 1 / HOT of the rows are HOT at most, so they are
+    # broadcast, and their rows are dealt by place in the join that finds the others.
+    many = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    total = many.agg(F.sum("n")).first()[0] or 0
+    parts = F.ceil(F.col("n") / split).cast("int")
+    hot = many.where(F.col("n") > total / HOT).select(F.col("h").alias("hot_h"), parts.alias("hot_parts"))
+    other = many.select(F.col("h").alias("key"), parts.alias("parts"))
+    spread = F.when(F.col("hot_h").isNull(), F.col("h")).otherwise(F.xxhash64("c1", "c2", "place"))
+    met = rows.join(F.broadcast(hot), F.col("h") == F.col("hot_h"), "left").withColumn("key", spread).join(other, "key", "left")
+    met = met.withColumn("parts", F.coalesce("hot_parts", "parts")).where("parts is not null")
+    likely = met.select("c1", "c2", F.struct("place", "h", F.pmod(F.xxhash64("c1", "c2", "place"), "parts").cast("int").alias("part"), "parts").alias("a"))
     lists = likely.groupBy("c1", "c2").agg(F.collect_list("a").alias("a"))  # of one text at a time
 
     cut_schema = pa.schema([("lead", pa.binary()), ("part", pa.int32()), ("parts", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("lo", pa.int64()), ("back", pa.int32()), ("count", pa.int32()), ("span", pa.binary())])
