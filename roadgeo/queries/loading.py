@@ -39,9 +39,9 @@ def json_props_parse(spark, d):
     return V.table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("""SELECT item, replace(replace(regexp_replace(replace(t, '&', '&amp;'), '&amp;([A-Za-z0-9#]+;)', '&\\1', 'g'), 'x', 'x'), 'y', 'y') AS clean FROM (SELECT page_id AS item, substr(html, 1, 2000) AS t FROM pages)""")
+@query("""SELECT item, replace(replace(regexp_replace(replace(t, '&', '&amp;'), '&amp;([A-Za-z0-9#]+;)', '&\\1', 'g'), 'x', 'x'), 'y', 'y') AS clean FROM (SELECT page_id AS item, html AS t FROM pages)""")
 def ampersand_sanitize(spark, d):
-    return V.table(spark, d, "pages").select(F.col("page_id").alias("item"), K.bare_ampersands(F.substring("html", 1, 2000)).alias("clean"))
+    return V.table(spark, d, "pages").select(F.col("page_id").alias("item"), K.bare_ampersands(F.col("html")).alias("clean"))
 
 
 @query("""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '0' WHEN c_custkey % 3 = 1 THEN (47123456 + c_custkey)::VARCHAR ELSE ((c_custkey % 80) + 0.5)::VARCHAR END AS lat, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN (122304050 + c_custkey % 50)::VARCHAR ELSE (-(c_custkey % 170) - 0.25)::VARCHAR END AS lon FROM customer),
