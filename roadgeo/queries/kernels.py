@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import views as V
 from ..config import Params
 from ..kernels import profile, smooth
-from ..operators.spatial import nearest
+from ..operators.spatial import nearest_of_all
 from ..plans import alignment as A
 from ..registry import query
 
@@ -99,11 +99,11 @@ def calibration_sweep(spark, d):
     return s.select("RouteId", "FSystem", "part_no", "factor", F.round("rmse", 6).alias("rmse"), F.round("max_dev", 6).alias("max_dev"))
 
 
-@query(V.sql("""+s AS (SELECT node_id AS smooth_id, lon + 0.00001::DOUBLE AS lon, lat FROM nodes WHERE node_id % 3 = 0), p AS (SELECT node_id, smooth_id, sqrt(pow(n.lon - s.lon, 2) + pow(n.lat - s.lat, 2)) AS d FROM nodes n JOIN s ON sqrt(pow(n.lon - s.lon, 2) + pow(n.lat - s.lat, 2)) <= 0.0001::DOUBLE)
+@query(V.sql("""+s AS (SELECT node_id AS smooth_id, lon + 0.00001::DOUBLE AS lon, lat FROM nodes), p AS (SELECT node_id, smooth_id, sqrt(pow(n.lon - s.lon, 2) + pow(n.lat - s.lat, 2)) AS d FROM nodes n CROSS JOIN s)
     SELECT node_id, smooth_id, round(round(d, 9), 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY round(d, 9), smooth_id) AS k FROM p) WHERE k = 1""", "nodes"))
 def raw_to_smooth_nearest(spark, d):
     n = V.nodes(spark, d)
-    s = n.select(F.col("node_id").alias("smooth_id"), (F.col("lon") + 0.00001).alias("s_lon"), F.col("lat").alias("s_lat")).where("smooth_id % 3 = 0")
-    return nearest(n, s, "node_id", "smooth_id", "lon", "lat", "s_lon", "s_lat", 0.0001)
+    s = n.select(F.col("node_id").alias("smooth_id"), (F.col("lon") + 0.00001).alias("s_lon"), F.col("lat").alias("s_lat"))
+    return nearest_of_all(n, s, "node_id", "smooth_id", "lon", "lat", "s_lon", "s_lat")
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
+
 from roadgeo import registry
+from roadgeo.operators import spatial
 
 
 def test_ampersands_beyond_the_first_2000_characters(spark, tmp_path):
@@ -10,3 +14,22 @@ def test_ampersands_beyond_the_first_2000_characters(spark, tmp_path):
     spark.createDataFrame([(1, html), (2, None)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r["item"]: r.clean for r in registry.QUERIES["ampersand_sanitize"](spark, str(tmp_path)).collect()}
     assert got == {1: "a&amp;b" + "x" * 3000 + "&lt; &amp; &amp;copy &#38; &amp;&amp;", 2: None}
+
+
+@pytest.mark.parametrize("cell", [spatial.CELL, 16])
+def test_nearest_however_far(spark, monkeypatch, cell):
+    monkeypatch.setattr(spatial, "CELL", cell)
+    monkeypatch.setattr(spatial, "PACK", 2 * cell)
+    rng = np.random.default_rng(3)
+    right = np.concatenate((rng.normal(0, 0.01, (300, 2)), rng.integers(0, 5, (200, 2)) * 1.0, [[40.0, -3.0]]))
+    left = np.concatenate((rng.normal(0, 0.02, (200, 2)), rng.uniform(-60, 60, (100, 2)), [[500.0, 500.0], [-1e5, 3.0], [2.5, 2.5]]))
+    df = lambda a, k, x, y: spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(a)], f"{k} long, {x} double, {y} double")
+    d = np.floor(np.sqrt(((left[:, None] - right) ** 2).sum(axis=2)) * 1e9 + 0.5) / 1e9
+    want = {i: (int(row.argmin()), row.min()) for i, row in enumerate(d)}
+    got = {r.a: (r.b, r.dist) for r in spatial.nearest_of_all(df(left, "a", "x", "y"), df(right, "b", "u", "v"), "a", "b", "x", "y", "u", "v").collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-6 for i in want)
+    assert spatial.nearest_of_all(df(left, "a", "x", "y"), df(right, "b", "u", "v").limit(0), "a", "b", "x", "y", "u", "v").collect() == []
+
+
+def test_every_node_has_a_smoothed_vertex(spark):
+    assert registry.QUERIES["raw_to_smooth_nearest"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
