@@ -39,10 +39,10 @@ def dem_tile_name(spark, d):
     return _pts(spark, d).select("c_custkey", G.tile_name(F.col("lon"), F.col("lat")).alias("tile"))
 
 
-@query(f"""WITH {_PTS}, b AS (SELECT c_custkey % 30 AS grp, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM p WHERE lon BETWEEN -20 AND 20 AND lat BETWEEN -10 AND 10 GROUP BY 1),
+@query(f"""WITH {_PTS}, b AS (SELECT c_custkey % 30 AS grp, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM p GROUP BY 1),
     x AS (SELECT *, unnest(range(floor(x0)::BIGINT, ceil(x1)::BIGINT + 1)) AS tx FROM b) SELECT grp, tx, unnest(range(floor(y0)::BIGINT, ceil(y1)::BIGINT + 1)) AS ty FROM x""")
 def tiles_for_bbox(spark, d):
-    b = _pts(spark, d).where("lon between -20 and 20 and lat between -10 and 10").groupBy((F.col("c_custkey") % 30).alias("grp")).agg(*[f(c).alias(n) for f, c, n in ((F.min, "lon", "x0"), (F.max, "lon", "x1"), (F.min, "lat", "y0"), (F.max, "lat", "y1"))])
+    b = _pts(spark, d).groupBy((F.col("c_custkey") % 30).alias("grp")).agg(*[f(c).alias(n) for f, c, n in ((F.min, "lon", "x0"), (F.max, "lon", "x1"), (F.min, "lat", "y0"), (F.max, "lat", "y1"))])
     return b.withColumn("tx", F.explode(F.sequence(F.floor("x0"), F.ceil("x1")))).select("grp", "tx", F.explode(F.sequence(F.floor("y0"), F.ceil("y1"))).alias("ty"))
 
 

@@ -33,3 +33,14 @@ def test_nearest_however_far(spark, monkeypatch, cell):
 
 def test_every_node_has_a_smoothed_vertex(spark):
     assert registry.QUERIES["raw_to_smooth_nearest"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+
+
+def test_tiles_of_every_point(spark, tmp_path):
+    keys = [31, 61, 32, 17000]  # boxes of two points and of one, far from 0, 0
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    at: dict = {}
+    for k in keys:
+        at.setdefault(k % 30, []).append((k * 37 % 35900 / 100 - 179.5, k * 91 % 15900 / 100 - 79.5))
+    want = {(g, x, y) for g, p in at.items() for x in range(int(np.floor(min(p)[0])), int(np.ceil(max(p)[0])) + 1) for y in range(int(np.floor(min(q[1] for q in p))), int(np.ceil(max(q[1] for q in p))) + 1)}
+    got = [tuple(r) for r in registry.QUERIES["tiles_for_bbox"](spark, str(tmp_path)).select("grp", "tx", "ty").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
