@@ -95,7 +95,7 @@ def enrich_4d(spark, d):
 
 @query()
 def calibration_sweep(spark, d):
-    s = A.swept(A.stitch(A.pieces(_sections(spark, d)), Params()), Params(), lambda x, y: 100 + 10 * np.sin(x / 150) + np.cos(x), (100, 400, 1600))
+    s = A.swept(A.stitch(A.pieces(_sections(spark, d)), Params()), Params(), lambda x, y: 100 + 10 * np.sin(x / 150) + np.cos(x))
     return s.select("RouteId", "FSystem", "part_no", "factor", F.round("rmse", 6).alias("rmse"), F.round("max_dev", 6).alias("max_dev"))
 
 

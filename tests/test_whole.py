@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from roadgeo import registry
+from roadgeo.config import SWEEP_FACTORS
 from roadgeo.operators import spatial
 
 
@@ -44,3 +45,10 @@ def test_tiles_of_every_point(spark, tmp_path):
     want = {(g, x, y) for g, p in at.items() for x in range(int(np.floor(min(p)[0])), int(np.ceil(max(p)[0])) + 1) for y in range(int(np.floor(min(q[1] for q in p))), int(np.ceil(max(q[1] for q in p))) + 1)}
     got = [tuple(r) for r in registry.QUERIES["tiles_for_bbox"](spark, str(tmp_path)).select("grp", "tx", "ty").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_sweep_of_all_factors(spark):
+    by: dict = {}
+    for r in registry.QUERIES["calibration_sweep"](spark, "/root/testdata/sf0.001").collect():
+        by.setdefault((r.RouteId, r.part_no), []).append(r.factor)
+    assert len(by) >= 25 and len(SWEEP_FACTORS) == 15 and all(sorted(f) == sorted(SWEEP_FACTORS) for f in by.values())
