@@ -81,14 +81,14 @@ def stitch_greedy(spark, d):
 
 @query()
 def alignment(spark, d):
-    p = Params(densify_ft=50.0)
+    p = Params()
     v = A.aligned(A.stitch(A.pieces(_sections(spark, d)), p), p, lambda x, y: 100 + 10 * np.sin(x / 150))
     return v.select("RouteId", "part_no", "idx", *[F.round(c, 4).alias(c) for c in ("Milepost", "x", "y", "z", "heading", "grade", "roughness")], "error")
 
 
 @query()
 def enrich_4d(spark, d):
-    p, s = Params(densify_ft=50.0), _sections(spark, d)
+    p, s = Params(), _sections(spark, d)
     v = A.aligned(A.stitch(A.pieces(s), p), p, lambda x, y: 100 + 10 * np.sin(x / 150))
     return A.enriched(s, v).select("RouteId", "Start_MP", "End_MP", "WKT_ZM", "Elevation_Source")
 

@@ -52,3 +52,19 @@ def test_sweep_of_all_factors(spark):
     for r in registry.QUERIES["calibration_sweep"](spark, "/root/testdata/sf0.001").collect():
         by.setdefault((r.RouteId, r.part_no), []).append(r.factor)
     assert len(by) >= 25 and len(SWEEP_FACTORS) == 15 and all(sorted(f) == sorted(SWEEP_FACTORS) for f in by.values())
+
+
+def test_vertices_five_feet_apart(spark):
+    rows = registry.QUERIES["alignment"](spark, "/root/testdata/sf0.001").collect()
+    by: dict = {}
+    for r in rows:
+        assert r.error is None
+        by.setdefault((r.RouteId, r.part_no), []).append((r.idx, r.x, r.y))
+    for v in by.values():
+        p = np.array(sorted(v))[:, 1:]
+        assert np.median(np.hypot(*np.diff(p, axis=0).T)) < 1.6  # metres
+
+
+def test_sections_with_all_their_vertices(spark):
+    rows = registry.QUERIES["enrich_4d"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.Elevation_Source == "smoothed" and r.WKT_ZM.count(",") + 1 >= 25 for r in rows)  # 40 metres
