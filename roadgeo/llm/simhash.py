@@ -40,17 +40,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) for each row; no shuffle."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint's bits as a signed long) for each row, and h, a hash of the text, if `hashed`; no shuffle."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", "h")[: 2 + hashed]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in as_bytes(b.column(1))], dtype=np.uint64)
-            yield batch(schema, b.column(0), pa.array(fps.view(np.int64)))
+            yield batch(schema, b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:])
 
     limit_batches(docs.sparkSession)
-    return docs.select(as_long(docs, "doc_id").alias("doc_id"), as_text(docs).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(as_long(docs, "doc_id").alias("doc_id"), as_text(docs).alias("text"), *[F.xxhash64(as_text(docs)).alias("h")] * hashed)
+    return own.mapInArrow(run, "doc_id long, fp long" + ", h long" * hashed)
 
 
 class BKForest:
@@ -169,6 +170,13 @@ def links(fps: DataFrame, radius: int, tree: int = TREE) -> DataFrame:
     return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
 
 
+def rooted(marked: DataFrame, least, radius: int) -> DataFrame:
+    """fp, doc (the aggregate `least` over its rows) and root, a fingerprint that stands for its component."""
+    nodes = materialize(marked.groupBy("fp").agg(least.alias("doc")))
+    roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return materialize(nodes.join(roots, "fp", "left").select("fp", "doc", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links of `radius` bits or fewer) for each row.
 
@@ -177,11 +185,9 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = SHINGLE) ->
     group of copies is never expanded into pairs.
     """
     marked = materialize(fingerprints(docs, shingle))
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("doc")))
-    roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    rooted = materialize(nodes.join(roots, "fp", "left").select("fp", "doc", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    tree = rooted(marked, F.min("doc_id"), radius)
+    least = tree.groupBy("root").agg(F.min("doc").alias("component_id"))
+    named = tree.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -191,12 +197,15 @@ def with_hex(found: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """One row of each component: that with the smallest doc_id. Of rows that repeat it, one with the smallest text hash stays.
+    """One row of each component: that with the smallest doc_id, nulls last, and of rows that repeat it the smallest text hash.
 
-    The texts are shuffled once, by doc_id, for the join with the kept ids; a null doc_id joins as the smallest long.
+    A row is known by doc_id and text hash: rows equal in both have one fingerprint, so they are of one component, and
+    whichever of them stays is no matter. The texts are shuffled once, by both, for the join with the rows to keep.
     """
-    key = F.coalesce(as_long(docs, "doc_id"), F.lit(-(1 << 63)).cast("long"))
-    keep = near_duplicates(docs, radius).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("_key")).distinct()
-    kept = docs.withColumn("_key", key).join(keep, "_key")
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(as_text(docs))))
+    marked = materialize(fingerprints(docs, hashed=True))
+    least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h"))
+    keep = rooted(marked, least, radius).groupBy("root").agg(F.min("doc").alias("doc")).select(F.col("doc.doc_id").alias("_d"), F.col("doc.h").alias("_h"))
+    own = docs.withColumn("_k", F.xxhash64(as_text(docs)))
+    kept = own.join(keep, as_long(docs, "doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_h")))
+    first = F.row_number().over(Window.partitionBy("_d", "_h").orderBy("_k"))
     return kept.withColumn("_first", first).where("_first = 1").select(docs.columns)
