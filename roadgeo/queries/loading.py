@@ -63,9 +63,9 @@ def clearance_decode(spark, d):
     return V.table(spark, d, "supplier").select("s_suppkey", F.round(clearance_m(t), 6).alias("clearance_m"))
 
 
-@query("SELECT DISTINCT l_suppkey::VARCHAR AS route_id FROM lineitem ORDER BY 1 LIMIT 100000")
+@query("SELECT DISTINCT l_suppkey::VARCHAR AS route_id FROM lineitem ORDER BY 1")
 def distinct_routes(spark, d):
-    return V.table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("route_id")).distinct().orderBy("route_id").limit(100_000)
+    return V.table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("route_id")).distinct().orderBy("route_id")
 
 
 @query("""SELECT page_id, trim(regexp_replace(url, '[<>:"/\\\\|?*]+', '-', 'g')) AS name FROM pages""")

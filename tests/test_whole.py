@@ -81,3 +81,9 @@ def test_one_row_of_each_component_whatever_its_id(spark):
     far = bin(simhash.fingerprint(a.encode()) ^ simhash.fingerprint(near.encode())).count("1")
     kept = simhash.deduplicated(spark.createDataFrame(pair, "doc_id long, text string"), max(4, far)).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([(9, near), (9, b)])
+
+
+def test_routes_beyond_the_first_100000(spark, tmp_path):
+    spark.range(200_100).selectExpr("id % 100050 as l_suppkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = [r.route_id for r in registry.QUERIES["distinct_routes"](spark, str(tmp_path)).collect()]
+    assert got == sorted(str(i) for i in range(100_050))
