@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch on its way to Python: long documents must not add up to gigabytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Keys that are told to every task of a join, at most: those with over 1 / HOT of the rows.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named in spark.checkpoint.dir.
 
-    Only where that is unset, as in tests, a temporary folder of this machine is set instead.
+    Only where that is unset and Spark runs in this one process, as in tests, a temporary folder of this machine is set
+    instead; a cluster without a shared folder is an error, as other machines couldn't read what is written there.
     """
     sc = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not conf:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf = f"file://{tempfile.mkdtemp(prefix='roadgeo-')}"
         spark.conf.set("spark.checkpoint.dir", conf)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -45,12 +50,36 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def met(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, apart: list[str]) -> DataFrame:
+    """rows joined with keys, which has one row of each value of `on`; a key of over 1 / HOT of all weight may be in a third of the rows.
+
+    Such keys are HOT at most, so they are broadcast, and their rows are dealt by the columns `apart` in the join that finds the others.
+    """
+    total = keys.agg(F.sum(weight)).first()[0] or 0
+    more = [c for c in keys.columns if c not in on]
+    hot = keys.where(F.col(weight) > total / HOT).select(*on, F.struct(*more).alias("_hot"))
+    told = rows.join(F.broadcast(hot), on, "left").withColumn("_deal", F.when(F.col("_hot").isNull(), 0).otherwise(F.xxhash64(*apart)))
+    others = keys.select(*on, F.lit(0).cast("long").alias("_deal"), F.struct(*more).alias("_found"))
+    joined = told.join(others, [*on, "_deal"], "left").withColumn("_found", F.coalesce("_hot", "_found")).where("_found is not null")
+    return joined.select(*rows.columns, "_found.*")
+
+
 def limit_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by rows and bytes; texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """n column names that the table, whatever its columns, doesn't have."""
+    taken, names, k = {c.lower() for c in df.columns}, [], 0
+    while len(names) < n:
+        if f"own_{k}" not in taken:
+            names.append(f"own_{k}")
+        k += 1
+    return names
+
+
 def as_long(df: DataFrame, name: str):
     """The column as a long, or null where the table has none of that name."""
     return F.col(name).cast("long") if name in df.columns else F.lit(None).cast("long")

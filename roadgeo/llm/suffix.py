@@ -2,11 +2,14 @@
 
 A string of LENGTH bytes is a window. Of the K-byte strings in a window the one with the least hash, the leftmost of
 equals, is its anchor; equal windows have equal anchors at equal offsets (winnowing), so windows are compared through the
-suffixes that begin at their anchors, about one in 85 bytes. Suffixes whose first K bytes occur once can't repeat and go no
-further. The others are dealt by range of their leading bytes with sampled splitters; a bucket sorts them by multikey
-quicksort, and a window at offset o before its anchor repeats if another suffix agrees in LENGTH - o bytes (neighbours'
-common prefixes) and in the o bytes before it. A leading string of over SPLIT suffixes lies in several buckets; windows
-that repeat in none of these are compared across them.
+suffixes that begin at their anchors, about one in 85 bytes. A suffix's span is all the bytes of its windows.
+
+Equal spans are told by partial counts: where one occurs twice all of its windows repeat, and a single row of it goes
+further. Leading strings (an anchor's K bytes) with one span alone are settled by that. The others are dealt by range of
+their leading strings with sampled splitters, so that no leading string lies on both sides of a boundary; a bucket sorts
+its suffixes by multikey quicksort. A leading string of over SPLIT different spans would be too much for a bucket: its
+windows are dealt anew by longer leading strings (those that neighbouring windows have in common, LEADS bytes), down to
+the whole window, which no boundary can part from its equals.
 """
 
 from __future__ import annotations
@@ -16,16 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, as_long, as_text, batch, limit_batches, materialize, own_dir, sorted_groups
+from .common import as_bytes, as_long, as_text, batch, fresh, limit_batches, materialize, met, own_dir, sorted_groups
 
-#: Bytes of a repeated string, of an anchor, K-byte strings in a window, suffixes with one leading string in one bucket.
+#: Bytes of a repeated string, of an anchor, different spans with one leading string in a bucket.
 LENGTH, K, SPLIT = 200, 32, 50_000
-#: Leading strings that are told to every task, at most.
-HOT = 1000
 WIDTH = LENGTH - K + 1
+#: Neighbouring windows that longer and longer leading strings stand for; the last is the window itself.
+CLASSES = (WIDTH, 22, 3, 1)
 #: Bytes hashed at once, and suffixes that a bucket sorts at once.
 PIECE, AT_ONCE = 2 << 20, 20_000
 _B = 0x9E3779B97F4A7C15 | 1
@@ -33,14 +37,6 @@ _M = (1 << 64) - 1
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out, p = [], 1
-    for _ in range(n):
-        out.append(p)
-        p = p * base & _M
-    return np.array(out, np.uint64)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(29))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
@@ -98,16 +94,28 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[byt
         yield held
 
 
-def anchor_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of the text, anchor's hash, and place << 16 | places before it of the first window << 8 | windows after the first."""
-    out: list[tuple] = [(np.zeros(0, np.int64),) * 3]
+def anchor_rows(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of each anchor: number of the text, anchor's hash, span's hash, place << 16 | places before it of the first window << 8 | windows after the first, further windows, times.
+
+    Suffixes with equal spans whose windows follow upon each other (a periodic text) are one row: the first, the number of
+    windows of all others, and how many they are.
+    """
+    out: list[tuple] = [(np.zeros(0, np.int64),) * 6]
     for number, offset, cuts in _pieces(texts):
         ends = np.cumsum([len(c) for c in cuts])
         starts = ends - [len(c) for c in cuts]
-        h, at, lo, hi = anchors(np.frombuffer(b"".join(cuts), np.uint8), starts, ends)
+        data = b"".join(cuts)
+        h, at, lo, hi = anchors(np.frombuffer(data, np.uint8), starts, ends)
+        if not len(h):
+            continue
+        spans = b"".join([xxhash.xxh3_64_digest(data[a:b], c) for a, b, c in zip(lo.tolist(), (hi + LENGTH).tolist(), (at - lo).tolist(), strict=True)])
+        span = np.frombuffer(spans, ">i8").astype(np.int64)
         k = np.searchsorted(ends, at, side="right")
-        place = at - starts[k] + np.array(offset)[k]
-        out.append((np.array(number)[k], h.view(np.int64), place << 16 | (at - lo) << 8 | (hi - lo)))
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (span[1:] != span[:-1]) | (k[1:] != k[:-1]) | (lo[1:] != hi[:-1] + 1)))
+        first = np.nonzero(new)[0]
+        last = np.concatenate((first[1:], [len(h)])) - 1
+        k, place = k[first], (at - starts[k] + np.array(offset)[k])[first]
+        out.append((np.array(number)[k], h[first].view(np.int64), span[first], place << 16 | (at - lo)[first] << 8 | (hi - lo)[first], hi[last] - hi[first], last - first + 1))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -143,48 +151,56 @@ def multikey_sort(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
+def runs(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows of a group's number and bytes, and the bytes beyond that number that each has in common with the one before (negative at a new group)."""
+    width = -columns.shape[1] % 8
+    order, common = multikey_sort(np.ascontiguousarray(np.pad(columns, ((0, 0), (0, width)))).view(">u8").astype(np.uint64))
+    return order, common - 8
+
+
 def repeated(spans: list[bytes], group: np.ndarray, back: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Which windows of each suffix repeat within its group: a row for each suffix, a column for each offset before the anchor.
 
     spans hold a suffix with what stands before it; back is the anchor's place in the span, count the windows less one.
+    The suffixes are sorted twice, by what follows the anchor and by what stands before it, read backwards. A window at
+    offset o repeats if another is in its run of LENGTH - o common bytes in the one order and of o in the other.
     """
     m = len(spans)
-    right, left = np.zeros((m, LENGTH), np.uint8), np.zeros((m, WIDTH), np.uint8)
+    right, left = np.zeros((m, LENGTH), np.uint8), np.zeros((m, WIDTH - 1), np.uint8)
     for k, (s, b) in enumerate(zip(spans, back.tolist(), strict=True)):
         r = np.frombuffer(s, np.uint8)
         tail = r[b : b + LENGTH]
         right[k, : len(tail)] = tail
         left[k, :b] = r[:b][::-1]
     lead = group.astype(">u8").view(np.uint8).reshape(m, 8)
-    columns = np.hstack([lead, right]).view(">u8").astype(np.uint64)
-    order, common = multikey_sort(columns)
-    common = common - 8  # the group's number is the first character
-    left, least, most = left[order], (back - count)[order], back[order]
+    by_right, alike_right = runs(np.hstack([lead, right]))
+    by_left, alike_left = runs(np.hstack([lead, left]))
     found = np.zeros((m, WIDTH), bool)
-    hashes = np.zeros((2, m), np.uint64)
-    power = [_powers(_B, WIDTH), _powers(0xC2B2AE3D27D4EB4F | 1, WIDTH)]
+    after, before = np.zeros(m, np.int64), np.zeros(m, np.int64)
     for o in range(WIDTH):
-        own = np.nonzero((least <= o) & (o <= most))[0]
-        if len(own):
-            run = np.cumsum(common < LENGTH - o)[own].astype(np.uint64)
-            a, b = mixed(hashes[0][own]) + run * np.uint64(_B), hashes[1][own]
-            by = np.argsort(a, kind="stable")
-            same = (a[by][1:] == a[by][:-1]) & (b[by][1:] == b[by][:-1]) & (run[by][1:] == run[by][:-1])
-            hit = np.zeros(len(own), bool)
-            hit[1:] |= same
-            hit[:-1] |= same
-            found[order[own[by[hit]]], o] = True
-        c = left[:, o].astype(np.uint64) + np.uint64(1)
-        hashes[0] += c * power[0][o]
-        hashes[1] += c * power[1][o]
+        own = np.nonzero((back - count <= o) & (o <= back))[0]
+        if len(own) < 2:
+            continue
+        after[by_right] = np.cumsum(alike_right < LENGTH - o)
+        before[by_left] = np.cumsum(alike_left < o)
+        key = after[own] * (m + 1) + before[own]
+        by = np.argsort(key, kind="stable")
+        same = np.diff(key[by]) == 0
+        found[own[by[1:][same]], o] = True
+        found[own[by[:-1][same]], o] = True
     return found
 
 
-def window_hashes(span: bytes, count: int) -> np.ndarray:
-    """Two hashes of each of count + 1 windows of a span."""
-    x = np.frombuffer(span, np.uint8).astype(np.uint64) + np.uint64(1)
-    rows = np.lib.stride_tricks.sliding_window_view(x, LENGTH)[: count + 1]
-    return np.stack([mixed(rows @ _powers(b, LENGTH)) for b in (_B, 0xC2B2AE3D27D4EB4F | 1)])
+def units(span: bytes, back: int, count: int, width: int) -> Iterator[tuple[bytes, int, int, int, bytes]]:
+    """A suffix's windows in classes of `width` neighbouring offsets before the anchor: leading string, start in the span, back, count and span of each.
+
+    The leading string is what all windows of a whole class have in common, LENGTH + 1 - width bytes, behind the class's
+    number; equal windows are in equal classes.
+    """
+    for j in range((back - count) // width, back // width + 1):
+        least, most = max(j * width, back - count), min(j * width + width - 1, back)
+        start, common = back - most, back - j * width
+        yield bytes([j]) + span[common : common + LENGTH + 1 - width], start, most, most - least, span[start : start + most - least + LENGTH]
 
 
 def covered(n: int, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -198,14 +214,27 @@ def covered(n: int, starts: list[int], ends: list[int]) -> list[tuple[int, int]]
     return [(a, min(b, n)) for a, b in out]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with its text as a string that isn't null, and c1, c2: 128 bits of the text's SHA-256."""
-    whole = docs.withColumn("text", as_text(docs)).withColumn("_s", F.sha2("text", 256))
-    return whole.withColumns({c: F.conv(F.substring("_s", i, 15), 16, 10).cast("long") for c, i in (("c1", 1), ("c2", 17))}).drop("_s")
+def keyed(docs: DataFrame, c1: str, c2: str) -> DataFrame:
+    """docs with c1, c2: 128 bits of the SHA-256 of the text."""
+    digest = F.sha2(as_text(docs), 256)
+    return docs.withColumns({c: F.conv(F.substring(digest, i, 15), 16, 10).cast("long") for c, i in ((c1, 1), (c2, 17))})
+
+
+def judged(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows (h, s: hashes of leading string and span, n, c1, c2, lo and more) whose leading string occurs twice, with times (of the span), spans (of the leading string) and one (the one row of a span that goes further); and the most spans of a leading string."""
+    rows = rows.withColumn("r", F.xxhash64("c1", "c2", "lo"))
+    counted = materialize(rows.groupBy("h", "s").agg(F.sum("n").alias("times"), F.min("r").alias("least")))
+    leads = materialize(counted.groupBy("h").agg(F.count("*").alias("spans"), F.sum("times").alias("all")).where("all > 1"))
+    most = leads.agg(F.max("spans")).first()[0] or 0
+    keys = materialize(met(counted, leads, ["h"], "spans", ["s"]).select("h", "s", "times", "least", "spans"))
+    return met(rows, keys, ["h", "s"], "times", ["r"]).withColumn("one", F.col("r") == F.col("least")).drop("r", "least"), most
+
+
+_SPAN = "c1 long, c2 long, lo long, back int, count int, span binary"
 
 
 def repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
-    """c1, c2, text and spans (array of [start, end) in bytes to remove) of each distinct text.
+    """c1, c2, text and iv (array of [start, end) in bytes to remove) of each distinct text.
 
     Equal texts are one class, joined by partial aggregation. The classes are kept in the shared folder in buckets by
     class, so that candidates and results meet them without another shuffle of the texts. A class of two texts or more
@@ -216,81 +245,93 @@ def repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = own_dir(spark, "texts")
     name = "texts_" + path.rsplit("-", 1)[1]
-    distinct = keyed(docs).groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    whole = keyed(docs.select(as_text(docs).alias("text")), "c1", "c2")
+    distinct = whole.groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
     distinct.repartition(n, "c1", "c2").write.option("compression", "zstd").option("path", path).bucketBy(n, "c1", "c2").saveAsTable(name)
     texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # leaves the files, and the plan that reads them by bucket
 
-    hashed = pa.schema([("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("place", pa.int64())])
+    hashed = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("lo", pa.int64()), ("more", pa.int64()), ("place", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k, h, place = anchor_rows(as_bytes(b.column("text")))
+            k, h, s, place, more, times = anchor_rows(as_bytes(b.column("text")))
             if len(k):
-                yield batch(hashed, pa.array(h), b.column("c1").take(pa.array(k)), b.column("c2").take(pa.array(k)), pa.array(place))
-
-    rows = texts.select("c1", "c2", "text").mapInArrow(find, "h long, c1 long, c2 long, place long")
-    # A leading string may be in a third of all texts. Those with over 1 / HOT of the rows are HOT at most, so they are
-    # broadcast, and their rows are dealt by place in the join that finds the others.
-    many = materialize(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    total = many.agg(F.sum("n")).first()[0] or 0
-    parts = F.ceil(F.col("n") / split).cast("int")
-    hot = many.where(F.col("n") > total / HOT).select(F.col("h").alias("hot_h"), parts.alias("hot_parts"))
-    other = many.select(F.col("h").alias("key"), parts.alias("parts"))
-    spread = F.when(F.col("hot_h").isNull(), F.col("h")).otherwise(F.xxhash64("c1", "c2", "place"))
-    met = rows.join(F.broadcast(hot), F.col("h") == F.col("hot_h"), "left").withColumn("key", spread).join(other, "key", "left")
-    met = met.withColumn("parts", F.coalesce("hot_parts", "parts")).where("parts is not null")
-    likely = met.select("c1", "c2", F.struct("place", "h", F.pmod(F.xxhash64("c1", "c2", "place"), "parts").cast("int").alias("part"), "parts").alias("a"))
-    lists = likely.groupBy("c1", "c2").agg(F.collect_list("a").alias("a"))  # of one text at a time
-
-    cut_schema = pa.schema([("lead", pa.binary()), ("part", pa.int32()), ("parts", pa.int32()), ("c1", pa.int64()), ("c2", pa.int64()), ("lo", pa.int64()), ("back", pa.int32()), ("count", pa.int32()), ("span", pa.binary())])
-    cut_kinds = "lead binary, part int, parts int, c1 long, c2 long, lo long, back int, count int, span binary"
+                yield batch(hashed, pa.array(h), pa.array(s), pa.array(times), b.column("c1").take(pa.array(k)), b.column("c2").take(pa.array(k)), pa.array((place >> 16) - (place >> 8 & 255)), pa.array(more), pa.array(place))
+
+    rows = texts.select("c1", "c2", "text").mapInArrow(find, "h long, s long, n long, c1 long, c2 long, lo long, more long, place long")
+    likely, most = judged(rows)
+    likely = materialize(likely.where("times > 1 or one").select("c1", "c2", "lo", "more", "place", "times", "spans", "one"))
+    last = F.col("lo") + F.col("place").bitwiseAND(F.lit(255)) + F.col("more") + LENGTH
+    told = [likely.where("times > 1").select("c1", "c2", F.col("lo").alias("start"), last.alias("end"))]
+
+    spans_schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("lo", pa.int64()), ("back", pa.int32()), ("count", pa.int32()), ("span", pa.binary())])
+    lead_schema = pa.schema([("lead", pa.binary()), *spans_schema])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for c1, c2, text, found in zip(b.column("c1").to_pylist(), b.column("c2").to_pylist(), as_bytes(b.column("text")), b.column("a").to_pylist(), strict=True):
-                for a in found:
-                    at, back, count = a["place"] >> 16, a["place"] >> 8 & 255, a["place"] & 255
-                    lo = at - back
-                    out.append((text[at : at + K], a["part"], a["parts"], c1, c2, lo, back, count, text[lo : lo + count + LENGTH]))
+            for c1, c2, text, places in zip(b.column("c1").to_pylist(), b.column("c2").to_pylist(), as_bytes(b.column("text")), b.column("places").to_pylist(), strict=True):
+                for place in places:
+                    at, back, count = place >> 16, place >> 8 & 255, place & 255
+                    out.append((c1, c2, at - back, back, count, text[at - back : at - back + count + LENGTH]))
                 if len(out) >= 4000:
-                    yield batch(cut_schema, *zip(*out, strict=True))
+                    yield batch(spans_schema, *zip(*out, strict=True))
                     out = []
             if out:
-                yield batch(cut_schema, *zip(*out, strict=True))
-
-    suffixes = texts.join(lists.hint("shuffle_hash"), ["c1", "c2"]).select("c1", "c2", "text", "a").mapInArrow(cut, cut_kinds)
-    dealt = suffixes.repartitionByRange(n, "lead", "part").sortWithinPartitions("lead", "part")
-    told = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64())])
+                yield batch(spans_schema, *zip(*out, strict=True))
+
+    def spans_of(chosen: DataFrame) -> DataFrame:
+        lists = chosen.groupBy("c1", "c2").agg(F.collect_list("place").alias("places"))  # of one text at a time
+        return texts.join(lists.hint("shuffle_hash"), ["c1", "c2"]).select("c1", "c2", "text", "places").mapInArrow(cut, _SPAN)
+
+    def classed(spans: DataFrame, width: int) -> DataFrame:
+        """Each suffix's classes of `width` windows."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for c1, c2, lo, back, count, span in zip(*(b.column(c).to_pylist() for c in spans_schema.names), strict=True):
+                    out += [(lead, c1, c2, lo + start, *rest) for lead, start, *rest in units(span, back, count, width)]
+                if out:
+                    yield batch(lead_schema, *zip(*out, strict=True))
+
+        return spans.mapInArrow(run, "lead binary, " + _SPAN)
+
+    own = likely.where("one and spans > 1")
+    ready = classed(spans_of(own.where(F.col("spans") <= split)), WIDTH)
+    over = spans_of(own.where(F.col("spans") > split))
+    for width in CLASSES[1:]:
+        if most <= split:
+            break
+        parts = materialize(classed(over, width))
+        likely, most = judged(parts.withColumns({"h": F.xxhash64("lead"), "s": F.xxhash64("back", "span"), "n": F.lit(1).cast("long")}))
+        likely = materialize(likely.where("times > 1 or one"))
+        told.append(likely.where("times > 1").select("c1", "c2", F.col("lo").alias("start"), (F.col("lo") + F.col("count") + LENGTH).alias("end")))
+        ready = ready.unionByName(likely.where("one and spans > 1").where(F.col("spans") <= split).select(ready.columns))
+        over = likely.where("one").where(F.col("spans") > split).select(over.columns)
+    dealt = ready.repartitionByRange(n, "lead").sortWithinPartitions("lead")
+    intervals = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_groups(batches, ["lead", "part"], AT_ONCE):
-            lead, part = t.column("lead").to_pylist(), t.column("part").to_numpy()
-            new = [False] + [lead[i] != lead[i - 1] or part[i] != part[i - 1] for i in range(1, len(lead))]
-            spans, lo, back, count = t.column("span").to_pylist(), t.column("lo").to_numpy(), t.column("back").to_numpy().astype(np.int64), t.column("count").to_numpy().astype(np.int64)
-            found = repeated(spans, np.cumsum(new), back, count)
+        for t in sorted_groups(batches, ["lead"], AT_ONCE):
+            lead = t.column("lead").to_pylist()
+            new = [False] + [a != b for a, b in zip(lead[1:], lead, strict=False)]
+            lo, back, count = (t.column(c).to_numpy().astype(np.int64) for c in ("lo", "back", "count"))
+            found = repeated(t.column("span").to_pylist(), np.cumsum(new), back, count)
             edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             (row, first), (_, last) = np.nonzero(edge == 1), np.nonzero(edge == -1)
             at = lo[row] + back[row]
-            c1, c2 = t.column("c1").to_numpy(), t.column("c2").to_numpy()
-            none = pa.nulls(len(row), pa.int64())
-            yield batch(told, pa.array(c1[row]), pa.array(c2[row]), pa.array(at - last + 1), pa.array(at - first + LENGTH), none, none)
-            # Of a leading string in several buckets, every window goes on to be compared across them.
-            for k in np.nonzero(t.column("parts").to_numpy() > 1)[0]:
-                w = window_hashes(spans[k], int(count[k])).view(np.int64)
-                start = lo[k] + np.arange(count[k] + 1)
-                yield batch(told, pa.array(np.full(len(start), c1[k])), pa.array(np.full(len(start), c2[k])), pa.array(start), pa.array(start + LENGTH), pa.array(w[0]), pa.array(w[1]))
-
-    found = materialize(dealt.mapInArrow(bucket, "c1 long, c2 long, start long, end long, w1 long, w2 long"))
-    inside = found.where("w1 is null").select("c1", "c2", "start", "end")
-    across = found.where("w1 is not null")
-    twice = across.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    intervals = inside.unionByName(across.join(twice, ["w1", "w2"]).select("c1", "c2", "start", "end"))
-    merged = intervals.groupBy("c1", "c2").agg(F.collect_set(F.struct("start", "end")).alias("iv"))  # of one text at a time
+            yield batch(intervals, pa.array(t.column("c1").to_numpy()[row]), pa.array(t.column("c2").to_numpy()[row]), pa.array(at - last + 1), pa.array(at - first + LENGTH))
+
+    every = dealt.mapInArrow(bucket, "c1 long, c2 long, start long, end long")
+    for more in told:
+        every = every.unionByName(more)
+    merged = every.groupBy("c1", "c2").agg(F.collect_set(F.struct("start", "end")).alias("iv"))  # of one text at a time
     joined = texts.join(merged.hint("shuffle_hash"), ["c1", "c2"], "left")
     size = F.octet_length("text").cast("long")
-    whole = (F.col("copies") > 1) & (size >= LENGTH)
-    return joined.select("c1", "c2", "text", F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end")))).otherwise(F.coalesce("iv", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("iv"))
+    twice = (F.col("copies") > 1) & (size >= LENGTH)
+    return joined.select("c1", "c2", "text", F.when(twice, F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end")))).otherwise(F.coalesce("iv", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("iv"))
 
 
 def removed(docs: DataFrame, split: int = SPLIT) -> DataFrame:
@@ -310,7 +351,7 @@ def removed(docs: DataFrame, split: int = SPLIT) -> DataFrame:
                 yield batch(schema, b.column("c1"), b.column("c2"), *zip(*out, strict=True))
 
     by_text = repeats(docs, split).mapInArrow(run, "c1 long, c2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    rows = keyed(docs).select(as_long(docs, "doc_id").alias("doc_id"), "c1", "c2")
+    rows = keyed(docs.select(as_long(docs, "doc_id").alias("doc_id"), as_text(docs).alias("text")), "c1", "c2").drop("text")
     return rows.join(by_text, ["c1", "c2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -324,7 +365,11 @@ def kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def cleaned(docs: DataFrame, split: int = SPLIT) -> DataFrame:
-    """docs with every repeated string cut out of its text; bytes of a character that a cut leaves broken go too. Rows stay, as do all other columns; n_chars, if there, is counted anew."""
+    """docs with every repeated string cut out of its text; bytes of a character that a cut leaves broken go too.
+
+    Rows stay, repeated ones and those of an empty or null text (which becomes empty) too, as do all other columns,
+    whatever their names; n_chars, if there, is counted anew. An empty table gives an empty one.
+    """
     schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,9 +380,10 @@ def cleaned(docs: DataFrame, split: int = SPLIT) -> DataFrame:
             if out:
                 yield batch(schema, b.column("c1"), b.column("c2"), out)
 
-    left = repeats(docs, split).mapInArrow(run, "_c1 long, _c2 long, _left string")
-    rows = keyed(docs).drop("text")
-    joined = rows.join(left, (F.col("c1") == F.col("_c1")) & (F.col("c2") == F.col("_c2"))).withColumn("text", F.col("_left"))
+    c1, c2, d1, d2, left = fresh(docs, 5)
+    cut = repeats(docs, split).mapInArrow(run, f"{d1} long, {d2} long, {left} string")
+    joined = keyed(docs, c1, c2).join(cut, (F.col(c1) == F.col(d1)) & (F.col(c2) == F.col(d2)))
+    changed = {"text": F.col(left)}
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(docs.columns)
+        changed["n_chars"] = F.length(left).cast(docs.schema["n_chars"].dataType)
+    return joined.withColumns(changed).select(docs.columns)

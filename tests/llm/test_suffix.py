@@ -41,13 +41,41 @@ def test_bytes_as_by_brute_force(spark, docs, split):
     assert [i for i in range(len(docs)) if got[i] != want[i]] == []
 
 
+def windows(texts):
+    k, h, _, place, more, times = suffix.anchor_rows([(t or "").encode() for t in texts])
+    lo = (place >> 16) - (place >> 8 & 255)
+    assert (times >= 1).all()
+    return sorted((int(a), int(s)) for a, b, c, m in zip(k, lo, place & 255, more, strict=True) for s in range(b, b + c + m + 1))
+
+
 def test_long_texts_are_cut_with_an_overlap(spark, docs, monkeypatch):
+    whole = windows(docs)
+    assert whole == sorted((i, s) for i, d in enumerate(docs) for s in range(len((d or "").encode()) - suffix.LENGTH + 1))
     monkeypatch.setattr(suffix, "PIECE", 500)
-    k, h, place = suffix.anchor_rows([(d or "").encode() for d in docs])
-    monkeypatch.setattr(suffix, "PIECE", 1 << 20)
-    whole = suffix.anchor_rows([(d or "").encode() for d in docs])
-    windows = lambda rows: sorted((int(a), int(p >> 16), s) for a, p in zip(rows[0], rows[2], strict=True) for s in range((p >> 16) - (p >> 8 & 255), (p >> 16) - (p >> 8 & 255) + (p & 255) + 1))
-    assert windows((k, h, place)) == windows(whole)
+    assert windows(docs) == whole
+
+
+def test_one_byte_a_million_times(spark):
+    k, _, _, place, more, times = suffix.anchor_rows([b"a" * 1_000_000])
+    assert len(k) == 1 and times[0] == 1_000_000 - suffix.LENGTH + 1 and more[0] + (place[0] & 255) + 1 == times[0]
+    df = spark.createDataFrame([(1, "a" * 1_000_000), (2, "ab" * 500_000), (3, "b" + "a" * 199)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix.removed(df).collect()}
+    assert got == {1: (1_000_000, 1_000_000, 1), 2: (1_000_000, 1_000_000, 1), 3: (200, 0, 0)}
+
+
+def test_classes_of_windows_are_all_windows():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        count = int(rng.integers(0, suffix.WIDTH))
+        back = int(rng.integers(count, suffix.WIDTH))
+        span = rng.integers(0, 256, count + suffix.LENGTH, dtype=np.uint8).tobytes()
+        for width in suffix.CLASSES:
+            seen = []
+            for lead, start, own_back, own_count, own in suffix.units(span, back, count, width):
+                assert own == span[start : start + own_count + suffix.LENGTH] and len(lead) == 2 + suffix.LENGTH - width
+                assert start + own_back == back and all(lead[1:] in span[start + i : start + i + suffix.LENGTH] for i in range(own_count + 1))
+                seen += range(start, start + own_count + 1)
+            assert sorted(seen) == list(range(count + 1))
 
 
 def test_multikey_sort():
@@ -64,4 +92,12 @@ def test_texts_cleaned(spark, docs):
     df = spark.createDataFrame([(i, d, 7) for i, d in enumerate(docs)], "doc_id long, text string, n_chars long")
     rows = {r.doc_id: r for r in suffix.cleaned(df).collect()}
     assert len(rows) == len(docs) and rows[9].text == docs[9] and rows[10].text == "" and rows[7].text == "" and rows[9].n_chars == 700
-    assert suffix.removed(df.limit(0)).collect() == []
+    assert suffix.removed(df.limit(0)).collect() == [] and suffix.cleaned(df.limit(0)).collect() == []
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    p, names = "".join(chr(97 + k * k % 23) + str(k) for k in range(200)), ["c1", "c2", "own_0", "OWN_1", "_left", "copies"]
+    df = spark.createDataFrame([(1, p + "x" * 50, *range(6)), (2, "yy" + p, *range(6)), (None, None, *range(6)), (3, "z", *range(6)), (3, "z", *range(6))], "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    rows = suffix.cleaned(df).collect()
+    assert len(rows) == 5 and rows[0].__fields__ == df.columns and all(r[2:] == tuple(range(6)) for r in rows)
+    assert sorted(r.text for r in rows) == sorted(["x" * 50, "yy", "", "z", "z"])
