@@ -19,12 +19,11 @@ from .common import as_bytes, as_long, as_text, batch, limit_batches
 #: Entries of a generation of kept pieces and of kept words, words that one recursive query contracts, characters encoded at once.
 KEPT, WORDS_A_QUERY, AT_ONCE = 200_000, 60_000, 8 << 20
 #: Memory of a worker's DuckDB, which runs on one thread.
-MEMORY = "128MB"
+MEMORY = "256MB"
 
 #: A step lays the places of each word's tokens out as rows, joins neighbours with the merge table, takes each word's pair
 #: of least rank, the leftmost of equals, and contracts it; words without a pair leave the recursion. A word's last step
-#: has its tokens. Pairs are one key, l << 32 | r; rank and place are one number, rank << 32 | place. Long words keep only
-#: their last step, by key, so that memory doesn't grow with their square; that costs short ones more than it spares.
+#: has its tokens. Pairs are one key, l << 32 | r; rank and place are one number, rank << 32 | place.
 _STEP = """
         SELECT {i} w, s[:(best & 4294967295) - 1] || [(best >> 32)::INT] || s[(best & 4294967295) + 2:]
         FROM (
@@ -38,25 +37,58 @@ CONTRACT = f"""
     WITH RECURSIVE step(i, w, s) AS (SELECT 0, w, s FROM word UNION ALL {_STEP.format(i="i + 1,")})
     SELECT w, arg_max(s, i) AS s FROM step GROUP BY w
 """
+#: Long words keep only their last step, by key, so that memory doesn't grow with their square; that costs short ones more
+#: than it spares.
 CONTRACT_LONG = f"""
     CREATE OR REPLACE TABLE coded AS
     WITH RECURSIVE step(w, s) USING KEY (w) AS (SELECT w, s FROM word UNION {_STEP.format(i="")})
     SELECT w, s FROM step
 """
-LONG = 64
+#: A very long word goes alone, and its step contracts all pairs of the least rank that don't overlap, from the left, as
+#: far as that is what one at a time would do: up to the first whose new neighbours make a pair of a rank lower still. So a
+#: run of one letter halves at each step.
+CONTRACT_RUN = """
+    CREATE OR REPLACE TABLE coded AS
+    WITH RECURSIVE step(w, s) USING KEY (w) AS (
+        SELECT w, s FROM word
+        UNION
+        SELECT any_value(w), list(CASE WHEN done THEN t ELSE a END ORDER BY p) FROM (
+            SELECT *, lag(done, 1, false) OVER (ORDER BY p) AS gone FROM (
+                SELECT *, take AND coalesce(sum(stop) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS done FROM (
+                    SELECT n.w, n.p, n.a, n.t, n.take, (n.take AND least(coalesce(x.t, n.t), coalesce(y.t, n.t)) < n.t)::INT AS stop FROM (
+                        SELECT *, (CASE WHEN lag(take, 2, false) OVER o THEN t ELSE lag(a) OVER o END::BIGINT << 32) | t AS before, (t::BIGINT << 32) | lead(a, 2) OVER o AS after FROM (
+                            SELECT *, hit AND (p - last_value(CASE WHEN hit THEN NULL ELSE p END IGNORE NULLS) OVER (ORDER BY p)) % 2 = 1 AS take FROM (
+                                SELECT w, p, a, t, coalesce(t = min(t) OVER (), false) AS hit FROM (
+                                    SELECT 0 AS w, 0 AS p, NULL AS a, NULL AS t
+                                    UNION ALL
+                                    SELECT place.w, p, a, m.t FROM (
+                                        SELECT w, unnest(s) AS a, unnest(range(1, len(s) + 1)) AS p, unnest(list_append(s[2:], -1)) AS b FROM step
+                                    ) place LEFT JOIN merge m ON m.k = ((a::BIGINT << 32) | b) AND b >= 0
+                                )
+                            )
+                        ) WINDOW o AS (ORDER BY p)
+                    ) n LEFT JOIN merge x ON n.take AND x.k = n.before LEFT JOIN merge y ON n.take AND y.k = n.after
+                )
+            )
+        ) WHERE NOT gone AND p > 0 HAVING bool_or(done)
+    )
+    SELECT w, s FROM step
+"""
+#: Bytes from which words are long, and very long.
+LONG, RUN = 64, 2048
 #: Tokens with their places, joined with their bytes and aggregated in order.
 DECODE = """
-    SELECT w, any_value(ids), string_agg(h, '' ORDER BY p)
-    FROM (SELECT w, array_to_string(s, ' ') AS ids, unnest(s) AS t, unnest(range(1, len(s) + 1)) AS p FROM coded) place
-    JOIN token USING (t) GROUP BY w
+    SELECT w, array_to_string(s, ' '), plain FROM coded JOIN (
+        SELECT w, string_agg(h, '' ORDER BY p) AS plain FROM (SELECT w, unnest(s) AS t, unnest(range(1, len(s) + 1)) AS p FROM coded) place JOIN token USING (t) GROUP BY w
+    ) USING (w)
 """
 
 
 class Tokenizer:
     """A worker's encoder over one rank file: the merge table in DuckDB, and what it has encoded so far, bounded in size."""
 
-    def __init__(self, ranks: list[tuple[bytes, int]], pattern: str):
-        self.pattern = regex.compile(pattern)
+    def __init__(self, ranks: list[tuple[bytes, int]], pattern: str, by_space: bool = False):
+        self.pattern, self.by_space = regex.compile(pattern), by_space
         self.ranks = dict(ranks)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
         self.db.execute("SET preserve_insertion_order = false")
@@ -79,30 +111,25 @@ class Tokenizer:
         self.db.unregister("loaded")
 
     def contract(self, words: list[bytes]) -> list[tuple[str, bytes]]:
-        """Ids, joined by spaces, and the bytes that they decode to, of words that aren't empty."""
-        places = pa.array([[self.byte[c] for c in w] for w in words], pa.list_(pa.int32()))
+        """Ids, joined by spaces, and the bytes that they decode to, of words that aren't empty; a word that is a token begins, and ends, as that."""
+        places = pa.array([[k] if (k := self.ranks.get(w)) is not None else [self.byte[c] for c in w] for w in words], pa.list_(pa.int32()))
         self._load("word", w=pa.array(range(len(words)), pa.int32()), s=places)
-        self.db.execute(CONTRACT if max(map(len, words)) <= LONG else CONTRACT_LONG)
+        longest = max(map(len, words))
+        self.db.execute(CONTRACT if longest <= LONG else CONTRACT_LONG if longest <= RUN else CONTRACT_RUN)
         out = [("", b"")] * len(words)
         for k, ids, h in self.db.execute(DECODE).fetchall():
             out[k] = ids, bytes.fromhex(h)
         return out
 
     def learn(self, words: set[str]) -> None:
-        """Encode the words not yet known: a whole token is itself, all others are contracted."""
-        fresh = [(x, x.encode()) for x in self.words.keep(words)]
-        cut: dict[str, list[bytes]] = {}
-        for x, b in fresh:
-            if (k := self.ranks.get(b)) is not None:
-                self.words.young[x] = str(k), b
-            else:
-                cut[x] = [b] if len(b) <= LONG else self.cut(b)
+        """Contract and decode the words not yet known."""
+        cut = {x: [b] if len(b) <= LONG or b in self.ranks else self.cut(b) for x, b in ((x, x.encode()) for x in self.words.keep(words))}
         many = sorted({b for parts in cut.values() for b in parts}, key=len)  # words of a query leave the recursion at about the same step
         done: dict[bytes, tuple[str, bytes]] = {}
         i = 0
         while i < len(many):
             j, size = i, 0
-            while j < len(many) and (j == i or (j - i < WORDS_A_QUERY and size < 20 * WORDS_A_QUERY and (len(many[i]) > LONG) == (len(many[j]) > LONG))):
+            while j < len(many) and (j == i or (j - i < WORDS_A_QUERY and size < 20 * WORDS_A_QUERY and len(many[j]) <= RUN and (len(many[i]) > LONG) == (len(many[j]) > LONG))):
                 size += len(many[j])
                 j += 1
             done.update(zip(many[i:j], self.contract(many[i:j]), strict=True))
@@ -120,8 +147,13 @@ class Tokenizer:
 
         A text is cut at its single spaces first. Where no piece is empty or begins or ends with white space, the
         pattern never matches across such a cut, so a piece with its space before it is matched and kept by itself;
-        any other text is matched whole.
+        any other text is matched whole. That holds for the default pattern; with another every text is matched whole.
         """
+        if not self.by_space:
+            matched = [self.pattern.findall(t) for t in texts]
+            self.learn({w for m in matched for w in m})
+            known = self.words.young
+            return [(" ".join([known[w][0] for w in m]), b"".join([known[w][1] for w in m])) for m in matched]
         cut = [t.split(" ") for t in texts]
         heads, tails = {c[0] for c in cut}, set()
         for c in cut:
@@ -184,11 +216,11 @@ class Recent(dict):
 _LOCAL = threading.local()
 
 
-def worker_tokenizer(ranks: list[tuple[bytes, int]], pattern: str) -> Tokenizer:
+def worker_tokenizer(ranks: list[tuple[bytes, int]], pattern: str, by_space: bool) -> Tokenizer:
     """The tokenizer of this Python worker, made once for a rank file; over tasks it keeps the merge table alone."""
-    key = (len(ranks), hash(tuple(ranks[-3:])), pattern)
+    key = (len(ranks), hash(tuple(ranks[-3:])), pattern, by_space)
     if getattr(_LOCAL, "key", None) != key:
-        _LOCAL.tokenizer, _LOCAL.key = Tokenizer(ranks, pattern), key
+        _LOCAL.tokenizer, _LOCAL.key = Tokenizer(ranks, pattern, by_space), key
     return _LOCAL.tokenizer
 
 
@@ -208,12 +240,15 @@ def default_ranks() -> tuple[str, str]:
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row's whole text, and the ids themselves on demand.
 
-    The ids are those of the rank file without special tokens; null and empty texts have none. The driver reads the rank
+    The ids are those of the rank file without special tokens; null and empty texts have none; repeated rows keep a row
+    each; an empty table gives none. A very long word, even of one letter, takes steps by the logarithm of its runs or so
+    (a long word without repeats, one for each token). The driver reads the rank
     file (a fixed size) and broadcasts it. Memory is bounded by a batch of texts and the KEPT pieces, whatever the input.
     """
     own = default_ranks()
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path or own[0]))
     splits = pattern or own[1]
+    by_space = splits == own[1]
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
 
     def coded(tokenizer: Tokenizer, b: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -229,7 +264,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
         return batch(schema, b.column(0), *zip(*got, strict=True)) if got else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = worker_tokenizer(ranks.value, splits)
+        tokenizer = worker_tokenizer(ranks.value, splits, by_space)
         gc.disable()  # hundreds of thousands of kept tuples without cycles would be walked again and again
         try:
             yield from (made for b in batches if (made := coded(tokenizer, b)) is not None)

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import time
 
 import pytest
 import tiktoken
@@ -20,9 +22,10 @@ def reference(ranks):
     return tiktoken.Encoding("own", pat_str=bpe.default_ranks()[1], mergeable_ranks=dict(ranks), special_tokens={})
 
 
-def test_ids_and_round_trip(ranks, reference, monkeypatch):
+@pytest.mark.parametrize("by_space", [True, False])
+def test_ids_and_round_trip(ranks, reference, monkeypatch, by_space):
     monkeypatch.setattr(bpe, "KEPT", 8)  # generations turn over at once
-    t = bpe.Tokenizer(ranks, bpe.default_ranks()[1])
+    t = bpe.Tokenizer(ranks, bpe.default_ranks()[1], by_space)
     for group in (TEXTS, TEXTS[::-1], TEXTS[3:9]):
         texts = [x or "" for x in group]
         for x, (ids, plain) in zip(texts, t.encode(texts), strict=True):
@@ -38,3 +41,30 @@ def test_query_rows(spark, reference):
         assert rows[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert rows[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.encoded(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("run", [2048, 64])
+def test_long_words_are_contracted_pair_by_pair(ranks, reference, monkeypatch, run):
+    monkeypatch.setattr(bpe, "RUN", run)
+    r, t = random.Random(4), bpe.Tokenizer(ranks, bpe.default_ranks()[1])
+    words = ["".join(r.choice(letters) for _ in range(n)) for letters in ("ab", "abb", "stin", "thea", "eio", "abcdefghijklmnopqrstuvwxyz") for n in (70, 200, 900)]
+    words += [c * n for c in "abstz" for n in (65, 66, 1001)] + ["the" * 90, "ing" * 70, "nana" * 50 + "n"]
+    got = [t.contract([w.encode()])[0] for w in words]
+    assert [ids for ids, _ in got] == [" ".join(map(str, reference.encode_ordinary(w))) for w in words]
+    assert [plain for _, plain in got] == [w.encode() for w in words]
+
+
+def test_a_run_of_one_letter_takes_few_steps(ranks, reference):
+    t = bpe.Tokenizer(ranks, bpe.default_ranks()[1], True)
+    text = "b" * 100_000
+    began = time.monotonic()
+    ids, plain = t.encode([text])[0]
+    assert time.monotonic() - began < 30 and plain == text.encode()
+    assert ids == " ".join(map(str, reference.encode_ordinary(text)))
+
+
+def test_another_pattern(spark, ranks):
+    other = tiktoken.Encoding("other", pat_str=r"[a-z ]+|.", mergeable_ranks=dict(ranks), special_tokens={})
+    docs = spark.createDataFrame([(1, "ab cd ef, gh"), (2, "a  b c d e")], "doc_id long, text string")
+    rows = {r.doc_id: r.ids for r in bpe.encoded(docs, pattern=r"[a-z ]+|.", with_ids=True).collect()}
+    assert rows == {1: other.encode_ordinary("ab cd ef, gh"), 2: other.encode_ordinary("a  b c d e")}
