@@ -10,13 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_long, limit_batches, materialize, sorted_groups
+from .common import as_long, limit_batches, materialize, met, sorted_groups
 
 #: Projected dimensions (even); a neighbour is missed with a chance of 1 - SURE at most; neighbours of each query.
-DIMS, SURE, K = 8, 0.97, 20
-#: Vectors of a cell on average, of a leaf within it; sampled vectors that the cells' tree is fitted on; most cells, so
-#: that their boxes, which are broadcast, stay within some MB; queries of one block that a cell serves at once.
+DIMS, SURE, K = 20, 0.93, 20
+#: Vectors of a cell on average, of a leaf within it; sampled vectors that the cells' tree is fitted on; cells of the tree at
+#: most, so that their boxes, which are broadcast, stay within some MB (a cell that gets more than twice CELL vectors is
+#: several tasks, so there may be any number of vectors); queries of one block that a cell serves at once.
 CELL, LEAF, SAMPLE, CELLS, BLOCK = 8192, 128, 65_536, 16_384, 4096
+#: Cells, besides its own, that a query is sent to before its reach is known better and the others are chosen.
+NEAR = 4
+#: Pairs whose inner products are computed at once.
+PAIRS = 1 << 16
 SEED = 17
 
 
@@ -119,23 +124,40 @@ def box_distance(low: np.ndarray, high: np.ndarray, q: np.ndarray) -> np.ndarray
     return out
 
 
-def search(x: np.ndarray, ids: np.ndarray, px: np.ndarray, q: np.ndarray, pq: np.ndarray, reach: np.ndarray, k: int, top: float, sure: float = SURE) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Scores and positions of each query's k best among x, fewer where the chi-square test stops first.
+def quantile(sure: float, dims: int = DIMS) -> float:
+    """Where chi_square() reaches `sure`, by bisection; infinite for 1 or more."""
+    if sure >= 1:
+        return float("inf")
+    low, high = 0.0, 1400.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(np.array(mid), dims) < sure else (low, mid)
+    return high
 
-    Leaves are taken in the order of their projected distance r; a query stops once F(r^2 / d^2) >= sure, d being its
-    k-th distance so far or `reach`, the squared k-th distance known from elsewhere. Queries at one leaf are verified together.
+
+def search(x: np.ndarray, ids: np.ndarray, px: np.ndarray, q: np.ndarray, pq: np.ndarray, reach: np.ndarray, k: int, top: float, sure: float = SURE) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Scores and positions of each query's k best among x, fewer where the chi-square test stops first, and how many were verified.
+
+    Leaves are taken in the order of their projected distance, and of a leaf the points whose own projected distance r
+    doesn't stop the query: F(r^2 / d^2) < sure, d being its k-th distance so far or `reach`, the squared k-th distance
+    known from elsewhere. Only these are held against the query in full. Queries at one leaf are served together.
     """
-    tree = KdTree(px, LEAF)
+    tree, stop = KdTree(px, LEAF), quantile(sure, px.shape[1])
     dist = box_distance(tree.low, tree.high, pq)
     turn = np.argsort(dist, axis=1, kind="stable")
     norms = (q * q).sum(axis=1) + top**2
     best = np.full((len(q), k), -np.inf)
     where = np.full((len(q), k), -1)
+    verified = np.zeros(len(q), np.int64)
     live = np.arange(len(q))
+    own_norm, q_norm = (px * px).sum(axis=1), (pq * pq).sum(axis=1)
+
+    def radius(of: np.ndarray) -> np.ndarray:
+        d2 = np.minimum(reach[of], np.maximum(norms[of] - 2 * best[of, -1], 0.0))
+        return np.where(np.isinf(d2), np.inf, stop * d2) if np.isfinite(stop) else np.full(len(of), np.inf)
+
     for step in range(len(tree.leaves)):
-        r2 = dist[live, turn[live, step]]
-        d2 = np.minimum(reach[live], np.maximum(norms[live] - 2 * best[live, -1], 1e-300))
-        go = ~(chi_square(r2 / np.maximum(d2, 1e-300)) >= sure)
+        go = dist[live, turn[live, step]] <= radius(live)
         live = live[go]
         if not len(live):
             break
@@ -145,13 +167,21 @@ def search(x: np.ndarray, ids: np.ndarray, px: np.ndarray, q: np.ndarray, pq: np
         for own in np.split(live[order], bounds):
             a, b = tree.leaves[turn[own[0], step]]
             members = tree.order[a:b]
-            score = np.einsum("qd,md->qm", q[own], x[members])
-            both, at = np.hstack([best[own], score]), np.hstack([where[own], np.broadcast_to(members, score.shape)])
+            r2 = q_norm[own, None] + own_norm[members][None] - 2 * pq[own] @ px[members].T
+            near = r2 <= radius(own)[:, None] * (1 + 1e-9) + 1e-9
+            score = np.full(near.shape, -np.inf)
+            rows, cols = np.nonzero(near)
+            for i in range(0, len(rows), PAIRS):
+                m, n = rows[i : i + PAIRS], cols[i : i + PAIRS]
+                score[m, n] = np.einsum("pd,pd->p", q[own[m]], x[members[n]])
+            verified[own] += near.sum(axis=1)
+            both = np.hstack([best[own], score])
+            at = np.hstack([where[own], np.where(near, members[None], -1)])
             tie = np.where(at < 0, np.iinfo(np.int64).max, ids[at])
             pick = np.lexsort((tie, -both), axis=1)[:, :k]
             best[own], where[own] = np.take_along_axis(both, pick, 1), np.take_along_axis(at, pick, 1)
     keep = where >= 0
-    return [best[i, keep[i]] for i in range(len(q))], [where[i, keep[i]] for i in range(len(q))]
+    return [best[i, keep[i]] for i in range(len(q))], [where[i, keep[i]] for i in range(len(q))], verified
 
 
 def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
@@ -169,26 +199,29 @@ def _padded(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = K, id_column: str = "vec_id", column: str = "embedding", cell: int = CELL, sure: float = SURE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k rows nearest, by inner product, to each row whose id is divisible by `every`.
+    """query_id, rank, vec_id, score, verified: the k rows nearest, by inner product, to each row whose id is divisible by `every`.
 
     Equal vectors are one class: a query class is searched once, and of a candidate class the k + 1 smallest ids are
     kept, which are all that any top k can hold. Every class lies in a cell of a kd-tree over the projected vectors,
-    fitted on SAMPLE of them. A query first searches its own cell; with the distance found there the chi-square test
-    says which other cells must be visited, and it goes to all of them. A row's own id is never its candidate; rows
-    that repeat id and vector count once; shorter vectors are filled with zeros. An empty table gives none.
+    fitted on SAMPLE of them. A query first searches its own cell, then the NEAR next that the chi-square test doesn't
+    leave out at the distance found there, then all others that the test, at the distance found by then, doesn't. A row's own
+    id is never its candidate; of rows that share an id, that whose vector sorts first stands for it; shorter vectors are
+    filled with zeros. verified says for how many candidates the query's inner product was computed. An empty table gives
+    none; one vector has no neighbour.
     """
     spark = vectors.sparkSession
     limit_batches(spark)
-    rows = usable(vectors, id_column, column)
-    first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    ids = rows.distinct().withColumn("n", first).where(F.col("n") <= k + 1)
-    classes = ids.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("c", F.element_at("ids", 1))
-    queries = rows.where(F.col("vec_id") % every == 0)
-    asked = queries.select("v").distinct().withColumn("asked", F.lit(True))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(usable(vectors, id_column, column).groupBy("vec_id").agg(F.min("v").alias("v")))
+    asks = F.col("vec_id") % every == 0
+    # The k + 1 smallest ids of each class, kept small by tasks first: a vector may be a third of all rows.
+    fewest = lambda ids: F.slice(F.array_sort(F.flatten(F.collect_list(ids))), 1, k + 1)
+    salted = rows.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(4 * n)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"), F.count("*").alias("n"), F.bool_or(asks).alias("asked"))
+    classes = salted.groupBy("v").agg(fewest("ids").alias("ids"), F.sum("n").alias("n"), F.bool_or("asked").alias("asked")).withColumn("c", F.element_at("ids", 1))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    classes = materialize(classes.join(asked, "v", "left").select("c", "v", "ids", F.coalesce("asked", F.lit(False)).alias("asked"), norm.alias("norm")))
+    classes = materialize(classes.select("c", "v", "ids", "n", "asked", norm.alias("norm")))
     count, width, top = classes.agg(F.count("*"), F.max(F.size("v")), F.max("norm")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, verified long"
     if not count:
         return spark.createDataFrame([], schema)
     directions = projection(width)
@@ -217,21 +250,26 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, id_column: str = "v
     dealt = materialize(classes.select("c", "v", "ids", "asked").mapInArrow(deal, kinds))
     members, home = dealt.where("kind = 0"), dealt.where("kind = 1")
 
+    sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / (2 * cell)).cast("int").alias("slices"))
+
     def visits(asks: DataFrame) -> DataFrame:
-        """Best of each query in each cell it goes to: (c, v, cell, best array<struct<score, vec_id>>)."""
-        # A cell that many queries visit is copied for each BLOCK of them, so no task has more than one block's work.
-        load = asks.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-        sent = asks.join(load, "cell").withColumn("part", F.pmod(F.xxhash64("c"), "parts").cast("int")).drop("parts")
-        held = members.join(load, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        stream = held.select("cell", "part", "kind", "c", "v", "ids", "reach").unionByName(sent.select("cell", "part", "kind", "c", "v", "ids", "reach"))
-        out = pa.schema([("c", pa.int64()), ("score", pa.list_(pa.float64())), ("near", pa.list_(pa.int64()))])
+        """Best of each query in each cell it goes to: (c, score, near, verified)."""
+        # A cell that many queries visit is copied for each BLOCK of them, and one of many members is cut into slices that
+        # each query of the cell goes to, so no task has more than one block's and one slice's work.
+        load = asks.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).join(sizes, "cell")
+        whole = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+        one = lambda name: F.pmod(F.xxhash64("c"), name).cast("int")
+        keys = ["cell", "part", "slice"]
+        sent = asks.join(load, "cell").withColumn("part", one("parts")).withColumn("slice", whole("slices"))
+        held = members.join(load, "cell").withColumn("slice", one("slices")).withColumn("part", whole("parts"))
+        stream = held.select(*keys, "kind", "c", "v", "ids", "reach").unionByName(sent.select(*keys, "kind", "c", "v", "ids", "reach"))
+        out = pa.schema([("c", pa.int64()), ("score", pa.list_(pa.float64())), ("near", pa.list_(pa.int64())), ("verified", pa.int64())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in sorted_groups(batches, ["cell", "part"], 1):
+            for t in sorted_groups(batches, keys, 1):
                 kind = t.column("kind").to_numpy()
-                cells = t.column("cell").to_numpy().astype(np.int64) << 32 | t.column("part").to_numpy()
-                for g in np.split(np.arange(len(kind)), np.nonzero(np.diff(cells))[0] + 1):
+                place = np.stack([t.column(name).to_numpy() for name in keys])
+                for g in np.split(np.arange(len(kind)), np.nonzero((place[:, 1:] != place[:, :-1]).any(axis=0))[0] + 1):
                     m, a = g[kind[g] == 0], g[kind[g] == 1]
                     if not len(m) or not len(a):
                         continue
@@ -239,39 +277,53 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, id_column: str = "v
                     x, q = _padded(has.column("v"), width), _padded(ask.column("v"), width)
                     lists = has.column("ids").to_pylist()
                     lead = np.array([i[0] for i in lists])
-                    found, at = search(x, lead, lifted(x, top) @ directions, q, np.hstack([q, np.zeros((len(q), 1))]) @ directions, ask.column("reach").to_numpy(), k + 1, top, sure)
+                    found, at, verified = search(x, lead, lifted(x, top) @ directions, q, np.hstack([q, np.zeros((len(q), 1))]) @ directions, ask.column("reach").to_numpy(), k + 1, top, sure)
                     scores, near = [], []
                     for s, p in zip(found, at, strict=True):
                         flat = sorted(((-float(v), i) for v, c in zip(s, p, strict=True) for i in lists[c]))[: k + 1]
                         scores.append([-v for v, _ in flat])
                         near.append([i for _, i in flat])
-                    yield pa.RecordBatch.from_arrays([ask.column("c").combine_chunks(), pa.array(scores, out.field("score").type), pa.array(near, out.field("near").type)], schema=out)
+                    yield pa.RecordBatch.from_arrays([ask.column("c").combine_chunks(), pa.array(scores, out.field("score").type), pa.array(near, out.field("near").type), pa.array(verified)], schema=out)
 
-        return stream.repartition(n, "cell", "part").sortWithinPartitions("cell", "part", "kind", "c").mapInArrow(run, "c long, score array<double>, near array<long>")
+        return stream.repartition(n, *keys).sortWithinPartitions(*keys, "kind", "c").mapInArrow(run, "c long, score array<double>, near array<long>, verified long")
 
-    near = materialize(visits(home))
+    def best(visited: DataFrame) -> DataFrame:
+        """The k + 1 best of each query over its visits so far, (c, top, reach, verified); lists of k + 1 meet by class, a row for each cell visited."""
+        every = visited.groupBy("c").agg(F.flatten(F.collect_list(F.arrays_zip("score", "near"))).alias("all"), F.sum("verified").alias("verified"))
+        pairs = F.transform("all", lambda p: F.struct((-p["score"]).alias("far"), p["near"].alias("vec_id")))
+        return every.select("c", F.slice(F.array_sort(pairs), 1, k + 1).alias("top"), "verified")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The other cells that the chi-square test lets a query not leave out, by its distance so far."""
-        for b in batches:
-            if not b.num_rows:
-                continue
-            q = _padded(b.column("v"), width)
-            own = b.column("cell").to_numpy()
-            kth = np.array([s[k] if s is not None and len(s) > k else -np.inf for s in b.column("score").to_pylist()])
-            d2 = (q * q).sum(axis=1) + top**2 - 2 * kth
-            r2 = box_distance(low, high, np.hstack([q, np.zeros((len(q), 1))]) @ directions)
-            need = ~(chi_square(r2 / np.maximum(d2, 1e-300)[:, None]) >= sure)
-            need[np.arange(len(q)), own] = False
-            a, cells = np.nonzero(need)
-            took = b.take(pa.array(a))
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([1] * len(a), pa.int32()), took.column("c"), took.column("v"), pa.array([None] * len(a), place.field("ids").type), pa.array(d2[a])], schema=place)
-
-    others = home.select("cell", "c", "v").join(near.select("c", "score"), "c", "left").mapInArrow(spread, kinds)
-    every_visit = near.unionByName(visits(others))
-    # Lists of k + 1 meet by class: a row for each cell visited, each of a fixed size.
-    pairs = every_visit.select("c", F.explode(F.arrays_zip("score", "near")).alias("p")).select("c", "p.score", F.col("p.near").alias("vec_id"))
-    order = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("score"), "vec_id"))
-    tops = pairs.withColumn("n", order).where(F.col("n") <= k + 1).groupBy("c").agg(F.sort_array(F.collect_list(F.struct("n", "score", "vec_id"))).alias("top"))
-    named = queries.distinct().join(classes.where("asked").select("c", "v").join(tops, "c"), "v").select(F.col("vec_id").alias("query_id"), F.filter("top", lambda x: x["vec_id"] != F.col("vec_id")).alias("top"))
-    return named.select("query_id", F.posexplode(F.slice("top", 1, k)).alias("r", "t")).select("query_id", (F.col("r") + 1).cast("int").alias("rank"), "t.vec_id", "t.score")
+    def spread(done: int, most: int):
+        """The next cells, by projected distance, that the chi-square test lets a query not leave out at its distance so far: up to `most`, after the `done` that it has had besides its own."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo in range(0, b.num_rows, 256):
+                    part = b.slice(lo, 256)
+                    q = _padded(part.column("v"), width)
+                    own = part.column("cell").to_numpy()
+                    kth = np.array([-t[k]["far"] if t is not None and len(t) > k else -np.inf for t in part.column("top").to_pylist()])
+                    d2 = np.maximum((q * q).sum(axis=1) + top**2 - 2 * kth, 0.0)
+                    r2 = box_distance(low, high, np.hstack([q, np.zeros((len(q), 1))]) @ directions)
+                    r2[np.arange(len(q)), own] = -1.0
+                    turn = np.argsort(r2, axis=1, kind="stable")[:, 1 + done : 1 + done + most]
+                    limit = np.where(np.isinf(d2), np.inf, stop * d2)
+                    a, j = np.nonzero(np.take_along_axis(r2, turn, 1) <= limit[:, None])
+                    cells = turn[a, j]
+                    took = part.take(pa.array(a))
+                    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([1] * len(a), pa.int32()), took.column("c"), took.column("v"), pa.array([None] * len(a), place.field("ids").type), pa.array(d2[a])], schema=place)
+
+        return run
+
+    stop = quantile(sure)
+    asked = home.select("cell", "c", "v")
+    visited = materialize(visits(home))
+    for done, most in ((0, NEAR), (NEAR, len(low))):
+        if len(low) > 1 + done:
+            more = asked.join(best(visited).select("c", "top"), "c", "left").mapInArrow(spread(done, most), kinds)
+            visited = materialize(visited.unionByName(visits(more)))
+    tops = best(visited)
+    named = met(rows.where(asks), classes.where("asked").select("v", "c", "n"), ["v"], "n", ["vec_id"]).select(F.col("vec_id").alias("query_id"), "c")
+    own = F.filter("top", lambda x: x["vec_id"] != F.col("query_id"))
+    each = named.join(tops, "c").select("query_id", "verified", F.posexplode(F.slice(own, 1, k)).alias("r", "t"))
+    return each.select("query_id", (F.col("r") + 1).cast("int").alias("rank"), "t.vec_id", (-F.col("t.far")).alias("score"), "verified")

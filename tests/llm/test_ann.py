@@ -53,3 +53,48 @@ def test_copies_ties_and_what_takes_no_part(spark):
     few = rows[59:62]
     assert found(spark, few)[60] == [(i, pytest.approx(s)) for i, s in brute(few, 20, 20)[60]]
     assert found(spark, nan) == {} and found(spark, []) == {}
+
+
+def test_embeddings_at_shipped_parameters(spark):
+    """Recall against brute force over the table that the query reads, and how much of it was verified."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = {r.vec_id: np.array(r.embedding, float) for r in table.collect()}
+    ids, x = np.array(list(rows)), np.stack(list(rows.values()))
+    got: dict = {}
+    for r in ann.nearest(table).collect():
+        got.setdefault(r.query_id, []).append(r)
+    assert got.keys() == {i for i in rows if i % 20 == 0}
+    recall, verified = [], []
+    for q, near in got.items():
+        near.sort(key=lambda r: r["rank"])
+        score = x @ rows[q]
+        order = np.lexsort((ids, -score))
+        want = ids[order[ids[order] != q]][:20]
+        assert [r["rank"] for r in near] == list(range(1, 21)) and np.allclose([r.score for r in near], [rows[q] @ rows[r.vec_id] for r in near], rtol=1e-12)
+        recall.append(len({r.vec_id for r in near} & set(want.tolist())) / 20)
+        verified.append(near[0].verified / len(rows))
+    assert np.mean(recall) >= 0.9 and np.mean(verified) < 0.8
+
+
+def test_larger_tables_verify_less(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(6000, 12)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    share = [np.mean([r.verified / n for r in ann.nearest(df.where(f"vec_id < {n}"), every=n // 100, cell=500).collect()]) for n in (1000, 6000)]
+    assert share[1] < share[0] < 0.9
+
+
+def test_an_id_with_two_vectors(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(60)]
+    again = [(0, [9.0] * 4), (20, [8.0] * 4), (5, [7.0] * 4)]
+    got = found(spark, rows + again, sure=1.1)
+    assert {q: len(near) for q, near in got.items()} == {0: 20, 20: 20, 40: 20}
+    assert all(q not in [i for i, _ in near] and len({i for i, _ in near}) == 20 for q, near in got.items())
+
+
+def test_cells_of_many_vectors_are_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELLS", 2)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(400)]
+    assert found(spark, rows, cell=20, sure=1.1) == {q: [(i, pytest.approx(s)) for i, s in near] for q, near in brute(rows, 20, 20).items()}
