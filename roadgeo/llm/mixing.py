@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_long, as_text, materialize
+from .common import as_long, as_text, fresh, materialize
 
 #: Weights of the sources in order, repeated; share of all words that the mix takes; most times that a source is taken.
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
@@ -17,6 +17,8 @@ WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 FLIGHT, LEFT = 4096, 2
 #: Units that a source's last flight leaves to the landing besides.
 LAND = 10
+#: Equal rows that one step makes from their number.
+BLOCK = 4096
 EPS = 1e-9
 
 
@@ -29,18 +31,29 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     """Source, source_size and target of a table (source, size).
 
     Sources by code point, null last, have the weights in turn. A target stops at `most` times its source's size and
-    the excess is shared anew by weight until none is above: the fixed point is min(cap, weight x level), and in the
-    order of cap / weight the level follows from running sums. The windows run over a row for each source.
+    the excess is shared anew by weight until none is above: the fixed point is min(cap, weight x level). Each round is
+    one aggregate over the sources: the level of those not yet at their caps rises until it lifts no other to its cap.
+    Sources may be many (hosts), so their places come from a range partitioning, and no task holds all of them.
     """
     by = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    named = by.withColumn("k", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.hex("source"))) - 1)
+    order = [F.col("source").isNull(), F.hex("source")]
+    n = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(by.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each partition
+    starts = dealt.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    named = dealt.withColumn("k", place).join(F.broadcast(starts), "part").withColumn("k", F.col("k") + F.col("start"))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("k") % len(weights) + 1).cast("int"))
-    caps = named.withColumn("w", w).withColumn("cap", most * F.col("source_size").cast("double"))
-    up = Window.orderBy(F.col("cap") / F.col("w"), "k")
-    run = caps.withColumn("full", F.sum("cap").over(up.rowsBetween(Window.unboundedPreceding, -1))).withColumn("rest", F.sum("w").over(up.rowsBetween(0, Window.unboundedFollowing))).withColumn("all", F.sum("source_size").over(Window.partitionBy()).cast("double"))
-    level = (share * F.col("all") - F.coalesce("full", F.lit(0.0))) / F.col("rest")
-    free = run.withColumn("level", level).withColumn("free", F.when(F.col("cap") / F.col("w") > F.col("level"), F.col("level")))
-    return free.withColumn("level", F.max("free").over(Window.partitionBy())).select("source", "source_size", F.least("cap", F.coalesce(F.col("w") * F.col("level"), "cap")).alias("target"))
+    caps = materialize(named.select("source", "source_size", w.alias("w"), (most * F.col("source_size").cast("double")).alias("cap")))
+    due = share * float(caps.agg(F.sum("source_size")).first()[0] or 0)
+    level, was = 0.0, -1
+    while True:
+        full = F.col("cap") <= F.col("w") * level
+        taken, rest, many = caps.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w"))), F.count_if(full)).first()
+        if many == was or not rest:
+            break
+        level, was = max(level, (due - (taken or 0.0)) / rest), many
+    return caps.select("source", "source_size", F.least("cap", F.col("w") * level if rest else F.col("cap")).alias("target"))
 
 
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -162,18 +175,17 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and u of each row. u is a hash of the row's place among its likes, the same in each rerun."""
-    text = as_text(docs)
+    """doc_id, source, size and u of each row. u is a hash of the row's place among its likes, the same in each rerun.
+
+    Equal rows are no different from each other, so they are counted with partial aggregates and made anew from their
+    number, a block of BLOCK at a time: a row that a third of the table repeats is never one task's group.
+    """
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    rows = materialize(docs.select(as_long(docs, "doc_id").alias("doc_id"), source.alias("source"), words_of(docs).alias("size"), F.xxhash64(text).alias("h")))
+    rows = docs.select(as_long(docs, "doc_id").alias("doc_id"), source.alias("source"), words_of(docs).alias("size"), F.xxhash64(as_text(docs)).alias("h"))
     key = ["doc_id", "source", "size", "h"]
-    again = rows.groupBy(*key).count().where("count > 1")
-    number = F.row_number().over(Window.partitionBy(*key).orderBy("salt"))
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}")) for c in key]
-    cond = same[0] & same[1] & same[2] & same[3]
-    once = rows.alias("r").join(again.alias("a"), cond, "left_anti").withColumn("k", F.lit(0))
-    more = rows.alias("r").join(again.alias("a"), cond, "left_semi").withColumn("salt", F.lit(0)).withColumn("k", number).drop("salt")
-    return once.unionByName(more).select("doc_id", "source", "size", "h", "k", F.xxhash64("doc_id", "source", "size", "h", "k").alias("u"))
+    blocks = rows.groupBy(*key).count().withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / BLOCK))))
+    each = blocks.select(*key, F.explode(F.sequence(F.col("b") * BLOCK, F.least((F.col("b") + 1) * BLOCK, "count") - 1)).alias("k"))
+    return materialize(each.withColumn("u", F.xxhash64(*key, "k")))
 
 
 def mixture(docs: DataFrame) -> DataFrame:
@@ -186,13 +198,18 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    m = mix(sized(docs)).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("h").alias("_h"), "copies")
-    per = m.groupBy("_d", "_s", "_h").agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
+    """The rows of docs, each as often as the mix takes it, with all their columns, whatever the names.
+
+    A null or missing source is a source of its own; empty and null texts have no words and go by number alone; an empty
+    table gives an empty one.
+    """
+    d, s, h, i, o, k, every, rows, n, c, e = fresh(docs, 11)
+    m = mix(sized(docs)).where("copies > 0").select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("h").alias(h), "copies")
+    per = m.groupBy(d, s, h).agg(F.sum("copies").alias(every), F.count("*").alias(rows))
     # Rows equal in id, source and text are one row taken as often as all of them: which of them goes is no matter.
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    own = docs.withColumn("_k", F.xxhash64(as_text(docs)))
-    joined = own.join(per, as_long(docs, "doc_id").eqNullSafe(F.col("_d")) & source.eqNullSafe(F.col("_s")) & (F.col("_k") == F.col("_h")))
-    number = F.row_number().over(Window.partitionBy("_d", "_s", "_h").orderBy("_k"))
-    share = F.floor(F.col("_all") / F.col("_rows")) + F.when(F.col("_n") <= F.col("_all") % F.col("_rows"), 1).otherwise(0)
-    return joined.withColumn("_n", number).withColumn("_c", share.cast("int")).where("_c > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(docs.columns)
+    own = docs.withColumns({i: as_long(docs, "doc_id"), o: source, k: F.xxhash64(as_text(docs))})
+    joined = own.join(per, F.col(i).eqNullSafe(F.col(d)) & F.col(o).eqNullSafe(F.col(s)) & (F.col(k) == F.col(h)))
+    number = F.row_number().over(Window.partitionBy(d, s, h).orderBy(k))
+    share = F.floor(F.col(every) / F.col(rows)) + F.when(F.col(n) <= F.col(every) % F.col(rows), 1).otherwise(0)
+    return joined.withColumn(n, number).withColumn(c, share.cast("int")).where(F.col(c) > 0).withColumn(e, F.explode(F.sequence(F.lit(1), F.col(c)))).select(docs.columns)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, as_long, as_text, batch, limit_batches, materialize, sorted_groups
+from .common import as_bytes, as_long, as_text, batch, fresh, limit_batches, materialize, sorted_groups
 from .graph import components
 
 SEED, SHINGLE, BITS = 42, 4, 64
@@ -200,12 +200,15 @@ def deduplicated(docs: DataFrame, radius: int = 4) -> DataFrame:
     """One row of each component: that with the smallest doc_id, nulls last, and of rows that repeat it the smallest text hash.
 
     A row is known by doc_id and text hash: rows equal in both have one fingerprint, so they are of one component, and
-    whichever of them stays is no matter. The texts are shuffled once, by both, for the join with the rows to keep.
+    whichever of them stays is no matter. Rows of a null or shared doc_id whose texts differ are of components of their
+    own, so each of them stays. Null and empty texts are one component. Columns may have any names; an empty table gives
+    an empty one. The texts are shuffled once, by both, for the join with the rows to keep.
     """
+    d, h, i, k, n = fresh(docs, 5)
     marked = materialize(fingerprints(docs, hashed=True))
     least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h"))
-    keep = rooted(marked, least, radius).groupBy("root").agg(F.min("doc").alias("doc")).select(F.col("doc.doc_id").alias("_d"), F.col("doc.h").alias("_h"))
-    own = docs.withColumn("_k", F.xxhash64(as_text(docs)))
-    kept = own.join(keep, as_long(docs, "doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_h")))
-    first = F.row_number().over(Window.partitionBy("_d", "_h").orderBy("_k"))
-    return kept.withColumn("_first", first).where("_first = 1").select(docs.columns)
+    keep = rooted(marked, least, radius).groupBy("root").agg(F.min("doc").alias("doc")).select(F.col("doc.doc_id").alias(d), F.col("doc.h").alias(h))
+    own = docs.withColumns({k: F.xxhash64(as_text(docs)), i: as_long(docs, "doc_id")})
+    kept = own.join(keep, F.col(i).eqNullSafe(F.col(d)) & (F.col(k) == F.col(h)))
+    first = F.row_number().over(Window.partitionBy(d, h).orderBy(k))
+    return kept.withColumn(n, first).where(F.col(n) == 1).select(docs.columns)

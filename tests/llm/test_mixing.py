@@ -62,3 +62,20 @@ def test_mix_of_documents(spark, monkeypatch, flight):
     assert rows_taken.columns == df.columns
     assert rows_taken.select(mixing.words_of(rows_taken).alias("n")).groupBy().sum("n").first()[0] == sum(r.taken for r in got)
     assert mixing.mixture(df.limit(0)).collect() == []
+
+
+def test_targets_of_many_sources(spark):
+    rng = np.random.default_rng(2)
+    sizes = {f"host{i}": int(n) for i, n in enumerate((rng.pareto(1.0, 500) * 20).astype(int))}
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    assert got == {s: pytest.approx(t) for s, t in plain_targets(sizes).items()}
+    assert [r.target for r in mixing.targets(spark.createDataFrame([("a", 0), ("b", 0)], "source string, size long")).collect()] == [0.0, 0.0]
+
+
+def test_one_row_repeated(spark):
+    df = spark.range(10_000).selectExpr("cast(5 as long) as doc_id", "'two words' as text", "'s' as source", "1 as _k", "2 as own_0")
+    got = mixing.mixture(df).collect()
+    assert len(got) == 10_000 and sum(r.taken for r in got) == pytest.approx(30_000, abs=4)
+    taken = mixing.mixed(df)
+    assert taken.columns == df.columns and 2 * taken.count() == sum(r.taken for r in got)
