@@ -91,41 +91,36 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
-def roles(pages: DataFrame) -> DataFrame:
-    """page_id, url, html and `first`: the smallest page_id of pages with an equal payload of LEAST_REVISIT bytes or more.
-
-    Minima are taken by digest with partial aggregation, and only digests that occur twice are joined back.
-    """
+def hashed(pages: DataFrame) -> DataFrame:
+    """page_id, url (null is empty), html (bytes, null is empty), digest and length of each row."""
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     url = F.coalesce(F.col("url").cast("string"), F.lit("")) if "url" in pages.columns else F.lit("")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(url, r"[\r\n]", " ").alias("url"), html.alias("html")).withColumn("digest", F.sha2("html", 256))
-    many = rows.where(F.length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select(F.col("digest").alias("_d"), "first")
-    return rows.join(many, F.col("digest") == F.col("_d"), "left").drop("_d")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(url, r"[\r\n]", " ").alias("url"), html.alias("html"))
+    return rows.withColumns({"digest": F.sha2("html", 256), "length": F.length("html").cast("long")})
 
 
-def write(pages: DataFrame, path: str) -> DataFrame:
-    """Write bundles below the folder, as each task has the rows; returns the index, one row a record.
+def bundled(rows: DataFrame, path: str) -> DataFrame:
+    """Write bundles of rows (page_id, url, html, digest, length, refers, led) below the folder, as each task has them; returns an index row for each record.
 
-    Each attempt of a task writes bundles of its own names, and the index, kept in the shared folder, names only those
-    of the attempts that Spark took; others stay unread.
+    A row that refers to a record is a revisit. Record identifiers hold the page, the bundle and the number in it, so none
+    occurs twice. Each attempt of a task writes bundles of its own names, and the index, kept in the shared folder, names
+    only those of the attempts that Spark took; others stay unread.
     """
-    schema = pa.schema([("bundle", pa.string()), ("frame", pa.int32()), ("at", pa.int32()), ("length", pa.int32()), ("record_id", pa.string())])
+    schema = pa.schema([("bundle", pa.string()), ("frame", pa.int32()), ("at", pa.int32()), ("length", pa.int32()), ("record_id", pa.string()), ("page_id", pa.int64()), ("digest", pa.string()), ("led", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(path)
         store.create_dir(base, recursive=True)
         out, name, index, n = None, "", [], 0
         for b in batches:
-            ids, urls, firsts, digests = (b.column(c).to_pylist() for c in ("page_id", "url", "first", "digest"))
-            for page, url, first, digest, payload in zip(ids, urls, firsts, digests, as_bytes(b.column("html")), strict=True):
+            for page, url, digest, size, refers, led, payload in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "digest", "length", "refers", "led")), as_bytes(b.column("html")), strict=True):
                 if out is None:
-                    name = f"{uuid.uuid4().hex}.warc.zst"
-                    out = BundleWriter(store.open_output_stream(f"{base}/{name}", compression=None))
-                revisit = first is not None and page != first
-                rid = f"urn:page:{page}:{n}"
-                data = record("revisit" if revisit else "response", rid, url, payload, len(payload), digest, f"urn:page:{first}" if revisit else None)
+                    name, n = uuid.uuid4().hex, 0
+                    out = BundleWriter(store.open_output_stream(f"{base}/{name}.warc.zst", compression=None))
+                rid = f"urn:page:{page}:{name}:{n}"
+                data = record("response" if refers is None else "revisit", rid, url, payload, size, digest, refers)
                 frame, at = out.add(data)
-                index.append((name, frame, at, len(data), rid))
+                index.append((f"{name}.warc.zst", frame, at, len(data), rid, page, digest, led))
                 n += 1
                 if len(out.frames) >= BUNDLE_FRAMES:
                     out.close()
@@ -136,8 +131,24 @@ def write(pages: DataFrame, path: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    limit_batches(pages.sparkSession)
-    return materialize(roles(pages).mapInArrow(run, INDEX))
+    limit_batches(rows.sparkSession)
+    return materialize(rows.select("page_id", "url", "html", "digest", "length", "refers", "led").mapInArrow(run, INDEX + ", page_id long, digest string, led boolean"))
+
+
+def write(pages: DataFrame, path: str) -> DataFrame:
+    """Write every page below the folder; returns the index, one row a record.
+
+    Of pages with an equal payload of LEAST_REVISIT bytes or more, those with the smallest page_id (all rows that share it)
+    are written first, as responses, with all pages that aren't repeated; the others follow as revisits of the first of
+    these records, without their payloads. Which digests repeat is found with partial aggregates.
+    """
+    rows = hashed(pages)
+    many = rows.where(F.col("length") >= LEAST_REVISIT).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1 and first is not null").select("digest", "first")
+    first = rows.join(many, "digest", "left").where("first is null or page_id <=> first")
+    index = bundled(first.withColumns({"refers": F.lit(None).cast("string"), "led": F.col("first").isNotNull()}), path)
+    leaders = index.where("led").groupBy("digest").agg(F.min("record_id").alias("refers"), F.min("page_id").alias("first"))
+    others = rows.drop("html").join(leaders, "digest").where("not page_id <=> first").withColumns({"html": F.lit(None).cast("binary"), "led": F.lit(False)})
+    return index.unionByName(bundled(others, path)).select("bundle", "frame", "at", "length", "record_id")
 
 
 def read(index: DataFrame, path: str) -> DataFrame:
@@ -145,7 +156,7 @@ def read(index: DataFrame, path: str) -> DataFrame:
 
     Rows are dealt by bundle and a hash of the frame, so that one bundle's frames spread over tasks.
     """
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string())])
+    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers", pa.string()), ("record_id", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(path)
@@ -162,23 +173,38 @@ def read(index: DataFrame, path: str) -> DataFrame:
                     raise ValueError(f"{name}, frame {k}: {rid} isn't at {at}")
                 page = rid.split(":")[2]
                 full = head["WARC-Type"] == "response"
-                refers = None if full else head["WARC-Refers-To"].strip("<>").split(":")[2]
+                refers = None if full else head["WARC-Refers-To"].strip("<>")
                 digest = hashlib.sha256(block).hexdigest() if full else head["WARC-Payload-Digest"].removeprefix("sha256:")
-                out.append((None if page == "None" else int(page), len(block) if full else int(head["WARC-Payload-Length"]), digest, head["WARC-Type"], None if refers in (None, "None") else int(refers), rid))
+                out.append((None if page == "None" else int(page), len(block) if full else int(head["WARC-Payload-Length"]), digest, head["WARC-Type"], refers, rid))
             if out:
                 yield batch(schema, *zip(*out, strict=True))
 
     limit_batches(index.sparkSession)
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = index.repartition(n, "bundle", F.floor(F.col("frame") / 16)).sortWithinPartitions("bundle", "frame", "at")
-    return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string")
+    return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers string, record_id string")
+
+
+def resolved(records: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to (the response's page_id) of records read back.
+
+    Each revisit is held against the record that it names: that this is there, is a response, and has the length and the
+    digest that the revisit states, of the payload as read; else reading fails.
+    """
+    known = records.where("record_type = 'response'").select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"))
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    again = records.where("record_type = 'revisit'").join(known, "refers", "left")
+    same = F.col("payload_digest").eqNullSafe(F.col("d")) & F.col("payload_bytes").eqNullSafe(F.col("b"))
+    held = again.withColumn("refers_to", F.when(same, F.col("refers_to")).otherwise(F.raise_error(F.concat(F.lit("no such payload: "), "record_id", F.lit(" refers to "), "refers")).cast("long")))
+    return records.where("record_type = 'response'").select(*out, F.lit(None).cast("long").alias("refers_to")).unionByName(held.select(*out, "refers_to"))
 
 
 def archived(pages: DataFrame) -> DataFrame:
     """Write every page as a record, read all of them back by the index, and give a digest of each.
 
     Of pages with equal payloads of LEAST_REVISIT bytes or more, those with the smallest page_id are responses (all rows
-    that share it), the others revisits of it; a null page_id comes after all others. Null html is empty.
+    that share it), the others revisits of it; a null page_id comes after all others, and pages without any page_id are
+    all responses. Null html is empty; repeated rows are a record each; an empty table gives none.
     """
     path = own_dir(pages.sparkSession, "warc")
-    return read(write(pages, path), path).drop("record_id")
+    return resolved(materialize(read(write(pages, path), path)))

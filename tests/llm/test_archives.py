@@ -93,3 +93,21 @@ def test_bundles_are_plain_zstandard_with_a_seek_table(tmp_path):
         assert r.frame(frame)[at : at + len(rec)] == rec
     with (tmp_path / "b").open("rb") as f:
         assert zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read() == b"".join(records)
+
+
+def test_every_revisit_names_a_record_that_is_there(spark, tmp_path):
+    big = "q" * 150
+    rows = [(i % 4, "u", big) for i in range(12)] + [(None, "u", big), (None, "u", "r" * 200), (None, "u", "r" * 200), (50, "u", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    index = warc.write(pages, f"file://{tmp_path}/w")
+    records = warc.read(index, f"file://{tmp_path}/w").collect()
+    ids = {r.record_id for r in records}
+    assert len(ids) == len(records) == len(rows)
+    kinds = {r.record_id: r.record_type for r in records}
+    assert all(kinds[r.refers] == "response" for r in records if r.record_type == "revisit")
+    got = warc.resolved(spark.createDataFrame(records)).collect()
+    want = [("0", "response", None)] * 3 + [(str(i), "revisit", 0) for i in (1, 2, 3)] * 3 + [("None", "revisit", 0)] + [("None", "response", None)] * 2 + [("50", "response", None)]
+    assert sorted(map(str, ((str(r.page_id), r.record_type, r.refers_to) for r in got))) == sorted(map(str, want))
+    lost = spark.createDataFrame([r for r in records if not (r.record_type == "response" and r.page_id == 0)])
+    with pytest.raises(Exception, match="no such payload"):
+        warc.resolved(lost).collect()
