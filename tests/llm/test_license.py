@@ -14,6 +14,9 @@ TEXTS = [
 ]
 
 
+TEXTS += [f"{'filler ' * 77}{' '.join(w.title() for w in text.split())}, and {'the rest ' * 40}" for _, text in license.TEMPLATES]
+
+
 def test_against_sql_and_plan(spark):
     rows = [(i, t, "k") for i, t in enumerate(TEXTS)] + [(4, TEXTS[4], "k")] * 2 + [(None, TEXTS[6], "k")]
     found = license.scan(spark.createDataFrame(rows, "doc_id long, text string, labels string"))
@@ -27,6 +30,9 @@ def test_against_sql_and_plan(spark):
     assert sorted(map(str, (plain(r[n] for n in names) for r in found.collect()))) == sorted(map(str, map(plain, want.fetchall())))
     by = {r.doc_id: r for r in found.collect()}
     assert by[9].labels == "mit" and by[10].labels == "apache-2.0" and by[4].labels == "cc-by,cc-by-nc-4.0" and by[5].n_base == 2 and by[7].n_base == 0 and by[0].labels == ""
+    for i, (label, text) in enumerate(license.TEMPLATES, len(TEXTS) - len(license.TEMPLATES)):
+        assert label in by[i].labels.split(",") and by[i].score == 1.0 and license.step_of(text) >= len(text.split())
+    assert max(len(t.split()) for _, t in license.TEMPLATES) > 200
 
 
 def test_empty_table(spark):
