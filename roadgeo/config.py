@@ -14,13 +14,16 @@ GRADE_BINS = (0.5, 2.5, 4.5, 6.5, 8.5)
 SUPERELEVATION_FT = ((1500.0, 8.0), (3000.0, 6.0), (6000.0, 4.0), (99999.0, 2.0))
 SIGHT_EYE_FT, SIGHT_OBJECT_FT, SIGHT_SEARCH_FT, BLIND_FT = 3.5, 2.0, 1500.0, 400.0
 TOPOLOGY_RADIUS_DEG, GRADE_SEPARATED_FT, AT_GRADE_FT = 4.5e-5, 10.0, 5.0
-STRUCTURE_RADIUS_M, CLEARANCE_RADIUS_DEG = 0.00015 * 111320, 0.0002
+STRUCTURE_RADIUS_M, CLEARANCE_RADIUS_DEG, DECK_FT = 0.00015 * 111320, 0.0002, 4.0
+VOID_M = -1000.0  # below it a raster cell is a void
 SWEEP_FACTORS = (100, 200, 400, 600, 800, 1000, 1200, 1400, 1600, 1800, 2000, 2500, 3000, 4000, 4500)
 V_RMSE_CEILING_FT = (4.0, 4.5, 3.5, 3.5, 4.0, 4.0, 4.0)
 H_RMSE_CEILING_FT = (3.5, 3.5, 3.8, 3.8, 5.0, 5.5, 5.5)
 V_DEVIATION_FT = (35.0, 30.0, 15.0, 12.0, 15.0, 15.0, 15.0)
 H_DEVIATION_FT = (15.0, 15.0, 22.0, 22.0, 15.0, 15.0, 20.0)
-MOUNTAIN_EXTRA_FT, FLAT_TERRAIN_FT, EARLY_EXIT_FAILS = 8.0, 0.05, 3
+MOUNTAIN_EXTRA_FT, FLAT_TERRAIN_FT, ELBOW_FLAT_FT, EARLY_EXIT_FAILS = 8.0, 0.05, 0.15, 3
+CONFIDENCE_CAPS = {"composite_fallback": 25, "highest_safe": 50, "flat_curve": 50, "absolute_fallback": 5}
+DEGREE_FT, CURVE_VARIATION = 364_000.0, 0.05  # feet of a degree of latitude, mean turn of heading
 FALLBACK_WARN, FALLBACK_ALERT, WEAK_CONFIDENCE, NEAR_CEILING_PCT = 0.20, 0.35, 40, 85.0
 H_SPLINE = (400, 200, 400, 400, 200, 200, 400)
 V_SPLINE = (1400, 1400, 1400, 1400, 1000, 1000, 1000)

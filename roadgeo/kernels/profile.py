@@ -3,35 +3,67 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
-from ..config import FEET_PER_METER, Params
+from ..config import DECK_FT, FEET_PER_METER, SIGHT_EYE_FT, SIGHT_OBJECT_FT, SIGHT_SEARCH_FT, Params
+
+
+def trend_of(z: np.ndarray, tier: np.ndarray, spacing_m: float, p: Params) -> np.ndarray:
+    """Running median of the profile over the trend window; known structures (tier 1 and 2) are bridged first, so that it doesn't fall into what they span."""
+    w = max(3, int(p.metres("trend_ft") / spacing_m)) | 1
+    bare = np.where((tier == 1) | (tier == 2), np.nan, z)
+    known = np.isfinite(bare)
+    base = np.interp(np.arange(len(z)), np.nonzero(known)[0], bare[known]) if known.any() else np.asarray(z, float)
+    return pd.Series(base).rolling(w, center=True, min_periods=1).median().to_numpy()
 
 
 def repair_dips(z: np.ndarray, trend: np.ndarray, tier: np.ndarray, spacing_m: float, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Dips and known structures bridged by straight lines; returns the profile and the tiers, 3 for a dip found here.
+    """Dips and known structures bridged by straight lines; returns the profile and the tiers, 3 for what is bridged without being known.
 
     Samples with a tier, or below the trend by more than the dip threshold, form runs. From either end of a run an
     anchor walks out while the profile, as repaired so far, is below the trend by more than the anchor tolerance; a
-    bridge longer than allowed is not built.
+    bridge as long as allowed or longer is not built. The search goes on behind the farther anchor.
     """
     z, tier = np.array(z, float), np.array(tier, int)
     n = len(z)
     marked = (tier > 0) | (z - trend < -p.metres("dip_ft"))
-    starts = np.nonzero(marked & ~np.concatenate(([False], marked[:-1])))[0]
     ends = np.nonzero(marked & ~np.concatenate((marked[1:], [False])))[0]
-    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        i, j = a - 1, b + 1
+    at, where = 0, np.nonzero(marked)[0]
+    while (k := int(np.searchsorted(where, at))) < len(where):
+        a = int(where[k])
+        b = int(ends[np.searchsorted(ends, a)])
+        i, j = max(0, a - 1), min(n - 1, b + 1)
         while i > 0 and z[i] < trend[i] - p.anchor_m:
             i -= 1
         while j < n - 1 and z[j] < trend[j] - p.anchor_m:
             j += 1
-        if i < 0 or j >= n or (j - i) * spacing_m >= p.metres("bridge_ft"):
-            continue
-        z[i : j + 1] = np.linspace(z[i], z[j], j - i + 1)
-        tier[a : b + 1] = np.where(tier[a : b + 1] == 0, 3, tier[a : b + 1])
+        if j > i and (j - i) * spacing_m < p.metres("bridge_ft"):
+            z[i : j + 1] = np.linspace(z[i], z[j], j - i + 1)
+            tier[i : j + 1] = np.where(tier[i : j + 1] == 0, 3, tier[i : j + 1])
+        at = max(b + 1, j + 1)
     return z, tier
 
 
+def anchored(z: np.ndarray, ground: np.ndarray, clearance_m: np.ndarray) -> np.ndarray:
+    """Profile with the deck of every bridge of known clearance set at the ground below, its clearance and the deck's thickness; null clearances change nothing."""
+    deck = ground + clearance_m + DECK_FT / FEET_PER_METER
+    return np.where(np.isfinite(clearance_m) & (clearance_m > 0), deck, z)
+
+
+def sight(z: np.ndarray, spacing_m: float) -> np.ndarray:
+    """Available sight distance of each sample in feet: the farthest sample ahead, within the search distance, whose object the eye sees over all ground between; 0 without one."""
+    n = len(z)
+    out, top = np.zeros(n), np.full(n, -np.inf)
+    eye, target = np.asarray(z, float) + SIGHT_EYE_FT / FEET_PER_METER, np.asarray(z, float) + SIGHT_OBJECT_FT / FEET_PER_METER
+    for k in range(1, min(n - 1, int(SIGHT_SEARCH_FT / FEET_PER_METER / spacing_m)) + 1):
+        d = k * spacing_m
+        m = n - k
+        top[:m] = np.maximum(top[:m], (z[k:] - eye[:m]) / d)
+        seen = (target[k:] - eye[:m]) / d >= top[:m]
+        out[:m][seen] = d * FEET_PER_METER
+    return out
+
+
 def vertical_curves(dist_m: np.ndarray, z: np.ndarray, grade_pct: np.ndarray, p: Params) -> list[dict]:
     """Crests and sags: runs of changing grade of one sign, each fitted with a parabola.
 
@@ -78,6 +110,7 @@ def vertical_curves(dist_m: np.ndarray, z: np.ndarray, grade_pct: np.ndarray, p:
         offset = abs(diff) * length * FEET_PER_METER / 800
         if abs(diff) < p.v_min_grade_change or offset < p.v_min_offset_ft:
             continue
-        middle, chord = c0 + c1 * length / 2 + c2 * length**2 / 4, c0 + (c1 * length + c2 * length**2) / 2
-        out.append({"start_dist": float(dist_m[a]), "end_dist": float(dist_m[b]), "length_m": length, "length_ft": length * FEET_PER_METER, "grade_in": float(g1), "grade_out": float(g2), "alg_diff": float(diff), "k_value": length * FEET_PER_METER / abs(diff), "kind": "CREST" if middle > chord else "SAG", "offset_ft": float(offset)})
+        m = (b - a + 1) // 2
+        chord = z[a] + u[m] / max(length, 1e-9) * (z[b] - z[a])
+        out.append({"start_dist": float(dist_m[a]), "end_dist": float(dist_m[b]), "length_m": length, "length_ft": length * FEET_PER_METER, "grade_in": float(g1), "grade_out": float(g2), "alg_diff": float(diff), "k_value": length / abs(diff), "kind": "CREST" if z[a + m] > chord else "SAG", "offset_ft": float(offset)})
     return out

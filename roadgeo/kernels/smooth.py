@@ -6,6 +6,9 @@ import numpy as np
 
 from ..config import FEET_PER_METER
 
+#: Half-bandwidth of a cubic spline's normal equations with damped jumps.
+BAND = 4
+
 
 def _basis(x: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Interval of each x in the knots t (cubic, clamped) and its four non-zero B-splines."""
@@ -23,33 +26,106 @@ def _basis(x: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k, b
 
 
-def _design(x: np.ndarray, t: np.ndarray) -> np.ndarray:
-    k, b = _basis(x, t)
-    a = np.zeros((len(x), len(t) - 4))
-    for j in range(4):
-        a[np.arange(len(x)), k - 3 + j] = b[:, j]
-    return a
+class _Band:
+    """A symmetric positive definite matrix of half-bandwidth BAND, by its diagonals; sums, and solves by block cyclic reduction.
+
+    Blocks of BAND rows are block tridiagonal. Each round eliminates every other block, all at once, so a system of n
+    unknowns takes log2(n) rounds of numpy work on stacks of small matrices, and time and memory in proportion to n.
+    """
+
+    def __init__(self, size: int):
+        self.size, self.diagonals = size, np.zeros((BAND + 1, size))
+
+    def add(self, row: np.ndarray, column: np.ndarray, value: np.ndarray) -> None:
+        """Add values at places on or below the diagonal."""
+        np.add.at(self.diagonals, (row - column, column), value)
+
+    def trace(self) -> float:
+        return float(self.diagonals[0].sum())
+
+    def plus(self, other: _Band, times: float) -> _Band:
+        out = _Band(self.size)
+        out.diagonals = self.diagonals + times * other.diagonals
+        return out
+
+    def solve(self, rhs: np.ndarray) -> np.ndarray:
+        k = -(-self.size // BAND)
+        low = np.zeros((BAND + 1, k * BAND))
+        low[0, self.size :] = 1.0
+        low[:, : self.size] = self.diagonals
+        b = np.zeros(k * BAND)
+        b[: self.size] = rhs
+        main, side = np.zeros((k, BAND, BAND)), np.zeros((k, BAND, BAND))  # side[i] joins block i + 1 with block i
+        for d in range(BAND + 1):
+            at = low[d].reshape(k, BAND)
+            for c in range(BAND):
+                r = c + d
+                if r < BAND:
+                    main[:, r, c] = main[:, c, r] = at[:, c]
+                else:
+                    side[:, r - BAND, c] = at[:, c]
+        return _reduced(main, side[:-1], b.reshape(k, BAND, 1)).reshape(-1)[: self.size]
+
+
+def _reduced(main: np.ndarray, side: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solution of a block tridiagonal system; the odd blocks are eliminated, the even ones solved for, the odd ones put back."""
+    k = len(main)
+    if k == 1:
+        return np.linalg.solve(main, b)
+    odd, even = main[1::2], main[0::2].copy()
+    left, right = side[0::2], side[1::2]  # of each odd block with the even one before, of the even one after with it
+    many = len(right)
+    known = np.linalg.solve(odd, np.concatenate([left, b[1::2]], axis=2))
+    by_left, by_b = known[:, :, :-1], known[:, :, -1:]
+    by_right = np.linalg.solve(odd[:many], right.transpose(0, 2, 1))
+    rhs = b[0::2].copy()
+    even[: len(odd)] -= left.transpose(0, 2, 1) @ by_left
+    rhs[: len(odd)] -= left.transpose(0, 2, 1) @ by_b
+    even[1 : 1 + many] -= right @ by_right
+    rhs[1 : 1 + many] -= right @ by_b[:many]
+    x_even = _reduced(even, -(right @ by_left[:many]), rhs)
+    out = np.empty_like(b)
+    out[0::2] = x_even
+    out[1::2] = by_b - by_left @ x_even[: len(odd)]
+    out[1::2][:many] -= by_right @ x_even[1 : 1 + many]
+    return out
+
 
+def _normal(k: np.ndarray, b: np.ndarray, y: np.ndarray, size: int) -> tuple[_Band, np.ndarray]:
+    """Normal equations of a spline with the basis b of each point in its knot interval k."""
+    gram, rhs = _Band(size), np.zeros(size)
+    for p in range(4):
+        rhs += np.bincount(k - 3 + p, b[:, p] * y, size)[:size]
+        for q in range(p + 1):
+            gram.diagonals[p - q] += np.bincount(k - 3 + q, b[:, p] * b[:, q], size)[:size]
+    return gram, rhs
 
-def _jumps(t: np.ndarray) -> np.ndarray:
-    """Matrix from coefficients to the jumps of the third derivative at the inner knots."""
+
+def _jumps(t: np.ndarray) -> _Band:
+    """Sum of the squared jumps of the third derivative at the inner knots, as a form of the coefficients."""
     m = len(t) - 4
-    d = np.eye(m)
+    d = np.ones((m, 1))
     for order in range(1, 4):
         span = t[4 : 4 + m - order] - t[order:m]
-        d = (4 - order) * np.diff(d, axis=0) / span[:, None]
-    return np.diff(d, axis=0)
-
-
-def _least_squares(a: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Coefficients by the normal equations, which B-splines keep well conditioned; by SVD where they are singular or few."""
-    if a.shape[1] > 8:
-        gram = a.T @ a
-        try:
-            return np.linalg.solve(gram + 1e-13 * np.trace(gram) / len(gram) * np.eye(len(gram)), a.T @ y)
-        except np.linalg.LinAlgError:
-            pass
-    return np.linalg.lstsq(a, y, rcond=None)[0]
+        d = (np.pad(d[1:], ((0, 0), (1, 0))) - np.pad(d[:-1], ((0, 0), (0, 1)))) * ((4 - order) / span)[:, None]
+    d = np.pad(d[1:], ((0, 0), (1, 0))) - np.pad(d[:-1], ((0, 0), (0, 1)))  # five coefficients from the row's own on
+    rough, at = _Band(m), np.arange(len(d))
+    for p in range(5):
+        for q in range(p + 1):
+            rough.add(at + p, at + q, d[:, p] * d[:, q])
+    return rough
+
+
+def _least_squares(k: np.ndarray, b: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """Coefficients by the normal equations, which B-splines keep well conditioned; by SVD where they are few."""
+    if size <= 8:
+        a = np.zeros((len(y), size))
+        for j in range(4):
+            a[np.arange(len(y)), k - 3 + j] = b[:, j]
+        return np.linalg.lstsq(a, y, rcond=None)[0]
+    gram, rhs = _normal(k, b, y, size)
+    gram.diagonals[0] += 1e-13 * gram.trace() / size
+    return gram.solve(rhs)
 
 
 def smoothing_spline(x: np.ndarray, y: np.ndarray, s: float, tol: float = 1e-3) -> np.ndarray:
@@ -57,44 +133,50 @@ def smoothing_spline(x: np.ndarray, y: np.ndarray, s: float, tol: float = 1e-3)
 
     If a cubic polynomial already has no more than s, it is the result. Else knots are added where residuals are
     largest until least squares get below s, and the jumps of the third derivative are then damped as far as s allows
-    (Dierckx). x must increase; fewer than five points come back as they are.
+    (Dierckx). x must increase; fewer than five points come back as they are. All systems are banded, so time and memory
+    grow with the number of points.
     """
     x, y = np.asarray(x, float), np.asarray(y, float)
     n = len(x)
     if n < 5:
         return y.copy()
-    inner: list[int] = []
-
-    def knots() -> np.ndarray:
-        return np.concatenate((np.full(4, x[0]), x[sorted(inner)], np.full(4, x[-1])))
-
+    inner = np.zeros(0, np.int64)
     while True:
-        t = knots()
-        a = _design(x, t)
-        fit = a @ _least_squares(a, y)
+        t = np.concatenate((np.full(4, x[0]), x[inner], np.full(4, x[-1])))
+        k, b = _basis(x, t)
+        value = lambda c: (b * c[k[:, None] - 3 + np.arange(4)]).sum(axis=1)  # noqa: E731, B023
+        fit = value(_least_squares(k, b, y, len(t) - 4))
         r2 = (y - fit) ** 2
         if r2.sum() <= s or len(inner) >= n - 4:
             break
-        edges = [0, *sorted(inner), n - 1]
-        gain = [(r2[i : j + 1].sum(), i, j) for i, j in zip(edges, edges[1:], strict=False) if j - i >= 2]
-        if not gain:
+        edges = np.concatenate(([0], inner, [n - 1]))
+        total = np.concatenate(([0.0], np.cumsum(r2)))
+        gain = total[edges[1:] + 1] - total[edges[:-1]]
+        wide = np.nonzero(np.diff(edges) >= 2)[0]
+        if not len(wide):
             break
-        gain.sort(reverse=True)
-        for _, i, j in gain[: max(1, len(edges) // 2)]:
-            inner.append((i + j) // 2)
-    if not inner or r2.sum() > s:
+        worst = wide[np.argsort(-gain[wide], kind="stable")][: max(1, len(edges) // 2)]
+        inner = np.sort(np.concatenate((inner, (edges[worst] + edges[worst + 1]) // 2)))
+    if not len(inner) or r2.sum() > s:
         return fit
-    gram, rhs, jump = a.T @ a, a.T @ y, _jumps(t)
-    rough = jump.T @ jump
-    rough *= np.trace(gram) / np.trace(rough)
+    gram, rhs = _normal(k, b, y, len(t) - 4)
+    rough = _jumps(t)
+    scale = gram.trace() / rough.trace()
     low, high = -14.0, 8.0  # of log10 of the damping
+    f_low = f_high = None
     for _ in range(60):
         mid = (low + high) / 2
-        fit = a @ np.linalg.solve(gram + 10.0**mid * rough, rhs)
+        if f_low is not None and f_high is not None and f_high > f_low:  # a secant of logarithms, kept off the ends
+            mid = low + (high - low) * min(0.9, max(0.1, -f_low / (f_high - f_low)))
+        fit = value(gram.plus(rough, scale * 10.0**mid).solve(rhs))
         got = float(((y - fit) ** 2).sum())
         if abs(got - s) <= tol * s:
             break
-        low, high = (mid, high) if got < s else (low, mid)
+        f = np.log(max(got, 1e-300) / s)
+        if f < 0:
+            low, f_low = mid, f
+        else:
+            high, f_high = mid, f
     return fit
 
 
