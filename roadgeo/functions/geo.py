@@ -14,6 +14,8 @@ _A, _F, _K0 = 6378137.0, 1 / 298.257223563, 0.9996
 _N = _F / (2 - _F)
 _RADIUS = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
 _ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
 _E = 2 * sqrt(_N) / (1 + _N)
 
 
@@ -43,6 +45,32 @@ def utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
     return F.lit(500000.0) + F.lit(_K0 * _RADIUS) * x, F.when(epsg >= 32700, 10000000.0).otherwise(0.0) + F.lit(_K0 * _RADIUS) * y
 
 
+def utm_inverse(easting: Column, northing: Column, epsg: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a point of a UTM zone, by the inverse series."""
+    x = (easting - 500000.0) / (_K0 * _RADIUS)
+    y = (northing - F.when(epsg >= 32700, 10000000.0).otherwise(0.0)) / (_K0 * _RADIUS)
+    xi, eta = y, x
+    for j, b in enumerate(_BETA, 1):
+        xi = xi - F.lit(b) * F.sin(2 * j * y) * F.cosh(2 * j * x)
+        eta = eta - F.lit(b) * F.cos(2 * j * y) * F.sinh(2 * j * x)
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    phi = chi
+    for j, d in enumerate(_DELTA, 1):
+        phi = phi + F.lit(d) * F.sin(2 * j * chi)
+    return F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + ((epsg % 100) * 6 - 183), F.degrees(phi)
+
+
+def utm_inverse_sql(easting: str, northing: str, epsg: str) -> tuple[str, str]:
+    """The inverse series as DuckDB text."""
+    k = f"{_K0 * _RADIUS!r}::DOUBLE"
+    x, y = f"(({easting} - 500000.0::DOUBLE) / {k})", f"(({northing} - CASE WHEN {epsg} >= 32700 THEN 10000000.0::DOUBLE ELSE 0.0::DOUBLE END) / {k})"
+    xi = " - ".join([y] + [f"{b!r}::DOUBLE * sin({2 * j} * {y}) * cosh({2 * j} * {x})" for j, b in enumerate(_BETA, 1)])
+    eta = " - ".join([x] + [f"{b!r}::DOUBLE * cos({2 * j} * {y}) * sinh({2 * j} * {x})" for j, b in enumerate(_BETA, 1)])
+    chi = f"asin(sin({xi}) / cosh({eta}))"
+    phi = " + ".join([chi] + [f"{d!r}::DOUBLE * sin({2 * j} * {chi})" for j, d in enumerate(_DELTA, 1)])
+    return f"degrees(atan2(sinh({eta}), cos({xi}))) + (({epsg} % 100) * 6 - 183)", f"degrees({phi})"
+
+
 def utm_sql(lon: str, lat: str, epsg: str) -> tuple[str, str]:
     """The same series as DuckDB text."""
     phi, lam = f"radians({lat})", f"radians({lon} - (({epsg} % 100) * 6 - 183))"
@@ -85,6 +113,11 @@ def path_length(points: Column) -> Column:
     return F.when(F.size(points) < 2, 0.0).otherwise(F.aggregate(steps, F.lit(0.0), lambda s, v: s + v))
 
 
+def wkt_line(points: Column) -> Column:
+    """LINESTRING text of an array of struct<x, y>, seven decimals."""
+    return F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(points, lambda p: F.format_string("%.7f %.7f", p["x"], p["y"])), ", "), F.lit(")"))
+
+
 def wkt_zm(points: Column) -> Column:
     """LINESTRING ZM text of an array of struct<x, y, z, m>: seven, seven, two and four decimals."""
     return F.concat(F.lit("LINESTRING ZM ("), F.array_join(F.transform(points, lambda p: F.format_string("%.7f %.7f %.2f %.4f", p["x"], p["y"], p["z"], p["m"])), ", "), F.lit(")"))

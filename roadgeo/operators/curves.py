@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import FEET_PER_METER, Params
+from ..config import FEET_PER_METER, METERS_PER_MILE, SIGHT_EYE_FT, SIGHT_OBJECT_FT, SIGHT_SEARCH_FT, Params
 from ..functions.classify import degree_bin, degree_of_curve, superelevation
 from ..functions.sequence import gradient, islands, unwrap_step
 
 
-def curvature(points: DataFrame, key: str = "route_id", order: str = "idx", x: str = "x", y: str = "y", step: float = 5.0) -> DataFrame:
-    """kappa (size) and turn (signed numerator) by central differences; 0 where the path stands still."""
+def curvature(points: DataFrame, key: str = "route_id", order: str = "idx", x: str = "x", y: str = "y", step: float | str = 5.0) -> DataFrame:
+    """kappa (size) and turn (signed numerator) by central differences, step apart (a number or a column); 0 where the path stands still."""
+    step = F.col(step) if isinstance(step, str) else step
     w = Window.partitionBy(key).orderBy(order)
     a = points.withColumn("_x1", gradient(F.col(x), w, step)).withColumn("_y1", gradient(F.col(y), w, step))
     b = a.withColumn("_x2", gradient(F.col("_x1"), w, step)).withColumn("_y2", gradient(F.col("_y1"), w, step))
@@ -29,13 +30,15 @@ def headings(points: DataFrame, key: str = "route_id", order: str = "idx", x: st
     return fix.withColumn("heading", F.col("_h") + F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_h", "_c")
 
 
-def horizontal_curves(points: DataFrame, p: Params, key: str = "route_id", order: str = "idx", step: float = 5.0) -> DataFrame:
+def horizontal_curves(points: DataFrame, p: Params, key: str = "route_id", order: str = "idx", step: float | str = 5.0) -> DataFrame:
     """Curves of each path: runs of curvature above the threshold and of one sign, trimmed, long and turned enough.
 
     points hold kappa, turn and heading. A sample with turn 0 goes on with the run it stands in. Left and right are by
     the sign of the turn, positive being called Right. A curve is a spiral if the run before or after its core (from the
-    first to the last sample of 85 % of the peak) is longer than 150 feet.
+    first to the last sample of 85 % of the peak) is longer than 150 feet. The radius is that of the peak.
     """
+    points = points.withColumn("_step", F.col(step) if isinstance(step, str) else F.lit(step))
+    step = F.col("_step")
     w = Window.partitionBy(key).orderBy(order)
     thr = 1 / p.metres("h_max_radius_ft")
     sign = F.when(F.col("turn") > 0, 1).when(F.col("turn") < 0, -1)
@@ -49,26 +52,83 @@ def horizontal_curves(points: DataFrame, p: Params, key: str = "route_id", order
     s = s.withColumn("_peak", F.max("kappa").over(whole))
     keep, core = F.col("kappa") >= thr * 1.05, F.col("kappa") >= 0.85 * F.col("_peak")
     g = s.groupBy(*run).agg(
-        F.min(F.when(keep, F.struct(order, "heading"))).alias("a"), F.max(F.when(keep, F.struct(order, "heading"))).alias("b"), F.max("kappa").alias("peak"), F.avg("kappa").alias("mean"),
-        F.min(F.when(core, F.col(order))).alias("sc"), F.max(F.when(core, F.col(order))).alias("cs"), F.first("_s", ignorenulls=True).alias("side"),
+        F.min(F.when(keep, F.struct(order, "heading"))).alias("a"), F.max(F.when(keep, F.struct(order, "heading"))).alias("b"), F.max("kappa").alias("peak"),
+        F.min(F.when(core, F.col(order))).alias("sc"), F.max(F.when(core, F.col(order))).alias("cs"), F.first("_s", ignorenulls=True).alias("side"), F.first("_step").alias("_step"),
     )
     start, end = F.col(f"a.{order}") * step, F.col(f"b.{order}") * step
-    c = g.where("a is not null").select(key, start.alias("start_dist"), end.alias("end_dist"), (F.col("sc") * step).alias("sc_dist"), (F.col("cs") * step).alias("cs_dist"), (end - start).alias("length_m"), (1 / F.col("mean")).alias("radius_m"), (1 / F.col("peak")).alias("min_radius_m"), F.abs(F.col("b.heading") - F.col("a.heading")).alias("delta"), F.when(F.col("side") > 0, "Right").otherwise("Left").alias("dir"))
+    c = g.where("a is not null").select(key, start.alias("start_dist"), end.alias("end_dist"), F.greatest(F.col("sc") * step, start).alias("sc_dist"), F.least(F.col("cs") * step, end).alias("cs_dist"), (end - start).alias("length_m"), (1 / F.col("peak")).alias("radius_m"), (1 / F.col("peak")).alias("min_radius_m"), F.abs(F.col("b.heading") - F.col("a.heading")).alias("delta"), F.when(F.col("side") > 0, "Right").otherwise("Left").alias("dir"))
     c = c.where((F.col("end_dist") > F.col("start_dist")) & (F.col("length_m") >= p.metres("h_min_length_ft")) & (F.col("delta") >= p.h_min_delta) & (F.col("min_radius_m") <= p.metres("h_max_radius_ft")))
     tail = 150 / FEET_PER_METER
     spiral = ((F.col("sc_dist") - F.col("start_dist")) > tail) | ((F.col("end_dist") - F.col("cs_dist")) > tail)
-    return c.withColumn("transition", F.when(spiral, "Spiral").otherwise("Circular")).withColumn("bin", degree_bin(degree_of_curve(F.col("min_radius_m")))).withColumn("banking", superelevation(F.col("min_radius_m")))
+    return c.withColumn("transition", F.when(spiral, "Spiral").otherwise("Simple")).withColumn("bin", degree_bin(degree_of_curve(F.col("min_radius_m")))).withColumn("banking", superelevation(F.col("min_radius_m")))
 
 
 def compound_groups(curves: DataFrame, gap_ft: float, key: str = "route_id") -> DataFrame:
-    """Curves of one direction with gaps below gap_ft as one: extent, turn, tightest radius, length-weighted radius."""
+    """Curves that follow another of the same direction at less than gap_ft as one: extent, turn, tightest radius, blended radius, spiral if any is, class and banking.
+
+    Curves are taken in the order of their starts, and a gap is from the end of the one before. The blended radius is
+    folded in that order: that of the group so far weighs by its whole extent, gap and newcomer included.
+    """
     w = Window.partitionBy(key).orderBy("c_start", "curve_id")
-    reach = F.max("c_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce((F.lag("dir").over(w) != F.col("dir")) | ((F.col("c_start") - reach) * 5280 >= gap_ft), F.lit(True))
-    g = curves.withColumn("_new", new).withColumn("grp", islands(F.col("_new"), w))
-    weighted = F.sum(F.col("radius_m") * F.col("length_m")) / F.sum("length_m")
-    m = g.groupBy(key, "grp").agg(F.count("*").alias("n"), F.min("c_start").alias("c_start"), F.max("c_end").alias("c_end"), F.first("dir").alias("dir"), F.round(F.sum("delta"), 4).alias("delta"), F.round(F.min("radius_m"), 6).alias("min_radius_m"), F.round(weighted + 1e-9, 4).alias("radius_m"))
-    return m.withColumn("merge_status", F.when(F.col("n") > 1, "Compound").otherwise("Single")).withColumn("bin", degree_bin(degree_of_curve(F.col("min_radius_m"))))
+    new = F.coalesce((F.lag("dir").over(w) != F.col("dir")) | ((F.col("c_start") - F.lag("c_end").over(w)) * 5280 >= gap_ft), F.lit(True))
+    g = curves.withColumn("grp", islands(new, w))
+    each = F.array_sort(F.collect_list(F.struct("c_start", "curve_id", "c_end", "radius_m", "length_m")))
+    m = g.groupBy(key, "grp").agg(F.count("*").alias("n"), each.alias("_each"), F.first("dir").alias("dir"), F.round(F.sum("delta"), 4).alias("delta"), F.round(F.min("radius_m"), 6).alias("min_radius_m"), F.bool_or(F.col("transition") == "Spiral").alias("_spiral"))
+
+    def blend(radius, c):
+        so_far = F.greatest((c["c_end"] - F.col("c_start")) * METERS_PER_MILE, F.lit(1e-6))
+        own = F.greatest(c["length_m"], F.lit(1e-6))
+        return (radius * so_far + c["radius_m"] * own) / (so_far + own)
+
+    m = m.withColumn("c_start", F.col("_each")[0]["c_start"]).withColumn("c_end", F.element_at("_each", -1)["c_end"])
+    m = m.withColumn("radius_m", F.aggregate(F.slice("_each", F.lit(2), F.greatest(F.col("n") - 1, F.lit(0)).cast("int")), F.col("_each")[0]["radius_m"], blend))
+    out = m.withColumn("merge_status", F.when(F.col("n") > 1, "Compound").otherwise("Simple")).withColumn("transition", F.when(F.col("_spiral"), "Spiral").otherwise("Simple"))
+    out = out.withColumn("banking", superelevation(F.col("radius_m"))).withColumn("bin", degree_bin(degree_of_curve(F.col("min_radius_m"))))
+    return out.withColumn("radius_m", F.round(F.col("radius_m") + 1e-9, 4)).select(key, "grp", "n", "c_start", "c_end", "dir", "delta", "min_radius_m", "radius_m", "merge_status", "transition", "banking", "bin")
+
+
+def sight_distance(points: DataFrame, spacing_ft: float, key: str = "route_id", order: str = "idx", z: str = "z", scale: float = 1.0, search_ft: float = SIGHT_SEARCH_FT) -> DataFrame:
+    """points with asd_ft: how far ahead, within search_ft, the farthest sample lies whose object an eye above this one sees over all ground between.
+
+    z times scale is in feet, samples are spacing_ft apart. What lies ahead comes as a window frame of as many samples as
+    the search distance holds, so a route is sorted once and never joined with itself.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    n = int(search_ft / spacing_ft)
+    eye = F.col(z) * scale + SIGHT_EYE_FT
+    slope = lambda h, k, up: (h * scale + up - eye) / ((k + 1) * spacing_ft)
+    start = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("asd"))
+
+    def move(acc, s):
+        top = F.greatest(acc["top"], s["ground"])
+        return F.struct(top.alias("top"), F.when(s["target"] >= top, s["dist"]).otherwise(acc["asd"]).alias("asd"))
+
+    ahead = points.withColumn("_ahead", F.collect_list(z).over(w.rowsBetween(1, max(n, 1))) if n >= 1 else F.array().cast("array<double>"))
+    step = F.transform("_ahead", lambda h, k: F.struct(((k + 1) * spacing_ft).alias("dist"), slope(h, k, SIGHT_OBJECT_FT).alias("target"), slope(h, k, 0.0).alias("ground")))
+    return ahead.withColumn("asd_ft", F.aggregate(step, start, move, lambda a: a["asd"])).drop("_ahead")
+
+
+def mileposts(points: DataFrame, key: str, part: str, order: str) -> DataFrame:
+    """points (x, y in metres, start_mp, end_mp) with dist_m, the length of the path before each, and milepost by its share of the whole; jumps from part to part have no length."""
+    step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(Window.partitionBy(key, part).orderBy(order)), 2) + F.pow(F.col("y") - F.lag("y").over(Window.partitionBy(key, part).orderBy(order)), 2))
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    s = points.withColumn("_step", F.coalesce(step, F.lit(0.0)))
+    s = s.withColumn("dist_m", F.sum("_step").over(w)).withColumn("_total", F.greatest(F.sum("_step").over(Window.partitionBy(key)), F.lit(1e-9)))
+    return s.withColumn("milepost", F.col("start_mp") + F.col("dist_m") / F.col("_total") * (F.col("end_mp") - F.col("start_mp"))).drop("_step", "_total")
+
+
+def sliced(curves: DataFrame, points: DataFrame, key: str, start: str, end: str, order: str, step: float | str = 1.0, block: int = 256) -> DataFrame:
+    """curves with points (array of struct<x, y>) of their path from sample int(start / step) to int(end / step); those of one sample have none.
+
+    Both sides are dealt to blocks of samples besides the path, so a long path with many curves is many tasks.
+    """
+    c = curves.withColumn("_c", F.monotonically_increasing_id())
+    own = c.select("_c", key, F.greatest(F.floor(F.col(start) / step), F.lit(0)).alias("_i"), F.floor(F.col(end) / step).alias("_j"))
+    own = own.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_i") / block), F.floor(F.col("_j") / block))))
+    at = points.select(key, F.col(order).alias("_o"), "x", "y").withColumn("_b", F.floor(F.col("_o") / block))
+    hit = own.join(at, [key, "_b"]).where("_o between _i and _j").groupBy("_c").agg(F.array_sort(F.collect_list(F.struct("_o", "x", "y"))).alias("_all"))
+    line = F.transform("_all", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))
+    return c.join(hit, "_c", "left").withColumn("points", F.when(F.size("_all") > 1, line)).drop("_c", "_all")
 
 
 def quadratic_fit(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

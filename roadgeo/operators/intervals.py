@@ -5,28 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Mileposts of a bucket; both sides of a join are dealt to the buckets that they touch.
-BUCKET = 100.0
+#: A bucket is this many times as long as an interval of the longer side is on average: few lie in several, and few pairs of a bucket don't meet.
+SPAN = 4.0
 
 
 def _buckets(start: Column, end: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(F.least(start, end) / size), F.floor(F.greatest(start, end) / size)))
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str], ls: str, le: str, rs: str, re: str, size: float = BUCKET) -> DataFrame:
+def bucket_of(*sides: tuple[DataFrame, str, str]) -> float:
+    """Mileposts of a bucket for joining tables by their intervals (start, end): from their mean lengths, by one aggregate each."""
+    means = [t.agg(F.avg(F.abs(F.col(e) - F.col(s)))).first()[0] or 0.0 for t, s, e in sides]
+    return max(SPAN * max(means), 1e-3)
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str], ls: str, le: str, rs: str, re: str, size: float | None = None) -> DataFrame:
     """Pairs of rows with equal keys whose open intervals overlap, each pair once.
 
     The route alone is a skewed key, so both sides get the buckets they touch as a further key; a pair that meets in
     several is kept in the one where its overlap begins. Columns of the two sides must differ but for the keys.
     """
+    size = size or bucket_of((left, ls, le), (right, rs, re))
     a = left.withColumn("_b", _buckets(F.col(ls), F.col(le), size))
     b = right.withColumn("_b", _buckets(F.col(rs), F.col(re), size))
     own = F.col("_b") == F.floor(F.greatest(F.col(ls), F.col(rs)) / size)
     return a.join(b, [*keys, "_b"]).where((F.col(le) > F.col(rs)) & (F.col(ls) < F.col(re)) & own).drop("_b")
 
 
-def worst_bin(sections: DataFrame, curves: DataFrame, key: list[str], bin_column: str, out: str, size: float = BUCKET) -> DataFrame:
+def worst_bin(sections: DataFrame, curves: DataFrame, key: list[str], bin_column: str, out: str, size: float | None = None) -> DataFrame:
     """Each section with the worst class of the curves that it overlaps on its route, A if there are none."""
+    size = size or bucket_of((sections, "start_mp", "end_mp"), (curves, "c_start", "c_end"))
     a = sections.withColumn("_b", _buckets(F.col("start_mp"), F.col("end_mp"), size))
     b = curves.select("route_id", F.col("c_start").alias("_cs"), F.col("c_end").alias("_ce"), F.col(bin_column).alias("_bin")).withColumn("_b", _buckets(F.col("_cs"), F.col("_ce"), size))
     hit = a.join(b, ["route_id", "_b"], "left")
@@ -45,11 +53,12 @@ def apportioned(sections: DataFrame, curves: DataFrame, key: list[str], bin_colu
     return joined.select(*key, F.round(rest, 6).alias("len_a"), *[F.round(v, 6).alias(f"len_{k.lower()}") for k, v in parts.items()])
 
 
-def point_in_interval(points: DataFrame, intervals: DataFrame, at: str, s: str, e: str, order: str, value: str, point_key: list[str], skip_null: bool = False, size: float = BUCKET) -> DataFrame:
+def point_in_interval(points: DataFrame, intervals: DataFrame, at: str, s: str, e: str, order: str, value: str, point_key: list[str], skip_null: bool = False, size: float | None = None) -> DataFrame:
     """Each point with the value of the last interval, in `order`, of its route that holds it, both ends included.
 
     With skip_null, intervals without a value don't overwrite earlier ones. Points in none get null.
     """
+    size = size or bucket_of((intervals, s, e))
     b = intervals.select("route_id", F.col(s).alias("_s"), F.col(e).alias("_e"), F.col(order).alias("_o"), F.col(value).alias("_v")).where("_s <= _e")
     b = b.where("_v is not null") if skip_null else b
     b = b.withColumn("_b", _buckets(F.col("_s"), F.col("_e"), size))
@@ -57,3 +66,10 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, at: str, s: str,
     inside = (F.col(at) >= F.col("_s")) & (F.col(at) <= F.col("_e"))
     last = F.max(F.when(inside, F.struct("_o", "_v")))["_v"]
     return a.join(b, ["route_id", "_b"], "left").groupBy("route_id", *point_key, at).agg(last.alias(value))
+
+
+def on_structures(points: DataFrame, sections: DataFrame, at: str, point_key: list[str]) -> DataFrame:
+    """Points (route_id, at, point_key) with on_structure: whether they lie, ends included, in a section of their route with structure type 1 or 2 and rising mileposts."""
+    known = sections.where("structure_type in (1, 2) and start_mp < end_mp").withColumn("_any", F.lit(1))
+    got = point_in_interval(points, known, at, "start_mp", "end_mp", "_any", "_any", point_key)
+    return got.withColumn("on_structure", F.col("_any").isNotNull()).drop("_any")

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import VOID_M
+from ..functions.geo import tile_name
+
 #: Points that choose the cells of a search without a radius, right points of a cell, left points that meet a cell at once.
 SAMPLE, CELL, PACK = 16384, 1024, 2048
 
@@ -136,6 +139,45 @@ def nearest_of_all(left: DataFrame, right: DataFrame, key: str, other: str, lx:
     return best.select(F.col("k").alias(key), F.col("b.o").alias(other), F.round("b.d", 6).alias("dist"))
 
 
+def sampled(points: DataFrame, raster: DataFrame, lon: str, lat: str, out: str, per_degree: int = 2400) -> DataFrame:
+    """points with the raster's elevation in the cell that each lies in; null where the tile has none, or holds a void (below VOID_M).
+
+    raster has one row a cell: tile (of one degree, by name), row from its northern edge, column from its western edge, z.
+    """
+    west, north = F.floor(F.col(lon)), F.floor(F.col(lat)) + 1
+    at = {"_tile": tile_name(F.col(lon), F.col(lat)), "_row": F.least(F.floor((north - F.col(lat)) * per_degree), F.lit(per_degree - 1)).cast("int"), "_col": F.floor((F.col(lon) - west) * per_degree).cast("int")}
+    r = raster.select(F.col("tile").alias("_tile"), F.col("row").cast("int").alias("_row"), F.col("col").cast("int").alias("_col"), F.when(F.col("z") >= VOID_M, F.col("z")).alias(out))
+    return points.withColumns(at).join(r, ["_tile", "_row", "_col"], "left").drop("_tile", "_row", "_col")
+
+
+def stitch_ordered(lines: DataFrame, key: str, order: str, points: str, snap: float = 1e-6) -> DataFrame:
+    """Lines of each key in their order, joined where one begins within snap of the end of the one before: (key, chain, pieces, points).
+
+    points is an array of struct<x, y>; empty ones are passed over, and a chain of a single point is left out.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    some = lines.where(F.size(points) > 0).select(key, order, F.col(points).alias("_p"))
+    end, begin = F.lag(F.element_at("_p", -1)).over(w), F.col("_p")[0]
+    apart = F.coalesce(F.sqrt(F.pow(begin["x"] - end["x"], 2) + F.pow(begin["y"] - end["y"], 2)) >= snap, F.lit(True))
+    part = some.withColumn("_new", apart).withColumn("chain", F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = F.when(F.col("_new"), F.col("_p")).otherwise(F.slice("_p", F.lit(2), F.size("_p")))
+    g = part.withColumn("_own", own).groupBy(key, "chain").agg(F.count("*").alias("pieces"), F.array_sort(F.collect_list(F.struct(order, "_own"))).alias("_all"))
+    return g.select(key, "chain", "pieces", F.flatten(F.transform("_all", lambda s: s["_own"])).alias("points")).where("size(points) >= 2")
+
+
+def pages(points: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """points (x, y, mp) of each page turned about its first so that its last lies level with it, x rescaled to the page's mileposts; pages of one point are left out."""
+    first, last = F.min(F.struct(order, "x", "y")), F.max(F.struct(order, "x", "y"))
+    c = points.groupBy(*keys).agg(first.alias("_f"), last.alias("_l"), F.min("mp").alias("_m0"), F.max("mp").alias("_m1"), F.count("*").alias("_n")).where("_n >= 2")
+    a = -F.atan2(F.col("_l.y") - F.col("_f.y"), F.col("_l.x") - F.col("_f.x"))
+    dx, dy = F.col("x") - F.col("_f.x"), F.col("y") - F.col("_f.y")
+    r = points.join(c.withColumn("_a", a), keys).withColumns({"_x": dx * F.cos("_a") - dy * F.sin("_a"), "_y": dx * F.sin("_a") + dy * F.cos("_a")})
+    w = Window.partitionBy(*keys)
+    x0, x1 = F.min("_x").over(w), F.max("_x").over(w)
+    scaled = F.when(x1 > x0, F.col("_m0") + (F.col("_x") - x0) * (F.col("_m1") - F.col("_m0")) / (x1 - x0)).otherwise(F.col("_x"))
+    return r.withColumn("_s", scaled).select(*keys, order, F.col("_s").alias("x"), F.col("_y").alias("y"), "mp")
+
+
 def topology_pairs(nodes: DataFrame, radius: float) -> DataFrame:
     """Pairs of nodes of different routes at `radius` or less, the smaller id first, with the difference of elevations."""
     b = nodes.select(*[F.col(c).alias(f"o_{c}") for c in ("node_id", "route_id", "lon", "lat", "elev")])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import (
-    EARLY_EXIT_FAILS, FALLBACK_ALERT, FALLBACK_WARN, FLAT_TERRAIN_FT, H_DEVIATION_FT, H_RMSE_CEILING_FT, METERS_PER_MILE_CHUNK, MOUNTAIN_EXTRA_FT, NEAR_CEILING_PCT, V_DEVIATION_FT, V_RMSE_CEILING_FT, WEAK_CONFIDENCE,
+    CONFIDENCE_CAPS, CURVE_VARIATION, DEGREE_FT, EARLY_EXIT_FAILS, ELBOW_FLAT_FT, FALLBACK_ALERT, FALLBACK_WARN, FEET_PER_METER, FLAT_TERRAIN_FT, H_DEVIATION_FT, H_RMSE_CEILING_FT, H_SPLINE, METERS_PER_MILE_CHUNK, MOUNTAIN_EXTRA_FT, NEAR_CEILING_PCT, V_DEVIATION_FT, V_RMSE_CEILING_FT, V_SPLINE, WEAK_CONFIDENCE,
 )
 
 LETTERS = "ABCDEF"
@@ -72,7 +72,8 @@ def early_exit(gates: DataFrame, group: str) -> DataFrame:
     """Factors that a sweep tries: it ends after a pass once EARLY_EXIT_FAILS failures in a row had rising RMSE."""
     w = Window.partitionBy(group).orderBy("factor")
     up = w.rowsBetween(Window.unboundedPreceding, 0)
-    bad = ~F.col("passed") & (F.col("rmse") >= F.lag("rmse").over(w))
+    before_it = F.lag("rmse").over(w)  # the first factor has none before it, and counts as rising
+    bad = ~F.col("passed") & (before_it.isNull() | (F.col("rmse") >= before_it))
     flagged = gates.withColumn("bad", F.coalesce(bad, F.lit(False))).withColumn("any_pass", F.bool_or("passed").over(up))
     reset = flagged.withColumn("run", F.sum(F.when(~F.col("bad"), 1).otherwise(0)).over(up))
     in_run = Window.partitionBy(group, "run").orderBy("factor").rowsBetween(Window.unboundedPreceding, 0)
@@ -95,23 +96,103 @@ def elbow(points: DataFrame, group: str) -> DataFrame:
     return g.select(group, F.col("b.factor").cast("int").alias("factor"), F.round(-F.col("b.d"), 6).alias("peak"), "n", F.round("rise", 6).alias("rise"))
 
 
-def confidence(peak: Column, n: Column, rise: Column) -> Column:
-    """0 to 100: height of the elbow, number of passing factors, rise of the curve, each truncated to whole points."""
+def confidence(method: Column, peak: Column, n: Column, rise: Column) -> Column:
+    """0 to 100: height of the elbow, number of passing factors, rise of the curve, each truncated to whole points; a fallback has a cap of its own."""
     raw = F.least(F.lit(50.0), peak * 100).cast("int") + (F.least(n, F.lit(10)) / 10.0 * 30).cast("int") + (F.least(rise, F.lit(1.0)) * 20).cast("int")
-    return F.greatest(F.when(n < 3, F.least(raw, F.lit(25))).otherwise(raw), F.lit(0)).cast("int")
+    caps = F.create_map(*[F.lit(x) for pair in CONFIDENCE_CAPS.items() for x in pair])
+    return F.least(raw, F.coalesce(F.try_element_at(caps, method), F.lit(100))).cast("int")
 
 
-def selected(gates: DataFrame, group: str, mode: str = "V") -> DataFrame:
-    """Method and factor of each group: flat terrain, elbow of three passes or more, highest safe, fallback 100."""
-    g = gates.groupBy(group).agg((F.max("rmse") - F.min("rmse")).alias("range"), F.count_if("passed").alias("passes"), F.max(F.when(F.col("passed"), F.col("factor"))).alias("highest"), F.max("factor").alias("top"))
-    e = elbow(gates.where("passed"), group).select(group, F.col("factor").alias("bend"))
+def selected(gates: DataFrame, group: str, mode: str, fs: Column) -> DataFrame:
+    """Method, factor, passes, elbow distance, rise and confidence of each group: flat terrain (the national default of the functional system fs, of the group), elbow of three passes or more, highest safe, fallback 100."""
+    own = gates.withColumn("_fs", fs)
+    g = own.groupBy(group).agg(F.min("_fs").alias("_fs"), (F.max("rmse") - F.min("rmse")).alias("range"), F.count_if("passed").alias("passes"), F.max(F.when(F.col("passed"), F.col("factor"))).alias("highest"))
+    e = elbow(gates.where("passed"), group).select(group, F.col("factor").alias("bend"), F.col("peak").alias("_peak"), F.col("rise").alias("_rise"))
     j = g.join(e, group, "left")
     flat = (F.lit(mode) == "V") & (F.col("range") < FLAT_TERRAIN_FT)
     method = F.when(flat, "flat_terrain_default").when(F.col("passes") >= 3, "elbow").when(F.col("passes") > 0, "highest_safe").otherwise("composite_fallback")
-    factor = F.when(flat, 1000).when(F.col("passes") >= 3, F.col("bend")).when(F.col("passes") > 0, F.col("highest")).otherwise(100)
+    default = by_system(V_SPLINE if mode == "V" else H_SPLINE, F.col("_fs"))
+    factor = F.when(flat, default).when(F.col("passes") >= 3, F.col("bend")).when(F.col("passes") > 0, F.col("highest")).otherwise(100)
+    bent = ~flat & (F.col("passes") >= 3)
+    peak = F.when(bent, F.col("_peak")).otherwise(0.0)
+    rise = F.when(F.col("passes") >= 2, F.col("_rise")).otherwise(0.0)
+    out = j.select(group, method.alias("method"), factor.cast("int").alias("factor"), "passes", F.round(peak, 6).alias("peak"), F.round(rise, 6).alias("rise"))
+    return out.withColumn("confidence", confidence(F.col("method"), F.col("peak"), F.col("passes"), F.col("rise")))
+
+
+def audit_rows(gates: DataFrame, group: str, mode: str, fs: Column) -> DataFrame:
+    """One audit row a group of a calibration sweep that has ended early where it may: what was chosen, and the metrics at the baseline, at the choice and at the last factor that passed.
+
+    The baseline is factor 100, or the first one tried; proximity is the RMSE at the choice against its ceiling, in per
+    cent; a factor that wasn't tried has no metrics.
+    """
+    choice = selected(gates, group, mode, fs)
+    tried = gates.withColumn("_fs", fs).groupBy(group).agg(
+        F.min("_fs").alias("f_system"), F.count("*").alias("n_evaluated"), F.min("factor").alias("_first"), F.bool_or(F.col("factor") == 100).alias("_base"), F.max(F.when(F.col("passed"), F.col("factor"))).cast("int").alias("last_passing"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("passed"), F.col("factor")))), "|").alias("passing_factors"), F.map_from_entries(F.collect_list(F.struct("factor", F.struct("rmse", "dev_p80")))).alias("_at"),
+    )
+    j = tried.join(choice, group)
+    base = F.when(F.col("_base"), 100).otherwise(F.col("_first"))
+    metric = lambda factor, name, out: F.round(F.try_element_at("_at", factor)[name], 4).alias(out)
+    ceiling = by_system(V_RMSE_CEILING_FT if mode == "V" else H_RMSE_CEILING_FT, F.col("f_system"))
+    default = by_system(V_SPLINE if mode == "V" else H_SPLINE, F.col("f_system"))
+    got = F.round(F.try_element_at("_at", F.col("factor"))["rmse"], 4)
+    return j.select(
+        group, "f_system", F.lit(mode).alias("mode"), "n_evaluated", F.col("passes").alias("n_passing"), "passing_factors", F.round("rise", 4).alias("rmse_rise"), F.col("method").alias("selection_method"), F.col("factor").alias("selected_factor"), F.round("peak", 4).alias("peak_elbow_distance"),
+        metric(base, "rmse", "rmse_at_baseline"), metric(base, "dev_p80", "dev_at_baseline"), metric(F.col("factor"), "rmse", "rmse_at_selected"), metric(F.col("factor"), "dev_p80", "dev_at_selected"), "last_passing", metric(F.col("last_passing"), "rmse", "rmse_at_last_passing"), metric(F.col("last_passing"), "dev_p80", "dev_at_last_passing"),
+        default.cast("int").alias("national_default"), F.round(F.col("factor") / default, 3).alias("deviation_from_default"), F.round(got / ceiling * 100, 1).alias("ceiling_proximity_pct"), F.col("confidence").alias("confidence_score"), (~F.col("method").isin("elbow", "flat_curve")).alias("override_recommended"),
+    )
+
+
+def composite_score(fs: Column, mountain: Column) -> Column:
+    """How bad a factor is that no ceiling lets pass, of rows (v_rmse, h_rmse, v_dev, h_dev, curve_var): turning, squared drift, and a heavy penalty for what is beyond each ceiling."""
+    v_ceiling, h_ceiling = by_system(V_RMSE_CEILING_FT, fs), by_system(H_RMSE_CEILING_FT, fs)
+    beyond = [F.greatest(F.col(c) - limit, F.lit(0.0)) for c, limit in (("v_rmse", v_ceiling), ("h_rmse", h_ceiling), ("v_dev", by_system(V_DEVIATION_FT, fs) + F.when(mountain, MOUNTAIN_EXTRA_FT).otherwise(0.0)), ("h_dev", by_system(H_DEVIATION_FT, fs)))]
+    drift = F.pow(F.col("v_rmse") / v_ceiling, 2) * 20 + F.pow(F.col("h_rmse") / h_ceiling, 2) * 20
+    return F.col("curve_var") / CURVE_VARIATION * 100 + drift + 500 * sum(beyond[1:], beyond[0])
+
+
+def selected_composite(gates: DataFrame, group: str) -> DataFrame:
+    """The earlier rule of choice, of gates with a score: passing factors whose RMSE rises by less than ELBOW_FLAT_FT take the lowest, three passes the elbow, any pass the highest; without one the least score counts."""
+    best = lambda c: F.when(F.col("passed"), F.col(c))
+    g = gates.groupBy(group).agg(
+        F.count_if("passed").alias("passes"), F.min(best("factor")).alias("lowest"), F.max(best("factor")).alias("highest"),
+        (F.max(F.when(F.col("passed"), F.struct("factor", "rmse")))["rmse"] - F.min(F.when(F.col("passed"), F.struct("factor", "rmse")))["rmse"]).alias("climb"), F.min(F.struct(F.round("score", 6).alias("score"), "factor"))["factor"].alias("composite"),
+    )
+    e = elbow(gates.where("passed"), group).select(group, F.col("factor").alias("bend"))
+    j = g.join(e, group, "left")
+    flat = (F.col("passes") >= 3) & (F.col("climb") < ELBOW_FLAT_FT)
+    method = F.when(flat, "flat_curve").when(F.col("passes") >= 3, "elbow").when(F.col("passes") > 0, "highest_safe").otherwise("composite_fallback")
+    factor = F.when(flat, F.col("lowest")).when(F.col("passes") >= 3, F.col("bend")).when(F.col("passes") > 0, F.col("highest")).otherwise(F.col("composite"))
     return j.select(group, method.alias("method"), factor.cast("int").alias("factor"), "passes")
 
 
+def deviations(vertices: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Metrics of each chunk of vertices (lon, lat, z as read and lon_s, lat_s, z_s as smoothed, metres and degrees): RMSE and largest deviation up and sideways in feet, and the mean turn of heading in degrees."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    v = F.abs(F.col("z") - F.col("zs")) * FEET_PER_METER
+    h = F.sqrt(F.pow((F.col("lat") - F.col("lat_s")) * DEGREE_FT, 2) + F.pow((F.col("lon") - F.col("lon_s")) * DEGREE_FT * F.cos(F.radians("lat_s")), 2))
+    head = F.degrees(F.atan2(F.lead("lat_s").over(w) - F.col("lat_s"), F.lead("lon_s").over(w) - F.col("lon_s")))
+    q = vertices.select(*by, *order, v.alias("v"), h.alias("h"), head.alias("head"))
+    turn = F.abs(F.pmod(F.col("head") - F.lag("head").over(w) + 180, F.lit(360.0)) - 180)
+    q = q.withColumn("turn", turn)
+    return q.groupBy(*by).agg(
+        F.round(F.sqrt(F.avg(F.col("v") * F.col("v"))), 6).alias("v_rmse"), F.round(F.sqrt(F.avg(F.col("h") * F.col("h"))), 4).alias("h_rmse"), F.round(F.max("v"), 6).alias("max_v_dev"), F.round(F.max("h"), 4).alias("max_h_dev"), F.round(F.avg("turn"), 4).alias("curve_var"),
+    )
+
+
+def sensitivity(vertices: DataFrame, factor: str, chunk: list[str], order: str, spacing: float) -> DataFrame:
+    """For each factor the mean over its chunks of: population variance of curvature and of grade, RMSE and largest deviation in feet.
+
+    vertices hold heading (degrees, unwrapped), z (as read) and zs (smoothed), in metres, `spacing` metres apart.
+    """
+    w = Window.partitionBy(factor, *chunk).orderBy(order)
+    dev = F.abs(F.col("z") - F.col("zs"))
+    q = vertices.select(factor, *chunk, dev.alias("dev"), (F.radians(F.lead("heading").over(w) - F.col("heading")) / spacing).alias("k"), ((F.lead("zs").over(w) - F.col("zs")) / spacing).alias("g"))
+    by = q.groupBy(factor, *chunk).agg(F.var_pop("k").alias("k"), (F.sqrt(F.avg(F.col("dev") * F.col("dev"))) * FEET_PER_METER).alias("rmse"), (F.max("dev") * FEET_PER_METER).alias("most"), F.var_pop("g").alias("g"))
+    return by.groupBy(factor).agg(F.round(F.avg("k"), 9).alias("h_variance"), F.round(F.avg("rmse"), 6).alias("v_rmse"), F.round(F.avg("most"), 6).alias("v_max"), F.round(F.avg("g"), 6).alias("v_variance"))
+
+
 def sample_size(population: Column) -> Column:
     """Cochran's sample size at 95 % and 5 %, for a finite population, no more than it."""
     n0 = 1.96**2 * 0.25 / 0.05**2

@@ -1,0 +1,77 @@
+"""The alignment flow over sections of 25 made-up routes; kernels have no SQL twin, the tests hold each stage against plain forms."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import views as V
+from ..config import Params
+from ..functions import geo as G
+from ..plans import flow
+from ..registry import query
+
+#: Degrees of a sample of the lines, cells of a degree in the raster.
+_STEP, _PER_DEGREE = 1.27e-4, 2400
+
+
+def sections(spark, d) -> DataFrame:
+    """Customers as sections of 25 winding routes, end to end in the order of their ids; some are bridges."""
+    k = F.col("c_custkey")
+    i = F.floor(k / 25)
+    at = lambda j: F.format_string("%.7f %.7f", (F.lit(-120.4) + (i * 4 + j) * _STEP).cast("double"), (F.lit(45.2) + (k % 25) * 0.01 + F.sin((i * 4 + j) / 20) * 4.5e-4).cast("double"))
+    line = F.concat(F.lit("LINESTRING ("), F.array_join(F.array(*map(at, range(5))), ", "), F.lit(")"))
+    kind = F.when(i % 40 == 7, 1).otherwise(0)
+    return V.table(spark, d, "customer").select((k % 25).cast("string").alias("RouteId"), (k % 7 + 1).cast("int").alias("FSystem"), (i * 0.025).alias("Start_MP"), ((i + 1) * 0.025).alias("End_MP"), kind.alias("Structure_Type"), line.alias("WKT"))
+
+
+def structures(spark, d) -> DataFrame:
+    """Suppliers as bridges on the routes."""
+    k = F.col("s_suppkey")
+    j = k * 7 % 200 * 4
+    return V.table(spark, d, "supplier").select(k.alias("structure_id"), (F.lit(-120.4) + j * _STEP).alias("lon"), (F.lit(45.2) + (k % 25) * 0.01 + F.sin(j / 20) * 4.5e-4).alias("lat"), F.lpad((k * 7 % 1000).cast("string"), 4, "0").alias("vertical_clearance"))
+
+
+def raster(spark, d) -> DataFrame:
+    """Hills over the strip of the one-degree tile that the routes lie in."""
+    n = V.table(spark, d, "customer").agg(F.max("c_custkey").alias("k")).select((F.floor(F.col("k") / 25 * 4 * _STEP * _PER_DEGREE) + 4).alias("wide"))
+    row, col = F.explode(F.sequence(F.lit(1200), F.lit(1930))), F.explode(F.sequence(F.lit(1430), F.lit(1445) + F.col("wide")))
+    cells = n.select(F.col("wide"), row.alias("row")).select("row", col.alias("col"))
+    z = F.lit(120.0) + 15 * F.sin(F.col("col") / 9) + 6 * F.cos(F.col("row") / 5)
+    return cells.select(G.tile_name(F.lit(-120.4), F.lit(45.2)).alias("tile"), "row", "col", F.when((F.col("row") + F.col("col")) % 97 != 0, z).otherwise(-9999.0).alias("z"))
+
+
+def _flow(spark, d) -> flow.Alignment:
+    return flow.aligned(sections(spark, d), structures(spark, d), raster(spark, d), Params(merge=True))
+
+
+def _rounded(df: DataFrame, *columns: str):
+    return [F.round(c, 4).alias(c) for c in columns]
+
+
+@query()
+def alignment_full(spark, d):
+    """Every vertex: position, elevation, tier, curve, sight distance."""
+    v = _flow(spark, d).vertices
+    return v.select("path", "idx", "RouteId", "FSystem", "Structure_Tier", "curve", *_rounded(v, "Milepost", "lon", "lat", "lon_raw", "lat_raw", "Elev_Ft", "z_raw", "heading", "grade", "roughness", "asd_ft"))
+
+
+@query()
+def alignment_horizontal(spark, d):
+    """Horizontal curves, merged, with their geometry."""
+    h = _flow(spark, d).horizontal
+    return h.select("path", "RouteId", "FSystem", "dir", "transition", "merge_status", "bin", "banking", G.wkt_line(F.col("points")).alias("wkt"), *_rounded(h, "Part", "start_mp", "end_mp", "radius_m", "min_radius_m", "length_m", "delta"))
+
+
+@query()
+def alignment_vertical(spark, d):
+    """Crests and sags."""
+    u = _flow(spark, d).vertical
+    return u.select("path", "RouteId", "FSystem", "kind", "bin", "false_valley", *_rounded(u, "Part", "start_mp", "end_mp", "length_m", "grade_in", "grade_out", "alg_diff", "k_value"))
+
+
+@query()
+def alignment_scores(spark, d):
+    """Sections with their worst classes."""
+    s = _flow(spark, d).scores
+    return s.select("RouteId", "FSystem", "h_bin", "v_bin", *_rounded(s, "start_mp", "end_mp"))

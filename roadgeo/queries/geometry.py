@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import views as V
 from ..functions import geo as G
+from ..operators import spatial
 from ..registry import query
 
 _PTS = "p AS (SELECT c_custkey, (c_custkey * 37 % 35900) / 100.0::DOUBLE - 179.5::DOUBLE AS lon, (c_custkey * 91 % 15900) / 100.0::DOUBLE - 79.5::DOUBLE AS lat FROM customer)"
@@ -34,6 +35,17 @@ def utm_forward(spark, d):
     return p.select("c_custkey", F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"))
 
 
+_LL = G.utm_inverse_sql("easting", "northing", "epsg")
+
+
+@query(f"WITH {_PTS}, z AS (SELECT *, {_ZONE} AS epsg FROM p), u AS (SELECT c_custkey, epsg, round({_EN[0]}, 3) AS easting, round({_EN[1]}, 3) AS northing FROM z) SELECT c_custkey, round({_LL[0]}, 6) AS lon, round({_LL[1]}, 6) AS lat FROM u")
+def utm_inverse(spark, d):
+    p = _pts(spark, d).withColumn("epsg", G.utm_zone(F.col("lon"), F.col("lat")))
+    e, n = G.utm(F.col("lon"), F.col("lat"), F.col("epsg"))
+    lon, lat = G.utm_inverse(F.col("e"), F.col("n"), F.col("epsg"))
+    return p.select("c_custkey", "epsg", F.round(e, 3).alias("e"), F.round(n, 3).alias("n")).select("c_custkey", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
 @query(f"WITH {_PTS} SELECT c_custkey, printf('%s%02d%s%03d', CASE WHEN lat >= 0 THEN 'n' ELSE 's' END, ceil(abs(lat))::INT, CASE WHEN lon < 0 THEN 'w' ELSE 'e' END, ceil(abs(lon))::INT) AS tile FROM p")
 def dem_tile_name(spark, d):
     return _pts(spark, d).select("c_custkey", G.tile_name(F.col("lon"), F.col("lat")).alias("tile"))
@@ -87,11 +99,29 @@ def one_mile_chunks(spark, d):
     return o.select("o_orderkey", "i", (F.least((F.col("i") + 1) * 1609.34, "len") - F.col("i") * 1609.34 >= 1609).alias("whole"), F.round(F.col("i") * 1609.34, 4).alias("from_m"))
 
 
-@query(V.sql("SELECT route_id, page, round(x * cos(radians(30)) - y * sin(radians(30)), 4) AS x, round(x * sin(radians(30)) + y * cos(radians(30)), 4) AS y FROM (SELECT route_id, floor(idx * 50 / 1500.0)::BIGINT AS page, idx * 5.0::DOUBLE AS x, z AS y FROM profile)", "profile"))
+@query(V.sql("""+p AS (SELECT route_id, idx, floor(idx * 50 / 1500.0::DOUBLE)::BIGINT AS page, idx * 50.0::DOUBLE AS x, z * 3 AS y, idx * 50 / 5280.0::DOUBLE AS mp FROM profile),
+    c AS (SELECT route_id, page, arg_min(x, idx) AS x0, arg_min(y, idx) AS y0, atan2(arg_max(y, idx) - arg_min(y, idx), arg_max(x, idx) - arg_min(x, idx)) AS a, min(mp) AS m0, max(mp) AS m1, count(*) AS n FROM p GROUP BY 1, 2),
+    r AS (SELECT route_id, page, idx, m0, m1, (x - x0) * cos(-a) - (y - y0) * sin(-a) AS x, (x - x0) * sin(-a) + (y - y0) * cos(-a) AS y FROM p JOIN c USING (route_id, page) WHERE n >= 2),
+    e AS (SELECT route_id, page, min(x) AS x0, max(x) AS x1 FROM r GROUP BY 1, 2)
+    SELECT route_id, page, idx, round(CASE WHEN x1 > x0 THEN m0 + (x - x0) * (m1 - m0) / (x1 - x0) ELSE x END, 4) AS x, round(y, 3) AS y FROM r JOIN e USING (route_id, page)""", "profile"))
 def rotate_page(spark, d):
-    p = V.profile(spark, d).select("route_id", F.floor(F.col("idx") * 50 / 1500.0).alias("page"), (F.col("idx") * 5.0).alias("x"), F.col("z").alias("y"))
-    x, y = G.rotate(F.col("x"), F.col("y"), 30.0)
-    return p.select("route_id", "page", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
+    p = V.profile(spark, d).select("route_id", "idx", F.floor(F.col("idx") * 50 / 1500.0).alias("page"), (F.col("idx") * 50.0).alias("x"), (F.col("z") * 3).alias("y"), (F.col("idx") * 50 / 5280.0).alias("mp"))
+    r = spatial.pages(p, ["route_id", "page"], "idx")
+    return r.select("route_id", "page", "idx", F.round("x", 4).alias("x"), F.round("y", 3).alias("y"))
+
+
+_PIECES = f"{_LINE}, q AS (SELECT (vec_id % 20)::BIGINT AS route_id, vec_id * 4 + j AS seq, pts[8 * j + 1 : 8 * j + 9 - (vec_id + j) % 2] AS pts FROM (SELECT vec_id, pts, unnest(range(0, 4)) AS j FROM l))"
+
+
+@query(f"""WITH {_PIECES}, w AS (SELECT *, coalesce(sqrt(pow(pts[1].x - lag(pts[-1].x) OVER o, 2) + pow(pts[1].y - lag(pts[-1].y) OVER o, 2)) >= 1e-6, true) AS new FROM q WINDOW o AS (PARTITION BY route_id ORDER BY seq)),
+    c AS (SELECT *, sum(new::INT) OVER (PARTITION BY route_id ORDER BY seq) AS chain, CASE WHEN new THEN pts ELSE pts[2:] END AS own FROM w), g AS (SELECT route_id, chain, count(*) AS pieces, flatten(list(own ORDER BY seq)) AS p FROM c GROUP BY 1, 2)
+    SELECT route_id, chain::BIGINT AS chain, pieces, len(p)::INT AS n, round(p[1].x, 6) AS x0, round(p[-1].y, 6) AS y1, round(list_sum(list_transform(p, lambda q: q.x)), 4) AS sum_x FROM g WHERE len(p) >= 2""")
+def stitch_ordered(spark, d):
+    j, v = F.col("j"), F.col("vec_id")
+    own = F.slice("pts", 8 * j + 1, F.least(9 - (v + j) % 2, F.size("pts") - 8 * j).cast("int"))
+    q = _lines(spark, d).withColumn("j", F.explode(F.array(*map(F.lit, range(4))))).select((v % 20).cast("long").alias("route_id"), (v * 4 + j).alias("seq"), own.alias("pts"))
+    c = spatial.stitch_ordered(q, "route_id", "seq", "pts")
+    return c.select("route_id", "chain", "pieces", F.size("points").alias("n"), F.round(F.col("points")[0]["x"], 6).alias("x0"), F.round(F.element_at("points", -1)["y"], 6).alias("y1"), F.round(F.aggregate("points", F.lit(0.0), lambda a, q: a + q["x"]), 4).alias("sum_x"))
 
 
 @query(f"""WITH {_LINE}, u AS (SELECT vec_id, unnest(pts) AS p, unnest(range(0, 32)) AS i FROM l), s AS (SELECT vec_id, i, p.x AS x, p.y AS y, lead(p.x) OVER w AS x2, lead(p.y) OVER w AS y2 FROM u WINDOW w AS (PARTITION BY vec_id ORDER BY i)),

@@ -77,6 +77,18 @@ def nearest_structure(spark, d):
     return spatial.nearest(V.nodes(spark, d), s, "node_id", "structure_id", "lon", "lat", "s_lon", "s_lat", CLEARANCE_RADIUS_DEG)
 
 
+@query(V.sql(f"""+{_POINTS}, t AS (SELECT p.*, EXISTS (SELECT 1 FROM sections s WHERE s.route_id = p.route_id AND structure_type IN (1, 2) AND start_mp < end_mp AND mp BETWEEN start_mp AND end_mp) AS one, -125.0::DOUBLE + (event_id % 60) / 100.0::DOUBLE + (event_id % 5) * 0.00001::DOUBLE AS lon, 25.0::DOUBLE + (event_id % 24) / 100.0::DOUBLE AS lat FROM p)
+    SELECT route_id, event_id, mp, CASE WHEN one THEN 1 WHEN EXISTS (SELECT 1 FROM structures s WHERE sqrt(pow(t.lon - s.lon, 2) + pow(t.lat - s.lat, 2)) <= 0.00005) THEN 2 ELSE 0 END::INT AS tier FROM t""", "sections", "structures"))
+def structure_mask(spark, d):
+    e = F.col("event_id")
+    p = _points(spark, d).withColumn("lon", F.lit(-125.0) + (e % 60) / 100.0 + (e % 5) * 0.00001).withColumn("lat", F.lit(25.0) + (e % 24) / 100.0)
+    known = intervals.on_structures(p, V.sections(spark, d).select("route_id", "structure_type", "start_mp", "end_mp"), "mp", ["event_id", "lon", "lat"])
+    s = V.structures(spark, d).select(F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"))
+    near = spatial.within(known.where("not on_structure"), s, "lon", "lat", "s_lon", "s_lat", 0.00005, "left_semi").select("event_id", F.lit(2).alias("near"))
+    t = known.join(near, "event_id", "left")
+    return t.select("route_id", "event_id", "mp", F.when(F.col("on_structure"), 1).otherwise(F.coalesce("near", F.lit(0))).cast("int").alias("tier"))
+
+
 _PAIRS = f"pairs AS (SELECT a.node_id, b.node_id AS o_node_id, a.route_id, b.route_id AS o_route_id, abs(a.elev - b.elev) AS dz FROM nodes a JOIN nodes b ON a.node_id < b.node_id AND a.route_id <> b.route_id AND {_dist('a', 'b')} <= {TOPOLOGY_RADIUS_DEG})"
 
 

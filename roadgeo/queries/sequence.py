@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import views as V
-from ..config import SIGHT_EYE_FT, SIGHT_OBJECT_FT
+from ..config import SIGHT_EYE_FT, SIGHT_OBJECT_FT, SIGHT_SEARCH_FT
 from ..functions import sequence as Q
 from ..operators import curves as C
 from ..registry import query
@@ -84,28 +84,32 @@ def rolling_rms(spark, d):
     return V.profile(spark, d).select("route_id", "idx", F.round(F.sqrt(F.avg(F.col("z") * F.col("z")).over(w)), 6).alias("rms"), F.round(F.stddev_samp("z").over(w), 6).alias("sd"))
 
 
-@query(V.sql(f"""+t AS (SELECT a.route_id, a.idx AS i, b.idx AS j, (b.idx - a.idx) * 50.0::DOUBLE AS dist, (b.z + {SIGHT_OBJECT_FT} - a.z - {SIGHT_EYE_FT}) / ((b.idx - a.idx) * 50.0::DOUBLE) AS target, (b.z - a.z - {SIGHT_EYE_FT}) / ((b.idx - a.idx) * 50.0::DOUBLE) AS ground FROM profile a JOIN profile b ON a.route_id = b.route_id AND b.idx BETWEEN a.idx + 1 AND a.idx + 30),
-    s AS (SELECT *, max(ground) OVER (PARTITION BY route_id, i ORDER BY j) AS top FROM t) SELECT p.route_id, idx, coalesce(max(dist) FILTER (target >= top), 0.0::DOUBLE) AS asd_ft FROM profile p LEFT JOIN s ON s.route_id = p.route_id AND i = idx GROUP BY 1, 2""", "profile"))
+#: Samples ahead that lie within the search distance, at 50 feet from one to the next.
+_AHEAD = int(SIGHT_SEARCH_FT / 50)
+SIGHT = f"""t AS (SELECT a.route_id, a.idx AS i, b.idx AS j, (b.idx - a.idx) * 50.0::DOUBLE AS dist, (b.z + {SIGHT_OBJECT_FT} - a.z - {SIGHT_EYE_FT}) / ((b.idx - a.idx) * 50.0::DOUBLE) AS target, (b.z - a.z - {SIGHT_EYE_FT}) / ((b.idx - a.idx) * 50.0::DOUBLE) AS ground FROM profile a JOIN profile b ON a.route_id = b.route_id AND b.idx BETWEEN a.idx + 1 AND a.idx + {_AHEAD}),
+    s AS (SELECT *, max(ground) OVER (PARTITION BY route_id, i ORDER BY j) AS top FROM t), sight AS (SELECT p.route_id, idx, coalesce(max(dist) FILTER (target >= top), 0.0::DOUBLE) AS asd_ft FROM profile p LEFT JOIN s ON s.route_id = p.route_id AND i = idx GROUP BY 1, 2)"""
+
+
+def sight(spark, d):
+    """Available sight distance of every sample."""
+    return C.sight_distance(V.profile(spark, d), 50.0).select("route_id", "idx", "asd_ft")
+
+
+@query(V.sql(f"+{SIGHT} SELECT * FROM sight", "profile"))
 def sight_distance(spark, d):
-    # The samples ahead come as a bounded window frame of 30, so a route is sorted once and never joined with itself.
-    ahead = F.collect_list("z").over(_order().rowsBetween(1, 30))
-    p = V.profile(spark, d).withColumn("ahead", ahead)
-    eye = F.col("z") + SIGHT_EYE_FT
-    step = F.transform("ahead", lambda z, k: F.struct(((k + 1) * 50.0).alias("dist"), ((z + SIGHT_OBJECT_FT - eye) / ((k + 1) * 50.0)).alias("target"), ((z - eye) / ((k + 1) * 50.0)).alias("ground")))
-    start = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("asd"))
+    return sight(spark, d)
 
-    def move(acc, s):
-        top = F.greatest(acc["top"], s["ground"])
-        return F.struct(top.alias("top"), F.when(s["target"] >= top, s["dist"]).otherwise(acc["asd"]).alias("asd"))
 
-    return p.select("route_id", "idx", F.aggregate(step, start, move, lambda a: a["asd"]).alias("asd_ft"))
+_PATH = "p AS (SELECT route_id, idx, idx // 40 AS part, idx * 5.0::DOUBLE AS x, z / 20 AS y, 2.0::DOUBLE AS start_mp, 12.0::DOUBLE AS end_mp FROM profile)"
 
 
-@query(V.sql("SELECT route_id, idx, round(coalesce(sum(z) OVER (PARTITION BY route_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS dist_before, round(sum(z) OVER w / sum(z) OVER (PARTITION BY route_id) * 10 + 2, 6) AS milepost FROM profile WINDOW w AS (PARTITION BY route_id ORDER BY idx)", "profile"))
+@query(V.sql(f"""+{_PATH}, s AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS step FROM p WINDOW w AS (PARTITION BY route_id, part ORDER BY idx)),
+    c AS (SELECT *, sum(step) OVER (PARTITION BY route_id ORDER BY idx) AS dist, sum(step) OVER (PARTITION BY route_id) AS total FROM s) SELECT route_id, idx, round(dist, 4) AS dist_m, round(start_mp + dist / greatest(total, 1e-9) * (end_mp - start_mp), 6) AS milepost FROM c""", "profile"))
 def cumulative_mileposts(spark, d):
-    before = F.coalesce(F.sum("z").over(_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    share = F.sum("z").over(_order().rowsBetween(Window.unboundedPreceding, 0)) / F.sum("z").over(Window.partitionBy("route_id"))
-    return V.profile(spark, d).select("route_id", "idx", F.round(before, 4).alias("dist_before"), F.round(share * 10 + 2, 6).alias("milepost"))
+    i = F.col("idx")
+    p = V.profile(spark, d).select("route_id", "idx", F.floor(i / 40).alias("part"), (i * 5.0).alias("x"), (F.col("z") / 20).alias("y"), F.lit(2.0).alias("start_mp"), F.lit(12.0).alias("end_mp"))
+    m = C.mileposts(p, "route_id", "part", "idx")
+    return m.select("route_id", "idx", F.round("dist_m", 4).alias("dist_m"), F.round("milepost", 6).alias("milepost"))
 
 
 @query(V.sql("SELECT route_id, idx, round(coalesce(sum(sqrt(25 + pow(z - zp, 2))) OVER (PARTITION BY route_id ORDER BY idx), 0) / max(t) OVER (PARTITION BY route_id), 6) AS m FROM (SELECT *, sum(sqrt(25 + pow(z - zp, 2))) OVER (PARTITION BY route_id) AS t FROM (SELECT route_id, idx, coalesce(z, 0) AS z, lag(coalesce(z, 0)) OVER (PARTITION BY route_id ORDER BY idx) AS zp FROM profile))", "profile"))
@@ -116,15 +120,20 @@ def fallback_m_values(spark, d):
     return step.select("route_id", "idx", F.round(m, 6).alias("m"))
 
 
-@query(V.sql("+p AS (SELECT route_id, idx, z, lag(z) OVER (PARTITION BY route_id ORDER BY idx) AS before FROM profile) SELECT route_id, count(*) FILTER (z < before) AS backward, bool_and(coalesce(z >= before, true)) AS monotone FROM p GROUP BY 1", "profile"))
+@query(V.sql("""+v AS (SELECT route_id, l_linenumber AS part, start_mp AS milepost, lag(start_mp) OVER (PARTITION BY route_id, l_linenumber ORDER BY l_orderkey, l_partkey) AS before FROM sections)
+    SELECT route_id, part, count(*) AS n, count(*) FILTER (milepost < before) AS backward, count(*) FILTER (milepost < before) = 0 AS monotone FROM v GROUP BY 1, 2""", "sections"))
 def milepost_continuity(spark, d):
-    p = V.profile(spark, d).withColumn("before", F.lag("z").over(_order()))
-    return p.groupBy("route_id").agg(F.count_if(F.col("z") < F.col("before")).alias("backward"), F.bool_and(F.coalesce(F.col("z") >= F.col("before"), F.lit(True))).alias("monotone"))
+    s = V.sections(spark, d).select("route_id", F.col("l_linenumber").alias("part"), "l_orderkey", "l_partkey", F.col("start_mp").alias("milepost"))
+    back = F.col("milepost") < F.lag("milepost").over(Window.partitionBy("route_id", "part").orderBy("l_orderkey", "l_partkey"))
+    return s.withColumn("back", back).groupBy("route_id", "part").agg(F.count("*").alias("n"), F.count_if("back").alias("backward"), (F.count_if("back") == 0).alias("monotone"))
 
 
-@query(V.sql("SELECT route_id, idx, round(z - lag(z) OVER (PARTITION BY route_id ORDER BY idx), 6) AS dz FROM profile", "profile"))
+@query(V.sql(f"+{_SPIRAL}, {_HEAD} SELECT route_id, idx, round(heading - lag(heading) OVER (PARTITION BY route_id ORDER BY idx), 4) AS change FROM hd", "profile"))
 def heading_change(spark, d):
-    return V.profile(spark, d).select("route_id", "idx", F.round(F.col("z") - F.lag("z").over(_order()), 6).alias("dz"))
+    i = F.col("idx")
+    p = V.profile(spark, d).select("route_id", "idx", (i * F.cos(i * 1.1)).alias("x"), (i * F.sin(i * 1.1)).alias("y"))
+    h = C.headings(p)
+    return h.select("route_id", "idx", F.round(F.col("heading") - F.lag("heading").over(_order()), 4).alias("change"))
 
 
 _TREND = "t AS (SELECT route_id, idx, z, quantile_cont(z, 0.5) OVER (PARTITION BY route_id ORDER BY idx ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS trend FROM profile)"

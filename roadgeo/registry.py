@@ -22,4 +22,4 @@ def query(oracle: str | None = None):
     return add
 
 
-from .queries import curves, geometry, joins, kernels, loading, quality, sequence, statistics  # noqa: E402, F401
+from .queries import curves, flow, geometry, joins, kernels, loading, quality, sequence, statistics  # noqa: E402, F401

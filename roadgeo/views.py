@@ -29,8 +29,8 @@ def curves(spark: SparkSession, d: str) -> DataFrame:
     r, a = F.col("o_totalprice") / 200, F.pmod(F.col("o_totalprice") / 1000, F.lit(20.0)) - 10
     return o.select(
         k.alias("curve_id"), (F.col("o_custkey") % F.col("n_routes")).cast("string").alias("route_id"), (k % 2000).cast("double").alias("c_start"), (k % 2000 + 10).cast("double").alias("c_end"), (k % 7 + 1).cast("int").alias("f_system"),
-        r.alias("radius_m"), F.when(k % 2 == 0, "Right").otherwise("Left").alias("dir"), (F.col("o_custkey") % 90).cast("double").alias("delta"), F.when(k % 5 == 0, "Compound").otherwise("Single").alias("merge_status"),
-        F.when(k % 4 == 0, "Spiral").otherwise("Circular").alias("transition"), (F.lit(50.0) + k % 400).alias("length_m"), a.alias("alg_diff"), F.when(a < 0, "CREST").otherwise("SAG").alias("kind"),
+        r.alias("radius_m"), F.when(k % 2 == 0, "Right").otherwise("Left").alias("dir"), (F.col("o_custkey") % 90).cast("double").alias("delta"), F.when(k % 5 == 0, "Compound").otherwise("Simple").alias("merge_status"),
+        F.when(k % 4 == 0, "Spiral").otherwise("Simple").alias("transition"), (F.lit(50.0) + k % 400).alias("length_m"), a.alias("alg_diff"), F.when(a < 0, "CREST").otherwise("SAG").alias("kind"),
     )
 
 
@@ -75,8 +75,8 @@ SQL = {
         CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 4 END AS facility_type, (l_partkey % 20)::INT AS structure_type, l_partkey::DOUBLE AS start_mp, l_partkey + l_quantity AS end_mp, l_tax * 1000 AS iri
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""",
     "curves": """SELECT o_orderkey AS curve_id, (o_custkey % (SELECT count(*) FROM supplier))::VARCHAR AS route_id, (o_orderkey % 2000)::DOUBLE AS c_start, (o_orderkey % 2000 + 10)::DOUBLE AS c_end, (o_orderkey % 7 + 1)::INT AS f_system,
-        o_totalprice / 200 AS radius_m, CASE WHEN o_orderkey % 2 = 0 THEN 'Right' ELSE 'Left' END AS dir, (o_custkey % 90)::DOUBLE AS delta, CASE WHEN o_orderkey % 5 = 0 THEN 'Compound' ELSE 'Single' END AS merge_status,
-        CASE WHEN o_orderkey % 4 = 0 THEN 'Spiral' ELSE 'Circular' END AS transition, 50.0::DOUBLE + o_orderkey % 400 AS length_m, (o_totalprice / 1000) % 20.0::DOUBLE - 10 AS alg_diff,
+        o_totalprice / 200 AS radius_m, CASE WHEN o_orderkey % 2 = 0 THEN 'Right' ELSE 'Left' END AS dir, (o_custkey % 90)::DOUBLE AS delta, CASE WHEN o_orderkey % 5 = 0 THEN 'Compound' ELSE 'Simple' END AS merge_status,
+        CASE WHEN o_orderkey % 4 = 0 THEN 'Spiral' ELSE 'Simple' END AS transition, 50.0::DOUBLE + o_orderkey % 400 AS length_m, (o_totalprice / 1000) % 20.0::DOUBLE - 10 AS alg_diff,
         CASE WHEN (o_totalprice / 1000) % 20.0::DOUBLE - 10 < 0 THEN 'CREST' ELSE 'SAG' END AS kind FROM orders""",
     "profile": "SELECT user_id AS route_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value AS z, event_id % 10 = 0 AS hole, event_id FROM events",
     "nodes": """SELECT c_custkey AS node_id, c_nationkey::VARCHAR AS route_id, -125.0::DOUBLE + (c_custkey % 60) / 100.0::DOUBLE + (c_custkey % 7) * 0.00001::DOUBLE AS lon, 25.0::DOUBLE + (c_custkey % 24) / 100.0::DOUBLE AS lat,
