@@ -204,11 +204,13 @@ def deduplicated(docs: DataFrame, radius: int = 4) -> DataFrame:
     own, so each of them stays. Null and empty texts are one component. Columns may have any names; an empty table gives
     an empty one. The texts are shuffled once, by both, for the join with the rows to keep.
     """
-    d, h, i, k, n = fresh(docs, 5)
+    i, none, k, n, d, gone, h = fresh(docs, 7)
     marked = materialize(fingerprints(docs, hashed=True))
     least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h"))
-    keep = rooted(marked, least, radius).groupBy("root").agg(F.min("doc").alias("doc")).select(F.col("doc.doc_id").alias(d), F.col("doc.h").alias(h))
-    own = docs.withColumns({k: F.xxhash64(as_text(docs)), i: as_long(docs, "doc_id")})
-    kept = own.join(keep, F.col(i).eqNullSafe(F.col(d)) & (F.col(k) == F.col(h)))
-    first = F.row_number().over(Window.partitionBy(d, h).orderBy(k))
+    row = F.col("doc.doc_id")
+    keep = rooted(marked, least, radius).groupBy("root").agg(F.min("doc").alias("doc")).select(F.coalesce(row, F.lit(0)).alias(d), row.isNull().alias(gone), F.col("doc.h").alias(h))
+    # Join and ranking are by the same three columns, none of them null, so the texts are shuffled once.
+    own = docs.withColumns({i: F.coalesce(as_long(docs, "doc_id"), F.lit(0)), none: as_long(docs, "doc_id").isNull(), k: F.xxhash64(as_text(docs))})
+    kept = own.join(keep, (F.col(i) == F.col(d)) & (F.col(none) == F.col(gone)) & (F.col(k) == F.col(h)))
+    first = F.row_number().over(Window.partitionBy(i, none, k).orderBy(h))
     return kept.withColumn(n, first).where(F.col(n) == 1).select(docs.columns)
