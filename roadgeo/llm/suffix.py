@@ -31,7 +31,7 @@ WIDTH = LENGTH - K + 1
 #: Neighbouring windows that longer and longer leading strings stand for; the last is the window itself.
 CLASSES = (WIDTH, 22, 3, 1)
 #: Bytes hashed at once, and suffixes that a bucket sorts at once.
-PIECE, AT_ONCE = 2 << 20, 20_000
+PIECE, AT_ONCE = 1 << 20, 20_000
 _B = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
 _PLACE = np.uint64((1 << 24) - 1)
@@ -265,25 +265,26 @@ def repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     last = F.col("lo") + F.col("place").bitwiseAND(F.lit(255)) + F.col("more") + LENGTH
     told = [likely.where("times > 1").select("c1", "c2", F.col("lo").alias("start"), last.alias("end"))]
 
-    spans_schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("lo", pa.int64()), ("back", pa.int32()), ("count", pa.int32()), ("span", pa.binary())])
-    lead_schema = pa.schema([("lead", pa.binary()), *spans_schema])
+    lead_schema = pa.schema([("lead", pa.binary()), ("c1", pa.int64()), ("c2", pa.int64()), ("lo", pa.int64()), ("back", pa.int32()), ("count", pa.int32()), ("span", pa.binary())])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for c1, c2, text, places in zip(b.column("c1").to_pylist(), b.column("c2").to_pylist(), as_bytes(b.column("text")), b.column("places").to_pylist(), strict=True):
-                for place in places:
-                    at, back, count = place >> 16, place >> 8 & 255, place & 255
-                    out.append((c1, c2, at - back, back, count, text[at - back : at - back + count + LENGTH]))
-                if len(out) >= 4000:
-                    yield batch(spans_schema, *zip(*out, strict=True))
-                    out = []
-            if out:
-                yield batch(spans_schema, *zip(*out, strict=True))
+    def spans_of(chosen: DataFrame, width: int) -> DataFrame:
+        """Classes of `width` windows of the suffixes at the places chosen, cut out of their texts."""
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for c1, c2, text, places in zip(b.column("c1").to_pylist(), b.column("c2").to_pylist(), as_bytes(b.column("text")), b.column("places").to_pylist(), strict=True):
+                    for place in places:
+                        at, back, count = place >> 16, place >> 8 & 255, place & 255
+                        out += [(lead, c1, c2, at - back + start, *rest) for lead, start, *rest in units(text[at - back : at - back + count + LENGTH], back, count, width)]
+                        if len(out) >= 4000:
+                            yield batch(lead_schema, *zip(*out, strict=True))
+                            out = []
+                if out:
+                    yield batch(lead_schema, *zip(*out, strict=True))
 
-    def spans_of(chosen: DataFrame) -> DataFrame:
         lists = chosen.groupBy("c1", "c2").agg(F.collect_list("place").alias("places"))  # of one text at a time
-        return texts.join(lists.hint("shuffle_hash"), ["c1", "c2"]).select("c1", "c2", "text", "places").mapInArrow(cut, _SPAN)
+        return texts.join(lists.hint("shuffle_hash"), ["c1", "c2"]).select("c1", "c2", "text", "places").mapInArrow(cut, "lead binary, " + _SPAN)
 
     def classed(spans: DataFrame, width: int) -> DataFrame:
         """Each suffix's classes of `width` windows."""
@@ -291,7 +292,7 @@ def repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = []
-                for c1, c2, lo, back, count, span in zip(*(b.column(c).to_pylist() for c in spans_schema.names), strict=True):
+                for c1, c2, lo, back, count, span in zip(*(b.column(c).to_pylist() for c in lead_schema.names[1:]), strict=True):
                     out += [(lead, c1, c2, lo + start, *rest) for lead, start, *rest in units(span, back, count, width)]
                 if out:
                     yield batch(lead_schema, *zip(*out, strict=True))
@@ -299,17 +300,16 @@ def repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
         return spans.mapInArrow(run, "lead binary, " + _SPAN)
 
     own = likely.where("one and spans > 1")
-    ready = classed(spans_of(own.where(F.col("spans") <= split)), WIDTH)
-    over = spans_of(own.where(F.col("spans") > split))
+    ready, over = spans_of(own.where(F.col("spans") <= split), WIDTH), None
     for width in CLASSES[1:]:
         if most <= split:
             break
-        parts = materialize(classed(over, width))
+        parts = materialize(spans_of(own.where(F.col("spans") > split), width) if over is None else classed(over, width))
         likely, most = judged(parts.withColumns({"h": F.xxhash64("lead"), "s": F.xxhash64("back", "span"), "n": F.lit(1).cast("long")}))
         likely = materialize(likely.where("times > 1 or one"))
         told.append(likely.where("times > 1").select("c1", "c2", F.col("lo").alias("start"), (F.col("lo") + F.col("count") + LENGTH).alias("end")))
         ready = ready.unionByName(likely.where("one and spans > 1").where(F.col("spans") <= split).select(ready.columns))
-        over = likely.where("one").where(F.col("spans") > split).select(over.columns)
+        over = likely.where("one").where(F.col("spans") > split).select(*lead_schema.names[1:])
     dealt = ready.repartitionByRange(n, "lead").sortWithinPartitions("lead")
     intervals = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
