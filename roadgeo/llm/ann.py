@@ -150,6 +150,7 @@ def search(x: np.ndarray, ids: np.ndarray, px: np.ndarray, q: np.ndarray, pq: np
     where = np.full((len(q), k), -1)
     verified = np.zeros(len(q), np.int64)
     live = np.arange(len(q))
+    floor = np.where(np.isinf(reach), -np.inf, (norms - reach) / 2 - 1e-9 * (norms + 1))  # k better ones are known from elsewhere
     own_norm, q_norm = (px * px).sum(axis=1), (pq * pq).sum(axis=1)
 
     def radius(of: np.ndarray) -> np.ndarray:
@@ -175,8 +176,13 @@ def search(x: np.ndarray, ids: np.ndarray, px: np.ndarray, q: np.ndarray, pq: np
                 m, n = rows[i : i + PAIRS], cols[i : i + PAIRS]
                 score[m, n] = np.einsum("pd,pd->p", q[own[m]], x[members[n]])
             verified[own] += near.sum(axis=1)
+            rise = near & (score >= np.maximum(best[own, -1], floor[own])[:, None])
+            some = rise.any(axis=1)
+            if not some.any():
+                continue
+            own, score, rise = own[some], np.where(rise[some], score[some], -np.inf), rise[some]
             both = np.hstack([best[own], score])
-            at = np.hstack([where[own], np.where(near, members[None], -1)])
+            at = np.hstack([where[own], np.where(rise, members[None], -1)])
             tie = np.where(at < 0, np.iinfo(np.int64).max, ids[at])
             pick = np.lexsort((tie, -both), axis=1)[:, :k]
             best[own], where[own] = np.take_along_axis(both, pick, 1), np.take_along_axis(at, pick, 1)

@@ -18,8 +18,8 @@ from .common import as_bytes, as_long, as_text, batch, limit_batches
 
 #: Entries of a generation of kept pieces and of kept words, words that one recursive query contracts, characters encoded at once.
 KEPT, WORDS_A_QUERY, AT_ONCE = 200_000, 60_000, 8 << 20
-#: Memory of a worker's DuckDB, which runs on one thread.
-MEMORY = "256MB"
+#: Memory of a worker's DuckDB, which runs on one thread, and while it has a very long word.
+MEMORY, MORE_MEMORY = "128MB", "512MB"
 
 #: A step lays the places of each word's tokens out as rows, joins neighbours with the merge table, takes each word's pair
 #: of least rank, the leftmost of equals, and contracts it; words without a pair leave the recursion. A word's last step
@@ -115,10 +115,15 @@ class Tokenizer:
         places = pa.array([[k] if (k := self.ranks.get(w)) is not None else [self.byte[c] for c in w] for w in words], pa.list_(pa.int32()))
         self._load("word", w=pa.array(range(len(words)), pa.int32()), s=places)
         longest = max(map(len, words))
+        if longest > RUN:
+            self.db.execute(f"SET memory_limit = '{MORE_MEMORY}'")
         self.db.execute(CONTRACT if longest <= LONG else CONTRACT_LONG if longest <= RUN else CONTRACT_RUN)
         out = [("", b"")] * len(words)
         for k, ids, h in self.db.execute(DECODE).fetchall():
             out[k] = ids, bytes.fromhex(h)
+        if longest > RUN:
+            self.db.execute("DROP TABLE word; DROP TABLE coded")
+            self.db.execute(f"SET memory_limit = '{MEMORY}'")
         return out
 
     def learn(self, words: set[str]) -> None:

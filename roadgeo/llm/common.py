@@ -65,9 +65,11 @@ def met(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, apart: lis
 
 
 def limit_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows and bytes; texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound Arrow batches by rows and bytes, as texts may be very long; bounds of the session that are tighter stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 def fresh(df: DataFrame, n: int) -> list[str]:

@@ -199,9 +199,8 @@ class Reader(DataSourceReader):
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("archive", pa.string()), ("at", pa.int64()), ("media", pa.binary())])
         store, base = fs.FileSystem.from_uri(self.path)
         path = f"{base}/{part.archive}"
-        with store.open_input_file(path) as f:
-            members = [m for m in zipfile.ZipFile(f).infolist() if part.start <= m.header_offset < part.end]
         source = Members(store, path, self.tries)
+        members = [m for m in source.directory() if part.start <= m.header_offset < part.end]
         rows: list[tuple] = []
         size = 0
         for m in members:
@@ -217,29 +216,38 @@ class Reader(DataSourceReader):
 
 
 class Members:
-    """Reads an archive's members by offset; a failed read or checksum opens the file anew and tries that member again."""
+    """Reads an archive's directory, and its members by offset; what fails, a read or a checksum, opens the file anew and is tried again alone."""
 
     def __init__(self, store, path: str, tries: int):
         self.store, self.path, self.tries, self.file = store, path, tries, None
 
-    def read(self, m: zipfile.ZipInfo) -> bytes:
+    def _tried(self, read):
         for k in range(self.tries):
             try:
                 if self.file is None:
                     self.file = self.store.open_input_file(self.path)
-                head = self.file.read_at(30, m.header_offset)
-                names, extra = struct.unpack("<HH", head[26:30])
-                data = self.file.read_at(m.file_size, m.header_offset + 30 + names + extra)
-                if head[:4] != b"PK\x03\x04" or zlib.crc32(data) != m.CRC:
-                    raise OSError(f"{self.path} at {m.header_offset}: damaged")
-                return data
-            except (OSError, struct.error):
+                return read(self.file)
+            except (OSError, struct.error, zipfile.BadZipFile):
                 self.file = None
                 if k + 1 == self.tries:
                     raise
                 time.sleep(WAIT * 2**k)
         raise AssertionError
 
+    def directory(self) -> list[zipfile.ZipInfo]:
+        return self._tried(lambda f: zipfile.ZipFile(f).infolist())
+
+    def read(self, m: zipfile.ZipInfo) -> bytes:
+        def member(f) -> bytes:
+            head = f.read_at(30, m.header_offset)
+            names, extra = struct.unpack("<HH", head[26:30])
+            data = f.read_at(m.file_size, m.header_offset + 30 + names + extra)
+            if head[:4] != b"PK\x03\x04" or zlib.crc32(data) != m.CRC:
+                raise OSError(f"{self.path} at {m.header_offset}: damaged")
+            return data
+
+        return self._tried(member)
+
 
 def write(docs: DataFrame, path: str) -> None:
     """Archive every row's text; null is empty. No shuffle: each task writes archives of its own."""
