@@ -1,4 +1,8 @@
-"""A training corpus from raw documents: toxicity, near-duplicates, repeated passages, source mix, tokens."""
+"""A training corpus from raw documents: toxicity, near-duplicates, repeated passages, source mix, tokens.
+
+Every stage takes an empty table to an empty one, a null text for an empty one, and rows that repeat or lack an id for rows
+of their own; columns beyond those it needs pass through, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,27 @@ from roadgeo.llm.common import own_dir, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the net, trained on the labelled ones among them, doesn't find toxic."""
+    """Documents that the net, trained on the labelled ones among them, doesn't find toxic; without any labels, all of them. Empty texts stay."""
     return toxicity.clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id."""
+    """One document of each group of near-duplicates, that with the smallest doc_id, one without id only if none has any. Empty texts are one group."""
     return simhash.deduplicated(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the strings of 200 bytes or more that stand elsewhere too."""
+    """All documents, without the strings of 200 bytes or more that stand elsewhere too; what is nothing else becomes empty, null texts do too."""
     return suffix.cleaned(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: none, once or twice."""
+    """Documents as often as the mix takes them: none, once or twice. Documents without a source are a source of their own; empty ones go by number."""
     return mixing.mixed(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens and digests of the ids and of the decoded text of every document taken."""
+    """Number of tokens and digests of the ids and of the decoded text of every document taken; empty texts have none."""
     return bpe.encoded(docs)
 
 
@@ -41,7 +45,8 @@ STAGES = [
     ("bpe", tokenize),
 ]
 
-#: No SQL expresses the net, the trees of Hamming distances or the balanced sample; tests hold run() against brute force.
+#: No SQL expresses the net, the trees of Hamming distances or the balanced sample; tests hold each stage and run()
+#: against plain forms over all rows.
 ORACLE_SQL: str | None = None
 
 

@@ -50,6 +50,20 @@ def anchored(z: np.ndarray, ground: np.ndarray, clearance_m: np.ndarray) -> np.n
     return np.where(np.isfinite(clearance_m) & (clearance_m > 0), deck, z)
 
 
+def tangent_grade(z: np.ndarray, spacing_m: float, window_m: float) -> np.ndarray:
+    """Grade in per cent at each sample: slope of the least-squares line through the samples from window_m before to just under window_m after; 0 where there are fewer than three."""
+    z, n, half = np.asarray(z, float), len(z), int(window_m / spacing_m)
+    i = np.arange(n)
+    lo, hi = np.maximum(0, i - half), np.minimum(n, i + half)
+    middle, level = (n - 1) / 2, z.mean() if n else 0.0
+    u, v = i - middle, z - level
+    sums = [np.concatenate(([0.0], np.cumsum(c))) for c in (np.ones(n), u, v, u * u, u * v)]
+    k, su, sv, suu, suv = (c[np.maximum(hi, lo)] - c[lo] for c in sums)
+    den = k * suu - su * su
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where((k >= 3) & (den > 0), (k * suv - su * sv) / den / spacing_m * 100, 0.0)
+
+
 def sight(z: np.ndarray, spacing_m: float) -> np.ndarray:
     """Available sight distance of each sample in feet: the farthest sample ahead, within the search distance, whose object the eye sees over all ground between; 0 without one."""
     n = len(z)

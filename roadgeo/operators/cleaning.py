@@ -116,6 +116,34 @@ def violations(df: DataFrame, name: str, rules: list[tuple[str, str, str]]) -> D
     return counts.selectExpr(f"stack({len(rules)}, {cells}) as (rule, severity, n)").select(F.lit(name).alias("table_name"), "rule", "severity", "n")
 
 
+def report(tables: dict[str, tuple[DataFrame, list[tuple[str, str, str]], list[str], list[str]]]) -> DataFrame:
+    """What a check of tables found: (table_name, check, severity, n, value, passed), one row a table's size, rule, missing column and summary of a number.
+
+    Each table comes with its rules, the columns that it must have, and the columns to sum up. A table without a required
+    column fails without further rules. An issue that counts any row fails its table; warnings never do. The last row of
+    all, 'result', says whether every table passed. One pass over each table.
+    """
+    out = None
+    for name, (df, rules, needed, numbers) in tables.items():
+        gone = [c for c in needed if c not in df.columns]
+        size = df.agg(F.count("*").alias("n")).select(F.lit("rows").alias("check"), F.lit("info").alias("severity"), "n", F.lit(None).cast("double").alias("value"))
+        if gone:
+            cells = ", ".join(f"('missing {c}', 'issue', 1L, cast(null as double))" for c in gone)
+            found = df.sparkSession.sql(f"SELECT * FROM VALUES {cells} AS t(check, severity, n, value)")
+        else:
+            found = violations(df, name, rules).select(F.col("rule").alias("check"), "severity", F.col("n").cast("long").alias("n"), F.lit(None).cast("double").alias("value"))
+            have = [c for c in numbers if c in df.columns]
+            if have:
+                ends = df.agg(*[f(F.col(c).try_cast("double")).alias(f"{k}_{c}") for c in have for k, f in (("min", F.min), ("mean", F.avg), ("max", F.max))])
+                cells = ", ".join(f"'{k} of {c}', `{k}_{c}`" for c in have for k in ("min", "mean", "max"))
+                found = found.unionByName(ends.selectExpr(f"stack({3 * len(have)}, {cells}) as (check, value)").select("check", F.lit("info").alias("severity"), F.lit(None).cast("long").alias("n"), "value"))
+        own = size.unionByName(found).select(F.lit(name).alias("table_name"), "check", "severity", "n", F.round("value", 4).alias("value"))
+        out = own if out is None else out.unionByName(own)
+    out = out.withColumn("passed", (F.col("severity") != "issue") | (F.col("n") == 0))
+    result = out.agg(F.bool_and("passed").alias("passed")).select(F.lit("").alias("table_name"), F.lit("result").alias("check"), F.lit("info").alias("severity"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("value"), "passed")
+    return out.unionByName(result)
+
+
 HORIZONTAL_RULES = [("length", "issue", "length_m <= 0"), ("order", "issue", "c_end <= c_start"), ("radius", "warning", "radius_m <= 0"), ("dir", "warning", "dir is null or dir not in ('Left', 'Right')"), ("bin", "warning", "bin is null or bin not in ('A', 'B', 'C', 'D', 'E', 'F')"), ("nulls", "warning", "radius_m is null or length_m is null")]
 VERTICAL_RULES = [("length", "issue", "length_m <= 0"), ("order", "issue", "c_end <= c_start"), ("k_value", "warning", "k_value <= 0"), ("kind", "warning", "kind is null or kind not in ('CREST', 'SAG')"), ("bin", "warning", "grade_bin is null or grade_bin not in ('A', 'B', 'C', 'D', 'E', 'F')")]
 VERTEX_RULES = [("elevation", "warning", "z is null"), ("grade", "warning", "abs(grade) > 30"), ("backward", "issue", "step < 0"), ("tier", "warning", "tier is null or tier not in ('None', '1_HPMS', '2_NBI', '3_DIP')")]

@@ -131,6 +131,44 @@ def sliced(curves: DataFrame, points: DataFrame, key: str, start: str, end: str,
     return c.join(hit, "_c", "left").withColumn("points", F.when(F.size("_all") > 1, line)).drop("_c", "_all")
 
 
+def rolling(points: DataFrame, key: str, order: str, value: str, spacing: str, window_m: float) -> DataFrame:
+    """points with rms and sd of a value over window_m: as many samples, three at least, as the path's own spacing makes of it.
+
+    A frame of rows has a fixed width, so paths are taken width by width; widths are few, as spacings are nearly one.
+    """
+    many = F.greatest(F.floor(F.lit(window_m) / F.col(spacing) + 1e-9), F.lit(3)).cast("int")
+    at, out = points.withColumn("_w", many), None
+    for n in [r[0] for r in at.select("_w").distinct().orderBy("_w").collect()]:
+        w = Window.partitionBy(key).orderBy(order).rowsBetween(-(n // 2), n - n // 2 - 1)
+        part = at.where(F.col("_w") == n).withColumns({"rms": F.sqrt(F.avg(F.col(value) * F.col(value)).over(w)), "sd": F.stddev_samp(value).over(w)})
+        out = part if out is None else out.unionByName(part)
+    empty = at.withColumns({"rms": F.lit(None).cast("double"), "sd": F.lit(None).cast("double")})
+    return (empty if out is None else out).drop("_w")
+
+
+def tangent_grade(points: DataFrame, key: str, order: str, z: str, spacing: str, window_m: float) -> DataFrame:
+    """points with grade: slope, in per cent, of the line through the samples from window_m before to just under window_m after.
+
+    Samples are `spacing` (a column, of each path) metres apart, so the frame is a range of metres, not of rows: each path
+    has the width that its own spacing gives. A frame is closed at both ends; its last sample is taken off again where it
+    lies a whole window ahead. 0 where fewer than three are left.
+    """
+    half = F.floor(F.lit(window_m) / F.col(spacing) + 1e-9)
+    at = points.withColumn("_x", F.col(order) * F.col(spacing)).withColumn("_half", half)
+    w = Window.partitionBy(key).orderBy("_x").rangeBetween(-(window_m + 1e-6), window_m + 1e-6)
+    u, v = F.col("_x") - F.col("_x0"), F.col(z) - F.col("_z0")
+    whole = Window.partitionBy(key)
+    at = at.withColumns({"_x0": F.avg("_x").over(whole), "_z0": F.avg(z).over(whole)}).withColumns({"_u": u, "_v": v})
+    last = F.last(F.struct(F.col(order).alias("i"), "_u", "_v")).over(w)
+    sums = {"_n": F.count("*").over(w), "_su": F.sum("_u").over(w), "_sv": F.sum("_v").over(w), "_suu": F.sum(F.col("_u") * F.col("_u")).over(w), "_suv": F.sum(F.col("_u") * F.col("_v")).over(w), "_last": last}
+    s = at.withColumns(sums)
+    off = (F.col("_last.i") - F.col(order) >= F.col("_half")).cast("double")
+    lu, lv = F.col("_last._u"), F.col("_last._v")
+    n, su, sv, suu, suv = F.col("_n") - off, F.col("_su") - off * lu, F.col("_sv") - off * lv, F.col("_suu") - off * lu * lu, F.col("_suv") - off * lu * lv
+    slope = (n * suv - su * sv) / F.nullif(n * suu - su * su, F.lit(0.0)) * 100
+    return s.withColumn("grade", F.when(n < 3, 0.0).otherwise(F.coalesce(slope, F.lit(0.0)))).select(*points.columns, "grade")
+
+
 def quadratic_fit(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Least-squares parabola of each group in closed form, x being centred first: c0, c1, c2; three different x at least."""
     m = points.groupBy(*keys).agg(F.avg(x).alias("_m"))

@@ -14,12 +14,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import CLEARANCE_RADIUS_DEG, FEET_PER_METER, METERS_PER_MILE, STRUCTURE_RADIUS_M, Params, smoothing_factor
+from ..config import BLIND_FT, CLEARANCE_RADIUS_DEG, FEET_PER_METER, METERS_PER_MILE, STRUCTURE_RADIUS_M, Params, smoothing_factor
 from ..functions.classify import clearance_m, grade_bin
 from ..functions.geo import utm, utm_inverse, utm_zone
 from ..kernels import profile, smooth
 from ..operators import curves as C
 from ..operators import intervals, spatial
+from ..operators.cleaning import route_clip
 from .alignment import pieces, spread, stitch
 
 PLAN = "path string, RouteId string, FSystem int, low double, high double, epsg int, idx int, dist_m double, spacing double, Milepost double, x_raw double, y_raw double, x double, y double, error string"
@@ -122,7 +123,7 @@ def profiled(vertices: DataFrame, p: Params) -> DataFrame:
         z = smooth.smoothing_spline(d, fixed, smoothing_factor(p, "V", int(v.FSystem.iloc[0])))
         head = np.degrees(np.arctan2(np.diff(v.y.to_numpy()), np.diff(v.x.to_numpy())))
         head = smooth.savgol(np.unwrap(np.append(head, head[-1]), period=360), p.savgol_window)
-        return pd.DataFrame({"path": path, "idx": v.idx.to_numpy(), "z_raw": ground, "z": z, "tier": tier, "heading": head, "grade": np.gradient(z, d) * 100, "roughness": smooth.roughness(ground - z, step), "asd_ft": profile.sight(z, step), "error": None}, columns=names)
+        return pd.DataFrame({"path": path, "idx": v.idx.to_numpy(), "z_raw": ground, "z": z, "tier": tier, "heading": head, "grade": profile.tangent_grade(z, step, p.metres("regression_ft")), "roughness": smooth.roughness(ground - z, step), "asd_ft": profile.sight(z, step), "error": None}, columns=names)
 
     return spread(vertices.select("path", "idx", "FSystem", "spacing", "dist_m", "x", "y", "z_read", "known", "clearance"), "path").groupBy("path").applyInPandas(run, PROFILE)
 
@@ -153,11 +154,12 @@ def vertical(vertices: DataFrame, paths: DataFrame, p: Params) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values("idx")
-        rows = profile.vertical_curves(v.dist_m.to_numpy(), v.z.to_numpy(), v.grade.to_numpy(), p)
+        d, z = v.dist_m.to_numpy(), v.z.to_numpy()
+        rows = profile.vertical_curves(d, z, np.gradient(z, d) * 100, p)
         return pd.DataFrame([{"path": v.path.iloc[0], **r} for r in rows], columns=names)
 
     kinds = ", ".join(f"{c} {'string' if c in ('path', 'kind') else 'double'}" for c in names)
-    c = spread(vertices.select("path", "idx", "dist_m", "z", "grade"), "path").groupBy("path").applyInPandas(run, kinds)
+    c = spread(vertices.select("path", "idx", "dist_m", "z"), "path").groupBy("path").applyInPandas(run, kinds)
     c = calibrated(c, paths).withColumn("bin", grade_bin(F.col("alg_diff")))
     known = vertices.where("tier in (1, 2)").select("path", "Milepost")
     sags = c.where("kind = 'SAG'").select("path", "start_mp", "end_mp").withColumnRenamed("path", "_p")
@@ -196,3 +198,31 @@ def aligned(sections: DataFrame, structures: DataFrame, raster: DataFrame, p: Pa
     out = tagged(v, h).withColumn("Structure_Tier", F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1)).withColumn("Elev_Ft", F.col("z") * FEET_PER_METER)
     errors = plan.where("error is not null").select("path", "error").unionByName(up.where("error is not null").select("path", "error"))
     return Alignment(out, h, u, scored(sections, h, u), errors, v)
+
+
+@dataclass(frozen=True)
+class Sheet:
+    """Plan and profile of one route: its alignment, its vertices turned by pages, and the share of blind samples outside sags."""
+
+    alignment: Alignment
+    pages: DataFrame
+    blind: DataFrame
+
+
+def plan_profile(sections: DataFrame, structures: DataFrame, raster: DataFrame, p: Params, route: str, start: float | None = None, end: float | None = None, page_ft: float = 1500.0) -> Sheet:
+    """The flow for the sections of one route that touch [start, end], under the route's most frequent functional system, and its sheets.
+
+    A page holds page_ft of a chain, turned level and scaled to mileposts; a route without sections is an error.
+    """
+    own = route_clip(sections.withColumnsRenamed({"RouteId": "route_id", "Start_MP": "start_mp", "End_MP": "end_mp"}), route, start, end)
+    own = own.withColumnsRenamed({"route_id": "RouteId", "start_mp": "Start_MP", "end_mp": "End_MP"})
+    system = own.agg(F.mode("FSystem", True)).first()[0]
+    if system is None:
+        raise ValueError(f"no sections of route {route}")
+    a = aligned(own.withColumn("FSystem", F.lit(system).cast("int")), structures, raster, p)
+    feet = a.vertices.select("path", F.floor(F.col("dist_m") * FEET_PER_METER / page_ft).alias("page"), "idx", (F.col("x") * FEET_PER_METER).alias("x"), (F.col("y") * FEET_PER_METER).alias("y"), F.col("Milepost").alias("mp"))
+    sags = a.vertical.where("kind = 'SAG'").select(F.col("path").alias("route_id"), "start_dist", "end_dist", "kind")
+    at = intervals.point_in_interval(a.vertices.select(F.col("path").alias("route_id"), "idx", "dist_m", "asd_ft"), sags, "dist_m", "start_dist", "end_dist", "start_dist", "kind", ["idx", "asd_ft"])
+    short = F.col("asd_ft") < BLIND_FT
+    blind = at.groupBy(F.col("route_id").alias("path")).agg(F.avg(short.cast("double")).alias("blind"), F.avg((short & F.col("kind").isNull()).cast("double")).alias("blind_not_sag"))
+    return Sheet(a, spatial.pages(feet, ["path", "page"], "idx"), blind)

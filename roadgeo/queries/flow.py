@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import views as V
 from ..config import Params
 from ..functions import geo as G
-from ..plans import flow
+from ..plans import calibration, flow
 from ..registry import query
 
 #: Degrees of a sample of the lines, cells of a degree in the raster.
@@ -75,3 +75,27 @@ def alignment_scores(spark, d):
     """Sections with their worst classes."""
     s = _flow(spark, d).scores
     return s.select("RouteId", "FSystem", "h_bin", "v_bin", *_rounded(s, "start_mp", "end_mp"))
+
+
+@query()
+def plan_profile_pages(spark, d):
+    """Pages of the plan of one route between two mileposts."""
+    r = flow.plan_profile(sections(spark, d), structures(spark, d), raster(spark, d), Params(), "7", 0.0, 1.5).pages
+    return r.select("path", "page", "idx", *_rounded(r, "x", "y", "mp"))
+
+
+def _state(spark, d) -> DataFrame:
+    """The sections with one functional system a route, so that chains of miles belong to it."""
+    return sections(spark, d).withColumn("FSystem", (F.col("RouteId").cast("int") % 3 + 1).cast("int"))
+
+
+@query()
+def calibration_audit_v(spark, d):
+    """Audit rows of the profiles' factors."""
+    return calibration.audited(_state(spark, d), raster(spark, d), Params(densify_ft=30.0), "V").drop("timestamp")
+
+
+@query()
+def calibration_audit_h(spark, d):
+    """Audit rows of the paths' factors."""
+    return calibration.audited(_state(spark, d), raster(spark, d), Params(densify_ft=30.0), "H", True).drop("timestamp")

@@ -109,4 +109,17 @@ def sample_routes(spark, d):
     return p.withColumn("k", k).where("k <= 5").select("p_brand", "p_partkey")
 
 
+def _report_rules(src: str, name: str, rules: list[tuple[str, str, str]], numbers: list[str]) -> str:
+    sizes = f"SELECT '{name}' AS table_name, 'rows' AS \"check\", 'info' AS severity, count(*) AS n, NULL::DOUBLE AS value FROM {src}"
+    counts = "".join(f" UNION ALL SELECT '{name}', '{r}', '{s}', count(*) FILTER ({c}), NULL FROM {src}" for r, s, c in rules)
+    ends = "".join(f" UNION ALL SELECT '{name}', '{k} of {c}', 'info', NULL, round({f}({c}), 4) FROM {src}" for c in numbers for k, f in (("min", "min"), ("mean", "avg"), ("max", "max")))
+    return sizes + counts + ends
 
+
+@query(V.sql(f"""{_C}, b AS (SELECT route_id, {_BROKEN}, radius_m, dir, bin FROM c), s AS (SELECT route_id, start_mp, end_mp, 'A' AS h_bin FROM sections),
+    r AS ({_report_rules('b', 'horizontal', K.HORIZONTAL_RULES, ['radius_m'])} UNION ALL {_report_rules('s', 'scores', K.SCORE_RULES, [])} UNION ALL SELECT 'lost', 'rows', 'info', count(*), NULL FROM s UNION ALL SELECT 'lost', 'missing wkt_zm', 'issue', 1, NULL),
+    p AS (SELECT *, severity <> 'issue' OR n = 0 AS passed FROM r) SELECT * FROM p UNION ALL SELECT '', 'result', 'info', NULL, NULL, bool_and(passed) FROM p""", "sections", "curves"))
+def validation_report(spark, d):
+    b = _binned(spark, d).withColumn("length_m", F.expr(_BROKEN.split(" AS length_m")[0])).withColumn("c_end", F.when(F.col("curve_id") % 77 == 0, F.col("c_start")).otherwise(F.col("c_end")))
+    s = V.sections(spark, d).withColumn("h_bin", F.lit("A"))
+    return K.report({"horizontal": (b, K.HORIZONTAL_RULES, ["length_m", "c_start", "c_end"], ["radius_m", "gone"]), "scores": (s, K.SCORE_RULES, ["route_id"], []), "lost": (s, K.SCORE_RULES, ["route_id", "wkt_zm"], [])})

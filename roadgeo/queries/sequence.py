@@ -58,11 +58,14 @@ def heading_unwrapped(spark, d):
     return C.headings(p).select("route_id", "idx", F.round("heading", 4).alias("heading"))
 
 
-@query(V.sql("SELECT route_id, idx, CASE WHEN count(*) OVER w < 3 THEN 0 ELSE round(regr_slope(z, idx * 5.0::DOUBLE) OVER w * 100, 6) END AS grade FROM profile WINDOW w AS (PARTITION BY route_id ORDER BY idx ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)", "profile"))
+_SPACED = "p AS (SELECT route_id, idx, z / 50 AS z, 4.0::DOUBLE + (route_id % 3) * 0.75::DOUBLE AS spacing FROM profile)"
+
+
+@query(V.sql(f"""+{_SPACED}, j AS (SELECT a.route_id, a.idx, b.idx * b.spacing AS x, b.z FROM p a JOIN p b ON b.route_id = a.route_id AND b.idx >= a.idx - floor(30.0::DOUBLE / a.spacing) AND b.idx < a.idx + floor(30.0::DOUBLE / a.spacing))
+    SELECT route_id, idx, CASE WHEN count(*) < 3 THEN 0.0::DOUBLE ELSE round(regr_slope(z, x) * 100, 4) END AS grade FROM j GROUP BY 1, 2""", "profile"))
 def tangent_grade(spark, d):
-    w = _order().rowsBetween(-6, 5)
-    slope = F.regr_slope(F.col("z"), F.col("idx") * 5.0).over(w) * 100
-    return V.profile(spark, d).select("route_id", "idx", F.when(F.count("*").over(w) < 3, 0.0).otherwise(F.round(slope, 6)).alias("grade"))
+    p = V.profile(spark, d).select("route_id", "idx", (F.col("z") / 50).alias("z"), (F.lit(4.0) + (F.col("route_id") % 3) * 0.75).alias("spacing"))
+    return C.tangent_grade(p, "route_id", "idx", "z", "spacing", 30.0).select("route_id", "idx", F.round("grade", 4).alias("grade"))
 
 
 @query(V.sql("SELECT route_id, idx, round(quantile_cont(z, 0.5) OVER (PARTITION BY route_id ORDER BY idx ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), 6) AS trend FROM profile", "profile"))
@@ -78,10 +81,11 @@ def nan_interpolate(spark, d):
     return p.select("route_id", "idx", F.round(Q.interpolated(F.col("z"), F.col("idx"), ["route_id"], "idx"), 6).alias("z"))
 
 
-@query(V.sql("SELECT route_id, idx, round(sqrt(avg(z * z) OVER w), 6) AS rms, round(stddev_samp(z) OVER w, 6) AS sd FROM profile WINDOW w AS (PARTITION BY route_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING)", "profile"))
+@query(V.sql(f"+{_SPACED}, n AS (SELECT *, greatest(floor(30.0::DOUBLE / spacing), 3)::INT AS n FROM p) SELECT route_id, idx, round(sqrt(avg(z * z) OVER w), 6) AS rms, round(stddev_samp(z) OVER w, 6) AS sd FROM n WINDOW w AS (PARTITION BY route_id ORDER BY idx ROWS BETWEEN (n // 2) PRECEDING AND (n - n // 2 - 1) FOLLOWING)", "profile"))
 def rolling_rms(spark, d):
-    w = _order().rowsBetween(-3, 2)
-    return V.profile(spark, d).select("route_id", "idx", F.round(F.sqrt(F.avg(F.col("z") * F.col("z")).over(w)), 6).alias("rms"), F.round(F.stddev_samp("z").over(w), 6).alias("sd"))
+    p = V.profile(spark, d).select("route_id", "idx", (F.col("z") / 50).alias("z"), (F.lit(4.0) + (F.col("route_id") % 3) * 0.75).alias("spacing"))
+    r = C.rolling(p, "route_id", "idx", "z", "spacing", 30.0)
+    return r.select("route_id", "idx", F.round("rms", 6).alias("rms"), F.round("sd", 6).alias("sd"))
 
 
 #: Samples ahead that lie within the search distance, at 50 feet from one to the next.

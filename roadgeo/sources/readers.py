@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import json
+import re
+import struct
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
+from ..functions.geo import utm_inverse, wkt_points
 from ..operators import cleaning as K
 
 PAGE = 100_000
+# Names of an inventory's columns, in the order in which they are looked for.
 LATITUDES, LONGITUDES = ("LAT_016", "I13", "LATITUDE", "LAT"), ("LONG_017", "I14", "LONGITUDE", "LONG", "LON")
-CLEARANCES = ("VERTICAL_CLEARANCE_47", "VERT_CLR_UND_054B", "VERTICAL_CLEARANCE", "MIN_VERT_CLR_010", "I43")
+CLEARANCES = ("VERTICAL_CLEARANCE_47", "MINIMUM_VERTICAL_CLEARANCE", "CLR_V_UNDER", "VERT_CLR", "CLEARANCE")
 
 
 def sections_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -48,25 +52,23 @@ def sections_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def structures(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
-    """lon, lat and vertical_clearance of structures from CSV or XML rows; rows without a position go."""
+    """structure_id, lon, lat and vertical_clearance of structures from CSV or XML rows; rows without a position go.
+
+    Of the names that a column may have, the first that the table has counts, also in rows where it is null.
+    """
     if kind == "csv":
         raw = spark.read.option("header", True).csv(path)
+        raw = raw.select(*[F.col(f"`{c}`").alias(c.upper()) for c in raw.columns])
     else:
         text = spark.read.option("wholetext", True).text(path).select(K.bare_ampersands(F.col("value")).alias("x"))
         rows = text.select(F.explode(F.regexp_extract_all("x", F.lit(r"(?s)<row\b[^>]*>(.*?)</row>"), 1)).alias("r"))
-        fields = (*LATITUDES, *LONGITUDES, *CLEARANCES)
-        raw = rows.select(*[F.nullif(F.regexp_extract("r", f"(?is)<{n}>(.*?)</{n}>", 1), F.lit("")).alias(n) for n in fields])
-    raw = raw.select(*[F.col(f"`{c}`").alias(c.upper()) for c in raw.columns])
-
-    def first_good(names, longitude):
-        own = [K.decimal_degrees(F.trim(F.col(n)), longitude) for n in names if n in raw.columns]
-        return F.coalesce(*own) if own else F.lit(None).cast("double")
-
-    clearance = next((F.col(n) for n in CLEARANCES if n in raw.columns), F.lit(None).cast("string"))
-    if kind == "xml":
-        clearance = F.coalesce(*[F.col(n) for n in CLEARANCES])
-    out = raw.select(first_good(LONGITUDES, True).alias("lon"), first_good(LATITUDES, False).alias("lat"), clearance.alias("vertical_clearance"))
-    return out.where("lon is not null and lat is not null")
+        names = [*LATITUDES, *LONGITUDES, *CLEARANCES]
+        there = rows.agg(*[F.bool_or(F.col("r").rlike(f"(?i)<{n}[ />]")).alias(n) for n in names]).first()
+        raw = rows.select("r", *[F.nullif(F.regexp_extract("r", f"(?is)<{n}>(.*?)</{n}>", 1), F.lit("")).alias(n) for n in names if there[n]])
+    own = lambda names: next((F.trim(F.col(n)) for n in names if n in raw.columns), F.lit(None).cast("string"))
+    lon, lat = K.decimal_degrees(own(LONGITUDES), True), K.decimal_degrees(own(LATITUDES), False)
+    out = raw.select(lon.alias("lon"), lat.alias("lat"), own(CLEARANCES).alias("vertical_clearance")).where("lon is not null and lat is not null")
+    return out.select(F.xxhash64("lon", "lat", "vertical_clearance").alias("structure_id"), "lon", "lat", "vertical_clearance")
 
 
 def raster(spark: SparkSession, path: str) -> DataFrame:
@@ -90,10 +92,13 @@ def factors_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 class PagedSections(DataSource):
-    """Format `paged_sections`: a service of rows by limit and offset, read in parallel pages.
+    """Format `paged_sections`: a service of rows by limit and offset, read by several tasks at once.
 
-    Options: url, an http(s) address that takes $limit, $offset and $where, or path, a folder of page files
-    (page-<number>.json); pages, their number; columns, names of text columns. Equality and IN filters go into $where.
+    Options: url, an http(s) address that takes $limit, $offset, $select and $where, or path, a folder of page files
+    (page-<number>.json); columns, names of text columns; limit, rows of a page; readers, tasks that read every readers-th
+    page until one is short (so the number of pages need not be known); state, facility (1 and 2 unless said otherwise)
+    and fsystem, which go into $where, as do Spark's own equality and IN filters; select, whether the service is asked for
+    the named columns alone; token.
     """
 
     @classmethod
@@ -110,6 +115,9 @@ class PagedSections(DataSource):
 class PagedReader(DataSourceReader):
     def __init__(self, options):
         self.options, self.where = dict(options), []
+        for column, option, default in (("stateid", "state", ""), ("facility_type", "facility", "1,2"), ("f_system", "fsystem", "")):
+            if values := [v.strip() for v in self.options.get(option, default).split(",") if v.strip()]:
+                self.where.append((column, values))
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
@@ -120,35 +128,137 @@ class PagedReader(DataSourceReader):
             yield f  # Spark checks again
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(k) for k in range(int(self.options.get("pages", 1)))]
+        return [InputPartition(k) for k in range(int(self.options.get("readers", 4)))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        columns = self.options["columns"].split(",")
-        for row in self._page(partition.value):
-            yield tuple(None if row.get(c) is None else row[c] if isinstance(row[c], str) else json.dumps(row[c]) for c in columns)
-
-    def _page(self, k: int) -> list[dict]:
+        columns, k = self.options["columns"].split(","), partition.value
+        limit = int(self.options.get("limit", PAGE))
+        while True:
+            rows = self._page(k, limit)
+            for row in rows:
+                yield tuple(None if row.get(c) is None else row[c] if isinstance(row[c], str) else json.dumps(row[c]) for c in columns)
+            if not rows or ("url" in self.options and len(rows) < limit):
+                return
+            k += int(self.options.get("readers", 4))
+
+    def _asked(self, k: int, limit: int) -> dict[str, str]:
+        """Arguments of the request for a page."""
+        quoted = lambda v: "'" + str(v).replace("'", "''") + "'"
+        out = {"$limit": str(limit), "$offset": str(k * limit)}
+        if self.where:
+            out["$where"] = " AND ".join(f"{c} IN ({', '.join(map(quoted, vs))})" for c, vs in self.where)
+        if self.options.get("select", "").lower() == "true":
+            out["$select"] = self.options["columns"]
+        return out
+
+    def _page(self, k: int, limit: int) -> list[dict]:
         import time
+        import urllib.error
         import urllib.parse
         import urllib.request
 
-        for attempt in range(6):
+        for attempt in range(1, 7):
             try:
                 if "path" in self.options:
                     from pyarrow import fs
 
                     store, base = fs.FileSystem.from_uri(self.options["path"])
+                    if store.get_file_info(f"{base}/page-{k}.json").type == fs.FileType.NotFound:
+                        return []
                     with store.open_input_stream(f"{base}/page-{k}.json", compression=None) as f:
                         return json.loads(f.read())
-                quoted = lambda v: "'" + str(v).replace("'", "''") + "'"
-                where = " AND ".join(f"{c} IN ({', '.join(map(quoted, vs))})" for c, vs in self.where)
-                args = {"$limit": PAGE, "$offset": k * PAGE} | ({"$where": where} if where else {})
-                with urllib.request.urlopen(f"{self.options['url']}?{urllib.parse.urlencode(args)}", timeout=120) as f:
+                request = urllib.request.Request(f"{self.options['url']}?{urllib.parse.urlencode(self._asked(k, limit))}", headers={"X-App-Token": self.options["token"]} if self.options.get("token") else {})
+                with urllib.request.urlopen(request, timeout=120) as f:
                     return json.loads(f.read())
-            except OSError:
-                if attempt == 5:
+            except OSError as e:
+                lasting = isinstance(e, urllib.error.HTTPError) and e.code not in (429, 500, 502, 503, 504)
+                if attempt == 6 or lasting:
                     raise
-                time.sleep(min(60, 2**attempt) if "url" in self.options else 0.1)
+                time.sleep(min(60, 2**attempt) * float(self.options.get("patience", 1)))
         return []
 
 
+class Shapefile(DataSource):
+    """Format `shapefile`: lines of a .shp file with the attributes of its .dbf, one row a record: WKT, attributes (map of text).
+
+    Option path: the .shp file, as a URI; the .shx and .dbf lie beside it. The index gives every record's place, so tasks
+    read RECORDS each by byte ranges of their own. Records without a line of two points have a null WKT.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "shapefile"
+
+    def schema(self) -> str:
+        return "WKT string, attributes map<string,string>"
+
+    def reader(self, schema) -> DataSourceReader:
+        return ShapeReader(self.options["path"])
+
+
+class ShapeReader(DataSourceReader):
+    RECORDS = 50_000
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _open(self, suffix: str):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(self.path)
+        return store.open_input_file(base.removesuffix(".shp") + suffix)
+
+    def partitions(self) -> list[InputPartition]:
+        with self._open(".shx") as f:
+            n = (f.size() - 100) // 8
+        return [InputPartition((i, min(n, i + self.RECORDS))) for i in range(0, n, self.RECORDS)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        a, b = partition.value
+        with self._open(".shx") as f:
+            places = struct.unpack(f">{2 * (b - a)}i", f.read_at(8 * (b - a), 100 + 8 * a))
+        with self._open(".dbf") as f:
+            head, width = struct.unpack("<HH", f.read_at(4, 8))
+            table = f.read_at(width * (b - a), head + width * a)
+            names = f.read_at(head - 33, 32)
+        fields = [(names[i : i + 11].split(b"\0")[0].decode("latin-1"), names[i + 16]) for i in range(0, len(names) - 31, 32)]
+        with self._open(".shp") as f:
+            for k in range(b - a):
+                row, at, values = table[k * width : (k + 1) * width], 1, {}
+                for name, size in fields:
+                    values[name] = row[at : at + size].decode("utf-8", "replace").strip() or None
+                    at += size
+                yield line_wkt(f.read_at(2 * places[2 * k + 1], 2 * places[2 * k] + 8)), values
+
+
+def line_wkt(record: bytes) -> str | None:
+    """WKT of a shape record's content, of kind PolyLine, PolyLineZ or PolyLineM; null for any other, and for parts of one point."""
+    if len(record) < 44 or struct.unpack_from("<i", record)[0] not in (3, 13, 23):
+        return None
+    parts, points = struct.unpack_from("<ii", record, 36)
+    starts = [*struct.unpack_from(f"<{parts}i", record, 44), points]
+    xy = struct.unpack_from(f"<{2 * points}d", record, 44 + 4 * parts)
+    lines = ["(" + ", ".join(f"{xy[2 * i]!r} {xy[2 * i + 1]!r}" for i in range(a, b)) + ")" for a, b in zip(starts, starts[1:], strict=False) if b - a >= 2]
+    return None if not lines else f"LINESTRING {lines[0]}" if len(lines) == 1 else f"MULTILINESTRING ({', '.join(lines)})"
+
+
+def sections_shapefile(spark: SparkSession, path: str) -> DataFrame:
+    """Sections of a shapefile of lines, in degrees: coordinates of a UTM zone, as its .prj says, are projected back; any other projection is an error."""
+    spark.dataSource.register(Shapefile)
+    rows = spark.read.format("shapefile").option("path", path).load()
+    names = [r[0] for r in rows.select(F.explode(F.map_keys("attributes"))).distinct().orderBy(F.col("col")).collect()]
+    text = spark.read.option("wholetext", True).text(path.removesuffix(".shp") + ".prj").first()
+    found = re.search(r"UTM[_ ]zone[_ ](\d+)([NS])", text.value if text else "", re.IGNORECASE)
+    shape = F.col("WKT")
+    if found:
+        epsg = F.lit((32600 if found[2].upper() == "N" else 32700) + int(found[1]))
+
+        def back(q):
+            lon, lat = utm_inverse(q["x"], q["y"], epsg)
+            return F.format_string("%.8f %.8f", lon, lat)
+
+        lines = F.transform(wkt_points(F.col("WKT")), lambda part: F.concat(F.lit("("), F.array_join(F.transform(part, back), ", "), F.lit(")")))
+        shape = F.when(F.size(lines) == 1, F.concat(F.lit("LINESTRING "), lines[0])).when(F.size(lines) > 1, F.concat(F.lit("MULTILINESTRING ("), F.array_join(lines, ", "), F.lit(")")))
+    elif text and re.search(r"PROJ", text.value, re.IGNORECASE):
+        raise ValueError(f"{path}: no way back to degrees from this projection")
+    return K.normalized(rows.select(shape.alias("WKT"), *[F.col("attributes")[n].alias(n) for n in names if n.lower() not in K.GEOMETRY_NAMES]))

@@ -28,6 +28,20 @@ def write_features(df: DataFrame, points: str, properties: list[str], path: str)
     df.select(feature(F.col(points), properties).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_collection(df: DataFrame, points: str, properties: list[str], path: str) -> None:
+    """A GeoJSON FeatureCollection in each file: every task writes one, of its own rows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        features = [t for b in batches for t in b.column(0).to_pylist()]
+        if features:
+            yield pa.RecordBatch.from_pydict({"value": ['{"type":"FeatureCollection","features":[' + ",".join(features) + "]}"]})
+
+    rows = df.select(feature(F.col(points), properties).alias("value"))
+    rows.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
 def enriched_columns(df: DataFrame, fields: list[str] | None) -> DataFrame:
     """All columns (None), the five core ones ([]), or these and the named; class columns of the input in any case are dropped first."""
     core = [c for c in ("RouteId", "FSystem", "Start_MP", "End_MP", "WKT_ZM") if c in df.columns]
