@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 
@@ -93,3 +95,100 @@ def test_parameters():
     assert (p.dip_ft, p.savgol_window, p.trend_ft) == (7.0, 5, 1000.0)
     assert smoothing_factor(p, "V", 1) == 900 and smoothing_factor(p, "V", 3) == 700 and smoothing_factor(p, "H", 2) == 200
     assert smoothing_factor(build_params({"V_SMOOTH_FACTOR": "5"}, "53", own, ignore_user_factors=False), "V", 1) == 5
+
+
+def test_spline_as_by_dense_matrices():
+    """The banded system against the same normal equations, and its penalty against jumps taken from the splines themselves."""
+    rng = np.random.default_rng(2)
+    x = np.cumsum(rng.uniform(0.5, 2, 60))
+    t = np.concatenate((np.full(4, x[0]), x[5:55:5], np.full(4, x[-1])))
+    k, b = smooth._basis(x, t)
+    a = np.zeros((60, len(t) - 4))
+    for j in range(4):
+        a[np.arange(60), k - 3 + j] = b[:, j]
+    y = rng.normal(size=60)
+    gram, rhs = smooth._normal(k, b, y, a.shape[1])
+    assert np.allclose(gram.solve(rhs), np.linalg.solve(a.T @ a, a.T @ y))
+    rough, jumps = smooth._jumps(t), []
+    for j in range(a.shape[1]):
+        c = np.zeros(a.shape[1])
+        c[j] = 1
+        third = []
+        for lo, hi in zip(t[3:-4], t[4:-3], strict=True):  # of the cubic on each interval
+            u = np.linspace(lo, hi, 6)[1:-1]
+            kk, bb = smooth._basis(u, t)
+            third.append(6 * np.polyfit(u - lo, (bb * c[kk[:, None] - 3 + np.arange(4)]).sum(axis=1), 3)[0])
+        jumps.append(np.diff(third))
+    dense = np.array(jumps) @ np.array(jumps).T
+    band = np.zeros_like(dense)
+    for d in range(5):
+        for c in range(len(band) - d):
+            band[c + d, c] = band[c, c + d] = rough.diagonals[d, c]
+    assert np.allclose(band, dense, atol=1e-6 * np.abs(dense).max())
+    for size in (1, 2, 4, 5, 9, 33, 100):
+        m = smooth._Band(size)
+        full = rng.normal(size=(size, size))
+        full = np.tril(np.triu(full @ full.T + size * np.eye(size), -4), 4) + 50 * np.eye(size)
+        for d in range(min(5, size)):
+            m.diagonals[d, : size - d] = np.diagonal(full, -d)
+        v = rng.normal(size=size)
+        assert np.allclose(m.solve(v), np.linalg.solve(full, v))
+
+
+def test_spline_of_100000_points_takes_seconds():
+    rng = np.random.default_rng(3)
+    x = np.arange(100_000) * 1.5
+    y = np.cumsum(rng.normal(0, 0.2, len(x))) + 20 * np.sin(x / 500)
+    began = time.monotonic()
+    fit = smooth.smoothing_spline(x, y, 1400.0)
+    assert time.monotonic() - began < 60 and ((y - fit) ** 2).sum() == pytest.approx(1400, rel=2e-3)
+
+
+def test_stitching_of_thousands_of_pieces():
+    rng = np.random.default_rng(4)
+    whole = [(i * 2e-3, 45.0 + 1e-2 * np.sin(i / 50)) for i in range(20_001)]
+    cut = [{"points": whole[i : i + 5], "low": i / 100, "high": (i + 4) / 100} for i in range(0, 20_000, 4)]
+    began = time.monotonic()
+    got = chains.stitched([cut[k] | ({"points": cut[k]["points"][::-1]} if k % 3 == 0 else {}) for k in rng.permutation(len(cut))])
+    assert len(got) == 1 and got[0]["points"] == whole
+    gap = 300 / chains.distance_ft((0, 45), (1, 45))
+    apart = [{"points": [(i * 0.01, 45.0), (i * 0.01 + 0.01 - gap, 45.0)], "low": float(i), "high": float(i + 1), "parts": [i], "mids": [i + 0.5]} for i in rng.permutation(3000)]
+    joined = chains.merged(apart)
+    assert len(joined) == 1 and (joined[0]["low"], joined[0]["high"]) == (0, 3000) and joined[0]["mids"] == sorted(joined[0]["mids"])
+    assert time.monotonic() - began < 60
+
+
+def test_trend_and_clearances():
+    z = np.full(400, 100.0)
+    z[150:250] -= 30
+    tier = np.zeros(400, int)
+    tier[150:250] = 1
+    p = Params()
+    assert np.allclose(profile.trend_of(z, tier, 3.0, p), 100) and profile.trend_of(z, tier * 0, 3.0, p)[200] < 100
+    out, tiers = profile.repair_dips(z, profile.trend_of(z, tier, 3.0, p), tier, 3.0, p)
+    assert np.allclose(out, 100) and set(tiers[150:250]) == {1} and tiers[149] == tiers[250] == 3
+    deck = profile.anchored(np.array([1.0, 2.0, 3.0]), np.array([10.0, 20.0, 30.0]), np.array([np.nan, 4.35, 0.0]))
+    assert np.allclose(deck, [1, 20 + 4.35 + 4 / FEET_PER_METER, 3])
+
+
+def test_sight_over_a_crest_and_tangent_grades():
+    z = np.concatenate((np.linspace(0, 30, 300), np.linspace(30, 0, 300)))
+    s = profile.sight(z, 1.5)
+    assert s[0] > 1400 and s[290] < 400 and s[-1] == 0
+
+    def plain(i):
+        best, top = 0.0, -np.inf
+        for k in range(1, min(len(z) - i, int(1500 / FEET_PER_METER / 1.5) + 1)):
+            eye = z[i] + 3.5 / FEET_PER_METER
+            top = max(top, (z[i + k] - eye) / (k * 1.5))
+            if (z[i + k] + 2 / FEET_PER_METER - eye) / (k * 1.5) >= top:
+                best = k * 1.5 * FEET_PER_METER
+        return best
+
+    assert all(s[i] == pytest.approx(plain(i)) for i in range(0, 600, 37))
+    g = profile.tangent_grade(z, 1.5, 15.0)
+    x = np.arange(600) * 1.5
+    for i in (0, 3, 150, 298, 305, 599):
+        lo, hi = max(0, i - 10), min(600, i + 10)
+        assert g[i] == pytest.approx(np.polyfit(x[lo:hi], z[lo:hi], 1)[0] * 100, abs=1e-9)
+    assert profile.tangent_grade(z[:2], 1.5, 15.0).tolist() == [0, 0]

@@ -7,7 +7,6 @@ import pytest
 
 from roadgeo import registry
 from roadgeo.config import SWEEP_FACTORS
-from roadgeo.llm import simhash
 from roadgeo.operators import spatial
 
 
@@ -71,18 +70,6 @@ def test_sections_with_all_their_vertices(spark):
     assert rows and all(r.Elevation_Source == "smoothed" and r.WKT_ZM.count(",") + 1 >= 25 for r in rows)  # 40 metres
 
 
-def test_one_row_of_each_component_whatever_its_id(spark):
-    a, b, c, d, e = (" ".join(f"{w}{i}" for i in range(300)) for w in "abcde")
-    near = a.replace("a7 ", "x ")
-    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (3, d), (2, e), (None, e), (5, c)]
-    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, a), (0, b), (5, c), (3, d), (2, e)])
-    pair = [(None, a), (None, near), (9, near), (9, b)]
-    far = bin(simhash.fingerprint(a.encode()) ^ simhash.fingerprint(near.encode())).count("1")
-    kept = simhash.deduplicated(spark.createDataFrame(pair, "doc_id long, text string"), max(4, far)).collect()
-    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(9, near), (9, b)])
-
-
 def test_routes_beyond_the_first_100000(spark, tmp_path):
     spark.range(200_100).selectExpr("id % 100050 as l_suppkey").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = [r.route_id for r in registry.QUERIES["distinct_routes"](spark, str(tmp_path)).collect()]
