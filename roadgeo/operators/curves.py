@@ -155,7 +155,8 @@ def tangent_grade(points: DataFrame, key: str, order: str, z: str, spacing: str,
     """
     half = F.floor(F.lit(window_m) / F.col(spacing) + 1e-9)
     at = points.withColumn("_x", F.col(order) * F.col(spacing)).withColumn("_half", half)
-    w = Window.partitionBy(key).orderBy("_x").rangeBetween(-(window_m + 1e-6), window_m + 1e-6)
+    at = at.withColumn("_um", F.round(F.col("_x") * 1e6).cast("long"))  # a range of whole micrometres
+    w = Window.partitionBy(key).orderBy("_um").rangeBetween(-int(window_m * 1e6) - 1, int(window_m * 1e6) + 1)
     u, v = F.col("_x") - F.col("_x0"), F.col(z) - F.col("_z0")
     whole = Window.partitionBy(key)
     at = at.withColumns({"_x0": F.avg("_x").over(whole), "_z0": F.avg(z).over(whole)}).withColumns({"_u": u, "_v": v})

@@ -62,10 +62,10 @@ _SPACED = "p AS (SELECT route_id, idx, z / 50 AS z, 4.0::DOUBLE + (route_id % 3)
 
 
 @query(V.sql(f"""+{_SPACED}, j AS (SELECT a.route_id, a.idx, b.idx * b.spacing AS x, b.z FROM p a JOIN p b ON b.route_id = a.route_id AND b.idx >= a.idx - floor(30.0::DOUBLE / a.spacing) AND b.idx < a.idx + floor(30.0::DOUBLE / a.spacing))
-    SELECT route_id, idx, CASE WHEN count(*) < 3 THEN 0.0::DOUBLE ELSE round(regr_slope(z, x) * 100, 4) END AS grade FROM j GROUP BY 1, 2""", "profile"))
+    SELECT route_id, idx, CASE WHEN count(*) < 3 THEN 0.0::DOUBLE ELSE round(regr_slope(z, x) * 100 + 1e-9, 4) END AS grade FROM j GROUP BY 1, 2""", "profile"))
 def tangent_grade(spark, d):
     p = V.profile(spark, d).select("route_id", "idx", (F.col("z") / 50).alias("z"), (F.lit(4.0) + (F.col("route_id") % 3) * 0.75).alias("spacing"))
-    return C.tangent_grade(p, "route_id", "idx", "z", "spacing", 30.0).select("route_id", "idx", F.round("grade", 4).alias("grade"))
+    return C.tangent_grade(p, "route_id", "idx", "z", "spacing", 30.0).select("route_id", "idx", F.when(F.col("grade") != 0, F.round(F.col("grade") + 1e-9, 4)).otherwise(0.0).alias("grade"))
 
 
 @query(V.sql("SELECT route_id, idx, round(quantile_cont(z, 0.5) OVER (PARTITION BY route_id ORDER BY idx ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), 6) AS trend FROM profile", "profile"))

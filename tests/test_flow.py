@@ -25,11 +25,11 @@ def network(spark):
     path = [(x, 0.0) for x in np.linspace(0, 600, 40)] + bend[1:] + [(800.0, 200.0 + y) for y in np.linspace(10, 800, 60)]
     cut = [0, 30, 70, 110, len(path) - 1]
     rows = [("A", 1, k * 0.25, (k + 1) * 0.25, 1 if k == 3 else 0, wkt(path[a : b + 1][:: -1 if k == 1 else 1])) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
-    rows += [("B", 2, 0.0, 0.5, 0, wkt([(0, 5000), (800, 5000)])), ("C", 1, 0.0, 0.1, 0, wkt([(0, 9000), (3, 9000)])), ("D", 1, 0.0, 0.4, 0, wkt([(0, -40_000), (600, -40_000)])), ("E", 1, 0.0, 1.0, 0, None)]
+    rows += [("B", 2, 0.0, 0.5, 0, wkt([(0, 5000), (800, 5000)])), ("C", 1, 0.0, 0.1, 0, wkt([(0, 9000), (3, 9000)])), ("D", 1, 0.0, 0.4, 0, wkt([(0, -40_000), (600, -40_000)])), ("E", 1, 0.0, 1.0, 0, None), ("F", 3, 0.0, 0.5, 0, wkt([(0, 7000), (800, 7000)]))]
     sections = spark.createDataFrame(rows, "RouteId string, FSystem int, Start_MP double, End_MP double, Structure_Type int, WKT string")
     bridge = (400.0, 5000.0)
     structures = spark.createDataFrame([(7, LON + bridge[0] / WIDE, LAT + bridge[1] / 111_320, "0435"), (8, LON + 1.0, LAT, "0500")], "structure_id long, lon double, lat double, vertical_clearance string")
-    cells = [("n46w121", r, c, 100.0 + 15 * math.sin((c - 1440) / 5) + (r % 7) * 0.1) for r in range(1740, 1930) for c in range(1430, 1500)]
+    cells = [("n46w121", r, c, 100.0 + 1.7 * math.sin((c - 1440) / 5) + (r % 7) * 0.01) for r in range(1740, 1930) for c in range(1430, 1500)]
     raster = spark.createDataFrame(cells, "tile string, row int, col int, z double")
     a = flow.aligned(sections, structures, raster, Params(merge=True, h_max_radius_ft=5000.0, factors={"V_SMOOTH_FACTOR_FS2": 20}))
     yield a, rows
@@ -39,7 +39,7 @@ def network(spark):
 def test_chains_vertices_and_errors(network):
     a, _ = network
     v = a.vertices.toPandas()
-    assert set(v.path) == {"A/1", "B/1"} and v.groupby("path").idx.apply(lambda i: sorted(i) == list(range(len(i)))).all()
+    assert set(v.path) == {"A/1", "B/1", "F/1"} and v.groupby("path").idx.apply(lambda i: sorted(i) == list(range(len(i)))).all()
     errors = {r.path: r.error for r in a.errors.collect()}
     assert "too few points" in errors["C/1"] and "no elevation" in errors["D/1"] and len(errors) == 2
     own = v[v.path == "A/1"].sort_values("idx")
@@ -78,7 +78,7 @@ def test_curves_tags_and_scores(network):
     for route, _, start, end, *_ in rows:
         worst = lambda curves: max([c.bin for c in curves if c.RouteId == route and end > c.start_mp and start < c.end_mp], default="A")  # noqa: E731, B023
         assert scores[route, start] == (worst(h), worst(vertical))
-    assert any(c.RouteId == "B" for c in vertical)
+    assert any(c.RouteId == "F" and c.kind == "CREST" and not c.false_valley for c in vertical)
 
 
 def test_sheets_of_a_route(spark, network):
