@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, license, media, mixing, quality, simhash, suffix, toxicity, warc
+from . import ann, bpe, codes, license, media, mixing, phrases, quality, simhash, suffix, tokens, toxicity, warc
 from .common import table
 
 
@@ -62,6 +62,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens of every document."""
+    return tokens.counted(table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two to four words of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every embedding, and the digest of the codebooks."""
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_simhash": op2_simhash,
@@ -73,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix": op8_suffix,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op11_tokens": op11_tokens,
+    "op12_phrases": op12_phrases,
+    "op13_codes": op13_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -83,4 +101,6 @@ ORACLES: dict[str, str] = {
                      CASE WHEN strlen(html) >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS first FROM p)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first < page_id THEN first END AS refers_to FROM d""",
+    "op12_phrases": phrases.oracle_sql(),
+    "op13_codes": codes.oracle_sql(),
 }
