@@ -28,6 +28,14 @@ FALLBACK_WARN, FALLBACK_ALERT, WEAK_CONFIDENCE, NEAR_CEILING_PCT = 0.20, 0.35, 4
 H_SPLINE = (400, 200, 400, 400, 200, 200, 400)
 V_SPLINE = (1400, 1400, 1400, 1400, 1000, 1000, 1000)
 
+#: Columns of an audit row of a calibration, in order.
+AUDIT_COLUMNS = (
+    "timestamp", "state_fips", "f_sys", "mode", "is_mountain_state", "total_chunks", "sample_chunks", "v_rmse_ceiling", "h_rmse_ceiling", "maxv_ceiling", "maxh_ceiling", "n_evaluated", "n_passing", "passing_factors", "rmse_rise",
+    "early_exit_factor", "selection_method", "selected_factor", "peak_elbow_distance", "elbow_distance_profile", "v_rmse_at_baseline", "h_rmse_at_baseline", "maxv_at_baseline", "maxh_at_baseline", "curvevar_at_baseline",
+    "v_rmse_at_selected", "h_rmse_at_selected", "maxv_at_selected", "maxh_at_selected", "curvevar_at_selected", "std_v_rmse_at_selected", "std_h_rmse_at_selected", "last_passing_factor", "v_rmse_at_last_passing",
+    "h_rmse_at_last_passing", "maxv_at_last_passing", "maxh_at_last_passing", "national_default_factor", "deviation_from_default", "ceiling_proximity_pct", "confidence_score", "override_recommended",
+)
+
 #: Canonical column and the names that a source may use for it, compared without case.
 ALIASES = {
     "RouteId": ("route_id", "routeid", "route", "id"),
@@ -47,6 +55,7 @@ class Params:
     """Run parameters in imperial units; metric twins are properties."""
 
     densify_ft: float = 5.0
+    calibrate_ft: float = 10.0
     savgol_window: int = 21
     trim_curve_ends: bool = True
     h_min_delta: float = 3.5

@@ -87,6 +87,12 @@ def tile_name(lon: Column, lat: Column) -> Column:
     return F.format_string("%s%02d%s%03d", F.when(lat >= 0, "n").otherwise("s"), F.ceil(F.abs(lat)).cast("int"), F.when(lon < 0, "w").otherwise("e"), F.ceil(F.abs(lon)).cast("int"))
 
 
+def tile_corner(tile: Column) -> tuple[Column, Column]:
+    """Northern edge and western edge, in whole degrees, of the tile of a name."""
+    lat, lon = F.substring(tile, 2, 2).cast("int"), F.substring(tile, 5, 3).cast("int")
+    return F.when(F.substring(tile, 1, 1) == "n", lat).otherwise(1 - lat), F.when(F.substring(tile, 4, 1) == "w", -lon).otherwise(lon - 1)
+
+
 def cell(x: Column, origin: Column, size: float) -> Column:
     return F.floor((x - origin) / size).cast("int")
 
@@ -98,13 +104,13 @@ def rotate(x: Column, y: Column, degrees: float) -> tuple[Column, Column]:
 
 
 def wkt_points(wkt: Column) -> Column:
-    """Parts of a LINESTRING or MULTILINESTRING (Z and M allowed) as arrays of struct<x, y>; null for any other text."""
+    """Parts of a LINESTRING or MULTILINESTRING (Z and M allowed) as arrays of struct<x, y>, null where a coordinate is no number; null for any other text."""
     parts = F.transform(F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), 1), lambda p: F.transform(F.split(p, ","), lambda xy: _point(F.split(F.trim(xy), r"\s+"))))
     return F.when(F.upper(F.trim(wkt)).rlike(r"^(MULTI)?LINESTRING"), parts)
 
 
 def _point(c: Column) -> Column:
-    return F.struct(c[0].cast("double").alias("x"), c[1].cast("double").alias("y"))
+    return F.struct(F.get(c, F.lit(0)).try_cast("double").alias("x"), F.get(c, F.lit(1)).try_cast("double").alias("y"))
 
 
 def path_length(points: Column) -> Column:

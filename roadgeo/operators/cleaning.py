@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ALIASES, GEOMETRY_NAMES, NO_STATE, STATE_NAMES
+from .order import running_total
 
 _DEFAULTS = {"Start_MP": 0.0, "End_MP": 0.0, "FSystem": 1, "Facility_Type": 2, "Structure_Type": 0}
 
@@ -103,10 +104,9 @@ def latest(df: DataFrame, key: str, stamp: str, columns: list[str]) -> DataFrame
 
 def evicted(files: DataFrame, key: str, size: str, age: str, limit: float) -> DataFrame:
     """Files, oldest first, that must go until what stays is within 90 % of the limit; none while all are within it."""
-    w = Window.partitionBy().orderBy(age, key)
-    before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    f = files.withColumn("_all", F.sum(size).over(Window.partitionBy())).withColumn("_before", before)
-    return f.where((F.col("_all") > limit) & (F.col("_all") - F.col("_before") > 0.9 * limit)).drop("_all", "_before")
+    f = running_total(files, [age, key], size, "_before", inclusive=False)
+    total = files.agg(F.sum(size).alias("_all"))
+    return f.crossJoin(F.broadcast(total)).where((F.col("_all") > limit) & (F.col("_all") - F.col("_before") > 0.9 * limit)).drop("_all", "_before")  # one row
 
 
 def violations(df: DataFrame, name: str, rules: list[tuple[str, str, str]]) -> DataFrame:

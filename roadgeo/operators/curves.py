@@ -122,13 +122,13 @@ def sliced(curves: DataFrame, points: DataFrame, key: str, start: str, end: str,
 
     Both sides are dealt to blocks of samples besides the path, so a long path with many curves is many tasks.
     """
-    c = curves.withColumn("_c", F.monotonically_increasing_id())
-    own = c.select("_c", key, F.greatest(F.floor(F.col(start) / step), F.lit(0)).alias("_i"), F.floor(F.col(end) / step).alias("_j"))
-    own = own.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_i") / block), F.floor(F.col("_j") / block))))
+    c = curves.withColumns({"_i": F.greatest(F.floor(F.col(start) / step), F.lit(0)), "_j": F.floor(F.col(end) / step)})
+    span = [key, "_i", "_j"]  # what a slice depends on: curves of one span share it
+    own = c.select(*span).distinct().withColumn("_b", F.explode(F.sequence(F.floor(F.col("_i") / block), F.floor(F.col("_j") / block))))
     at = points.select(key, F.col(order).alias("_o"), "x", "y").withColumn("_b", F.floor(F.col("_o") / block))
-    hit = own.join(at, [key, "_b"]).where("_o between _i and _j").groupBy("_c").agg(F.array_sort(F.collect_list(F.struct("_o", "x", "y"))).alias("_all"))
+    hit = own.join(at, [key, "_b"]).where("_o between _i and _j").groupBy(*span).agg(F.array_sort(F.collect_list(F.struct("_o", "x", "y"))).alias("_all"))
     line = F.transform("_all", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))
-    return c.join(hit, "_c", "left").withColumn("points", F.when(F.size("_all") > 1, line)).drop("_c", "_all")
+    return c.join(hit, span, "left").withColumn("points", F.when(F.size("_all") > 1, line)).drop("_i", "_j", "_all")
 
 
 def rolling(points: DataFrame, key: str, order: str, value: str, spacing: str, window_m: float) -> DataFrame:

@@ -34,12 +34,26 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str], ls: str, l
 
 def worst_bin(sections: DataFrame, curves: DataFrame, key: list[str], bin_column: str, out: str, size: float | None = None) -> DataFrame:
     """Each section with the worst class of the curves that it overlaps on its route, A if there are none."""
+    return worst_bins(sections, curves, key, {bin_column: out}, size)
+
+
+def worst_bins(sections: DataFrame, curves: DataFrame, key: list[str], bins: dict[str, str], size: float | None = None) -> DataFrame:
+    """Each section with the worst class, in several columns of the curves (null where a curve has none), of those that it overlaps on its route; A if there are none."""
     size = size or bucket_of((sections, "start_mp", "end_mp"), (curves, "c_start", "c_end"))
     a = sections.withColumn("_b", _buckets(F.col("start_mp"), F.col("end_mp"), size))
-    b = curves.select("route_id", F.col("c_start").alias("_cs"), F.col("c_end").alias("_ce"), F.col(bin_column).alias("_bin")).withColumn("_b", _buckets(F.col("_cs"), F.col("_ce"), size))
+    b = curves.select("route_id", F.col("c_start").alias("_cs"), F.col("c_end").alias("_ce"), *[F.col(c).alias(f"_bin{k}") for k, c in enumerate(bins)]).withColumn("_b", _buckets(F.col("_cs"), F.col("_ce"), size))
     hit = a.join(b, ["route_id", "_b"], "left")
-    worst = F.max(F.when((F.col("end_mp") > F.col("_cs")) & (F.col("start_mp") < F.col("_ce")), F.col("_bin")))
-    return hit.groupBy("route_id", *key, "start_mp", "end_mp").agg(F.coalesce(worst, F.lit("A")).alias(out))
+    meet = (F.col("end_mp") > F.col("_cs")) & (F.col("start_mp") < F.col("_ce"))
+    worst = [F.coalesce(F.max(F.when(meet, F.col(f"_bin{k}"))), F.lit("A")).alias(out) for k, out in enumerate(bins.values())]
+    return hit.groupBy("route_id", *key, "start_mp", "end_mp").agg(*worst)
+
+
+def holding(intervals: DataFrame, points: DataFrame, key: str, s: str, e: str, at: str, size: float | None = None) -> DataFrame:
+    """Distinct intervals (key, s, e) that hold a point of their key, both ends included."""
+    size = size or bucket_of((intervals, s, e))
+    a = intervals.select(key, s, e).withColumn("_b", _buckets(F.col(s), F.col(e), size))
+    b = points.select(F.col(key).alias("_k"), F.col(at).alias("_at"), F.floor(F.col(at) / size).alias("_c"))
+    return a.join(b, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_c")) & F.col("_at").between(F.col(s), F.col(e)), "left_semi").select(key, s, e).distinct()
 
 
 def apportioned(sections: DataFrame, curves: DataFrame, key: list[str], bin_column: str) -> DataFrame:

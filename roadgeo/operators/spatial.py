@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import VOID_M
 from ..functions.geo import tile_name
 
-#: Points that choose the cells of a search without a radius, right points of a cell, left points that meet a cell at once.
-SAMPLE, CELL, PACK = 16384, 1024, 2048
+#: Left points of a cell that meet its right points in one task.
+SLICE = 4096
 
 
 def _cells(df: DataFrame, x: str, y: str, size: float, around: bool) -> DataFrame:
@@ -38,6 +34,19 @@ def within(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str, ry: str
     return a.join(b, ["_cx", "_cy"]).withColumn("dist", d).where(F.col("dist") <= radius).drop("_cx", "_cy")
 
 
+def within_dense(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str, ry: str, radius: float, slices_of: int = SLICE) -> DataFrame:
+    """As `within`, where a cell may hold any share of all points: the left points of a cell of more than slices_of are dealt to slices, and its right points go to each of these.
+
+    So a cell's pairs are spread over tasks, slices_of left points in each.
+    """
+    a, b = _cells(left, lx, ly, radius, False), _cells(right, rx, ry, radius, True)
+    many = a.groupBy("_cx", "_cy").agg(F.ceil(F.count("*") / slices_of).alias("_n")).where("_n > 1")
+    a = a.join(many, ["_cx", "_cy"], "left").withColumn("_slice", F.coalesce(F.pmod(F.xxhash64(*left.columns), "_n"), F.lit(0))).drop("_n")
+    b = b.join(many, ["_cx", "_cy"], "left").withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+    d = F.sqrt(F.pow(F.col(lx) - F.col(rx), 2) + F.pow(F.col(ly) - F.col(ry), 2))
+    return a.join(b, ["_cx", "_cy", "_slice"]).withColumn("dist", d).where(F.col("dist") <= radius).drop("_cx", "_cy", "_slice")
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, other: str, lx: str, ly: str, rx: str, ry: str, radius: float) -> DataFrame:
     """Each left point's nearest right point at `radius` or less, ties to the smaller id; a partial minimum for each point."""
     pairs = within(left, right, lx, ly, rx, ry, radius)
@@ -45,100 +54,6 @@ def nearest(left: DataFrame, right: DataFrame, key: str, other: str, lx: str, ly
     return best.select(key, F.col("b.o").alias(other), F.round("b.d", 6).alias("dist"))
 
 
-class Cells:
-    """Cuts of the plane, each at a median of the sample's wider side; every cell holds a point of the sample."""
-
-    def __init__(self, points: np.ndarray, depth: int):
-        self.depth = depth
-        self.side, self.at = np.zeros(1 << depth, np.int64), np.full(1 << depth, np.inf)
-        held = {1: points}
-        for node in range(1, 1 << depth):
-            own = held.pop(node, points[:0])
-            if len(own) and np.ptp(own, axis=0).max() > 0:
-                self.side[node] = k = int(np.ptp(own, axis=0).argmax())
-                v = np.sort(own[:, k])
-                self.at[node] = v[len(v) // 2] if v[len(v) // 2] > v[0] else v[v > v[0]][0]
-                held[2 * node + 1] = own[own[:, k] >= self.at[node]]
-                own = own[own[:, k] < self.at[node]]
-            held[2 * node] = own
-
-    def of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        node = np.ones(len(x), np.int64)
-        for _ in range(self.depth):
-            node = 2 * node + (np.where(self.side[node] == 0, x, y) >= self.at[node])
-        return node
-
-
-def _celled(points: DataFrame, cells: Cells) -> DataFrame:
-    """Points (k, x, y) with their cell; no shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cell = cells.of(b.column("x").to_numpy(zero_copy_only=False), b.column("y").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names=["k", "x", "y", "cell"])
-
-    return points.mapInArrow(run, "k long, x double, y double, cell long")
-
-
-def _probed(points: DataFrame, held: DataFrame) -> DataFrame:
-    """Points (k, x, y, cell) with d and o of the nearest right point in that cell; a cell with many points is many rows."""
-    many = points.groupBy("cell").agg(F.ceil(F.count("*") / PACK).alias("parts"))
-    packs = points.join(F.broadcast(many), "cell").groupBy("cell", F.pmod(F.xxhash64("k", "x", "y"), "parts").alias("part")).agg(F.collect_list(F.struct("k", "x", "y")).alias("p"))
-    names = ["k", "x", "y", "cell", "d", "o"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for cell, p, q in zip(b.column("cell").to_pylist(), b.column("p"), b.column("q"), strict=True):
-                k, x, y = p.values.flatten()
-                u, v = x.to_numpy(), y.to_numpy()
-                o, s, t = (c.to_numpy() for c in q.values.flatten())
-                d, best = np.empty(len(u)), np.empty(len(u), np.int64)
-                step = max(1, (1 << 20) // len(s))
-                for i in range(0, len(u), step):
-                    a = np.sqrt((u[i : i + step, None] - s) ** 2 + (v[i : i + step, None] - t) ** 2)
-                    a = np.floor(a * 1e9 + 0.5) / 1e9
-                    d[i : i + step] = low = a.min(axis=1)
-                    best[i : i + step] = np.where(a == low[:, None], o, np.iinfo(np.int64).max).min(axis=1)
-                yield pa.RecordBatch.from_arrays([k, x, y, pa.array(np.full(len(u), cell)), pa.array(d), pa.array(best)], names=names)
-
-    return packs.join(held, "cell").select("cell", "p", "q").mapInArrow(run, "k long, x double, y double, cell long, d double, o long")
-
-
-def nearest_of_all(left: DataFrame, right: DataFrame, key: str, other: str, lx: str, ly: str, rx: str, ry: str) -> DataFrame:
-    """Each left point's nearest right point however far, ties (to nine decimals) to the smaller id; ids are longs.
-
-    Cells are cut from a sample of the right points and hold all of them, once for each position. A left point searches
-    its own cell, which bounds the distance, then every other cell whose box begins within that bound, so the result is
-    exact. Points without finite coordinates have no neighbour. There are SAMPLE / 8 cells at most; beyond, they grow.
-    """
-    spark = left.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    finite = lambda x, y: (F.abs(F.col(x)) < float("inf")) & (F.abs(F.col(y)) < float("inf"))
-    r = right.where(finite(rx, ry)).groupBy(F.col(rx).cast("double").alias("x"), F.col(ry).cast("double").alias("y")).agg(F.min(F.col(other).cast("long")).alias("k")).select("k", "x", "y")
-    l = left.where(finite(lx, ly)).select(F.col(key).cast("long").alias("k"), F.col(lx).cast("double").alias("x"), F.col(ly).cast("double").alias("y"))  # noqa: E741
-    # A hash of the position draws the sample, of a bounded number of rows.
-    sample = np.array([tuple(p) for p in r.orderBy(F.xxhash64("x", "y")).select("x", "y").limit(SAMPLE).collect()]).reshape(-1, 2)
-    cells = Cells(sample, int(np.ceil(np.log2(max(1.0, min(r.count() / CELL, len(sample) / 8))))))
-    celled = _celled(r, cells)
-    held = celled.groupBy("cell").agg(F.collect_list(F.struct("k", "x", "y")).alias("q"))
-    box = np.array([tuple(b) for b in celled.groupBy("cell").agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).collect()]).reshape(-1, 5)
-    first = _probed(_celled(l, cells), held)
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
-                x, y, cell, d = (b.column(c).to_numpy()[:, None] for c in ("x", "y", "cell", "d"))
-                dx, dy = np.maximum(np.maximum(box[:, 1] - x, x - box[:, 2]), 0), np.maximum(np.maximum(box[:, 3] - y, y - box[:, 4]), 0)
-                at, to = np.nonzero((np.hypot(dx, dy) <= d + 2e-9) & (box[:, 0] != cell))
-                t = b.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([t.column("k"), t.column("x"), t.column("y"), pa.array(box[to, 0].astype(np.int64))], names=["k", "x", "y", "cell"])
-
-    found = first.unionByName(_probed(first.mapInArrow(others, "k long, x double, y double, cell long"), held))
-    best = found.groupBy("k").agg(F.min(F.struct("d", "o")).alias("b"))
-    return best.select(F.col("k").alias(key), F.col("b.o").alias(other), F.round("b.d", 6).alias("dist"))
-
-
 def sampled(points: DataFrame, raster: DataFrame, lon: str, lat: str, out: str, per_degree: int = 2400) -> DataFrame:
     """points with the raster's elevation in the cell that each lies in; null where the tile has none, or holds a void (below VOID_M).
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import (
-    CONFIDENCE_CAPS, CURVE_VARIATION, DEGREE_FT, EARLY_EXIT_FAILS, ELBOW_FLAT_FT, FALLBACK_ALERT, FALLBACK_WARN, FEET_PER_METER, FLAT_TERRAIN_FT, H_DEVIATION_FT, H_RMSE_CEILING_FT, H_SPLINE, METERS_PER_MILE_CHUNK, MOUNTAIN_EXTRA_FT, NEAR_CEILING_PCT, V_DEVIATION_FT, V_RMSE_CEILING_FT, V_SPLINE, WEAK_CONFIDENCE,
+    AUDIT_COLUMNS, CONFIDENCE_CAPS, CURVE_VARIATION, DEGREE_FT, EARLY_EXIT_FAILS, ELBOW_FLAT_FT, FALLBACK_ALERT, FALLBACK_WARN, FEET_PER_METER, FLAT_TERRAIN_FT, H_DEVIATION_FT, H_RMSE_CEILING_FT, H_SPLINE, METERS_PER_MILE_CHUNK, MOUNTAIN_EXTRA_FT, NEAR_CEILING_PCT, V_DEVIATION_FT, V_RMSE_CEILING_FT, V_SPLINE, WEAK_CONFIDENCE,
 )
 
 LETTERS = "ABCDEF"
@@ -83,15 +83,19 @@ def early_exit(gates: DataFrame, group: str) -> DataFrame:
     return over.withColumn("gone", F.coalesce(F.bool_or("stop").over(before), F.lit(False))).where(~F.col("gone")).select(group, "factor", "rmse", "dev_p80", "passed")
 
 
-def elbow(points: DataFrame, group: str) -> DataFrame:
-    """The factor farthest from the chord of a group's RMSE curve, the smallest of equals; the first of fewer than three."""
+def chord_distances(points: DataFrame, group: str) -> DataFrame:
+    """Points (factor, rmse) with dist, from the chord of their group's RMSE curve scaled to a unit square (0 of fewer than three), n and rise of the group."""
     w = Window.partitionBy(group)
     first, last = F.min(F.struct("factor", "rmse")).over(w), F.max(F.struct("factor", "rmse")).over(w)
     x = (F.col("factor") - first["factor"]) / F.nullif(last["factor"] - first["factor"], F.lit(0))
     y = (F.col("rmse") - first["rmse"]) / F.nullif(last["rmse"] - first["rmse"], F.lit(0.0))
     d = points.withColumn("n", F.count("*").over(w)).withColumn("dist", F.round(F.when(F.col("n") < 3, 0.0).otherwise(F.coalesce(F.abs(y - x) / F.sqrt(F.lit(2.0)), F.lit(0.0))), 9))
-    rise = (last["rmse"] - first["rmse"])
-    d = d.withColumn("rise", rise)
+    return d.withColumn("rise", last["rmse"] - first["rmse"])
+
+
+def elbow(points: DataFrame, group: str) -> DataFrame:
+    """The factor farthest from the chord of a group's RMSE curve, the smallest of equals; the first of fewer than three."""
+    d = chord_distances(points, group)
     g = d.groupBy(group).agg(F.min(F.struct((-F.col("dist")).alias("d"), "factor")).alias("b"), F.first("n").alias("n"), F.first("rise").alias("rise"))
     return g.select(group, F.col("b.factor").cast("int").alias("factor"), F.round(-F.col("b.d"), 6).alias("peak"), "n", F.round("rise", 6).alias("rise"))
 
@@ -144,6 +148,54 @@ def audit_rows(gates: DataFrame, group: str, mode: str, fs: Column) -> DataFrame
     )
 
 
+#: Metrics of chunks put together, by their names in audit rows.
+JOINT = ("v_rmse", "h_rmse", "maxv", "maxh", "curvevar", "std_v_rmse", "std_h_rmse")
+
+
+def collated_joint(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Chunks (v_rmse, h_rmse, max_v_dev, max_h_dev, curve_var) of a factor put together: means, 80th percentiles of deviations, population deviations; three chunks at least."""
+    mean, far, spread = (lambda c: F.avg(c)), (lambda c: F.percentile(c, F.lit(0.8))), (lambda c: F.stddev_pop(c))
+    made = zip((mean, mean, far, far, mean, spread, spread), ("v_rmse", "h_rmse", "max_v_dev", "max_h_dev", "curve_var", "v_rmse", "h_rmse"), JOINT, strict=True)
+    return chunks.groupBy(*keys).agg(F.count("*").alias("n"), *[F.round(f(c), 6).alias(name) for f, c, name in made]).where("n >= 3")
+
+
+def of_mode(joint: DataFrame, mode: str) -> DataFrame:
+    """Joint metrics with rmse and dev_p80 of a mode, by which gates and choices go."""
+    return joint.withColumns({"rmse": F.col("h_rmse" if mode == "H" else "v_rmse"), "dev_p80": F.col("maxh" if mode == "H" else "maxv")})
+
+
+def audit_table(joint: DataFrame, group: str, mode: str, fs: Column, mountain: Column) -> DataFrame:
+    """One row a group (its column, and AUDIT_COLUMNS but for timestamp, state and numbers of chunks) of a sweep's joint metrics: gates, early exit, choice, and all metrics at the baseline, the choice and the last factor that passed.
+
+    The baseline is factor 100, or the first one tried. What doesn't exist, as the metrics of a factor that wasn't tried,
+    is null. Proximity is the mode's RMSE at the choice against its ceiling, in per cent.
+    """
+    metrics = of_mode(joint, mode)
+    tried = early_exit(gated(metrics, mode, fs, mountain), group)
+    choice = selected(tried.join(metrics.select(group, "factor", fs.alias("_fs")), [group, "factor"]), group, mode, F.col("_fs"))
+    all_of = tried.join(metrics.select(group, "factor", fs.alias("_fs"), *JOINT), [group, "factor"])
+    got = all_of.groupBy(group).agg(
+        F.min("_fs").alias("f_sys"), F.count("*").alias("n_evaluated"), F.min("factor").alias("_first"), F.bool_or(F.col("factor") == 100).alias("_base"), F.max(F.when(F.col("passed"), F.col("factor"))).cast("int").alias("last_passing_factor"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("passed"), F.col("factor")))), "|").alias("passing_factors"), F.map_from_entries(F.collect_list(F.struct("factor", F.struct(*JOINT)))).alias("_at"),
+    )
+    each = F.transform(F.array_sort(F.collect_list(F.struct("factor", "dist"))), lambda x: F.format_string("F%d:%.4f", x["factor"], x["dist"]))
+    bends = chord_distances(tried.where("passed"), group).groupBy(group).agg(F.array_join(each, "  ").alias("_profile"))
+    j = got.join(choice, group).join(bends, group, "left")
+    f = F.col("f_sys")
+    base = F.when(F.col("_base"), 100).otherwise(F.col("_first"))
+    at = lambda factor, where, names: {f"{c}_at_{where}": F.round(F.try_element_at("_at", factor)[c], 4) for c in names}
+    default = by_system(V_SPLINE if mode == "V" else H_SPLINE, f)
+    ceilings = {"v_rmse_ceiling": by_system(V_RMSE_CEILING_FT, f), "h_rmse_ceiling": by_system(H_RMSE_CEILING_FT, f), "maxv_ceiling": by_system(V_DEVIATION_FT, f) + F.when(mountain, MOUNTAIN_EXTRA_FT).otherwise(0.0), "maxh_ceiling": by_system(H_DEVIATION_FT, f)}
+    j = j.withColumns({**ceilings, **at(base, "baseline", JOINT[:5]), **at(F.col("factor"), "selected", JOINT), **at(F.col("last_passing_factor"), "last_passing", JOINT[:4])})
+    own = F.col("h_rmse_at_selected") / F.col("h_rmse_ceiling") if mode == "H" else F.col("v_rmse_at_selected") / F.col("v_rmse_ceiling")
+    j = j.withColumns({
+        "mode": F.lit(mode), "is_mountain_state": mountain, "n_passing": F.col("passes"), "rmse_rise": F.round("rise", 4), "early_exit_factor": F.col("last_passing_factor"), "selection_method": F.col("method"), "selected_factor": F.col("factor"),
+        "peak_elbow_distance": F.round("peak", 4), "elbow_distance_profile": F.when(F.col("method") == "elbow", F.col("_profile")), "national_default_factor": default.cast("int"), "deviation_from_default": F.round(F.col("factor") / default, 3),
+        "ceiling_proximity_pct": F.round(own * 100, 1), "confidence_score": F.col("confidence"), "override_recommended": ~F.col("method").isin("elbow", "flat_curve"),
+    })
+    return j.select(group, *[c for c in AUDIT_COLUMNS if c in j.columns])
+
+
 def composite_score(fs: Column, mountain: Column) -> Column:
     """How bad a factor is that no ceiling lets pass, of rows (v_rmse, h_rmse, v_dev, h_dev, curve_var): turning, squared drift, and a heavy penalty for what is beyond each ceiling."""
     v_ceiling, h_ceiling = by_system(V_RMSE_CEILING_FT, fs), by_system(H_RMSE_CEILING_FT, fs)

@@ -1,21 +1,14 @@
-"""Plans over whole routes: alignment, plan and profile, Z/M enrichment, calibration sweeps.
-
-A route's pieces meet in one group, where the numeric kernels run; everything before and after is DataFrame work.
-"""
+"""From sections to chains: pieces of lines, stitched and merged route by route."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import FEET_PER_METER, METERS_PER_MILE, SWEEP_FACTORS, Params, smoothing_factor
+from ..config import Params
 from ..functions.geo import wkt_points
-from ..kernels import chains, profile, smooth
-
-VERTEX = "RouteId string, FSystem int, part_no int, part double, idx int, dist_m double, Milepost double, x double, y double, z double, z_raw double, heading double, grade double, roughness double, error string"
-CURVE = "RouteId string, part_no int, start_dist double, end_dist double, length_m double, grade_in double, grade_out double, alg_diff double, k_value double, kind string, offset_ft double"
+from ..kernels import chains
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -40,99 +33,3 @@ def stitch(parts: DataFrame, p: Params) -> DataFrame:
         return pd.DataFrame([{"RouteId": pdf.RouteId.iloc[0], "FSystem": fs, "part_no": k + 1, "low": c["low"], "high": c["high"], "xs": [q[0] for q in c["points"]], "ys": [q[1] for q in c["points"]]} for k, c in enumerate(made)], columns=["RouteId", "FSystem", "part_no", "low", "high", "xs", "ys"])
 
     return spread(parts, "RouteId").groupBy("RouteId").applyInPandas(run, "RouteId string, FSystem int, part_no int, low double, high double, xs array<double>, ys array<double>")
-
-
-def densified(xs, ys, spacing: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Equally spaced points of a planar path: x, y, distance, and the spacing that came out."""
-    x, y = np.asarray(xs, float), np.asarray(ys, float)
-    at = np.concatenate(([0.0], np.cumsum(np.hypot(np.diff(x), np.diff(y)))))
-    n = max(2, int(np.ceil(at[-1] / spacing)) + 1)
-    d = np.linspace(0, at[-1], n)
-    return np.interp(d, at, x), np.interp(d, at, y), d, float(at[-1] / (n - 1))
-
-
-def aligned(parts: DataFrame, p: Params, elevation=None) -> DataFrame:
-    """Smoothed vertices of every chain whose coordinates are metres: position, elevation, heading, grade, roughness.
-
-    elevation is a picklable function (x, y) -> metres, null where unknown; zeros without one. A chain whose kernels
-    fail gives one row with the error, index -1 and no vertex, and doesn't stop the others.
-    """
-    sample = elevation or (lambda x, y: np.zeros(len(x)))
-
-    def chain(r) -> pd.DataFrame:
-        if not (np.isfinite(r.xs).all() and np.isfinite(r.ys).all()):
-            raise ValueError("a coordinate is not a number")
-        x, y, d, step = densified(r.xs, r.ys, p.metres("densify_ft"))
-        h, v = smoothing_factor(p, "H", int(r.FSystem)), smoothing_factor(p, "V", int(r.FSystem))
-        xs, ys = smooth.smoothing_spline(d, x, h), smooth.smoothing_spline(d, y, h)
-        raw = smooth.filled(np.asarray(sample(x, y), float))
-        w = max(3, int(p.metres("trend_ft") / step)) | 1
-        trend = pd.Series(raw).rolling(w, center=True, min_periods=1).median().to_numpy()
-        fixed, _ = profile.repair_dips(raw, trend, np.zeros(len(raw), int), step, p)
-        z = smooth.smoothing_spline(d, smooth.savgol(fixed, p.savgol_window), v)
-        head = np.degrees(np.arctan2(np.diff(ys), np.diff(xs)))
-        head = np.unwrap(np.append(head, head[-1]), period=360)
-        return pd.DataFrame({"RouteId": r.RouteId, "FSystem": r.FSystem, "part_no": r.part_no, "part": r.low, "idx": np.arange(len(d), dtype=np.int32), "dist_m": d, "Milepost": r.low + (r.high - r.low) * d / max(d[-1], 1e-9), "x": xs, "y": ys, "z": z, "z_raw": raw, "heading": head, "grade": np.gradient(z, d) * 100, "roughness": smooth.roughness(raw - z, step), "error": None})
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = next(pdf.itertuples(index=False))
-        try:
-            return chain(r)
-        except (ValueError, FloatingPointError, np.linalg.LinAlgError) as e:
-            none = dict.fromkeys(("dist_m", "Milepost", "x", "y", "z", "z_raw", "heading", "grade", "roughness"), np.nan)
-            return pd.DataFrame([{"RouteId": r.RouteId, "FSystem": r.FSystem, "part_no": r.part_no, "part": r.low, "idx": -1, **none, "error": str(e)}])
-
-    return spread(parts, "RouteId", "part_no").groupBy("RouteId", "part_no").applyInPandas(run, VERTEX)
-
-
-def vertical(vertices: DataFrame, p: Params) -> DataFrame:
-    """Crests and sags of every chain of aligned vertices."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        rows = profile.vertical_curves(pdf.dist_m.to_numpy(), pdf.z.to_numpy(), pdf.grade.to_numpy(), p)
-        names = [c.split()[0] for c in CURVE.split(", ")]
-        return pd.DataFrame([{"RouteId": pdf.RouteId.iloc[0], "part_no": pdf.part_no.iloc[0], **r} for r in rows], columns=names)
-
-    return spread(vertices.where("error is null"), "RouteId", "part_no").groupBy("RouteId", "part_no").applyInPandas(run, CURVE)
-
-
-def enriched(sections: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Sections with LINESTRING ZM of the smoothed vertices within their mileposts, and where the elevation came from.
-
-    z in metres, m the milepost; sections without two vertices keep their own line with z 0 and m between their ends.
-    """
-    v = vertices.where("error is null").select(F.col("RouteId").alias("_r"), "Milepost", "x", "y", "z")
-    bucket = lambda c: F.floor(F.col(c))
-    s = sections.withColumn("_id", F.monotonically_increasing_id())
-    a = s.select("_id", "RouteId", "Start_MP", "End_MP").withColumn("_b", F.explode(F.sequence(bucket("Start_MP"), bucket("End_MP"))))
-    hit = a.join(v.withColumn("_b", bucket("Milepost")), (F.col("RouteId") == F.col("_r")) & (a["_b"] == F.floor("Milepost")) & F.col("Milepost").between(F.col("Start_MP"), F.col("End_MP")))
-    points = hit.groupBy(F.col("_id").alias("_i")).agg(F.sort_array(F.collect_list(F.struct(F.col("Milepost").alias("m"), "x", "y", "z"))).alias("p"))
-    from ..functions.geo import wkt_zm
-
-    own = F.transform(wkt_points(F.col("WKT"))[0], lambda q, i: F.struct(q["x"].alias("x"), q["y"].alias("y"), F.lit(0.0).alias("z"), (F.col("Start_MP") + (F.col("End_MP") - F.col("Start_MP")) * i / F.greatest(F.size(wkt_points(F.col("WKT"))[0]) - 1, F.lit(1))).alias("m")))
-    smooth_line = F.when(F.size("p") >= 2, wkt_zm(F.col("p")))
-    source = F.when(smooth_line.isNotNull(), "smoothed").when(own.isNotNull(), "raw_fallback")
-    return s.join(points, F.col("_id") == F.col("_i"), "left").withColumn("WKT_ZM", F.coalesce(smooth_line, wkt_zm(own))).withColumn("Elevation_Source", source).drop("_id", "_i", "p")
-
-
-def swept(parts: DataFrame, p: Params, elevation, factors: tuple[int, ...] = SWEEP_FACTORS) -> DataFrame:
-    """RMSE and largest deviation, in feet, of every chain's profile under every factor; each chain is densified once."""
-    schema = "RouteId string, FSystem int, part_no int, factor int, rmse double, max_dev double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = next(pdf.itertuples(index=False))
-        x, y, d, _ = densified(r.xs, r.ys, 10 / FEET_PER_METER)
-        z = smooth.filled(np.asarray(elevation(x, y), float))
-        out = []
-        for f in factors:
-            dev = np.abs(smooth.smoothing_spline(d, z, f) - z) * FEET_PER_METER
-            out.append((r.RouteId, r.FSystem, r.part_no, f, float(np.sqrt((dev**2).mean())), float(dev.max())))
-        return pd.DataFrame(out, columns=["RouteId", "FSystem", "part_no", "factor", "rmse", "max_dev"])
-
-    return spread(parts, "RouteId", "part_no").groupBy("RouteId", "part_no").applyInPandas(run, schema)
-
-
-def length_miles(vertices: DataFrame) -> DataFrame:
-    """Length of each route over its chains."""
-    return vertices.groupBy("RouteId", "part_no").agg(F.max("dist_m").alias("d")).groupBy("RouteId").agg((F.sum("d") / METERS_PER_MILE).alias("miles"))

@@ -11,17 +11,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DEGREE_FT, FEET_PER_METER, METERS_PER_MILE_CHUNK, SWEEP_FACTORS, Params, smoothing_factor
-from ..functions.geo import utm_inverse
-from ..kernels import profile, smooth
-from ..operators import spatial
+from ..config import AUDIT_COLUMNS, DEGREE_FT, FEET_PER_METER, METERS_PER_MILE_CHUNK, SWEEP_FACTORS, VOID_M, Params, smoothing_factor
+from ..functions.geo import tile_corner, utm_inverse
+from ..kernels import profile, projection, smooth
 from ..operators import statistics as S
 from .alignment import pieces, spread, stitch
 from .flow import projected
 
 CHUNK = "chunk string, FSystem int, epsg int, xs array<double>, ys array<double>"
 POINT = "chunk string, FSystem int, epsg int, idx int, dist_m double, spacing double, x double, y double"
-SWEEP = "chunk string, FSystem int, factor int, rmse double, max_dev double"
+SWEEP = "chunk string, FSystem int, factor int, v_rmse double, h_rmse double, max_v_dev double, max_h_dev double, curve_var double"
+#: Raster cells of a block's side, elevations that a chunk of mode H must have.
+BLOCK, LEAST_KNOWN = 64, 10
 
 
 def mile_chunks(chains: DataFrame) -> DataFrame:
@@ -67,50 +68,101 @@ def densified(chunks: DataFrame, spacing_m: float) -> DataFrame:
     return spread(chunks, "chunk").groupBy("chunk").applyInPandas(run, POINT)
 
 
-def swept(points: DataFrame, p: Params, mode: str, factors: tuple[int, ...] = SWEEP_FACTORS) -> DataFrame:
-    """RMSE and largest deviation, in feet, of every chunk under every factor: of its repaired profile (mode V, from z_read) or of its path (mode H).
+def windows(points: DataFrame, raster: DataFrame, reach_m: float, per_degree: int) -> DataFrame:
+    """Raster cells (row, col, z) of each chunk (`of`), counted from the pole and from 180 degrees west, that lie about a chunk's points as far as reach_m in either direction; voids are left out.
 
-    Chunks without any elevation take no part in a sweep of profiles. A path's deviation is measured as a degree of latitude
-    has DEGREE_FT.
+    Chunks and cells meet in blocks of BLOCK x BLOCK cells, so a cell goes only to the chunks near it.
     """
+    far = F.lit(reach_m / 111_000.0)
+    box = points.groupBy("chunk").agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"), F.max(F.abs("lat")).alias("_lat"))
+    wide = far / F.cos(F.radians(F.least("_lat", F.lit(89.0))))
+    row, col = lambda lat: F.floor((90 - lat) * per_degree), lambda lon: F.floor((lon + 180) * per_degree)
+    box = box.select("chunk", (row(F.col("y1") + far) - 1).alias("r0"), (row(F.col("y0") - far) + 1).alias("r1"), (col(F.col("x0") - wide) - 1).alias("c0"), (col(F.col("x1") + wide) + 1).alias("c1"))
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    box = box.withColumn("_br", F.explode(F.sequence(block("r0"), block("r1")))).withColumn("_bc", F.explode(F.sequence(block("c0"), block("c1"))))
+    north, west = tile_corner(F.col("tile"))
+    cell = raster.where(F.col("z") >= VOID_M).select(((90 - north) * per_degree + F.col("row")).cast("long").alias("row"), ((west + 180) * per_degree + F.col("col")).cast("long").alias("col"), "z")
+    cell = cell.withColumns({"_br": block("row"), "_bc": block("col")})
+    return cell.join(box, ["_br", "_bc"]).where("row between r0 and r1 and col between c0 and c1").select(F.col("chunk").alias("of"), "row", "col", F.col("z").cast("double").alias("z"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("idx")
-        d, step, none = v.dist_m.to_numpy(float), float(v.spacing.iloc[0]), np.zeros(len(v), int)
+
+def turning(lon: np.ndarray, lat: np.ndarray) -> float:
+    """Mean turn of heading between edges, in degrees."""
+    head = np.unwrap(np.arctan2(np.diff(lat), np.diff(lon)))
+    return float(np.degrees(np.abs(np.diff(head))).mean()) if len(head) > 1 else 0.0
+
+
+def sideways(lon_raw: np.ndarray, lat_raw: np.ndarray, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    """Feet between points as read and as smoothed, a degree of latitude being DEGREE_FT."""
+    return np.hypot((lat_raw - lat) * DEGREE_FT, (lon_raw - lon) * DEGREE_FT * np.cos(np.radians(lat)))
+
+
+def swept(points: DataFrame, raster: DataFrame, p: Params, mode: str, factors: tuple[int, ...] = SWEEP_FACTORS, per_degree: int = 2400) -> DataFrame:
+    """v_rmse, h_rmse, max_v_dev, max_h_dev (feet) and curve_var (degrees) of every chunk under every factor.
+
+    A chunk meets the raster cells about it in one group, where it is sampled as often as its positions move. Mode H
+    smooths the path by each factor and reads the ground under both paths; a chunk with fewer than LEAST_KNOWN elevations
+    under either has no row for that factor. Mode V keeps the path of the other mode's factor and smooths the repaired
+    ground by each; a chunk without any elevation has no row.
+    """
+    names = [c.split()[0] for c in SWEEP.split(", ")]
+    lon, lat = utm_inverse(F.col("x"), F.col("y"), F.col("epsg"))
+    at = points.withColumns({"lon": lon, "lat": lat})
+    other = max(max(factors), *(smoothing_factor(p, "H", k) for k in range(1, 8)))
+    near = windows(at, raster, float(np.sqrt(other)) + 1.0, per_degree)  # no point is moved farther, as squares of all moves add up to the factor
+
+    def run(v: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(v):
+            return pd.DataFrame(columns=names)
+        v = v.sort_values("idx")
+        epsg, fs, step = int(v.epsg.iloc[0]), int(v.FSystem.iloc[0]), float(v.spacing.iloc[0])
+        ground = projection.Window(held.row.to_numpy(), held.col.to_numpy(), held.z.to_numpy(float), per_degree)
+        d, x, y, lon_raw, lat_raw = (v[c].to_numpy(float) for c in ("dist_m", "x", "y", "lon", "lat"))
+        read = ground.at(lon_raw, lat_raw)
         out = []
+
+        def path(factor: int):
+            lon, lat = projection.utm_inverse(smooth.smoothing_spline(d, x, factor), smooth.smoothing_spline(d, y, factor), epsg)
+            h = sideways(lon_raw, lat_raw, lon, lat)
+            return lon, lat, float(np.sqrt((h**2).mean())), float(h.max()), turning(lon, lat)
+
         if mode == "V":
-            read = v.z_read.to_numpy(float)
             if not np.isfinite(read).any():
-                return pd.DataFrame(columns=["chunk", "FSystem", "factor", "rmse", "max_dev"])
+                return pd.DataFrame(columns=names)
+            none = np.zeros(len(v), int)
             raw = smooth.filled(read)
             fixed, _ = profile.repair_dips(raw, profile.trend_of(raw, none, step, p), none, step, p)
+            _, _, h_rmse, h_max, turn = path(smoothing_factor(p, "H", fs))
         for f in factors:
             if mode == "V":
-                dev = np.abs(smooth.smoothing_spline(d, fixed, f) - raw) * FEET_PER_METER
+                up = np.abs(smooth.smoothing_spline(d, fixed, f) - raw) * FEET_PER_METER
             else:
-                x, y = v.x.to_numpy(float), v.y.to_numpy(float)
-                dev = np.hypot(smooth.smoothing_spline(d, x, f) - x, smooth.smoothing_spline(d, y, f) - y) / 111_320.0 * DEGREE_FT
-            out.append((v.chunk.iloc[0], int(v.FSystem.iloc[0]), f, float(np.sqrt((dev**2).mean())), float(dev.max())))
-        return pd.DataFrame(out, columns=["chunk", "FSystem", "factor", "rmse", "max_dev"])
+                lon, lat, h_rmse, h_max, turn = path(f)
+                under = ground.at(lon, lat)
+                if min(np.isfinite(under).sum(), np.isfinite(read).sum()) < LEAST_KNOWN:
+                    continue
+                up = np.abs(read - under)[np.isfinite(read) & np.isfinite(under)] * FEET_PER_METER
+            out.append((v.chunk.iloc[0], fs, f, float(np.sqrt((up**2).mean())) if len(up) else 0.0, h_rmse, float(up.max()) if len(up) else 0.0, h_max, turn))
+        return pd.DataFrame(out, columns=names)
 
-    kept = points if mode == "V" else points.withColumn("z_read", F.lit(None).cast("double"))
-    return spread(kept.select("chunk", "FSystem", "idx", "dist_m", "spacing", "x", "y", "z_read"), "chunk").groupBy("chunk").applyInPandas(run, SWEEP)
+    own = spread(at.select("chunk", "FSystem", "epsg", "idx", "dist_m", "spacing", "x", "y", "lon", "lat"), "chunk")
+    return own.groupBy("chunk").cogroup(near.groupBy("of")).applyInPandas(run, SWEEP)
+
+
+def drawn_points(sections: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """Sampled chunks of a state's sections, and their points calibrate_ft apart."""
+    drawn = sample(mile_chunks(projected(stitch(pieces(sections), p))))
+    return drawn, densified(drawn.select("chunk", "FSystem", "epsg", "xs", "ys"), p.metres("calibrate_ft"))
 
 
 def audited(sections: DataFrame, raster: DataFrame, p: Params, mode: str, mountain: bool = False) -> DataFrame:
-    """An audit row for each functional system of a state's sections: the factor chosen for its paths (mode H) or profiles (mode V), and why.
+    """A row of AUDIT_COLUMNS for each functional system of a state's sections: the factor chosen for its paths (mode H) or profiles (mode V), and why.
 
     Fewer than three chunks of a system give no row.
     """
-    drawn = sample(mile_chunks(projected(stitch(pieces(sections), p))))
-    at = densified(drawn.select("chunk", "FSystem", "epsg", "xs", "ys"), p.metres("densify_ft"))
-    if mode == "V":
-        lon, lat = utm_inverse(F.col("x"), F.col("y"), F.col("epsg"))
-        at = spatial.sampled(at.withColumns({"lon": lon, "lat": lat}), raster, "lon", "lat", "z_read")
-    metrics = S.collated(swept(at, p, mode), ["FSystem", "factor"])
-    tried = S.early_exit(S.gated(metrics, mode, F.col("FSystem"), F.lit(mountain)), "FSystem")
+    drawn, at = drawn_points(sections, p)
+    joint = S.collated_joint(swept(at, raster, p, mode), ["FSystem", "factor"])
+    rows = S.audit_table(joint, "FSystem", mode, F.col("FSystem"), F.lit(mountain))
     sizes = drawn.groupBy("FSystem").agg(F.first("total_chunks").alias("total_chunks"), F.first("sample_chunks").alias("sample_chunks"))
-    rows = S.audit_rows(tried, "FSystem", mode, F.col("FSystem"))
-    other = "V" if mode == "H" else "H"
-    fixed = F.element_at(F.array(*[F.lit(smoothing_factor(p, other, k)) for k in range(1, 8)]), F.when(F.col("FSystem").between(1, 7), F.col("FSystem")).otherwise(1))
-    return rows.drop("f_system").join(F.broadcast(sizes), "FSystem").withColumns({"fixed_other": fixed, "is_mountain_state": F.lit(mountain), "timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")})
+    given = {"timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"), "state_fips": F.lit(p.state)}
+    return rows.join(F.broadcast(sizes), "FSystem").withColumns(given).select(*AUDIT_COLUMNS)  # a row for each system

@@ -10,17 +10,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BLIND_FT, CLEARANCE_RADIUS_DEG, FEET_PER_METER, METERS_PER_MILE, STRUCTURE_RADIUS_M, Params, smoothing_factor
-from ..functions.classify import clearance_m, grade_bin
+from ..config import BLIND_FT, CLEARANCE_RADIUS_DEG, FEET_PER_METER, METERS_PER_MILE, STRUCTURE_RADIUS_M, TOPOLOGY_RADIUS_DEG, Params, smoothing_factor
+from ..functions.classify import clearance_m, grade_bin, topology
 from ..functions.geo import utm, utm_inverse, utm_zone
 from ..kernels import profile, smooth
 from ..operators import curves as C
 from ..operators import intervals, spatial
+from ..operators.attributes import attributes, interval
 from ..operators.cleaning import route_clip
+from ..storage import new_folder, removed, written
 from .alignment import pieces, spread, stitch
 
 PLAN = "path string, RouteId string, FSystem int, low double, high double, epsg int, idx int, dist_m double, spacing double, Milepost double, x_raw double, y_raw double, x double, y double, error string"
@@ -32,17 +33,17 @@ REACH_DEG = 5e-4
 
 @dataclass(frozen=True)
 class Alignment:
-    """What the flow gives; vertices are kept on executors until release()."""
+    """What the flow gives; vertices are a written table until release()."""
 
     vertices: DataFrame
     horizontal: DataFrame
     vertical: DataFrame
     scores: DataFrame
     errors: DataFrame
-    kept: DataFrame
+    folder: str
 
     def release(self) -> None:
-        self.kept.unpersist()
+        removed(self.vertices.sparkSession, self.folder)
 
 
 def projected(chains: DataFrame) -> DataFrame:
@@ -162,42 +163,89 @@ def vertical(vertices: DataFrame, paths: DataFrame, p: Params) -> DataFrame:
     c = spread(vertices.select("path", "idx", "dist_m", "z"), "path").groupBy("path").applyInPandas(run, kinds)
     c = calibrated(c, paths).withColumn("bin", grade_bin(F.col("alg_diff")))
     known = vertices.where("tier in (1, 2)").select("path", "Milepost")
-    sags = c.where("kind = 'SAG'").select("path", "start_mp", "end_mp").withColumnRenamed("path", "_p")
-    hit = known.join(sags, (F.col("path") == F.col("_p")) & F.col("Milepost").between(F.col("start_mp"), F.col("end_mp"))).select(F.col("_p").alias("path"), "start_mp").distinct().withColumn("false_valley", F.lit(True))
-    return c.join(hit, ["path", "start_mp"], "left").withColumn("false_valley", F.coalesce("false_valley", F.lit(False)))
+    sags = c.where("kind = 'SAG'").select("path", "start_mp", "end_mp").distinct()
+    hit = intervals.holding(sags, known, "path", "start_mp", "end_mp", "Milepost").withColumn("false_valley", F.lit(True))
+    return c.join(hit, ["path", "start_mp", "end_mp"], "left").withColumn("false_valley", F.coalesce("false_valley", F.lit(False)))
 
 
-def tagged(vertices: DataFrame, curves: DataFrame) -> DataFrame:
-    """Vertices with the kind of the horizontal curve of their own chain that they lie in, if any: its direction, 'Compound' before it for a merged one; the last of several."""
-    c = curves.select(F.col("path").alias("route_id"), "start_dist", "end_dist", F.concat(F.when(F.col("merge_status") == "Compound", "Compound ").otherwise(""), F.col("dir")).alias("curve"))
-    got = intervals.point_in_interval(vertices.select(F.col("path").alias("route_id"), "idx", "dist_m"), c, "dist_m", "start_dist", "end_dist", "start_dist", "curve", ["idx"])
-    return vertices.join(got.select(F.col("route_id").alias("path"), "idx", "curve"), ["path", "idx"], "left")
+def tagged(vertices: DataFrame, sections: DataFrame, h: DataFrame, v: DataFrame) -> DataFrame:
+    """Vertices with what holds at them: kind and class of the horizontal and vertical curve of their chain, and the roughness reported for their section.
+
+    The last of several counts. Curves are held against distances along the chain, sections against mileposts. Curves are
+    'Tangent' of class A where there is none; `curve` has the horizontal one's direction, 'Compound' before it for a merged
+    one. A section without a reported value takes the value away; without a column of that name there is none.
+    """
+    paths = vertices.groupBy("path").agg(F.first("RouteId").alias("RouteId"), F.min("Milepost").alias("_low"), F.max("Milepost").alias("_high"))
+    turn = F.concat(F.when(F.col("merge_status") == "Compound", "Compound ").otherwise(""), F.col("dir"))
+    along = lambda df, name, value: df.select(*interval(name, "dist_m", "start_dist", "end_dist", ["start_dist", "end_dist"], value))
+    every = along(h, "curve", turn).unionByName(along(h, "H_Curve_Type", "dir")).unionByName(along(h, "H_Curve_Bin", "bin")).unionByName(along(v, "V_Curve_Type", "kind")).unionByName(along(v, "V_Grade_Bin", "bin"))
+    names = ["curve", "H_Curve_Type", "H_Curve_Bin", "V_Curve_Type", "V_Grade_Bin", "IRI_Reported"]
+    iri = next((c for c in sections.columns if c.upper() == "IRI"), None)
+    if iri:
+        own = sections.select("RouteId", "Start_MP", "End_MP", F.col(iri).try_cast("double").alias("_iri")).join(paths, "RouteId").where("Start_MP <= _high and End_MP >= _low")
+        every = every.unionByName(own.select(*interval("IRI_Reported", "Milepost", "Start_MP", "End_MP", ["Start_MP", "End_MP"], "_iri")))
+    got = attributes(vertices, every, "path", "idx", ["dist_m", "Milepost"], names)
+    out = vertices.join(got, ["path", "idx"], "left")
+    tangent = {c: F.coalesce(c, F.lit("Tangent" if c.endswith("Type") else "A")) for c in names[1:5]}
+    return out.withColumns({**tangent, "IRI_Reported": F.col("IRI_Reported").cast("double")})
 
 
 def scored(sections: DataFrame, h: DataFrame, v: DataFrame) -> DataFrame:
-    """Sections with the worst class of the horizontal and of the vertical curves that they overlap, A without any."""
-    own = sections.select(F.monotonically_increasing_id().alias("_s"), F.col("RouteId").alias("route_id"), "FSystem", F.least("Start_MP", "End_MP").alias("start_mp"), F.greatest("Start_MP", "End_MP").alias("end_mp"))
-    worst = lambda c, out: intervals.worst_bin(own.select("_s", "route_id", "FSystem", "start_mp", "end_mp"), c.select(F.col("RouteId").alias("route_id"), F.col("start_mp").alias("c_start"), F.col("end_mp").alias("c_end"), "bin"), ["_s", "FSystem"], "bin", out)
-    a, b = worst(h, "h_bin"), worst(v, "v_bin").select("_s", "v_bin")
-    return a.join(b, "_s").drop("_s").withColumnRenamed("route_id", "RouteId")
+    """Sections with the worst class of the horizontal and of the vertical curves that they overlap, A without any; repeated sections keep a row each.
+
+    Both kinds of curves meet the sections in one join, and each class is a partial maximum.
+    """
+    own = sections.select(F.col("RouteId").alias("route_id"), "FSystem", F.least("Start_MP", "End_MP").alias("start_mp"), F.greatest("Start_MP", "End_MP").alias("end_mp"))
+    own = own.groupBy("route_id", "FSystem", "start_mp", "end_mp").agg(F.count("*").alias("_copies"))
+    one = lambda c, a, b: c.select(F.col("RouteId").alias("route_id"), F.col("start_mp").alias("c_start"), F.col("end_mp").alias("c_end"), a.alias("_h"), b.alias("_v"))
+    none = F.lit(None).cast("string")
+    curves = one(h, F.col("bin"), none).unionByName(one(v, none, F.col("bin")))
+    s = intervals.worst_bins(own, curves, ["FSystem", "_copies"], {"_h": "h_bin", "_v": "v_bin"})
+    return s.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).drop("_copy", "_copies").withColumnRenamed("route_id", "RouteId")
+
+
+def intersections(vertices: DataFrame, radius: float = TOPOLOGY_RADIUS_DEG) -> DataFrame:
+    """Where two routes cross, one row a pair of routes: kind, both mileposts and elevations (feet), and the place on the first.
+
+    Pairs are vertices of different routes within radius (degrees) whose elevations are within AT_GRADE_FT of each other or
+    over GRADE_SEPARATED_FT apart; of a pair of routes the first vertices count, by chain and index of the lesser route,
+    then of the other.
+    """
+    node = F.struct("low", "path", "idx")
+    n = vertices.select(node.alias("node_id"), F.col("RouteId").alias("route_id"), "lon", "lat", F.col("Elev_Ft").alias("elev"), F.col("Milepost").alias("mp"))
+    o = n.select(*[F.col(c).alias(f"o_{c}") for c in n.columns])
+    pairs = spatial.within_dense(n, o, "lon", "lat", "o_lon", "o_lat", radius).where("route_id < o_route_id")
+    pairs = pairs.withColumn("dz", F.abs(F.col("elev") - F.col("o_elev"))).withColumn("kind", topology(F.col("dz"))).where("kind is not null")
+    first = F.min(F.struct("node_id", "o_node_id", "kind", "lon", "lat", "mp", "elev", "o_mp", "o_elev", "dz"))
+    best = pairs.groupBy("route_id", "o_route_id").agg(first.alias("b"))
+    names = {"kind": "Topology_Node", "lon": "Lon", "lat": "Lat", "mp": "MP_A", "elev": "Elev_A_Ft", "o_mp": "MP_B", "o_elev": "Elev_B_Ft", "dz": "Elev_Diff_Ft"}
+    return best.select(F.col("route_id").alias("Route_A"), F.col("o_route_id").alias("Route_B"), *[F.col(f"b.{c}").alias(a) for c, a in names.items()])
 
 
 def aligned(sections: DataFrame, structures: DataFrame, raster: DataFrame, p: Params) -> Alignment:
-    """The flow over sections (RouteId, FSystem, Start_MP, End_MP, Structure_Type, WKT in degrees), an inventory of structures (structure_id, lon, lat, vertical_clearance) and a raster of elevations (tile, row, col, z).
+    """The flow over sections (RouteId, FSystem, Start_MP, End_MP, Structure_Type, WKT in degrees, perhaps IRI), an inventory of structures (structure_id, lon, lat, vertical_clearance) and a raster of elevations (tile, row, col, z).
 
-    A chain that fails is a row of errors and stops no other. Vertices are computed once and kept on the executors' disks;
-    a lost executor's part is computed again.
+    A chain that fails is a row of errors and stops no other. Plan and vertices are written to the shared folder, so all
+    that follows reads them, and none depends on an executor.
     """
-    plan = planned(projected(stitch(pieces(sections), p)), p).persist(StorageLevel.DISK_ONLY)
-    at = spatial.sampled(located(plan.where("error is null")), raster, "lon_raw", "lat_raw", "z_read")
+    folder = new_folder(sections.sparkSession, "alignment")
+    plan = written(planned(projected(stitch(pieces(sections), p)), p), f"{folder}/plan")
+    sound = located(plan.where("error is null"))
+    at = spatial.sampled(sound, raster, "lon_raw", "lat_raw", "z_read")
     up = profiled(masked(at, sections, structures), p)
-    both = located(plan.where("error is null")).drop("error").join(up.where("error is null").drop("error"), ["path", "idx"])
-    v = both.persist(StorageLevel.DISK_ONLY)
+    # Rows of failed profiles have no vertex to join; they are told apart by the error.
+    both = up.join(sound.drop("error"), ["path", "idx"], "left")
+    return derived(sections, plan, written(both, f"{folder}/vertices"), p, folder)
+
+
+def derived(sections: DataFrame, plan: DataFrame, vertices: DataFrame, p: Params, folder: str) -> Alignment:
+    """What follows from the written tables of plan and vertices."""
+    v = vertices.where("error is null").drop("error")
     paths = v.groupBy("path").agg(F.first("RouteId").alias("RouteId"), F.first("FSystem").alias("FSystem"), F.first("low").alias("low"), F.first("high").alias("high"), F.max("dist_m").alias("total_m"))
     h, u = horizontal(v, paths, p), vertical(v, paths, p)
-    out = tagged(v, h).withColumn("Structure_Tier", F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1)).withColumn("Elev_Ft", F.col("z") * FEET_PER_METER)
-    errors = plan.where("error is not null").select("path", "error").unionByName(up.where("error is not null").select("path", "error"))
-    return Alignment(out, h, u, scored(sections, h, u), errors, v)
+    out = tagged(v, sections, h, u).withColumn("Structure_Tier", F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1)).withColumn("Elev_Ft", F.col("z") * FEET_PER_METER)
+    errors = plan.where("error is not null").select("path", "error").unionByName(vertices.where("error is not null").select("path", "error"))
+    return Alignment(out, h, u, scored(sections, h, u), errors, folder)
 
 
 @dataclass(frozen=True)

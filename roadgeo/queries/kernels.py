@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import views as V
 from ..config import Params
 from ..kernels import profile, smooth
-from ..operators.spatial import nearest_of_all
+from ..operators.nearest import nearest_of_all
 from ..plans import alignment as A
 from ..registry import query
 
@@ -79,26 +79,6 @@ def stitch_greedy(spark, d):
     return s.select("RouteId", "FSystem", "part_no", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.size("xs").alias("n"))
 
 
-@query()
-def alignment(spark, d):
-    p = Params()
-    v = A.aligned(A.stitch(A.pieces(_sections(spark, d)), p), p, lambda x, y: 100 + 10 * np.sin(x / 150))
-    return v.select("RouteId", "part_no", "idx", *[F.round(c, 4).alias(c) for c in ("Milepost", "x", "y", "z", "heading", "grade", "roughness")], "error")
-
-
-@query()
-def enrich_4d(spark, d):
-    p, s = Params(), _sections(spark, d)
-    v = A.aligned(A.stitch(A.pieces(s), p), p, lambda x, y: 100 + 10 * np.sin(x / 150))
-    return A.enriched(s, v).select("RouteId", "Start_MP", "End_MP", "WKT_ZM", "Elevation_Source")
-
-
-@query()
-def calibration_sweep(spark, d):
-    s = A.swept(A.stitch(A.pieces(_sections(spark, d)), Params()), Params(), lambda x, y: 100 + 10 * np.sin(x / 150) + np.cos(x))
-    return s.select("RouteId", "FSystem", "part_no", "factor", F.round("rmse", 6).alias("rmse"), F.round("max_dev", 6).alias("max_dev"))
-
-
 @query(V.sql("""+s AS (SELECT node_id AS smooth_id, lon + 0.00001::DOUBLE AS lon, lat FROM nodes), p AS (SELECT node_id, smooth_id, sqrt(pow(n.lon - s.lon, 2) + pow(n.lat - s.lat, 2)) AS d FROM nodes n CROSS JOIN s)
     SELECT node_id, smooth_id, round(round(d, 9), 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY round(d, 9), smooth_id) AS k FROM p) WHERE k = 1""", "nodes"))
 def raw_to_smooth_nearest(spark, d):

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadgeo.config import FEET_PER_METER, Params
+from roadgeo.kernels import profile, projection, smooth
 from roadgeo.plans import alignment, calibration, flow
 
 LON, LAT = -120.4, 45.2
@@ -79,6 +80,15 @@ def test_curves_tags_and_scores(network):
         worst = lambda curves: max([c.bin for c in curves if c.RouteId == route and end > c.start_mp and start < c.end_mp], default="A")  # noqa: E731, B023
         assert scores[route, start] == (worst(h), worst(vertical))
     assert any(c.RouteId == "F" and c.kind == "CREST" and not c.false_valley for c in vertical)
+    f = a.vertices.where("RouteId = 'F'").toPandas()
+    for c in vertical:
+        own = f[(f.path == c.path) & (f.dist_m >= c.start_dist) & (f.dist_m <= c.end_dist)]
+        if c.RouteId == "F" and len(own):
+            assert set(own.V_Curve_Type) <= {"CREST", "SAG"} and (own.V_Grade_Bin >= "A").all()
+    assert set(v[inside].H_Curve_Type) == {"Right"} and set(v[~inside].H_Curve_Type) == {"Tangent"} and set(v[~inside].H_Curve_Bin) == {"A"} and set(v[inside].H_Curve_Bin) == {h[0].bin}
+    known = {r.path: r.t for r in a.vertices.where("Structure_Tier in ('1_HPMS', '2_NBI')").groupBy("path").agg(F.collect_list("Milepost").alias("t")).collect()}
+    for c in vertical:
+        assert c.false_valley == (c.kind == "SAG" and any(c.start_mp <= m <= c.end_mp for m in known.get(c.path, [])))
 
 
 def test_sheets_of_a_route(spark, network):
@@ -109,20 +119,52 @@ def test_calibration_from_sections_to_audit(spark):
     sections = spark.createDataFrame(rows, "RouteId string, FSystem int, Start_MP double, End_MP double, Structure_Type int, WKT string")
     z = lambda r, c: 200 + 8 * math.sin(c / 6) + 2 * math.cos(r * c / 50)
     cells = spark.createDataFrame([("n46w121", r, c, z(r, c)) for r in range(1690, 1930) for c in range(1430, 1700)], "tile string, row int, col int, z double")
-    p = Params(densify_ft=60.0)
+    p = Params(state="41")
     chunks = calibration.mile_chunks(flow.projected(alignment.stitch(alignment.pieces(sections), p)))
     got = [(r.chunk, float(np.hypot(np.diff(r.xs), np.diff(r.ys)).sum())) for r in chunks.collect()]
     assert len(got) >= 20 and all(c == pytest.approx(1609.34) or 800 <= c < 1609.34 for _, c in got)
     drawn = calibration.sample(chunks)
     assert {(r.FSystem, r.total_chunks, r.sample_chunks) for r in drawn.collect()} == {(r.FSystem, r.n, r.n) for r in chunks.groupBy("FSystem").agg(F.count("*").alias("n")).collect()}
     for mode in ("V", "H"):
-        audit = {r.FSystem: r for r in calibration.audited(sections, cells, p, mode).collect()}
+        audit = {r.f_sys: r for r in calibration.audited(sections, cells, p, mode).collect()}
         assert set(audit) == {1, 2}
         for r in audit.values():
-            assert r["mode"] == mode and 1 <= r.n_evaluated <= 15 and r.n_passing <= r.n_evaluated and r.selected_factor in (*calibration.SWEEP_FACTORS, r.national_default) and r.timestamp
+            assert r["mode"] == mode and r.state_fips == "41" and 1 <= r.n_evaluated <= 15 and r.n_passing <= r.n_evaluated and r.selected_factor in (*calibration.SWEEP_FACTORS, r.national_default_factor) and r.timestamp
+            assert len(r) == 42 and (r.v_rmse_at_selected is None) == (r.h_rmse_at_selected is None)
             if r.n_passing:
                 assert r.ceiling_proximity_pct <= 100 or r.selection_method == "flat_terrain_default"
-            at = calibration.densified(drawn.select("chunk", "FSystem", "epsg", "xs", "ys"), p.metres("densify_ft"))
-        if mode == "H":
-            plain = [m for m in calibration.swept(at.where("FSystem = 1"), p, "H", (400,)).collect()]
-            assert all(m.rmse <= math.sqrt(2 * 400 * 1.002 / 50) / 111_320 * 364_000 for m in plain)
+
+
+def test_joint_metrics_of_a_chunk(spark):
+    """Both modes against plain numpy on one chunk whose raster is known."""
+    n, step = 400, 10 / FEET_PER_METER
+    d = np.arange(n) * step
+    rng = np.random.default_rng(8)
+    x, y = 547_000 + d + rng.normal(0, 0.3, n), 5_005_500 + 40 * np.sin(d / 150) + rng.normal(0, 0.3, n)
+    points = spark.createDataFrame([("c/0", 2, 32610, i, float(d[i]), step, float(x[i]), float(y[i])) for i in range(n)] + [("far/0", 2, 32610, i, float(d[i]), step, float(x[i]) + 50_000, float(y[i])) for i in range(n)], calibration.POINT)
+    z = lambda r, c: 200 + 8 * math.sin(c / 2) + 2 * math.cos(r)
+    lon, lat = projection.utm_inverse(x, y, 32610)
+    row, col = projection.cells(lon, lat, 2400)
+    held = {(r, c): z(r, c) for r in range(row.min() - 6, row.max() + 7) for c in range(col.min() - 6, col.max() + 7) if (r + c) % 9}
+    cells = spark.createDataFrame([("n46w121", r - 44 * 2400, c - 59 * 2400, v) for (r, c), v in held.items()], "tile string, row int, col int, z double")
+    p, factors = Params(factors={"H_SMOOTH_FACTOR_FS2": 60}), (30, 400)
+    at = lambda lon, lat: np.array([held.get((r, c), np.nan) for r, c in zip(*projection.cells(lon, lat, 2400), strict=True)])
+    for mode in "HV":
+        got = {(r.chunk, r.factor): r for r in calibration.swept(points, cells, p, mode, factors).collect()}
+        assert set(got) == {("c/0", f) for f in factors}  # the other chunk has no elevations
+        for f in factors:
+            h = f if mode == "H" else 60
+            slon, slat = projection.utm_inverse(smooth.smoothing_spline(d, x, h), smooth.smoothing_spline(d, y, h), 32610)
+            side = np.hypot((lat - slat) * 364_000, (lon - slon) * 364_000 * np.cos(np.radians(slat)))
+            if mode == "H":
+                up = (np.abs(at(lon, lat) - at(slon, slat)) * FEET_PER_METER)
+                up = up[~np.isnan(up)]
+            else:
+                raw = smooth.filled(at(lon, lat))
+                none = np.zeros(n, int)
+                fixed, _ = profile.repair_dips(raw, profile.trend_of(raw, none, step, p), none, step, p)
+                up = np.abs(smooth.smoothing_spline(d, fixed, f) - raw) * FEET_PER_METER
+            turn = np.degrees(np.abs(np.diff(np.unwrap(np.arctan2(np.diff(slat), np.diff(slon)))))).mean()
+            r = got["c/0", f]
+            assert (r.v_rmse, r.max_v_dev) == (pytest.approx(math.sqrt((up**2).mean()), rel=1e-6), pytest.approx(up.max(), rel=1e-6))
+            assert (r.h_rmse, r.max_h_dev, r.curve_var) == (pytest.approx(math.sqrt((side**2).mean()), rel=1e-4), pytest.approx(side.max(), rel=1e-4), pytest.approx(turn, rel=1e-6))

@@ -56,6 +56,37 @@ def test_early_exit_and_audit_row(spark):
     assert (three.selection_method, three.selected_factor, three.rmse_at_baseline, three.override_recommended) == ("highest_safe", 400, 9.0, True)
 
 
+def joint(spark, rows):
+    """Metrics of factors: (system, factor, rmse and deviation up, rmse and deviation sideways)."""
+    return spark.createDataFrame([(fs, f, 5, float(v), float(h), float(mv), float(mh), 0.5, 0.1, 0.2) for fs, f, v, h, mv, mh in rows], "FSystem int, factor int, n long, " + ", ".join(f"{c} double" for c in S.JOINT))
+
+
+def test_audit_table(spark):
+    rows = [(1, f, v, 1.0, 10.0, 9.0) for f, v in ((100, 1.0), (200, 1.8), (400, 1.9))] + [(1, 800, 5.0, 1.0, 10.0, 9.0), (1, 1000, 6.0, 1.0, 10.0, 9.0), (1, 1200, 7.0, 1.0, 10.0, 9.0), (1, 1400, 1.0, 1.0, 1.0, 1.0)]
+    rows += [(2, 200, 4.0, 1.0, 38.0, 3.0), (2, 400, 5.0, 1.2, 39.0, 3.0)]  # within the ceiling of mountains alone
+    rows += [(3, 100, 9.0, 0.5, 1.0, 1.0), (3, 200, 9.5, 0.6, 1.0, 1.0)]
+    rows += [(5, f, 2.0 + f / 1e6, 0.5, 1.0, 1.0) for f in (100, 200, 400)]
+    a = {r.FSystem: r for r in S.audit_table(joint(spark, rows), "FSystem", "V", F.col("FSystem"), F.lit(True)).collect()}
+    one = a[1].asDict()
+    assert [one[c] for c in ("v_rmse_ceiling", "h_rmse_ceiling", "maxv_ceiling", "maxh_ceiling", "n_evaluated", "n_passing", "passing_factors", "early_exit_factor", "last_passing_factor")] == [4.0, 3.5, 43.0, 15.0, 6, 3, "100|200|400", 400, 400]
+    assert (one["selection_method"], one["selected_factor"], one["peak_elbow_distance"], one["rmse_rise"]) == ("elbow", 200, round((0.8 / 0.9 - 1 / 3) / math.sqrt(2), 4), 0.9)
+    assert one["elbow_distance_profile"] == f"F100:0.0000  F200:{(0.8 / 0.9 - 1 / 3) / math.sqrt(2):.4f}  F400:0.0000"
+    assert [one[f"{c}_at_selected"] for c in S.JOINT] == [1.8, 1.0, 10.0, 9.0, 0.5, 0.1, 0.2] and [one[f"{c}_at_baseline"] for c in S.JOINT[:5]] == [1.0, 1.0, 10.0, 9.0, 0.5] and [one[f"{c}_at_last_passing"] for c in S.JOINT[:4]] == [1.9, 1.0, 10.0, 9.0]
+    assert (one["national_default_factor"], one["deviation_from_default"], one["ceiling_proximity_pct"], one["confidence_score"], one["override_recommended"]) == (1400, 0.143, 45.0, 39 + 9 + 18, False)
+    two = a[2].asDict()
+    assert (two["selection_method"], two["selected_factor"], two["n_passing"], two["passing_factors"], two["v_rmse_at_baseline"], two["elbow_distance_profile"]) == ("highest_safe", 200, 1, "200", 4.0, None)
+    three = a[3].asDict()
+    assert (three["selection_method"], three["selected_factor"], three["last_passing_factor"], three["v_rmse_at_last_passing"], three["early_exit_factor"], three["passing_factors"]) == ("composite_fallback", 100, None, None, None, "")
+    five = a[5].asDict()
+    assert (five["selection_method"], five["selected_factor"], five["v_rmse_at_selected"], five["ceiling_proximity_pct"], five["override_recommended"]) == ("flat_terrain_default", 1000, None, None, True)
+    h = {r.FSystem: r for r in S.audit_table(joint(spark, rows), "FSystem", "H", F.col("FSystem"), F.lit(True)).collect()}
+    assert (h[2].selection_method, h[2].selected_factor, h[2].h_rmse_at_selected, h[2].v_rmse_at_selected, h[2].ceiling_proximity_pct) == ("highest_safe", 400, 1.2, 5.0, round(1.2 / 3.5 * 100, 1))
+    assert h[1].n_evaluated == 7 and h[1].passing_factors == "100|200|400|800|1000|1200|1400" and h[1].national_default_factor == 400
+    chunks = spark.createDataFrame([(1, 100, float(k), 2.0 * k, 10.0 * k, 5.0 * k, 1.0) for k in range(1, 6)] + [(1, 200, 1.0, 1.0, 1.0, 1.0, 1.0)], "FSystem int, factor int, v_rmse double, h_rmse double, max_v_dev double, max_h_dev double, curve_var double")
+    m = S.collated_joint(chunks, ["FSystem", "factor"]).collect()
+    assert [(r.factor, r.n, r.v_rmse, r.h_rmse, r.maxv, r.maxh, r.curvevar, r.std_v_rmse, r.std_h_rmse) for r in m] == [(100, 5, 3.0, 6.0, 42.0, 21.0, 1.0, round(math.sqrt(2), 6), round(2 * math.sqrt(2), 6))]
+
+
 def test_composite_rule(spark):
     rows = [(1, f, 1.0 + k * 0.05, True) for k, f in enumerate((100, 200, 400))] + [(2, 100, 9.0, False), (2, 200, 8.0, False), (2, 400, 8.5, False)]
     g = gates(spark, rows).withColumn("score", F.col("rmse"))

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from roadgeo.config import Params
 from roadgeo.functions import geo
 from roadgeo.operators import cleaning, curves, intervals, spatial
-from roadgeo.plans import alignment
 from roadgeo.sources import readers, sinks
 from roadgeo.streaming import sections as feed
 
@@ -180,16 +179,6 @@ def test_intervals_and_distances_meet_brute_force(spark):
     assert near == {(i, j) for i, x, y in p for j, u, v in p if np.hypot(x - u, y - v) <= 0.7}
 
 
-def test_alignment_reports_failures(spark):
-    parts = spark.createDataFrame([("a", 1, 1, 0.0, 1.0, [0.0, 500.0, 1000.0], [0.0, 10.0, 0.0]), ("b", 1, 1, 0.0, 1.0, [float("nan"), 1.0], [0.0, 0.0])], "RouteId string, FSystem int, part_no int, low double, high double, xs array<double>, ys array<double>")
-    v = alignment.aligned(parts, Params(densify_ft=30.0))
-    assert v.where("RouteId = 'b'").select("error").first()[0]
-    a = v.where("RouteId = 'a'")
-    assert a.where("error is not null").count() == 0 and a.agg(F.max("Milepost")).first()[0] == 1.0
-    assert alignment.vertical(v, Params()).count() == 0
-    assert alignment.length_miles(v.where("error is null")).first().miles == pytest.approx(1000.2 / 1609.344, rel=1e-3)
-
-
 def test_feed(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.csv").write_text('route_id,WKT\n1,"LINESTRING (0 0, 1 1)"\n2,\n')
