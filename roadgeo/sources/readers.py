@@ -13,8 +13,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from ..functions.geo import utm_inverse, wkt_points
 from ..operators import cleaning as K
+from .features import feature_texts
 
 PAGE = 100_000
+#: Name of a folder's list of the shapefiles that belong to it.
+PARTS = "_parts.json"
 # Names of an inventory's columns, in the order in which they are looked for.
 LATITUDES, LONGITUDES = ("LAT_016", "I13", "LATITUDE", "LAT"), ("LONG_017", "I14", "LONGITUDE", "LONG", "LON")
 CLEARANCES = ("VERTICAL_CLEARANCE_47", "MINIMUM_VERTICAL_CLEARANCE", "CLR_V_UNDER", "VERT_CLR", "CLEARANCE")
@@ -36,9 +39,9 @@ def geojson_wkt(geometry):
 
 
 def sections_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Sections of GeoJSON feature collections, one file each; coordinates are taken as they stand."""
-    schema = "features array<struct<geometry: string, properties: map<string,string>>>"
-    features = spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("features").alias("f"))
+    """Sections of GeoJSON feature collections in a file or folder, which are cut by byte ranges; coordinates are taken as they stand."""
+    texts = feature_texts(spark, path if "://" in path else f"file://{path}")
+    features = texts.select(F.from_json("value", "geometry string, properties map<string,string>").alias("f"))
     names = [r[0] for r in features.select(F.explode(F.map_keys("f.properties"))).distinct().orderBy(F.col("col")).collect()]
     return K.normalized(features.select(geojson_wkt(F.col("f.geometry")).alias("WKT"), *[F.col("f.properties")[n].alias(n) for n in names if n.lower() not in K.GEOMETRY_NAMES]))
 
@@ -181,8 +184,9 @@ class PagedReader(DataSourceReader):
 class Shapefile(DataSource):
     """Format `shapefile`: lines of a .shp file with the attributes of its .dbf, one row a record: WKT, attributes (map of text).
 
-    Option path: the .shp file, as a URI; the .shx and .dbf lie beside it. The index gives every record's place, so tasks
-    read RECORDS each by byte ranges of their own. Records without a line of two points have a null WKT.
+    Option path: the .shp file, as a URI; the .shx and .dbf lie beside it. Of a folder, the files that its list of parts names
+    are read, or all .shp files if it has none. The index gives every record's place, so tasks read RECORDS each by byte
+    ranges of their own. Records without a line of two points have a null WKT.
     """
 
     @classmethod
@@ -202,27 +206,45 @@ class ShapeReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
-    def _open(self, suffix: str):
+    def _parts(self) -> list[str]:
         from pyarrow import fs
 
+        if self.path.endswith(".shp"):
+            return [self.path]
         store, base = fs.FileSystem.from_uri(self.path)
+        if store.get_file_info(f"{base}/{PARTS}").is_file:
+            with store.open_input_stream(f"{base}/{PARTS}", compression=None) as f:
+                names = json.loads(f.read())
+        else:
+            names = sorted(i.base_name for i in store.get_file_info(fs.FileSelector(base)) if i.extension == "shp")
+        return [f"{self.path.rstrip('/')}/{n}" for n in names]
+
+    def _open(self, path: str, suffix: str):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(path)
         return store.open_input_file(base.removesuffix(".shp") + suffix)
 
     def partitions(self) -> list[InputPartition]:
-        with self._open(".shx") as f:
-            n = (f.size() - 100) // 8
-        return [InputPartition((i, min(n, i + self.RECORDS))) for i in range(0, n, self.RECORDS)]
+        out = []
+        for path in self._parts():
+            with self._open(path, ".shx") as f:
+                n = (f.size() - 100) // 8
+            out += [InputPartition((path, i, min(n, i + self.RECORDS))) for i in range(0, n, self.RECORDS)]
+        return out or [InputPartition(("", 0, 0))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        a, b = partition.value
-        with self._open(".shx") as f:
+        path, a, b = partition.value
+        if a == b:
+            return
+        with self._open(path, ".shx") as f:
             places = struct.unpack(f">{2 * (b - a)}i", f.read_at(8 * (b - a), 100 + 8 * a))
-        with self._open(".dbf") as f:
+        with self._open(path, ".dbf") as f:
             head, width = struct.unpack("<HH", f.read_at(4, 8))
             table = f.read_at(width * (b - a), head + width * a)
             names = f.read_at(head - 33, 32)
         fields = [(names[i : i + 11].split(b"\0")[0].decode("latin-1"), names[i + 16]) for i in range(0, len(names) - 31, 32)]
-        with self._open(".shp") as f:
+        with self._open(path, ".shp") as f:
             for k in range(b - a):
                 row, at, values = table[k * width : (k + 1) * width], 1, {}
                 for name, size in fields:
