@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BLIND_FT, CLEARANCE_RADIUS_DEG, FEET_PER_METER, METERS_PER_MILE, STRUCTURE_RADIUS_M, TOPOLOGY_RADIUS_DEG, Params, smoothing_factor
+from ..config import BLIND_FT, CLEARANCE_RADIUS_DEG, DEGREE_FT, FEET_PER_METER, METERS_PER_MILE, STRUCTURE_RADIUS_M, TOPOLOGY_RADIUS_DEG, Params, smoothing_factor
 from ..functions.classify import clearance_m, grade_bin, topology
 from ..functions.geo import utm, utm_inverse, utm_zone
 from ..kernels import profile, smooth
@@ -222,6 +222,34 @@ def intersections(vertices: DataFrame, radius: float = TOPOLOGY_RADIUS_DEG) -> D
     return best.select(F.col("route_id").alias("Route_A"), F.col("o_route_id").alias("Route_B"), *[F.col(f"b.{c}").alias(a) for c, a in names.items()])
 
 
+def health(vertices: DataFrame) -> DataFrame:
+    """RMSE, in feet, up and sideways between read and smoothed vertices of every chain: (path, RouteId, FSystem, RMSE_V_ft, RMSE_H_ft)."""
+    up = F.pow((F.col("z_raw") - F.col("z")) * FEET_PER_METER, 2)
+    side = F.pow((F.col("lat_raw") - F.col("lat")) * DEGREE_FT, 2) + F.pow((F.col("lon_raw") - F.col("lon")) * DEGREE_FT * F.cos(F.radians("lat")), 2)
+    return vertices.groupBy("path", "RouteId", "FSystem").agg(F.sqrt(F.avg(up)).alias("RMSE_V_ft"), F.sqrt(F.avg(side)).alias("RMSE_H_ft"))
+
+
+def tiers(vertices: DataFrame, horizontal: DataFrame) -> DataFrame:
+    """Of every route its vertices, those of each structure tier, the share of known structures (tiers 1 and 2), and its curves with spirals."""
+    of = lambda k: F.count_if(F.col("Structure_Tier") == TIERS[k])
+    counts = vertices.groupBy("RouteId").agg(F.count("*").alias("vertices"), *[of(k).alias(f"tier_{k}") for k in (1, 2, 3)])
+    spirals = horizontal.where("transition = 'Spiral'").groupBy("RouteId").agg(F.count("*").alias("spirals"))
+    return counts.withColumn("known_share", (F.col("tier_1") + F.col("tier_2")) / F.col("vertices")).join(spirals, "RouteId", "left").withColumn("spirals", F.coalesce("spirals", F.lit(0)))
+
+
+def vertex_table(vertices: DataFrame, state: str) -> DataFrame:
+    """Vertices under the names and with the digits of the published table, with what holds at them; Dist_Mi goes on along the chains of a route, by their low mileposts, from where the route begins."""
+    ends = vertices.groupBy("RouteId", "path").agg(F.min("low").alias("low"), F.max("dist_m").alias("_long"))
+    w = Window.partitionBy("RouteId").orderBy("low", "path")
+    before = F.coalesce(F.sum("_long").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + F.min("low").over(Window.partitionBy("RouteId")) * METERS_PER_MILE
+    v = vertices.join(ends.withColumn("_before", before).select("path", "_before"), "path")
+    digits = {"Milepost": ("Milepost", 4), "Dist_Mi": ((F.col("_before") + F.col("dist_m")) / METERS_PER_MILE, 4), "Elev_Ft": (F.col("z") * FEET_PER_METER, 3), "Elev_Raw_Ft": (F.col("z_raw") * FEET_PER_METER, 3), "Grade_Pct": ("grade", 3), "Heading_Deg_Unwrapped": ("heading", 5), "Micro_Jitter_Inches": ("roughness", 4), "Available_Sight_Dist_Ft": ("asd_ft", 1)}
+    made = {name: F.round(c, n).alias(name) for name, (c, n) in digits.items()}
+    own = {"State_ID": F.lit(state).alias("State_ID"), "Lon": F.col("lon").alias("Lon"), "Lat": F.col("lat").alias("Lat"), "Raw_Lon": F.col("lon_raw").alias("Raw_Lon"), "Raw_Lat": F.col("lat_raw").alias("Raw_Lat"), "Part": F.col("low").alias("Part")}
+    order = ("State_ID", "RouteId", "FSystem", "Milepost", "Dist_Mi", "Lon", "Lat", "Elev_Ft", "Raw_Lon", "Raw_Lat", "Elev_Raw_Ft", "Grade_Pct", "Heading_Deg_Unwrapped", "Structure_Tier", "Micro_Jitter_Inches", "Available_Sight_Dist_Ft", "Part", "H_Curve_Type", "V_Curve_Type", "H_Curve_Bin", "V_Grade_Bin", "IRI_Reported")
+    return v.select(*[made.get(c, own.get(c, F.col(c))) for c in order])
+
+
 def aligned(sections: DataFrame, structures: DataFrame, raster: DataFrame, p: Params) -> Alignment:
     """The flow over sections (RouteId, FSystem, Start_MP, End_MP, Structure_Type, WKT in degrees, perhaps IRI), an inventory of structures (structure_id, lon, lat, vertical_clearance) and a raster of elevations (tile, row, col, z).
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import views as V
 from ..config import Params
 from ..functions import geo as G
+from ..operators import intervals
 from ..operators.attributes import attributes, interval
 from ..plans import calibration, enrichment, flow
 from ..registry import query
@@ -213,3 +214,34 @@ def vertex_attributes(spark, d):
     every = every.unionByName(row(q, "iri", "iri")).unionByName(row(q.where("known"), "on_structure", "known"))
     got = attributes(p, every, "route_id", "event_id", ["mp"], ["h_type", "h_bin", "v_type", "iri", "on_structure"])
     return p.join(got.withColumns({"iri": F.round(F.col("iri").cast("double"), 6), "on_structure": F.col("on_structure").isNotNull()}), ["route_id", "event_id"])
+
+
+@query(V.sql("""+p AS (SELECT (user_id % 50)::VARCHAR AS route_id, event_id, (event_id % 2000)::DOUBLE AS mp FROM events),
+    t AS (SELECT p.*, EXISTS (SELECT 1 FROM sections s WHERE s.route_id = p.route_id AND structure_type IN (1, 2) AND start_mp < end_mp AND mp BETWEEN start_mp AND end_mp) AS one FROM p),
+    n AS (SELECT route_id, count(*) AS vertices, count(*) FILTER (one) AS tier_1, count(*) FILTER (NOT one AND event_id % 11 = 0) AS tier_2, count(*) FILTER (NOT one AND event_id % 11 > 0 AND event_id % 13 = 0) AS tier_3 FROM t GROUP BY 1),
+    c AS (SELECT route_id, count(*) AS spirals FROM curves WHERE transition = 'Spiral' GROUP BY 1)
+    SELECT route_id, vertices, tier_1, tier_2, tier_3, round((tier_1 + tier_2) / vertices, 6) AS known_share, coalesce(spirals, 0) AS spirals FROM n LEFT JOIN c USING (route_id)""", "sections", "curves"))
+def tier_counts(spark, d):
+    """Vertices of each structure tier, and spirals, of every route."""
+    e = V.table(spark, d, "events")
+    p = e.select((F.col("user_id") % 50).cast("string").alias("route_id"), "event_id", (F.col("event_id") % 2000).cast("double").alias("mp"))
+    one = intervals.on_structures(p, V.sections(spark, d).select("route_id", "structure_type", "start_mp", "end_mp"), "mp", ["event_id"])
+    tier = F.when(F.col("on_structure"), "1_HPMS").when(F.col("event_id") % 11 == 0, "2_NBI").when(F.col("event_id") % 13 == 0, "3_DIP").otherwise("None")
+    t = flow.tiers(one.select(F.col("route_id").alias("RouteId"), tier.alias("Structure_Tier")), V.curves(spark, d).withColumnRenamed("route_id", "RouteId"))
+    return t.withColumnRenamed("RouteId", "route_id").withColumn("known_share", F.round("known_share", 6))
+
+
+@query("""WITH v AS (SELECT c_nationkey AS path, -120.0::DOUBLE + c_custkey % 97 / 1000.0::DOUBLE AS lon_raw, 45.0::DOUBLE + c_custkey % 89 / 1000.0::DOUBLE AS lat_raw, (c_custkey % 7 - 3) / 1000000.0::DOUBLE AS a, (c_custkey % 5 - 2) / 1000000.0::DOUBLE AS b, c_acctbal / 100 AS z_raw, c_acctbal / 100 + (c_custkey % 3) / 4.0::DOUBLE AS z FROM customer)
+    SELECT path::VARCHAR AS path, round(sqrt(avg(pow((z_raw - z) * 3.28084::DOUBLE, 2))), 4) AS rmse_v, round(sqrt(avg(pow((lat_raw - (lat_raw + a)) * 364000::DOUBLE, 2) + pow((lon_raw - (lon_raw + b)) * 364000::DOUBLE * cos(radians(lat_raw + a)), 2))), 3) AS rmse_h FROM v GROUP BY 1""")
+def vertex_health(spark, d):
+    """RMSE of chains from their own vertices."""
+    k = F.col("c_custkey")
+    v = V.table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("path"), (F.lit(-120.0) + k % 97 / 1000.0).alias("lon_raw"), (F.lit(45.0) + k % 89 / 1000.0).alias("lat_raw"), ((k % 7 - 3) / 1000000.0).alias("a"), ((k % 5 - 2) / 1000000.0).alias("b"), (F.col("c_acctbal") / 100).alias("z_raw"), (F.col("c_acctbal") / 100 + k % 3 / 4.0).alias("z"))
+    h = flow.health(v.withColumns({"lat": F.col("lat_raw") + F.col("a"), "lon": F.col("lon_raw") + F.col("b"), "RouteId": F.col("path"), "FSystem": F.lit(1)}))
+    return h.select("path", F.round("RMSE_V_ft", 4).alias("rmse_v"), F.round("RMSE_H_ft", 3).alias("rmse_h"))
+
+
+@query()
+def alignment_table(spark, d):
+    """Vertices as published."""
+    return flow.vertex_table(_flow(spark, d).vertices, "53")

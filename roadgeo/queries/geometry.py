@@ -145,10 +145,12 @@ def total_bounds(spark, d):
     return _pts(spark, d).groupBy((F.col("c_custkey") % 30).alias("grp")).agg(F.min("lon").alias("x0"), F.min("lat").alias("y0"), F.max("lon").alias("x1"), F.max("lat").alias("y1"))
 
 
-@query(f"WITH {_PTS}, r AS (SELECT l_suppkey, l_partkey % 24 AS row, l_linenumber AS col, max(l_tax * 1000 - 5) AS z FROM lineitem GROUP BY 1, 2, 3) SELECT c_custkey, round(CASE WHEN z >= 0 THEN z END, 4) AS z FROM p LEFT JOIN r ON l_suppkey = c_custkey % 100 AND row = c_custkey % 24 AND col = c_custkey % 7 + 1")
+@query("""WITH r AS (SELECT 46 + l_suppkey % 2 AS north, l_partkey % 24 AS row, l_linenumber AS col, min(CASE WHEN (l_suppkey + l_partkey) % 5 = 0 THEN -9999.0::DOUBLE ELSE l_tax * 1000 - 5 END) AS z FROM lineitem GROUP BY ALL)
+    SELECT c_custkey, round(CASE WHEN z >= -1000 THEN z END, 4) AS z FROM customer LEFT JOIN r ON north = 46 + c_custkey % 3 AND row = c_custkey % 24 AND col = c_custkey % 7 + 1""")
 def raster_sample(spark, d):
-    # Samples by tile, row and column of a raster held as a table; values below the void mark are null.
-    r = V.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("tile"), (F.col("l_partkey") % 24).alias("row"), F.col("l_linenumber").cast("long").alias("col")).agg(F.max(F.col("l_tax") * 1000 - 5).alias("z"))
+    # Points in the middle of cells of two tiles, and of one that the raster lacks; cells below the void mark are null.
+    z = F.when((F.col("l_suppkey") + F.col("l_partkey")) % 5 == 0, -9999.0).otherwise(F.col("l_tax") * 1000 - 5)
+    r = V.table(spark, d, "lineitem").groupBy(F.format_string("n%02dw121", (F.lit(46) + F.col("l_suppkey") % 2).cast("int")).alias("tile"), (F.col("l_partkey") % 24).alias("row"), F.col("l_linenumber").alias("col")).agg(F.min(z).alias("z"))
     k = F.col("c_custkey")
-    p = V.table(spark, d, "customer").select("c_custkey", (k % 100).alias("tile"), (k % 24).alias("row"), (k % 7 + 1).alias("col"))
-    return p.join(r, ["tile", "row", "col"], "left").select("c_custkey", F.round(F.when(F.col("z") >= 0, F.col("z")), 4).alias("z"))
+    p = V.table(spark, d, "customer").select("c_custkey", (F.lit(-121.0) + (k % 7 + 1.5) / 2400).alias("lon"), (F.lit(46.0) + k % 3 - (k % 24 + 0.5) / 2400).alias("lat"))
+    return spatial.sampled(p, r, "lon", "lat", "z").select("c_custkey", F.round("z", 4).alias("z"))

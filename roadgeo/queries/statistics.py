@@ -99,12 +99,6 @@ def blind_share(spark, d):
     return v.groupBy(F.col("own").alias("route_id")).agg(F.count("*").alias("n"), S.share(blind).alias("blind"), S.share(blind & F.col("kind").isNull()).alias("blind_not_sag"))
 
 
-@query(V.sql("SELECT f_system, count(*) AS n, count(*) FILTER (structure_type IN (1, 2)) AS tier_1, round(avg((structure_type IN (1, 2))::INT::DOUBLE), 6) AS share FROM sections GROUP BY 1", "sections"))
-def tier_counts(spark, d):
-    known = F.col("structure_type").isin(1, 2)
-    return V.sections(spark, d).groupBy("f_system").agg(F.count("*").alias("n"), F.count_if(known).alias("tier_1"), S.share(known).alias("share"))
-
-
 @query(V.sql("SELECT round(avg(radius_m), 4) AS radius_m, round(avg(length_m), 4) AS length_m, round(avg(abs(alg_diff)), 6) AS alg_diff, round(min(radius_m), 4) AS tightest, count(*) AS n FROM curves", "curves"))
 def kpi_means(spark, d):
     return V.curves(spark, d).agg(F.round(F.avg("radius_m"), 4).alias("radius_m"), F.round(F.avg("length_m"), 4).alias("length_m"), F.round(F.avg(F.abs("alg_diff")), 6).alias("alg_diff"), F.round(F.min("radius_m"), 4).alias("tightest"), F.count("*").alias("n"))
