@@ -27,7 +27,7 @@ from .common import as_text, limit_batches, own_dir
 #: Words of a phrase, least count, share of a longer phrase's count that hides a phrase, rows a language.
 LONGEST, LEAST, HIDES_PCT, BEST = 4, 30, 80, 2000
 #: Bytes of text of a shard, set bits that a bundle of first words begins with, bits of the tables of what may be frequent, bundles of ranked rows.
-SHARD, BUNDLE, TABLE_BITS, DEALT = 16 << 20, 400_000, 1 << 26, 64
+SHARD, BUNDLE, TABLE_BITS, DEALT = 4 << 20, 200_000, 1 << 26, 64
 SPACES, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 PLAIN = bytes.maketrans(bytes(range(65, 91)) + b"\t" + BREAKS, bytes(range(97, 123)) + b" " + b"\n" * len(BREAKS))
 FOLLOWING = re.compile(rb" *(?:[^ \n]+ *){0,%d}" % (LONGEST - 1))
@@ -143,7 +143,7 @@ class Shard:
         deep = phrase.shape[1] + 1
         over = np.flatnonzero(bits >> np.uint64(63))  # shift by one, with what goes over into the next block
         who, where, what = np.concatenate((owner, owner[over])), np.concatenate((block, block[over] + 1)), np.concatenate((bits << np.uint64(1), np.ones(len(over), np.uint64)))
-        order = np.lexsort((where, who))
+        order = np.argsort((who << 32) | where, kind="stable")  # two rising runs
         who, where, what = blocks(who[order], where[order], what[order])
         row, bit = np.nonzero(np.unpackbits(what.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
         word = self.at[where[row] * 64 + bit]
@@ -154,7 +154,7 @@ class Shard:
         row, word = row[some], word[some]
         if not len(row):
             return
-        order = np.lexsort((row, word, who[row]))  # by phrase, then next word, then block
+        order = np.argsort((who[row] << 32) | word, kind="stable")  # by phrase, which rows rise with, then next word, then block
         row, word = row[order], word[order]
         new = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(word) != 0))))
         row, word = row[new], word[new]
