@@ -11,7 +11,7 @@ from .common import as_long, as_text
 
 #: Phrases whose places are counted, with their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Label and words of the templates that blocks are joined with, lines by which texts name a license first,
+#: Label and words of the templates whose pairs of words blocks are joined with, lines by which texts name a license first,
 #: then the texts and notices of the licenses themselves.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
@@ -29,7 +29,7 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution"),
 )
-#: Share of a template's words that a block must hold, least words from one block's start to the next's. Blocks are twice
+#: Share of a template's pairs of words that a block must hold, least words from one block's start to the next's. Blocks are twice
 #: as long as a step, so any step of words in a row lies in one; a template's step is at least its own length.
 CONTAINED, STEP = 0.9, 32
 #: Between words stands anything but digits, letters a-z and characters beyond ASCII.
@@ -41,6 +41,18 @@ def words_of(text):
     return F.array_remove(F.split(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\ufffd"))), BETWEEN, -1), "")
 
 
+def pairs_of(words):
+    """Every two words in a row, as one token each."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def tokens_of(template: str) -> list[str]:
+    """The template's distinct pairs of words in a row, sorted."""
+    w = template.split()
+    return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
+
+
 def step_of(template: str) -> int:
     """Words from one block's start to the next's, for the blocks that this template is held against: STEP, doubled until the template is no longer."""
     step, n = STEP, len(template.split())
@@ -54,8 +66,9 @@ def token_order(docs: DataFrame, templates=TEMPLATES) -> list[str]:
 
     What is counted, shuffled and collected is bounded by the templates' vocabulary.
     """
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
-    held = docs.select(F.explode(F.array_intersect(words_of(as_text(docs)), F.array(*map(F.lit, vocabulary)))).alias("token"))
+    vocabulary = sorted({w for _, t in templates for w in tokens_of(t)})
+    words = docs.select(words_of(as_text(docs)).alias("w"))
+    held = words.select(F.explode(F.array_intersect(pairs_of(F.col("w")), F.array(*map(F.lit, vocabulary)))).alias("token"))
     counts = {r.token: r["n"] for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
@@ -63,16 +76,17 @@ def token_order(docs: DataFrame, templates=TEMPLATES) -> list[str]:
 def scan(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each row.
 
-    A block joins a template if it holds `contained` of its words or more. Templates' words are ordered by frequency,
-    rarest first (each template is held against blocks of twice its length or more): a match must share one of a template's first words (prefix filter), have enough words of the
-    vocabulary (length filter), and enough left on either side of the shared word (positional filter); what is left is
-    counted in full. The templates' index is broadcast: its size is fixed. score is the largest share held of a template
+    Tokens are pairs of words in a row, so words of a template that are scattered over a block don't count. A block joins a
+    template if it holds `contained` of its tokens or more (each template is held against blocks of twice its length or
+    more). Templates' tokens are ordered by frequency, rarest first: a match must share one of a template's first tokens
+    (prefix filter), have enough tokens of the vocabulary (length filter), and enough left on either side of the shared one
+    (positional filter); what is left is counted in full. The templates' index is broadcast: its size is fixed. score is the largest share held of a template
     joined, 1 if a phrase stands in the text, else 0. Null and empty texts have no words, null first_word and last_word
     and empty labels; repeated rows keep a row each.
     """
     order = token_order(docs, templates)
     rank = {w: k for k, w in enumerate(order)}
-    sets = [(label, step_of(t), sorted({rank[w] for w in t.split()})) for label, t in templates]
+    sets = [(label, step_of(t), sorted(rank[w] for w in tokens_of(t))) for label, t in templates]
     index = [(label, step, ids, need, k, ids[k]) for label, step, ids in sets for need in [ceil(contained * len(ids) - 1e-9)] for k in range(len(ids) - need + 1)]
     firsts = sorted({order[i] for *_, i in index})
     rows = ", ".join(f"('{label}', {step}, array({', '.join(map(str, ids))}), {need}, {k}, {i})" for label, step, ids, need, k, i in index)
@@ -80,7 +94,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) ->
     ranks = F.create_map(*[x for w, k in rank.items() for x in (F.lit(w), F.lit(k))])
 
     base = docs.select(F.monotonically_increasing_id().alias("row"), as_long(docs, "doc_id").alias("doc_id"), words_of(as_text(docs)).alias("w")).withColumn("n_words", F.size("w").cast("long"))
-    base = base.withColumn("phrased", F.arrays_overlap("w", F.array(*[F.lit(p.split()[0]) for p, _ in PHRASES]))).withColumn("near", F.arrays_overlap("w", F.array(*map(F.lit, firsts))))
+    base = base.withColumn("phrased", F.arrays_overlap("w", F.array(*[F.lit(p.split()[0]) for p, _ in PHRASES]))).withColumn("near", F.arrays_overlap(pairs_of(F.col("w")), F.array(*map(F.lit, firsts))))
     for k, (phrase, _) in enumerate(PHRASES):
         stands = " and ".join(f"get(w, i + {j}) = '{x}'" for j, x in enumerate(phrase.split()))
         base = base.withColumn(f"p{k}", F.expr(f"case when phrased then filter(sequence(0, size(w) - 1), i -> {stands}) else array() end"))
@@ -91,7 +105,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) ->
     per_doc = base.select("row", "doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), found.alias("base"), F.explode_outer(blocks).alias("block"))
 
     vocabulary = F.array(*map(F.lit, order))
-    held = F.array_sort(F.transform(F.array_intersect("block.words", vocabulary), lambda x: F.element_at(ranks, x)))
+    held = F.array_sort(F.transform(F.array_intersect(pairs_of(F.col("block.words")), vocabulary), lambda x: F.element_at(ranks, x)))
     own = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base"]
     tokens = per_doc.select(*own, F.col("block.step").alias("step"), held.alias("held")).select(*own, "step", "held", F.posexplode_outer("held").alias("at", "token"))
     left_t, left_b = F.size("template") - F.col("k") - 1, F.size("held") - F.col("at") - 1
@@ -107,7 +121,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, contained: float = CONTAINED) ->
 
 def oracle_sql(templates=TEMPLATES, contained: float = CONTAINED) -> str:
     """DuckDB SQL for scan(): every block is held against every template."""
-    rows = ", ".join(f"('{label}', {step_of(t)}, {sorted(set(t.split()))!r})" for label, t in templates)
+    rows = ", ".join(f"('{label}', {step_of(t)}, {tokens_of(t)!r})" for label, t in templates)
     steps = ", ".join(f"({x})" for x in sorted({step_of(t) for _, t in templates}))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     stands = [" AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(p.split())) for p, _ in PHRASES]
@@ -119,7 +133,8 @@ def oracle_sql(templates=TEMPLATES, contained: float = CONTAINED) -> str:
         p AS (SELECT r, doc_id, w, {places} FROM d),
         b AS (SELECT r, doc_id, len(w) AS n_words, {every} AS every, list_filter([{labels}], lambda x: x IS NOT NULL) AS base FROM p),
         t(label, step, words) AS (VALUES {rows}),
-        k AS (SELECT r, step, list_distinct(w[step * b + 1 : step * b + 2 * step]) AS block FROM (SELECT r, w, step, unnest(range(0, (len(w) + step - 1) // step)) AS b FROM d, (VALUES {steps}) v(step))),
+        c AS (SELECT r, step, w[step * b + 1 : step * b + 2 * step] AS x FROM (SELECT r, w, step, unnest(range(0, (len(w) + step - 1) // step)) AS b FROM d, (VALUES {steps}) v(step))),
+        k AS (SELECT r, step, list_distinct(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])) AS block FROM c),
         s AS (SELECT r, label, len(list_intersect(block, words)) AS n, len(words) AS m FROM k JOIN t USING (step)),
         h AS (SELECT r, list(DISTINCT label) AS more, max(n / m) AS share FROM s WHERE n >= ceil({contained} * m - 1e-9) GROUP BY r)
         SELECT doc_id, n_words::BIGINT AS n_words, len(every)::BIGINT AS n_base, (list_min(every) - 1)::BIGINT AS first_word, (list_max(every) - 1)::BIGINT AS last_word,

@@ -13,6 +13,9 @@ TEXTS = [
     "word " * 31 + GRANT.upper() + " word" * 200, ("filler words here " * 3000) + " Licensed under the Apache License, Version 2.0. " + "more " * 500, "under the license released", "éé Cc By éé", "permission is hereby granted free of charge",
 ]
 
+#: Scattered words of short templates, and templates in other cases and with other signs between.
+SCATTERED = ["The mit crowd released a film. Under it lies the license office.", "The apache 2 0 license was licensed under a version", "license mit the under released"]
+TEXTS += [*SCATTERED, "word " * 70_000 + "RELEASED--under; the (MIT) License" + " word" * 70_000]
 
 TEXTS += [f"{'filler ' * 77}{' '.join(w.title() for w in text.split())}, and {'the rest ' * 40}" for _, text in license.TEMPLATES]
 
@@ -30,6 +33,8 @@ def test_against_sql_and_plan(spark):
     assert sorted(map(str, (plain(r[n] for n in names) for r in found.collect()))) == sorted(map(str, map(plain, want.fetchall())))
     by = {r.doc_id: r for r in found.collect()}
     assert by[9].labels == "mit" and by[10].labels == "apache-2.0" and by[4].labels == "cc-by,cc-by-nc-4.0" and by[5].n_base == 2 and by[7].n_base == 0 and by[0].labels == ""
+    assert all(r.labels == "" and r.score == 0.0 for r in found.collect() if r.doc_id is not None and TEXTS[r.doc_id] in SCATTERED)
+    assert by[len(TEXTS) - len(license.TEMPLATES) - 1].labels == "mit"
     for i, (label, text) in enumerate(license.TEMPLATES, len(TEXTS) - len(license.TEMPLATES)):
         assert label in by[i].labels.split(",") and by[i].score == 1.0 and license.step_of(text) >= len(text.split())
     assert max(len(t.split()) for _, t in license.TEMPLATES) > 200
