@@ -27,7 +27,7 @@ from .common import as_text, limit_batches, own_dir
 #: Words of a phrase, least count, share of a longer phrase's count that hides a phrase, rows a language.
 LONGEST, LEAST, HIDES_PCT, BEST = 4, 30, 80, 2000
 #: Bytes of text of a shard, set bits that a bundle of first words begins with, bits of the tables of what may be frequent, bundles of ranked rows.
-SHARD, BUNDLE, TABLE_BITS, DEALT = 4 << 20, 200_000, 1 << 26, 64
+SHARD, BUNDLE, TABLE_BITS, DEALT = 4 << 20, 60_000, 1 << 26, 64
 SPACES, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 PLAIN = bytes.maketrans(bytes(range(65, 91)) + b"\t" + BREAKS, bytes(range(97, 123)) + b" " + b"\n" * len(BREAKS))
 FOLLOWING = re.compile(rb" *(?:[^ \n]+ *){0,%d}" % (LONGEST - 1))
@@ -207,11 +207,13 @@ def _summed(texts: DataFrame, mine) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("a", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrase = n = lang = None
         for shard in sharded(batches):
             for phrase, n in mine(shard):
                 lang = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int8)), [shard.lang]).cast(pa.string())
-                for b in pa.table([lang, phrase.cast(pa.binary()), pa.array(n)], schema=schema).to_batches(max_chunksize=100_000):
-                    yield b
+                yield from pa.table([lang, phrase.cast(pa.binary()), pa.array(n)], schema=schema).to_batches(max_chunksize=20_000)
+            shard = phrase = n = lang = None
+            pa.default_memory_pool().release_unused()
 
     return texts.mapInArrow(run, "lang string, phrase binary, a long").groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("a").alias("a"))
 
