@@ -50,8 +50,8 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def met(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, apart: list[str]) -> DataFrame:
-    """rows joined with keys, which has one row of each value of `on`; a key of over 1 / HOT of all weight may be in a third of the rows.
+def met(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, apart: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with keys, which has one row of each value of `on`; a key of over 1 / HOT of all weight may be in a third of the rows. With how 'left' rows without a key stay, with nulls.
 
     Such keys are HOT at most, so they are broadcast, and their rows are dealt by the columns `apart` in the join that finds the others.
     """
@@ -60,7 +60,8 @@ def met(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, apart: lis
     hot = keys.where(F.col(weight) > total / HOT).select(*on, F.struct(*more).alias("_hot"))
     told = rows.join(F.broadcast(hot), on, "left").withColumn("_deal", F.when(F.col("_hot").isNull(), 0).otherwise(F.xxhash64(*apart)))
     others = keys.select(*on, F.lit(0).cast("long").alias("_deal"), F.struct(*more).alias("_found"))
-    joined = told.join(others, [*on, "_deal"], "left").withColumn("_found", F.coalesce("_hot", "_found")).where("_found is not null")
+    joined = told.join(others, [*on, "_deal"], "left").withColumn("_found", F.coalesce("_hot", "_found"))
+    joined = joined.where("_found is not null") if how == "inner" else joined
     return joined.select(*rows.columns, "_found.*")
 
 

@@ -8,10 +8,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, as_long, as_text, batch, fresh, limit_batches, materialize, sorted_groups
+from .common import as_bytes, as_long, as_text, batch, fresh, limit_batches, materialize, met, sorted_groups
 from .graph import components
 
 SEED, SHINGLE, BITS = 42, 4, 64
@@ -171,10 +171,10 @@ def links(fps: DataFrame, radius: int, tree: int = TREE) -> DataFrame:
 
 
 def rooted(marked: DataFrame, least, radius: int) -> DataFrame:
-    """fp, doc (the aggregate `least` over its rows) and root, a fingerprint that stands for its component."""
-    nodes = materialize(marked.groupBy("fp").agg(least.alias("doc")))
+    """fp, doc (the aggregate `least` over its rows), n (its rows) and root, a fingerprint that stands for its component."""
+    nodes = materialize(marked.groupBy("fp").agg(least.alias("doc"), F.count("*").alias("n")))
     roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    return materialize(nodes.join(roots, "fp", "left").select("fp", "doc", F.coalesce("root", "fp").alias("root")))
+    return materialize(nodes.join(roots, "fp", "left").select("fp", "doc", "n", F.coalesce("root", "fp").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = SHINGLE) -> DataFrame:
@@ -182,13 +182,13 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = SHINGLE) ->
 
     Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows keep a row each, a null
     doc_id takes part but is never a component's id unless no other is there. Equal fingerprints are one node, so a
-    group of copies is never expanded into pairs.
+    group of copies is never expanded into pairs; a fingerprint, or a component, of very many rows is told to all tasks.
     """
     marked = materialize(fingerprints(docs, shingle))
     tree = rooted(marked, F.min("doc_id"), radius)
-    least = tree.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = tree.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    least = tree.groupBy("root").agg(F.min("doc").alias("component_id"), F.count("*").alias("nodes"))
+    named = materialize(met(tree, least, ["root"], "nodes", ["fp"]).select("fp", "component_id", "n"))
+    return met(marked, named, ["fp"], "n", ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def with_hex(found: DataFrame) -> DataFrame:
@@ -204,13 +204,13 @@ def deduplicated(docs: DataFrame, radius: int = 4) -> DataFrame:
     own, so each of them stays. Null and empty texts are one component. Columns may have any names; an empty table gives
     an empty one. The texts are shuffled once, by both, for the join with the rows to keep.
     """
-    i, none, k, n, d, gone, h = fresh(docs, 7)
+    i, none, k, d, gone, h, row = fresh(docs, 7)
     marked = materialize(fingerprints(docs, hashed=True))
     least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h"))
-    row = F.col("doc.doc_id")
-    keep = rooted(marked, least, radius).groupBy("root").agg(F.min("doc").alias("doc")).select(F.coalesce(row, F.lit(0)).alias(d), row.isNull().alias(gone), F.col("doc.h").alias(h))
-    # Join and ranking are by the same three columns, none of them null, so the texts are shuffled once.
+    of = F.col("doc.doc_id")
+    keep = rooted(marked, least, radius).groupBy("root").agg(F.min("doc").alias("doc")).select(F.coalesce(of, F.lit(0)).alias(d), of.isNull().alias(gone), F.col("doc.h").alias(h))
+    # Of rows equal in all three columns a task hands on one, so a row that a third of the table repeats is a row a task; the join is by the same columns, none of them null, so the texts are shuffled once.
     own = docs.withColumns({i: F.coalesce(as_long(docs, "doc_id"), F.lit(0)), none: as_long(docs, "doc_id").isNull(), k: F.xxhash64(as_text(docs))})
-    kept = own.join(keep, (F.col(i) == F.col(d)) & (F.col(none) == F.col(gone)) & (F.col(k) == F.col(h)))
-    first = F.row_number().over(Window.partitionBy(i, none, k).orderBy(h))
-    return kept.withColumn(n, first).where(F.col(n) == 1).select(docs.columns)
+    once = own.groupBy(i, none, k).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(row))
+    kept = once.join(keep, (F.col(i) == F.col(d)) & (F.col(none) == F.col(gone)) & (F.col(k) == F.col(h)))
+    return kept.select(*[F.col(row)[c].alias(c) for c in docs.columns])

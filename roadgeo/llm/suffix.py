@@ -331,7 +331,7 @@ def repeats(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     joined = texts.join(merged.hint("shuffle_hash"), ["c1", "c2"], "left")
     size = F.octet_length("text").cast("long")
     twice = (F.col("copies") > 1) & (size >= LENGTH)
-    return joined.select("c1", "c2", "text", F.when(twice, F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end")))).otherwise(F.coalesce("iv", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("iv"))
+    return joined.select("c1", "c2", "copies", "text", F.when(twice, F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end")))).otherwise(F.coalesce("iv", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("iv"))
 
 
 def removed(docs: DataFrame, split: int = SPLIT) -> DataFrame:
@@ -339,7 +339,7 @@ def removed(docs: DataFrame, split: int = SPLIT) -> DataFrame:
 
     Texts of fewer than LENGTH bytes, null and empty ones keep all they have; repeated rows keep a row each.
     """
-    schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("copies", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -348,11 +348,12 @@ def removed(docs: DataFrame, split: int = SPLIT) -> DataFrame:
                 runs = covered(len(text), [i["start"] for i in iv], [i["end"] for i in iv])
                 out.append((len(text), sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept(text, runs)).hexdigest()))
             if out:
-                yield batch(schema, b.column("c1"), b.column("c2"), *zip(*out, strict=True))
+                yield batch(schema, b.column("c1"), b.column("c2"), b.column("copies"), *zip(*out, strict=True))
 
-    by_text = repeats(docs, split).mapInArrow(run, "c1 long, c2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    by_text = repeats(docs, split).mapInArrow(run, "c1 long, c2 long, copies long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     rows = keyed(docs.select(as_long(docs, "doc_id").alias("doc_id"), as_text(docs).alias("text")), "c1", "c2").drop("text")
-    return rows.join(by_text, ["c1", "c2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    # A text may be that of a third of all rows.
+    return met(rows, materialize(by_text), ["c1", "c2"], "copies", ["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:

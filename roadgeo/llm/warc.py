@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, limit_batches, materialize, own_dir
+from .common import as_bytes, batch, limit_batches, materialize, met, own_dir
 
 #: Uncompressed bytes of a frame before the next begins, frames of a bundle, least payload that a revisit may stand for.
 FRAME_BYTES, BUNDLE_FRAMES, LEAST_REVISIT = 256 << 10, 256, 100
@@ -143,11 +143,14 @@ def write(pages: DataFrame, path: str) -> DataFrame:
     these records, without their payloads. Which digests repeat is found with partial aggregates.
     """
     rows = hashed(pages)
-    many = rows.where(F.col("length") >= LEAST_REVISIT).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1 and first is not null").select("digest", "first")
-    first = rows.join(many, "digest", "left").where("first is null or page_id <=> first")
+    many = rows.where(F.col("length") >= LEAST_REVISIT).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1 and first is not null")
+    many = materialize(many)  # the repeated digests: a row each
+    # A page may be repeated by a third of all rows: such digests are told to all tasks, and their pages are never one task's.
+    first = met(rows, many, ["digest"], "n", ["page_id", "url"], "left").where("first is null or page_id <=> first")
     index = bundled(first.withColumns({"refers": F.lit(None).cast("string"), "led": F.col("first").isNotNull()}), path)
     leaders = index.where("led").groupBy("digest").agg(F.min("record_id").alias("refers"), F.min("page_id").alias("first"))
-    others = rows.drop("html").join(leaders, "digest").where("not page_id <=> first").withColumns({"html": F.lit(None).cast("binary"), "led": F.lit(False)})
+    leaders = materialize(leaders.join(many.select("digest", "n"), "digest"))
+    others = met(rows.drop("html"), leaders, ["digest"], "n", ["page_id", "url"]).where("not page_id <=> first").withColumns({"html": F.lit(None).cast("binary"), "led": F.lit(False)})
     return index.unionByName(bundled(others, path)).select("bundle", "frame", "at", "length", "record_id")
 
 
