@@ -22,6 +22,7 @@ def test_ampersands_beyond_the_first_2000_characters(spark, tmp_path):
 def test_nearest_however_far(spark, monkeypatch, cap):
     monkeypatch.setattr(nearest, "CAP", cap)
     monkeypatch.setattr(nearest, "FAN", cap)
+    monkeypatch.setattr(nearest, "A_RANGE", 10 * cap)
     rng = np.random.default_rng(3)
     right = np.concatenate((rng.normal(0, 0.01, (300, 2)), rng.integers(0, 5, (200, 2)) * 1.0, [[40.0, -3.0]]))
     left = np.concatenate((rng.normal(0, 0.02, (200, 2)), rng.uniform(-60, 60, (100, 2)), [[500.0, 500.0], [-1e5, 3.0], [2.5, 2.5]]))
@@ -37,6 +38,7 @@ def test_nearest_however_far(spark, monkeypatch, cap):
 def test_nearest_of_the_same_group(spark, monkeypatch, cap):
     monkeypatch.setattr(nearest, "CAP", cap)
     monkeypatch.setattr(nearest, "FAN", cap)
+    monkeypatch.setattr(nearest, "A_RANGE", 10 * cap)
     rng = np.random.default_rng(4)
     sizes = {"a": 400, "b": 30, "c": 1, "e": 0}  # one group with most of all points, and one without any
     right = [(g, i, *map(float, rng.normal(0, 3, 2))) for g, n in sizes.items() for i in range(n)] + [("a", 900 + k, 1.0, 1.0) for k in range(20)]  # and one position many times
