@@ -9,6 +9,9 @@ from ..config import FEET_PER_METER, METERS_PER_MILE, SIGHT_EYE_FT, SIGHT_OBJECT
 from ..functions.classify import degree_bin, degree_of_curve, superelevation
 from ..functions.sequence import gradient, islands, unwrap_step
 
+#: Units of a window's width, for frames whose width differs by path.
+SCALE = 1 << 36
+
 
 def curvature(points: DataFrame, key: str = "route_id", order: str = "idx", x: str = "x", y: str = "y", step: float | str = 5.0) -> DataFrame:
     """kappa (size) and turn (signed numerator) by central differences, step apart (a number or a column); 0 where the path stands still."""
@@ -134,16 +137,14 @@ def sliced(curves: DataFrame, points: DataFrame, key: str, start: str, end: str,
 def rolling(points: DataFrame, key: str, order: str, value: str, spacing: str, window_m: float) -> DataFrame:
     """points with rms and sd of a value over window_m: as many samples, three at least, as the path's own spacing makes of it.
 
-    A frame of rows has a fixed width, so paths are taken width by width; widths are few, as spacings are nearly one.
+    A frame of rows has a fixed width, so samples are numbered in units of their path's own width: n samples are SCALE units,
+    and the frame is a range of these. It holds n // 2 samples before each and the rest from there on.
     """
-    many = F.greatest(F.floor(F.lit(window_m) / F.col(spacing) + 1e-9), F.lit(3)).cast("int")
-    at, out = points.withColumn("_w", many), None
-    for n in [r[0] for r in at.select("_w").distinct().orderBy("_w").collect()]:
-        w = Window.partitionBy(key).orderBy(order).rowsBetween(-(n // 2), n - n // 2 - 1)
-        part = at.where(F.col("_w") == n).withColumns({"rms": F.sqrt(F.avg(F.col(value) * F.col(value)).over(w)), "sd": F.stddev_samp(value).over(w)})
-        out = part if out is None else out.unionByName(part)
-    empty = at.withColumns({"rms": F.lit(None).cast("double"), "sd": F.lit(None).cast("double")})
-    return (empty if out is None else out).drop("_w")
+    many = F.greatest(F.floor(F.lit(window_m) / F.col(spacing) + 1e-9), F.lit(3)).cast("long")
+    at = points.withColumn("_w", many).withColumn("_u", F.expr(f"(cast(`{order}` as bigint) * {SCALE}L) div _w"))
+    slack = 4  # units by which rounding may move a sample; a sample's own width is far more
+    w = Window.partitionBy(key).orderBy("_u").rangeBetween(-(SCALE // 2) - slack, SCALE // 2 - slack)
+    return at.withColumns({"rms": F.sqrt(F.avg(F.col(value) * F.col(value)).over(w)), "sd": F.stddev_samp(value).over(w)}).drop("_w", "_u")
 
 
 def tangent_grade(points: DataFrame, key: str, order: str, z: str, spacing: str, window_m: float) -> DataFrame:
