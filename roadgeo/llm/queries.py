@@ -36,7 +36,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every document, by a net trained on labelled rows outside the held-out fold."""
+    """Toxicity of every document, by a net trained on labelled rows outside the held-out fold. An empty or null text has the score of no words; repeated rows have one each."""
     docs = table(spark, sf_dir, "documents")
     return quality.digest(toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 0.5)
 
@@ -52,7 +52,7 @@ def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality of every document, by trees fitted on labelled rows outside the held-out fold."""
+    """Quality of every document, by trees fitted on labelled rows outside the held-out fold. An empty or null text has the score of its statistics, which are 0; repeated rows have one each."""
     docs = table(spark, sf_dir, "documents")
     return quality.digest(quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels"))), quality.CUT)
 
@@ -63,17 +63,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of tokens of every document."""
+    """Number of tokens of every document; empty and null texts have none."""
     return tokens.counted(table(spark, sf_dir, "documents"))
 
 
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best phrases of two to four words of every language."""
+    """The best phrases of two to four words of every language; empty and null texts have no words, a null language is `und`."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code and error of every embedding, and the digest of the codebooks."""
+    """Code and error of every embedding without null or non-finite components, and the digest of the codebooks."""
     return codes.compressed(table(spark, sf_dir, "embeddings"))
 
 
