@@ -68,3 +68,11 @@ def test_another_pattern(spark, ranks):
     docs = spark.createDataFrame([(1, "ab cd ef, gh"), (2, "a  b c d e")], "doc_id long, text string")
     rows = {r.doc_id: r.ids for r in bpe.encoded(docs, pattern=r"[a-z ]+|.", with_ids=True).collect()}
     assert rows == {1: other.encode_ordinary("ab cd ef, gh"), 2: other.encode_ordinary("a  b c d e")}
+
+
+def test_a_long_word_without_repeats(spark, reference):
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)), "".join(chr(0x4E00 + r.randrange(20_000)) for _ in range(1500))]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    got = {x.doc_id: x.ids for x in bpe.encoded(docs, with_ids=True).collect()}
+    assert got == {k: reference.encode_ordinary(w) for k, w in enumerate(words)}
