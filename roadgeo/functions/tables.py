@@ -78,7 +78,7 @@ class RepairedProfile:
 
 
 def register(spark: SparkSession) -> None:
-    """`vertical_curves` and `repaired_profile` for the session's SQL, and the class of a curve, a grade and a crossing as functions."""
+    """`vertical_curves` and `repaired_profile` for the session's SQL."""
     from pyspark.sql.functions import udtf
 
     spark.udtf.register("vertical_curves", udtf(VerticalCurves))

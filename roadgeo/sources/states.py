@@ -15,6 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 MANIFEST = re.compile(r"manifest-(\d{12})\.json$")
 #: Attempts of a commit; each that fails has seen another one's succeed.
@@ -84,8 +85,11 @@ def upsert(df: DataFrame, path: str, by: str = "state") -> int:
     spark = df.sparkSession
     folder, name = Folder(spark, path), f"data-{uuid.uuid4().hex}"
     key = F.coalesce(F.col(by).cast("string"), F.lit("__none__"))
-    df.withColumn("_state", key).write.partitionBy("_state").parquet(f"{folder.path}/{name}")
-    mine = {r[0]: name for r in spark.read.parquet(f"{folder.path}/{name}").select(F.col("_state").cast("string")).distinct().collect()} if df.columns else {}
+    rows = df.withColumn("_state", key)
+    rows.write.partitionBy("_state").parquet(f"{folder.path}/{name}")
+    mine = {r[0]: name for r in spark.read.schema(rows.schema).parquet(f"{folder.path}/{name}").select("_state").distinct().collect()}
+    if not mine:
+        return folder.latest()[0]  # nothing to replace
     for _ in range(ATTEMPTS):
         number, content = folder.latest()
         try:
@@ -107,7 +111,9 @@ def read(spark: SparkSession, path: str, number: int | None = None) -> DataFrame
         by_data.setdefault(data, []).append(state)
     out = None
     for data, states in sorted(by_data.items()):
-        part = spark.read.parquet(f"{folder.path}/{data}").where(F.col("_state").cast("string").isin(states)).drop("_state")
+        kinds = spark.read.parquet(f"{folder.path}/{data}").schema
+        kinds = StructType([StructField("_state", StringType()) if f.name == "_state" else f for f in kinds])  # '01' is no number
+        part = spark.read.schema(kinds).parquet(f"{folder.path}/{data}").where(F.col("_state").isin(states)).drop("_state")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

@@ -242,6 +242,15 @@ def test_states_of_several_writers(spark, tmp_path):
     assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("data-")]) == len(set(before[1].values()))
 
 
+def test_states_that_look_like_numbers(spark, tmp_path):
+    table = f"file://{tmp_path}/t"
+    rows = lambda states, n: spark.createDataFrame([(s, n) for s in states], "state string, n int")
+    states.upsert(rows(["01", "02"], 1), table)
+    states.upsert(rows(["01", "AK"], 2), table)
+    assert states.upsert(rows(["01"], 3).limit(0), table) == 2
+    assert sorted((r.state, r.n) for r in states.read(spark, table).collect()) == [("01", 2), ("02", 1), ("AK", 2)]
+
+
 def test_table_functions(spark):
     tables.register(spark)
     x = np.arange(600) * 3.0
