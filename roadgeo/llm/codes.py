@@ -68,13 +68,26 @@ class Books:
         return hashlib.sha256(",".join(map(str, self.books.reshape(-1).tolist())).encode()).hexdigest()
 
 
+def smallest(rows: DataFrame, many: int = ENTRIES) -> list[int]:
+    """The smallest ids of rows, ascending, each once: a task hands on no more than that many, so neither vectors nor all ids are shuffled."""
+    schema = pa.schema([("id", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.zeros(0, np.int64)
+        for b in batches:
+            least = np.unique(np.concatenate((least, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))[:many]
+        yield pa.record_batch([pa.array(least)], schema=schema)
+
+    return [r.id for r in rows.where("id is not null").select("id").mapInArrow(run, "id long").distinct().orderBy("id").limit(many).collect()]
+
+
 def initial(rows: DataFrame, vector: str = "embedding") -> Books:
     """Codebooks of the vectors with the ENTRIES smallest ids, one of each id (of a repeated id, the smallest vector).
 
     Rows have `id` and the vector. The length is that of most of these vectors, the longer of equals; a length that PARTS
     doesn't divide is filled up with zeros. If a squared distance may pass 64 bits, integers are Python's.
     """
-    drawn = rows.where("id is not null").groupBy("id").agg(F.min(vector).alias("v")).orderBy("id").limit(ENTRIES).collect()  # ENTRIES rows
+    drawn = sorted(rows.where(F.col("id").isin(smallest(rows))).groupBy("id").agg(F.min(vector).alias("v")).collect(), key=lambda r: r.id)  # ENTRIES rows
     sizes = [len(r.v) for r in drawn]
     length = max(set(sizes), key=lambda n: (sizes.count(n), n), default=0)
     wide = -(-length // PARTS)
