@@ -211,15 +211,10 @@ def intersections(vertices: DataFrame, radius: float = TOPOLOGY_RADIUS_DEG) -> D
     over GRADE_SEPARATED_FT apart; of a pair of routes the first vertices count, by chain and index of the lesser route,
     then of the other.
     """
-    node = F.struct("low", "path", "idx")
-    n = vertices.select(node.alias("node_id"), F.col("RouteId").alias("route_id"), "lon", "lat", F.col("Elev_Ft").alias("elev"), F.col("Milepost").alias("mp"))
-    o = n.select(*[F.col(c).alias(f"o_{c}") for c in n.columns])
-    pairs = spatial.within_dense(n, o, "lon", "lat", "o_lon", "o_lat", radius).where("route_id < o_route_id")
-    pairs = pairs.withColumn("dz", F.abs(F.col("elev") - F.col("o_elev"))).withColumn("kind", topology(F.col("dz"))).where("kind is not null")
-    first = F.min(F.struct("node_id", "o_node_id", "kind", "lon", "lat", "mp", "elev", "o_mp", "o_elev", "dz"))
-    best = pairs.groupBy("route_id", "o_route_id").agg(first.alias("b"))
+    n = vertices.select(F.struct("low", "path", "idx").alias("node_id"), F.col("RouteId").alias("route_id"), "lon", "lat", F.col("Elev_Ft").alias("elev"), F.col("Milepost").alias("mp"))
+    best = spatial.first_pairs(n, radius, True).withColumn("kind", topology(F.col("dz")))
     names = {"kind": "Topology_Node", "lon": "Lon", "lat": "Lat", "mp": "MP_A", "elev": "Elev_A_Ft", "o_mp": "MP_B", "o_elev": "Elev_B_Ft", "dz": "Elev_Diff_Ft"}
-    return best.select(F.col("route_id").alias("Route_A"), F.col("o_route_id").alias("Route_B"), *[F.col(f"b.{c}").alias(a) for c, a in names.items()])
+    return best.select(F.col("route_id").alias("Route_A"), F.col("o_route_id").alias("Route_B"), *[F.col(c).alias(a) for c, a in names.items()])
 
 
 def health(vertices: DataFrame) -> DataFrame:

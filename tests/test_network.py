@@ -135,3 +135,37 @@ def test_repeated_sections_and_held_points(spark):
     i = spark.createDataFrame([("a", 0.0, 1.0), ("a", 5.0, 6.0), ("b", 0.0, 50.0)], "k string, s double, e double")
     p = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 77.0), ("b", 49.0), ("c", 0.5)], "k string, x double")
     assert {tuple(r) for r in intervals.holding(i, p, "k", "s", "e", "x").collect()} == {("a", 0.0, 1.0), ("b", 0.0, 50.0)}
+
+
+def first_of_all(nodes, radius, crossing):
+    """The first pair of every two routes, from all pairs."""
+    best = {}
+    for i, r, x, y, z in nodes:
+        for j, s, u, v, w in nodes:
+            if math.sqrt((x - u) ** 2 + (y - v) ** 2) > radius or (not r < s or 5 < abs(z - w) <= 10 if crossing else r == s or i >= j):
+                continue
+            pair = (min(r, s), max(r, s))
+            best[pair] = min(best.get(pair, (i, j)), (i, j))
+    return best
+
+
+@pytest.mark.parametrize("crossing", [True, False])
+def test_first_pairs_of_dense_and_of_scattered_nodes(spark, crossing):
+    rng = np.random.default_rng(11)
+    places = [(0.3 * k, 0.0) for k in range(5)]
+    nodes = [(k, f"r{int(rng.integers(5))}", *places[int(rng.integers(5))], float(rng.integers(30))) for k in range(300)]
+    nodes += [(k, f"r{int(rng.integers(9))}", *map(float, rng.uniform(-3, 3, 2)), float(rng.integers(30))) for k in range(300, 500)]
+    # Two routes whose early nodes are neither level with nor clear of the other's, and meet by a late one alone.
+    nodes += [(500 + k, "x" if k % 2 else "y", 50.0, 50.0, 7.0 * (k % 2) if k < 38 else 0.0) for k in range(40)]
+    got = {}
+    for r in spatial.first_pairs(spark.createDataFrame(nodes, "node_id int, route_id string, lon double, lat double, elev double"), 1.0, crossing).collect():
+        got[min(r.route_id, r.o_route_id), max(r.route_id, r.o_route_id)] = (r.node_id, r.o_node_id)
+        assert r.dz == abs(r.elev - r.o_elev)
+    assert got == first_of_all(nodes, 1.0, crossing) and ("x", "y") in got
+
+
+def test_first_pairs_at_one_place_of_very_many_nodes(spark):
+    """Sixteen hundred million pairs, of which one is asked for."""
+    n = spark.range(80_000).selectExpr("id AS node_id", "cast(id % 2 AS string) route_id", "1.0D lon", "2.0D lat", "0.0D elev")
+    for crossing in (True, False):
+        assert [(r.node_id, r.o_node_id, r.dz) for r in spatial.first_pairs(n, 1.0, crossing).collect()] == [(0, 1, 0.0)]
