@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 from roadgeo import registry
+from roadgeo import views as V
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -41,3 +42,12 @@ def test_query(spark, duck, name):
     order = [names.index(c) for c in columns]
     want = [tuple(plain(r[i]) for i in order) for r in got.fetchall()]
     assert Counter(rows) == Counter(want)
+
+
+def test_elevations_of_nodes_are_the_same_in_sql(spark, tmp_path):
+    """Small balances have digits that adding 30 and taking it off again would lose; nodes 5 or 10 feet apart show it."""
+    rows = [(k * 120, k % 25, round((k * 37 % 12_000 - 6_000) / 100, 2)) for k in range(4000)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert sorted(map(tuple, V.nodes(spark, str(tmp_path)).select("node_id", "elev").collect())) == con.execute(f"SELECT node_id, elev FROM ({V.SQL['nodes']}) ORDER BY 1").fetchall()
