@@ -169,3 +169,10 @@ def test_first_pairs_at_one_place_of_very_many_nodes(spark):
     n = spark.range(80_000).selectExpr("id AS node_id", "cast(id % 2 AS string) route_id", "1.0D lon", "2.0D lat", "0.0D elev")
     for crossing in (True, False):
         assert [(r.node_id, r.o_node_id, r.dz) for r in spatial.first_pairs(n, 1.0, crossing).collect()] == [(0, 1, 0.0)]
+
+
+def test_nearest_of_very_many_points_at_one_place(spark):
+    """Sixteen hundred million pairs, if points met and not places."""
+    a, b = spark.range(40_000).selectExpr("id AS k", "0.0D x", "0.0D y"), spark.range(40_000).selectExpr("40000 - id AS o", "if(id % 2 = 0, 0.1D, 0.2D) u", "0.0D v")
+    got = spatial.nearest(a, b, "k", "o", "x", "y", "u", "v", 1.0)
+    assert got.agg(F.count("*"), F.countDistinct("k"), F.min("o"), F.max("o"), F.max("dist")).first() == (40_000, 40_000, 2, 2, 0.1)
