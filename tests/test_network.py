@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from roadgeo.kernels import projection
 from roadgeo.operators import attributes as A
-from roadgeo.operators import curves, intervals, spatial
+from roadgeo.operators import curves, intervals, nearest, spatial
 from roadgeo.plans import enrichment, flow
 
 
@@ -176,3 +176,11 @@ def test_nearest_of_very_many_points_at_one_place(spark):
     a, b = spark.range(40_000).selectExpr("id AS k", "0.0D x", "0.0D y"), spark.range(40_000).selectExpr("40000 - id AS o", "if(id % 2 = 0, 0.1D, 0.2D) u", "0.0D v")
     got = spatial.nearest(a, b, "k", "o", "x", "y", "u", "v", 1.0)
     assert got.agg(F.count("*"), F.countDistinct("k"), F.min("o"), F.max("o"), F.max("dist")).first() == (40_000, 40_000, 2, 2, 0.1)
+
+
+def test_nearest_of_all_for_very_many_points_at_one_place(spark):
+    """From the middle of a circle no box can be left out: 160 million distances, if points went down the tree and not their place."""
+    a = spark.range(80_000).selectExpr("id AS k", "0.0D x", "0.0D y")
+    b = spark.range(2000).selectExpr("2000 - id AS o", "cos(id * 0.003D) u", "sin(id * 0.003D) v")
+    got = nearest.nearest_of_all(a, b, "k", "o", "x", "y", "u", "v")
+    assert got.agg(F.count("*"), F.countDistinct("k"), F.min("o"), F.max("o"), F.max("dist")).first() == (80_000, 80_000, 1, 1, 1.0)
