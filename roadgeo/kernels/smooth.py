@@ -6,8 +6,8 @@ import numpy as np
 
 from ..config import FEET_PER_METER
 
-#: Half-bandwidth of a cubic spline's normal equations with damped jumps.
-BAND = 4
+#: Half-bandwidth of a cubic spline's normal equations with damped jumps; unknowns up to which a system is one dense matrix; entries up to which a basis is one.
+BAND, DENSE, FEW = 4, 96, 1 << 15
 
 
 def _basis(x: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,6 +49,11 @@ class _Band:
         return out
 
     def solve(self, rhs: np.ndarray) -> np.ndarray:
+        if (n := self.size) <= DENSE:
+            whole = np.zeros(n * n)
+            for d in range(min(BAND + 1, n)):
+                whole[d * n :: n + 1] = whole[d : (n - d) * n : n + 1] = self.diagonals[d, : n - d]
+            return np.linalg.solve(whole.reshape(n, n), rhs)
         k = -(-self.size // BAND)
         low = np.zeros((BAND + 1, k * BAND))
         low[0, self.size :] = 1.0
@@ -68,10 +73,14 @@ class _Band:
 
 
 def _reduced(main: np.ndarray, side: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Solution of a block tridiagonal system; the odd blocks are eliminated, the even ones solved for, the odd ones put back."""
+    """Solution of a block tridiagonal system; the odd blocks are eliminated, the even ones solved for, the odd ones put back. A few blocks are one matrix."""
     k = len(main)
-    if k == 1:
-        return np.linalg.solve(main, b)
+    if k * BAND <= DENSE:
+        whole, i = np.zeros((k, BAND, k, BAND)), np.arange(k)
+        whole[i, :, i] = main
+        whole[i[1:], :, i[:-1]] = side
+        whole[i[:-1], :, i[1:]] = side.transpose(0, 2, 1)
+        return np.linalg.solve(whole.reshape(k * BAND, k * BAND), b.reshape(k * BAND, 1)).reshape(b.shape)
     odd, even = main[1::2], main[0::2].copy()
     left, right = side[0::2], side[1::2]  # of each odd block with the even one before, of the even one after with it
     many = len(right)
@@ -94,6 +103,13 @@ def _reduced(main: np.ndarray, side: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _normal(k: np.ndarray, b: np.ndarray, y: np.ndarray, size: int) -> tuple[_Band, np.ndarray]:
     """Normal equations of a spline with the basis b of each point in its knot interval k."""
     gram, rhs = _Band(size), np.zeros(size)
+    if len(y) * size <= FEW:
+        a = np.zeros((len(y), size))
+        a[np.arange(len(y))[:, None], k[:, None] - 3 + np.arange(4)] = b
+        whole = a.T @ a
+        for d in range(min(BAND, size)):
+            gram.diagonals[d, : size - d] = whole.diagonal(d)
+        return gram, a.T @ y
     for p in range(4):
         rhs += np.bincount(k - 3 + p, b[:, p] * y, size)[:size]
         for q in range(p + 1):

@@ -192,3 +192,16 @@ def test_sight_over_a_crest_and_tangent_grades():
         lo, hi = max(0, i - 10), min(600, i + 10)
         assert g[i] == pytest.approx(np.polyfit(x[lo:hi], z[lo:hi], 1)[0] * 100, abs=1e-9)
     assert profile.tangent_grade(z[:2], 1.5, 15.0).tolist() == [0, 0]
+
+
+def test_short_profiles_are_one_matrix(monkeypatch):
+    rng = np.random.default_rng(4)
+    short = [rng.normal(0, 50, n) for n in (5, 6, 12, 67, 90)]
+    fit = lambda: [smooth.smoothing_spline(np.arange(len(z)) * 5.0, z, 100.0 * len(z)) for z in short]
+    with monkeypatch.context() as m:
+        m.setattr(smooth, "DENSE", smooth.BAND)
+        m.setattr(smooth, "FEW", 0)
+        by_blocks = fit()
+    monkeypatch.setattr(smooth, "_reduced", None)  # no elimination by blocks, whose rounds cost more than such a system
+    for a, b in zip(fit(), by_blocks, strict=True):
+        assert np.allclose(a, b, atol=1e-6, rtol=0)
