@@ -168,3 +168,21 @@ def test_joint_metrics_of_a_chunk(spark):
             r = got["c/0", f]
             assert (r.v_rmse, r.max_v_dev) == (pytest.approx(math.sqrt((up**2).mean()), rel=1e-6), pytest.approx(up.max(), rel=1e-6))
             assert (r.h_rmse, r.max_h_dev, r.curve_var) == (pytest.approx(math.sqrt((side**2).mean()), rel=1e-4), pytest.approx(side.max(), rel=1e-4), pytest.approx(turn, rel=1e-6))
+
+
+def test_curves_are_written_once(network):
+    """Tags, scores and queries read curves; none looks for them again in all vertices."""
+    a, _ = network
+    own = a.folder.rsplit("/", 1)[-1]
+    for table, name in ((a.horizontal, "horizontal"), (a.vertical, "vertical")):
+        assert {f.rsplit("/", 2)[1] for f in table.inputFiles()} == {name} and all(own in f for f in table.inputFiles())
+    assert {f.rsplit("/", 2)[1] for f in a.scores.inputFiles()} <= {"horizontal", "vertical"}
+
+
+def test_degrees_of_the_plan_and_sections_dealt_to_all_tasks(spark):
+    sections = spark.createDataFrame([("B", 2, 0.0, 0.5, 0, wkt([(0, 5000), (400, 5100), (800, 5000)]))], "RouteId string, FSystem int, Start_MP double, End_MP double, Structure_Type int, WKT string").coalesce(1)
+    parts = alignment.pieces(sections)
+    assert parts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    v = flow.planned(flow.projected(alignment.stitch(parts, Params())), Params()).toPandas()
+    lon, lat = projection.utm_inverse(v.x.to_numpy(), v.y.to_numpy(), 32610)
+    assert np.allclose(v.lon, lon, atol=1e-12) and np.allclose(v.lat, lat, atol=1e-12) and (v.lon_raw.iloc[0], v.lat_raw.iloc[0]) == (pytest.approx(LON, abs=1e-7), pytest.approx(LAT + 5000 / 111_320, abs=1e-7))
