@@ -15,6 +15,7 @@ from ..config import AUDIT_COLUMNS, DEGREE_FT, FEET_PER_METER, METERS_PER_MILE_C
 from ..functions.geo import tile_corner, utm_inverse
 from ..kernels import profile, projection, smooth
 from ..operators import statistics as S
+from ..storage import new_folder, written
 from .alignment import pieces, spread, stitch
 from .flow import projected
 
@@ -38,7 +39,7 @@ def mile_chunks(chains: DataFrame) -> DataFrame:
             full = int(at[-1] / METERS_PER_MILE_CHUNK)
             for i in range(full + (at[-1] - full * METERS_PER_MILE_CHUNK >= 800)):
                 a, b = i * METERS_PER_MILE_CHUNK, min((i + 1) * METERS_PER_MILE_CHUNK, at[-1])
-                d = np.concatenate(([a], at[(at > a) & (at < b)], [b]))
+                d = np.concatenate(([a], at[np.searchsorted(at, a, "right") : np.searchsorted(at, b, "left")], [b]))
                 out.append((f"{r.path}/{i}", r.FSystem, r.epsg, np.interp(d, at, x), np.interp(d, at, y)))
         return pd.DataFrame(out, columns=["chunk", "FSystem", "epsg", "xs", "ys"])
 
@@ -150,18 +151,20 @@ def swept(points: DataFrame, raster: DataFrame, p: Params, mode: str, factors: t
 
 
 def drawn_points(sections: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """Sampled chunks of a state's sections, and their points calibrate_ft apart."""
-    drawn = sample(mile_chunks(projected(stitch(pieces(sections), p))))
+    """Sampled chunks of a state's sections, written to the shared folder, and their points calibrate_ft apart."""
+    drawn = written(sample(mile_chunks(projected(stitch(pieces(sections), p)))), new_folder(sections.sparkSession, "chunks"))
     return drawn, densified(drawn.select("chunk", "FSystem", "epsg", "xs", "ys"), p.metres("calibrate_ft"))
 
 
 def audited(sections: DataFrame, raster: DataFrame, p: Params, mode: str, mountain: bool = False) -> DataFrame:
     """A row of AUDIT_COLUMNS for each functional system of a state's sections: the factor chosen for its paths (mode H) or profiles (mode V), and why.
 
-    Fewer than three chunks of a system give no row.
+    Fewer than three chunks of a system give no row. Sampled chunks and their sweep, bounded by the sample, are written to the
+    shared folder, as the table reads either several times.
     """
     drawn, at = drawn_points(sections, p)
-    joint = S.collated_joint(swept(at, raster, p, mode), ["FSystem", "factor"])
+    done = written(swept(at, raster, p, mode), new_folder(sections.sparkSession, "sweep"))
+    joint = S.collated_joint(done, ["FSystem", "factor"])
     rows = S.audit_table(joint, "FSystem", mode, F.col("FSystem"), F.lit(mountain))
     sizes = drawn.groupBy("FSystem").agg(F.first("total_chunks").alias("total_chunks"), F.first("sample_chunks").alias("sample_chunks"))
     given = {"timestamp": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"), "state_fips": F.lit(p.state)}

@@ -186,3 +186,16 @@ def test_degrees_of_the_plan_and_sections_dealt_to_all_tasks(spark):
     v = flow.planned(flow.projected(alignment.stitch(parts, Params())), Params()).toPandas()
     lon, lat = projection.utm_inverse(v.x.to_numpy(), v.y.to_numpy(), 32610)
     assert np.allclose(v.lon, lon, atol=1e-12) and np.allclose(v.lat, lat, atol=1e-12) and (v.lon_raw.iloc[0], v.lat_raw.iloc[0]) == (pytest.approx(LON, abs=1e-7), pytest.approx(LAT + 5000 / 111_320, abs=1e-7))
+
+
+def test_sampled_chunks_are_written_once(spark):
+    x = np.arange(0, 8100, 90.0)
+    sections = spark.createDataFrame([("A", 1, 0.0, 5.0, 0, wkt([(a, 0.0) for a in x]))], "RouteId string, FSystem int, Start_MP double, End_MP double, Structure_Type int, WKT string")
+    drawn, at = calibration.drawn_points(sections, Params())
+    assert drawn.inputFiles() and set(drawn.inputFiles()) == set(at.inputFiles())
+    rows = sorted(drawn.collect(), key=lambda r: r.chunk)
+    chain = flow.projected(alignment.stitch(alignment.pieces(sections), Params())).first()
+    along = np.concatenate(([0.0], np.cumsum(np.hypot(np.diff(chain.xs), np.diff(chain.ys)))))
+    assert len(rows) == 5 and rows[0].total_chunks == 5  # a chunk has the chain's points within its mile, and both its ends
+    for i, r in enumerate(rows):
+        assert len(r.xs) == 2 + int(((along > i * 1609.34) & (along < min((i + 1) * 1609.34, along[-1]))).sum())
