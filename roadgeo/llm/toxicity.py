@@ -1,7 +1,8 @@
-"""Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy."""
+"""Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy, shard by shard, in rounds that Spark averages."""
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections.abc import Iterator
 
@@ -11,14 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, as_long, as_text, batch, fresh, limit_batches
-from .labelled import HELD_OUT, fold, sample
+from .labelled import HELD_OUT, every, fold, sample
 
-#: Most labelled rows to fit on, half of each class, most words and letters (LETTERS a word) of one of them, most bytes of all; rows beyond are not drawn.
-TRAIN_ROWS, TRAIN_WORDS, LETTERS, TRAIN_BYTES = 6000, 30_000, 6, 96 << 20
+#: About so many labelled rows are a shard, which one task trains on in a round; what shards report is whole multiples of 1 / FIXED, logits are counted in bins of 1 / BINS, up to MOST_LOGIT.
+SHARD_ROWS, FIXED, BINS, MOST_LOGIT = 4096, 1 << 20, 256, 64
+#: Of a fit in the driver alone, which callers may ask for: most labelled rows, half of each class, most words and letters (LETTERS a word) of one of them.
+TRAIN_ROWS, TRAIN_WORDS, LETTERS = 6000, 30_000, 6
 #: Buckets of each of a word's hashes (two of the word, one of its first PREFIX letters), dimensions, widths of the filters, filters of each width.
 PREFIX, BITS = 4, 18
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << BITS, 8, (1, 2, 3), 8
 EPOCHS, DOCS_A_STEP, RATE = 5, 32, 0.1
+#: Bytes of texts of one step (one text at least).
+STEP_BYTES = 1 << 21
 #: Standard errors by which a word's odds must stand out at the outset.
 SURE = 2.0
 #: Words whose packed numbers are kept; beyond, the store starts anew.
@@ -57,6 +62,15 @@ def coded(texts: list[bytes], words: Words) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate([*parts, pad]), np.array(starts), np.array(ends)
 
 
+def held(texts: list[bytes], y: np.ndarray, words: Words) -> np.ndarray:
+    """Of each label the number of texts that hold a word of each bucket."""
+    out = np.zeros((2, BUCKETS), np.int64)
+    for t, c in zip(texts, y, strict=True):
+        packed, _, _ = coded([t], words)
+        out[int(c), np.unique(packed[packed >= 0] & (BUCKETS - 1))] += 1
+    return out
+
+
 class Net:
     """Embedding rows, one weight matrix for each place of each filter, and a logistic layer on the maxima."""
 
@@ -70,16 +84,15 @@ class Net:
         self.cuts = np.zeros(len(LANGUAGES) + 1)
 
     def prime(self, texts: list[bytes], y: np.ndarray, words: Words) -> None:
+        """Begin from the words of these texts."""
+        self.primed(held(texts, y, words), np.array([len(y) - y.sum(), y.sum()]))
+
+    def primed(self, held: np.ndarray, n: np.ndarray) -> None:
         """Begin one dimension of words, and one filter over it, from how much more texts of label 1 than of label 0 hold a word.
 
-        That is the log of the ratio of both shares, less SURE standard errors of it, where this is above 0: a word must stand in
+        held counts, for each label, the texts that hold a word of a bucket; n all texts. That is the log of the ratio of both shares, less SURE standard errors of it, where this is above 0: a word must stand in
         several texts to count. So few labels are enough to rank by what they say for certain; training goes on from there.
         """
-        held = np.zeros((2, BUCKETS))
-        for k in range(len(texts)):
-            packed, _, _ = coded([texts[k]], words)
-            held[int(y[k]), np.unique(packed[packed >= 0] & (BUCKETS - 1))] += 1
-        n = np.array([len(y) - y.sum(), y.sum()])
         some = np.flatnonzero(held[1])
         c0, c1 = held[0, some] + 1, held[1, some] + 1
         odds = np.log(c1 / (n[1] + 2)) - np.log(c0 / (n[0] + 2)) - SURE * np.sqrt(1 / c0 + 1 / c1)
@@ -197,16 +210,181 @@ def fit(texts: list[bytes], y: np.ndarray, seed: int = 5, odds: float = 1.0) ->
 
 def _cut(z: np.ndarray, y: np.ndarray, odds: float) -> float:
     order = np.argsort(z, kind="stable")
-    z, y = z[order], y[order]
-    errors = np.concatenate(([0], np.cumsum(y))) + odds * np.concatenate((np.cumsum((1 - y)[::-1])[::-1], [0]))
-    gaps = np.diff(np.concatenate(([z[0] - 1], z, [z[-1] + 1])))
+    return _cut_counted(z[order], y[order], 1 - y[order], odds)
+
+
+def _cut_counted(z: np.ndarray, ones: np.ndarray, zeros: np.ndarray, odds: float = 1.0) -> float:
+    """The threshold from rising logits and how many rows of either label each stands for."""
+    errors = np.concatenate(([0], np.cumsum(ones))) + odds * np.concatenate((np.cumsum(zeros[::-1])[::-1], [0]))
+    ends = np.concatenate(([z[0] - 1], z, [z[-1] + 1]))
+    gaps = np.diff(ends)
     best = np.nonzero(errors == errors.min())[0]
     k = best[gaps[best].argmax()]
-    ends = np.concatenate(([z[0] - 1], z, [z[-1] + 1]))
     return float((ends[k] + ends[k + 1]) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, most_words: int = TRAIN_WORDS, most_bytes: int = TRAIN_BYTES) -> Net:
+class Trained:
+    """A net in training with Adagrad's memory, as numbered tables of DIM + 1 columns: one of each hash's buckets, one of all else."""
+
+    def __init__(self, net: Net):
+        self.net = net
+        self.memory = {f"embed{h}": np.full((BUCKETS, 1), 1e-4, np.float32) for h in range(len(net.embed))}
+        for name, value in self._dense():
+            self.memory[name] = np.full_like(value, 1e-4)
+
+    def _dense(self) -> list[tuple[str, np.ndarray]]:
+        net = self.net
+        return [("out", net.out), *[(f"bias{k}", v) for k, v in enumerate(net.bias)], *[(f"filter{k}", v) for k, v in enumerate(net.filters)]]
+
+    def tables(self) -> list[np.ndarray]:
+        flat = np.concatenate([*[a.ravel() for name, v in self._dense() for a in (v, self.memory[name])], [self.net.base]]).astype(np.float32)
+        rest = np.pad(flat, (0, -len(flat) % (DIM + 1))).reshape(-1, DIM + 1)
+        return [*[np.concatenate([e, self.memory[f"embed{h}"]], axis=1) for h, e in enumerate(self.net.embed)], rest]
+
+    def put(self, tables: list[np.ndarray]) -> None:
+        for h, e in enumerate(self.net.embed):
+            e[:], self.memory[f"embed{h}"][:] = tables[h][:, :DIM], tables[h][:, DIM:]
+        flat, at = tables[-1].ravel(), 0
+        for name, v in self._dense():
+            for a in (v, self.memory[name]):
+                a[...] = flat[at : at + a.size].reshape(a.shape)
+                at += a.size
+        self.net.base = float(flat[at])
+
+
+_MOVED = pa.schema([("part", pa.int32()), ("row", pa.int32()), *[(f"d{k}", pa.int32()) for k in range(DIM + 1)]])
+_HELD = pa.schema([("bucket", pa.int32()), ("zeros", pa.int64()), ("ones", pa.int64())])
+_LOGITS = pa.schema([("language", pa.int32()), ("bin", pa.int32()), ("zeros", pa.int64()), ("ones", pa.int64())])
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"`{f.name}` {'int' if f.type == pa.int32() else 'long'}" for f in schema)
+
+
+def _counted(known: DataFrame) -> np.ndarray:
+    """held() over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, out = Words(), np.zeros((2, BUCKETS), np.int64)
+        for b in batches:
+            out += held(as_bytes(b.column(0)), b.column(1).to_numpy(), words)
+        some = np.flatnonzero(out.any(axis=0))
+        yield batch(_HELD, some.astype(np.int32), out[0, some], out[1, some])
+
+    got = known.select("text", "y").mapInArrow(run, _ddl(_HELD)).groupBy("bucket").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
+    out = np.zeros((2, BUCKETS))
+    for k, name in enumerate(("zeros", "ones")):
+        out[k, got["bucket"].to_numpy()] = got[name].to_numpy()
+    return out
+
+
+def _round(known: DataFrame, state: Trained, number: int) -> None:
+    """One pass over all rows that are trained on: each shard goes on from the same net; what shards moved is averaged over those that moved it.
+
+    Moves are whole numbers, so their sums are the same in whatever order they come. What reaches the driver is a net, whatever the input.
+    """
+    told = known.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, rng, own, begun = Words(), np.random.default_rng(number), None, []
+        for b in batches:
+            own = own or copy.deepcopy(told.value)
+            begun = begun or own.tables()
+            texts, y = as_bytes(b.column(0)), b.column(1).to_numpy()
+            for k in steps(texts, rng.permutation(len(texts))):
+                own.net.step(*coded([texts[j] for j in k], words), y[k].astype(float), own.memory)
+        for part, (a, z) in enumerate(zip(begun, own.tables() if own else [], strict=True)):
+            rows = np.arange(len(a)) if part == len(begun) - 1 else np.flatnonzero(a[:, DIM] != z[:, DIM])
+            moved = np.clip(np.rint((z[rows].astype(float) - a[rows]) * FIXED), -(2**31), 2**31 - 1).astype(np.int32)
+            for i in range(0, len(rows), 1 << 16):
+                yield batch(_MOVED, np.full(len(rows[i : i + (1 << 16)]), part, np.int32), rows[i : i + (1 << 16)].astype(np.int32), *moved[i : i + (1 << 16)].T.copy())
+
+    mean = [(F.sum(f"d{k}") / F.count("*") / FIXED).cast("float").alias(f"d{k}") for k in range(DIM + 1)]
+    got = known.select("text", "y").mapInArrow(run, _ddl(_MOVED)).groupBy("part", "row").agg(*mean).toArrow()
+    told.destroy()
+    tables, part, row = state.tables(), got["part"].to_numpy(), got["row"].to_numpy()
+    move = np.stack([got[f"d{k}"].to_numpy() for k in range(DIM + 1)], axis=1) if len(part) else np.zeros((0, DIM + 1), np.float32)
+    for k, t in enumerate(tables):
+        t[row[part == k]] += move[part == k]
+    state.put(tables)
+
+
+def steps(texts: list[bytes], order: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of the texts of each step: DOCS_A_STEP of them, fewer where they are long."""
+    at, size = 0, 0
+    for i, k in enumerate(order):
+        if i > at and (i - at >= DOCS_A_STEP or size + len(texts[k]) > STEP_BYTES):
+            yield order[at:i]
+            at, size = i, 0
+        size += len(texts[k])
+    if at < len(order):
+        yield order[at:]
+
+
+def _logits(known: DataFrame, net: Net) -> pa.Table:
+    """How many rows of either label have a language and a logit, in bins."""
+    told = known.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = Words(), {}
+        for b in batches:
+            texts, y = as_bytes(b.column(0)), b.column(1).to_numpy()
+            for k in steps(texts, np.arange(len(texts))):
+                coding = coded([texts[j] for j in k], words)
+                z = np.clip(np.floor(told.value.logits(*coding) * BINS), -MOST_LOGIT * BINS, MOST_LOGIT * BINS).astype(int)
+                for at in zip(told.value.languages(*coding).tolist(), z.tolist(), y[k].tolist(), strict=True):
+                    counts[at] = counts.get(at, 0) + 1
+        keys = sorted({k[:2] for k in counts})
+        yield batch(_LOGITS, [k[0] for k in keys], [k[1] for k in keys], [counts.get((*k, 0), 0) for k in keys], [counts.get((*k, 1), 0) for k in keys])
+
+    got = known.select("text", "y").mapInArrow(run, _ddl(_LOGITS)).groupBy("language", "bin").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).orderBy("bin", "language").toArrow()
+    told.destroy()
+    return got
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, most_words: int = TRAIN_WORDS, most_bytes: int | None = None, shard_rows: int = SHARD_ROWS) -> Net:
+    """Fit on all labelled documents outside the held-out fold, whole texts, as `fit` does: four fifths are trained on, one is for the thresholds.
+
+    Rows lie in shards; counts of words, EPOCHS passes and counts of logits each are one pass of tasks over the shards, and
+    only counts and nets, which have a fixed size, reach the driver. With most_bytes the net is fitted in the driver on a
+    sample of so many bytes instead.
+    """
+    if most_bytes is not None:
+        return _train_here(docs, labels, label, rows, most_words, most_bytes)
+    limit_batches(docs.sparkSession)
+    known = every(docs, labels, label, shard_rows)
+    n = np.zeros((2, 2))
+    for rest, y, many in known.groupBy("rest", "y").count().collect():
+        n[int(rest), y] = many
+    if not n.sum(axis=0).all():
+        return fit([b""] * int(n.any()), np.array([1.0 if n[:, 1].any() else 0.0] * int(n.any())))
+    state, own, rest = Trained(Net()), known.where("not rest"), known.where("rest")
+    if n[0].all():
+        state.net.primed(_counted(own), n[0])
+    for k in range(EPOCHS):
+        _round(own, state, k)
+    net = state.net
+    got = _logits(rest, net)
+    language, z, zeros, ones = (got[c].to_numpy() for c in ("language", "bin", "zeros", "ones"))
+    cut = lambda of, z, ones, zeros: _cut_counted((z[of] + 0.5) / BINS, ones[of], zeros[of])
+    if min(zeros.sum(), ones.sum()) >= 10:
+        net.cuts[:] = cut(slice(None), *_by_bin(z, ones, zeros))
+    else:
+        whole = _logits(known, net)
+        net.cuts[:] = cut(slice(None), *_by_bin(*(whole[c].to_numpy() for c in ("bin", "ones", "zeros"))))
+    for k in range(len(net.cuts)):
+        of = language == k
+        if min(zeros[of].sum(), ones[of].sum()) >= 10:
+            net.cuts[k] = cut(of, z, ones, zeros)
+    return net
+
+
+def _by_bin(z: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    bins, at = np.unique(z, return_inverse=True)
+    return bins, *(np.bincount(at, c, len(bins)) for c in counts)
+
+
+def _train_here(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_words: int, most_bytes: int) -> Net:
     """Fit on `rows` labelled documents at most, of `most_words` words and LETTERS letters a word at most, outside the held-out fold, and of `most_bytes` bytes in all.
 
     These bounds hold what reaches the driver: sizes first, then the texts that fit, half of the bytes for each class, in the

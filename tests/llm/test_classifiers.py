@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadgeo.llm import quality, toxicity
-from roadgeo.llm.labelled import sample
+from roadgeo.llm.labelled import every, sample
 
 DATA = "/root/testdata/sf0.01"
 
@@ -137,3 +137,35 @@ def test_sample_leaves_out_the_fold_and_conflicts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(4, 1), (None, 1), (5, None)], "doc_id long, quality int")
     rows = sample(docs, labels, "quality", 30, by_class=True).collect()
     assert len(rows) == 30 and sum(r.y for r in rows) == 15 and all(zlib.crc32(str(r.id).encode()) % 5 for r in rows) and 4 not in {r.id for r in rows}
+
+
+def test_all_labelled_rows_are_fitted_on(spark):
+    """Toxic texts of over 30,000 words count, more rows than a shard holds too, and shards give the same net in each run."""
+    rows = [(i, " ".join(f"w{k % 30}" for k in range(31_000 if i % 5 == 0 else 30)) + (" nasty" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(1, 250)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1, "~ again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(2, 1), (None, 1), (5000, 1)], "doc_id long, toxic int")
+    known = every(docs, labels, "toxic", 40)
+    got = {r.id: (r.text, r.y) for r in known.collect()}
+    assert got == {i: (t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5 and i != 2} and known.count() == len(got)
+    assert known.rdd.getNumPartitions() == -(-(len(got) + bool(zlib.crc32(b"5000") % 5)) // 40)
+    some = spark.createDataFrame([(1, "w5 w7 w9"), (2, "w5 nasty w9")], "doc_id long, text string")
+    a, b = ({r.doc_id: r.score for r in toxicity.scored(some, toxicity.train(docs, labels, shard_rows=40)).collect()} for _ in range(2))
+    assert a == b and a[1] < 0.5 <= a[2]
+
+
+def test_tables_of_a_net_in_training():
+    state = toxicity.Trained(toxicity.Net())
+    state.net.step(*toxicity.coded([b"a b c", b"d"], toxicity.Words()), np.array([1.0, 0.0]), state.memory)
+    other = toxicity.Trained(toxicity.Net(6))
+    other.put(state.tables())
+    assert all((p == q).all() for p, q in zip(state.tables(), other.tables(), strict=True)) and set(state.memory) == set(other.memory)
+    assert np.isclose(other.net.score([b"a b"], toxicity.Words()), state.net.score([b"a b"], toxicity.Words()))
+
+
+def test_threshold_from_counts_is_that_of_the_rows():
+    rng = np.random.default_rng(2)
+    y = (rng.random(300) < 0.3).astype(float)
+    z = np.round(rng.normal(y * 3, 1), 1)
+    at, k = np.unique(z, return_inverse=True)
+    cut = toxicity._cut_counted(at, np.bincount(k, y), np.bincount(k, 1 - y))
+    assert ((z >= cut) != y).sum() == ((z >= toxicity._cut(z, y, 1.0)) != y).sum()
