@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -179,6 +180,19 @@ def test_curves_are_written_once(network):
     assert {f.rsplit("/", 2)[1] for f in a.scores.inputFiles()} <= {"horizontal", "vertical"}
 
 
+def test_one_kind_of_curves_waits_for_no_other(spark):
+    sections = spark.createDataFrame([("B", 2, 0.0, 0.5, 0, wkt([(0, 5000), (400, 5100), (800, 5000)]))], "RouteId string, FSystem int, Start_MP double, End_MP double, Structure_Type int, WKT string")
+    none = spark.createDataFrame([], "structure_id long, lon double, lat double, vertical_clearance string")
+    raster = spark.createDataFrame([("n46w121", r, c, 100.0 + c % 9) for r in range(1740, 1930) for c in range(1430, 1500)], "tile string, row int, col int, z double")
+    a = flow.aligned(sections, none, raster, Params())
+    folder = Path(a.folder.removeprefix("file://"))
+    names = lambda: {f.name for f in folder.iterdir()}
+    assert names() == {"plan", "vertices"}
+    assert a.vertical.inputFiles() and names() == {"plan", "vertices", "vertical"}
+    assert a.vertical is a.vertical and a.scores.count() == 1 and names() == {"plan", "vertices", "vertical", "horizontal"}
+    a.release()
+
+
 def test_degrees_of_the_plan_and_sections_dealt_to_all_tasks(spark):
     sections = spark.createDataFrame([("B", 2, 0.0, 0.5, 0, wkt([(0, 5000), (400, 5100), (800, 5000)]))], "RouteId string, FSystem int, Start_MP double, End_MP double, Structure_Type int, WKT string").coalesce(1)
     parts = alignment.pieces(sections)
