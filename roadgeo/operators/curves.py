@@ -94,12 +94,12 @@ def sight_distance(points: DataFrame, spacing_ft: float, key: str = "route_id",
     """points with asd_ft: how far ahead, within search_ft, the farthest sample lies whose object an eye above this one sees over all ground between.
 
     z times scale is in feet, samples are spacing_ft apart. What lies ahead comes as a window frame of as many samples as
-    the search distance holds, so a route is sorted once and never joined with itself.
+    the search distance holds, so a route is sorted once and never joined with itself. The eye's height is taken off last:
+    in another order, lines of sight that just touch the ground would be decided by rounding.
     """
     w = Window.partitionBy(key).orderBy(order)
     n = int(search_ft / spacing_ft)
-    eye = F.col(z) * scale + SIGHT_EYE_FT
-    slope = lambda h, k, up: (h * scale + up - eye) / ((k + 1) * spacing_ft)
+    slope = lambda h, k, up: (h * scale + up - F.col(z) * scale - SIGHT_EYE_FT) / ((k + 1) * spacing_ft)
     start = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("asd"))
 
     def move(acc, s):

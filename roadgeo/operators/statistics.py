@@ -13,8 +13,8 @@ LETTERS = "ABCDEF"
 
 
 def share(flag: Column, digits: int = 6) -> Column:
-    """Share of rows with the flag set."""
-    return F.round(F.avg(flag.cast("double")), digits)
+    """Share of rows with the flag set; halves are those of the scaled number, as in SQL, not of its shortest decimal."""
+    return F.floor(F.avg(flag.cast("double")) * 10.0**digits + 0.5) / 10.0**digits
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, at: tuple[float, ...]) -> DataFrame:

@@ -51,3 +51,24 @@ def test_elevations_of_nodes_are_the_same_in_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
     assert sorted(map(tuple, V.nodes(spark, str(tmp_path)).select("node_id", "elev").collect())) == con.execute(f"SELECT node_id, elev FROM ({V.SQL['nodes']}) ORDER BY 1").fetchall()
+
+
+def test_sight_lines_that_touch_and_shares_of_halves_are_those_of_sql(spark, tmp_path):
+    """Where the line of sight to an object just touches the ground before it, and where a share ends in half a millionth, the order of the sums decides."""
+    rows = []
+    for user in range(400):
+        eye = round(0.07 + user * 1.37, 2)
+        rows += [(user, [eye, 0, 0, round(eye + 3.5, 2), 0, 0, 0, 0, 0, round(eye + 1.5, 2), 0])]
+    rows.append((1000, [1000.0 if i in (100, 200, 206, 300, 306) else 0.0 for i in range(640)]))
+    events = [(user * 1000 + i, user, float(z)) for user, values in rows for i, z in enumerate(values)]
+    spark.createDataFrame(events, "event_id long, user_id long, value double").selectExpr("event_id", "timestamp_seconds(event_id) as ts", "user_id", "value").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for t in ("orders", "supplier"):
+        (tmp_path / f"{t}.parquet").symlink_to(DATA / f"{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    for name in ("sight_distance", "blind_share"):
+        df = registry.QUERIES[name](spark, str(tmp_path))
+        got = con.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.ORACLES[name]}) ORDER BY ALL").fetchall()
+        assert sorted(map(tuple, df.collect())) == got
+    assert [r for r in got if r[0] == 1000][0][2] == 0.064062  # 41 of 640
