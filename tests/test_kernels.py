@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import time
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from roadgeo.config import FEET_PER_METER, Params, build_params, smoothing_factor
 from roadgeo.kernels import chains, profile, smooth
+from roadgeo.plans import flow
 
 
 def test_spline_meets_the_bound():
@@ -205,3 +208,42 @@ def test_short_profiles_are_one_matrix(monkeypatch):
     monkeypatch.setattr(smooth, "_reduced", None)  # no elimination by blocks, whose rounds cost more than such a system
     for a, b in zip(fit(), by_blocks, strict=True):
         assert np.allclose(a, b, atol=1e-6, rtol=0)
+
+
+def test_long_chains_take_a_few_numbers_a_point(monkeypatch):
+    """What a kernel makes on the way is as large as a part of the chain, not as the chain; parts give what one part does."""
+    rng = np.random.default_rng(6)
+    d = np.arange(300_000) * 1.5
+    z = np.cumsum(rng.normal(0, 0.01, len(d))) + 20 * np.sin(d / 500)
+    peaks = []
+    for kernel in (lambda: smooth.smoothing_spline(d, z, 4000.0), lambda: smooth.roughness(z, 1.5), lambda: profile.trend_of(z, np.arange(len(z)) % 500 // 495, 1.5, Params())):
+        tracemalloc.start()
+        kernel()
+        peaks.append(tracemalloc.get_traced_memory()[1] / len(d))
+        tracemalloc.stop()
+    assert max(peaks) < 80, peaks  # bytes
+    d, z, known = d[:5000], z[:5000], np.arange(5000) % 500 // 495
+    head = rng.uniform(-180, 180, 5000)
+    out = lambda: [
+        smooth.smoothing_spline(d, z, 5.0), smooth.smoothing_spline(d, z, 1e9), smooth.roughness(z, 1.5), profile.trend_of(z, known, 1.5, Params()), smooth.unwrapped(head.copy()), profile.slope(z, d),
+        *[np.concatenate(c) for c in zip(*[profile.along(z, 1.5, 150.0, a, b) for a, b in smooth.parts(5000)], strict=True)],
+    ]
+    whole = out()
+    assert np.array_equal(whole[4], np.unwrap(head, period=360)) and np.array_equal(whole[7], profile.sight(z, 1.5))
+    monkeypatch.setattr(smooth, "PART", 333)
+    for a, b in zip(whole, out(), strict=True):
+        assert np.allclose(a, b, atol=1e-6, rtol=0)
+
+
+def test_columns_of_a_chain_are_held_once_and_in_order():
+    rng = np.random.default_rng(7)
+    n = 300_000
+    idx = rng.permutation(n)
+    frames = lambda: (pd.DataFrame({"path": "A/1", "idx": idx[a : a + 10_000], "z": idx[a : a + 10_000] * 0.5, "known": idx[a : a + 10_000] % 3}) for a in range(0, n, 10_000))
+    tracemalloc.start()
+    first, v = flow.gathered(frames(), {"z": float, "known": np.int8})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert first["path"] == "A/1" and list(v) == ["idx", "z", "known"] and v["known"].dtype == np.int8
+    assert np.array_equal(v["idx"], np.arange(n)) and np.array_equal(v["z"], np.arange(n) * 0.5) and np.array_equal(v["known"], np.arange(n) % 3)
+    assert peak < 60 * n
