@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -184,3 +185,25 @@ def test_nearest_of_all_for_very_many_points_at_one_place(spark):
     b = spark.range(2000).selectExpr("2000 - id AS o", "cos(id * 0.003D) u", "sin(id * 0.003D) v")
     got = nearest.nearest_of_all(a, b, "k", "o", "x", "y", "u", "v")
     assert got.agg(F.count("*"), F.countDistinct("k"), F.min("o"), F.max("o"), F.max("dist")).first() == (80_000, 80_000, 1, 1, 1.0)
+
+
+def test_topology_pairs_move_lists_of_nodes_not_copies(spark):
+    """All pairs of places with many nodes, of several routes, with repeated ids and nulls; they are made by several tasks, and nodes are neither copied to nine cells nor broadcast."""
+    rng = np.random.default_rng(12)
+    at = [(0.0, 0.0)] * 150 + [(3e-5, 0.0)] * 60 + [tuple(map(float, rng.uniform(-2e-4, 2e-4, 2))) for _ in range(150)]
+    rows = [(int(k if k % 50 else 7), None if k == 11 else str(k % 4), x, y, None if k % 40 == 3 else float(rng.integers(0, 40))) for k, (x, y) in enumerate(at)] + [(None, "1", 0.0, 0.0, 1.0), (900, "2", None, 0.0, 1.0)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    nodes = spark.createDataFrame(rows, "node_id long, route_id string, lon double, lat double, elev double")
+    radius = 4.5e-5
+    pairs = spatial.topology_pairs(nodes, radius, slices_of=20)
+    want = Counter()
+    for a in rows:
+        for b in rows:
+            if None not in (*a[:4], *b[:4]) and a[0] < b[0] and a[1] != b[1] and math.sqrt((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2) <= radius:
+                want[(*a, *b, None if a[4] is None or b[4] is None else abs(a[4] - b[4]))] += 1
+    names = ("node_id", "route_id", "lon", "lat", "elev")
+    assert Counter(tuple(r) for r in pairs.select(*names, *[f"o_{c}" for c in names], "dz").collect()) == want
+    assert pairs.where("lon = 0 and o_lon = 0").select(F.spark_partition_id()).distinct().count() > 1
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    copied = [line for line in plan.splitlines() if "explode([-1,0,1])" in line.replace(" ", "")]
+    assert copied and not any("node_id" in line for line in copied)
